@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_codec
+from . import piece_codec, token_count
 
 PIECES = "piece_bpe_32k.model"
 
@@ -14,9 +14,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {"op8_piece_codec": op8_piece_codec}
+QUERIES = {"op4_token_count": op4_token_count, "op8_piece_codec": op8_piece_codec}
 SQL: dict[str, str] = {}
