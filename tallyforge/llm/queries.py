@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_codec, token_count
+from . import media, pii, piece_codec, token_count
 
 PIECES = "piece_bpe_32k.model"
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -22,5 +26,9 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {"op4_token_count": op4_token_count, "op8_piece_codec": op8_piece_codec}
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_and_read(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op9_media": op9_media, "op4_token_count": op4_token_count, "op8_piece_codec": op8_piece_codec}
 SQL: dict[str, str] = {}
