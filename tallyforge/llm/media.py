@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .texts import map_texts
 
@@ -173,10 +174,8 @@ def features(df: DataFrame, media_col: str = "media") -> DataFrame:
             found = [one(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]], names=[*batch.schema.names, *new])
 
-    schema = kept.schema
-    for name, kind in zip(new, ("long", "string", "long", "binary", "string")):
-        schema = schema.add(name, kind)
-    return kept.mapInArrow(batches, schema)
+    added = T.StructType.fromDDL("payload_bytes long, payload_sha256 string, tail_crc32 long, feature binary, error string")
+    return kept.mapInArrow(batches, T.StructType([*kept.schema, *added]))
 
 
 def stored_and_read(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
