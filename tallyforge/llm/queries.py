@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, pii, piece_codec, token_count
+from . import langid, media, pii, piece_codec, token_count
 
 PIECES = "piece_bpe_32k.model"
 
@@ -30,5 +30,9 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_and_read(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op9_media": op9_media, "op4_token_count": op4_token_count, "op8_piece_codec": op8_piece_codec}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_langid": op10_langid, "op1_pii": op1_pii, "op9_media": op9_media, "op4_token_count": op4_token_count, "op8_piece_codec": op8_piece_codec}
 SQL: dict[str, str] = {}
