@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, pii, piece_codec, token_count
+from . import langid, media, pii, piece_codec, quality, token_count, urlfilter
 
 PIECES = "piece_bpe_32k.model"
 
@@ -18,10 +18,20 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.verdicts(quality.ledger(_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", "base_failed", "kept")
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("VALUES " + ", ".join(map(str, urlfilter.CONTRACT_RULES)) + " AS rules(host, path, action)")
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -34,5 +44,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_langid": op10_langid, "op1_pii": op1_pii, "op9_media": op9_media, "op4_token_count": op4_token_count, "op8_piece_codec": op8_piece_codec}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_quality, op4_token_count, op7_urls, op8_piece_codec, op9_media, op10_langid)}
+SQL = {"op3_quality": quality.SQL, "op7_urls": urlfilter.SQL}
