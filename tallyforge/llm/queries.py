@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, pii, piece_codec, quality, token_count, urlfilter
+from . import chat, langid, media, mixing, pii, piece_codec, quality, token_count, urlfilter
 
 PIECES = "piece_bpe_32k.model"
 
@@ -27,6 +27,14 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_digests(chat.with_hard_case(spark, _table(spark, sf_dir, "conversations")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("VALUES " + ", ".join(map(str, urlfilter.CONTRACT_RULES)) + " AS rules(host, path, action)")
     return urlfilter.judge(_table(spark, sf_dir, "pages"), rules)
@@ -44,5 +52,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_quality, op4_token_count, op7_urls, op8_piece_codec, op9_media, op10_langid)}
-SQL = {"op3_quality": quality.SQL, "op7_urls": urlfilter.SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_quality, op4_token_count, op5_chat, op6_mixing, op7_urls, op8_piece_codec, op9_media, op10_langid)}
+SQL = {"op3_quality": quality.SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.SQL, "op7_urls": urlfilter.SQL}
