@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, media, mixing, pii, piece_codec, quality, token_count, urlfilter
+from . import chat, jaccard, langid, media, mixing, pii, piece_codec, quality, token_count, urlfilter
 
 PIECES = "piece_bpe_32k.model"
 
@@ -18,6 +18,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.verdicts(quality.ledger(_table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", "base_failed", "kept")
@@ -52,5 +56,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_quality, op4_token_count, op5_chat, op6_mixing, op7_urls, op8_piece_codec, op9_media, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_quality, op4_token_count, op5_chat, op6_mixing, op7_urls, op8_piece_codec, op9_media, op10_langid)}
 SQL = {"op3_quality": quality.SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.SQL, "op7_urls": urlfilter.SQL}
