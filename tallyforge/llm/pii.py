@@ -219,8 +219,8 @@ def _written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted) of every whole text.
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SpanModel | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted) of every whole text.
 
     Counts and the digest are of base spans, `spans` has all (kind:start:end by code points), and
     `redacted` is the text with each span as [KIND]; of overlapping spans the union goes, under the
@@ -239,7 +239,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: S
                 "redacted": [redact(t, s) for t, s in zip(texts, every)],
             }
 
-    return map_texts(df, id_col, text_col, ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, redacted string", work)
+    return map_texts(df, id_col, text_col, ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, redacted string", work, keep)
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

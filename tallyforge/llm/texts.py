@@ -36,9 +36,9 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, work: Call
     `work` gets (ids, texts) of slices and yields a dict of columns (lists or arrays) for each one.
     `keep` names more input columns, which are passed on under their names.
     """
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in keep])
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
     kinds = {f.name: f.dataType for f in source.schema}
-    out = T.StructType([T.StructField(id_col, kinds["id"])] + [T.StructField(c, kinds[c]) for c in keep] + list(T.StructType.fromDDL(schema)))
+    out = T.StructType([T.StructField(id_col, kinds["id"])] + [T.StructField(c, kinds[f"kept_{k}"]) for k, c in enumerate(keep)] + list(T.StructType.fromDDL(schema)))
     arrow = to_arrow_schema(out)
     names = [f.name for f in T.StructType.fromDDL(schema)]
 
