@@ -3,14 +3,17 @@
 1. Every text becomes a set of word shingles and the signatures of that set (`shingles`). Equal sets are
    one node; a task that meets a set again does not repeat its signatures.
 2. Nodes of one signature form a bucket. Buckets of one node are dropped where they are met.
-3. Each node is first compared with one other, the least that it shares a bucket with. That settles
-   groups of copies, however large, with one comparison a node.
+3. Each node is first compared with one other of its buckets: the one that shares most buckets with
+   any. Of a text and its edited copies that is the text itself, so a group, however large, is settled
+   with a comparison a node. ROUNDS such rounds follow one another, over what is still open.
 4. Links join nodes to components. Only nodes of one bucket but different components can hold links
    that matter still; those pairs are compared, all of them. A bucket with many such nodes is divided
    beforehand: similar sets also share a signature under an independent partition, so the bucket's
    nodes are dealt into smaller ones by those signatures, LEVELS times if need be.
-5. Comparisons are exact, on the shingle sets of the whole texts. No cap applies anywhere: a pair of
-   similar texts is compared or lies in one component already.
+5. A comparison first looks at parity sketches, an eighth of a text or less, which bound from below in
+   how many elements two sets differ. What they can't exclude is compared exactly, on the shingle sets
+   of the whole texts. No cap applies anywhere: a pair of similar texts is compared or lies in one
+   component already.
 
 Links within groups are therefore not listed, but no component misses one.
 """
@@ -27,12 +30,14 @@ from pyspark.sql import types as T
 
 from .components import components
 from .shared import removed, written
-from .shingles import set_hash, shingle_sets, signatures, similar
+from .shingles import least_difference, parity_sketch, set_hash, shingle_sets, signatures, similar
 from .texts import slices
 
 #: A bucket with more unsettled nodes is divided by a further family of signatures.
-BUCKET = 24
+BUCKET = 1024
 LEVELS = 3
+#: Rounds in which a node is compared with one other.
+ROUNDS = 2
 #: Up to so many ids (8 MB) select texts by a broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Sets that a task remembers in order not to repeat their signatures.
@@ -53,7 +58,8 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n_shingles, node, check, signatures): node and check are 128 bits of the set, 0 if empty."""
+    """(id, n_shingles, node, check, signatures, sketch): node and check are 128 bits of the set, 0 if
+    empty; signatures and sketch are there where the task meets a set first."""
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -65,9 +71,9 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     own.append(np.zeros(0, np.uint64) if h in seen else signatures(s, percent))
                     if len(seen) < REMEMBERED:
                         seen.add(h)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([h for h, _ in hashes], pa.int64()), pa.array([c for _, c in hashes], pa.int64()), _lists(own)], names=["id", "n_shingles", "node", "check", "signatures"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([h for h, _ in hashes], pa.int64()), pa.array([c for _, c in hashes], pa.int64()), _lists(own), pa.array([parity_sketch(s) if len(g) else None for s, g in zip(sets, own)], pa.binary())], names=["id", "n_shingles", "node", "check", "signatures", "sketch"])
 
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n_shingles long, node long, check long, signatures array<long>")])
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n_shingles long, node long, check long, signatures array<long>, sketch binary")])
     return docs.mapInArrow(work, schema)
 
 
@@ -78,9 +84,19 @@ def _chosen_texts(docs: DataFrame, ids: DataFrame, many: int) -> DataFrame:
 
 def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of nodes, the links, exactly: by the shingle sets of the two whole texts."""
-    ends = [nodes.select(F.col("node").alias(s), F.col("check").alias(f"check_{s}"), F.col("id").alias(f"id_{s}"), F.col("n_shingles").alias(f"n_{s}")) for s in "ab"]
-    few = pairs.join(ends[0], "a").join(ends[1], "b")
-    few = written(few.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent), "pairs")
+    names = ["a", "b", "check_a", "check_b", "id_a", "id_b"]
+    ends = [nodes.select(F.col("node").alias(s), F.col("check").alias(f"check_{s}"), F.col("id").alias(f"id_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"]
+    few = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+
+    def possible(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            most = ((batch["n_a"].to_numpy() + batch["n_b"].to_numpy()) * (100 - percent) // (100 + percent)).tolist()
+            sketches = zip(batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist())
+            kept = [k for k, (x, y) in enumerate(sketches) if least_difference(x, y) <= most[k]]
+            yield batch.select(names).take(pa.array(kept, pa.int64()))
+
+    few = few.select(*names, "n_a", "n_b", "sketch_a", "sketch_b")
+    few = written(few.mapInArrow(possible, few.select(*names).schema), "pairs")
     ids = written(few.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "ids")
     texts = _chosen_texts(docs, ids, ids.count())
     for s in "ab":
@@ -128,6 +144,17 @@ def _unsettled(buckets: DataFrame) -> DataFrame:
     return buckets.join(sizes, "bucket")
 
 
+def _with_leader(buckets: DataFrame) -> DataFrame:
+    """Pairs (a < b): each node and one of another component, the leader of one of its buckets. A
+    bucket's leader is its node in most buckets; of several leaders a node takes the one in most."""
+    counts = buckets.groupBy("node").agg(F.count("*").alias("shared"))
+    ranked = buckets.select("bucket", "node", "component").join(counts, "node").withColumn("rank", F.struct("shared", "node", "component"))
+    leaders = ranked.groupBy("bucket").agg(F.max("rank").alias("leader"))
+    met = ranked.join(leaders, "bucket").where(F.col("component") != F.col("leader.component"))
+    best = met.groupBy("node").agg(F.max("leader").alias("leader"))
+    return best.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+
+
 def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: shingles of `size` words, links at a Jaccard
     similarity of percent/100 or more, and the least id that can be reached by links.
@@ -140,17 +167,22 @@ def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id"
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = written(_signed(docs, size, percent), "sets")
     docs = docs.where(F.col("id").isNotNull())
-    nodes = written(rows.where("n_shingles > 0 AND id IS NOT NULL").groupBy("node", "check").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n_shingles")), "nodes")
+    nodes = written(rows.where("n_shingles > 0 AND id IS NOT NULL").groupBy("node", "check").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.first("sketch", ignorenulls=True).alias("sketch")), "nodes")
 
     dealt = rows.where("id IS NOT NULL").select("node", F.explode("signatures").alias("bucket"))
-    sizes = F.expr("min(node) OVER (PARTITION BY bucket)"), F.expr("max(node) OVER (PARTITION BY bucket)")
-    buckets = written(dealt.select("bucket", "node", sizes[0].alias("lo"), sizes[1].alias("hi")).where("lo <> hi").select("bucket", "node", "lo"), "buckets")
-
-    first = buckets.where("node <> lo").groupBy("node").agg(F.min("lo").alias("lo")).select(F.col("lo").alias("a"), F.col("node").alias("b"))
-    links = _compared(first, nodes, docs, size, percent)
-    settled = written(components(links), "settled")
-    open_ = buckets.select("bucket", "node").distinct().join(settled, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    open_ = written(_unsettled(open_), "open")
+    ends = F.expr("min(node) OVER (PARTITION BY bucket)"), F.expr("max(node) OVER (PARTITION BY bucket)")
+    shared = dealt.select("bucket", "node", ends[0].alias("lo"), ends[1].alias("hi")).where("lo <> hi")
+    open_ = written(shared.select("bucket", "node", F.col("node").alias("component"), F.lit(2).cast("long").alias("n")), "buckets")
+    links = tried = None
+    for _ in range(ROUNDS):
+        first = _with_leader(open_)
+        first = written(first if tried is None else first.join(tried, ["a", "b"], "left_anti"), "first")
+        found = _compared(first, nodes, docs, size, percent)
+        links, tried = (found, first) if links is None else (links.unionByName(found), tried.unionByName(first))
+        settled = written(components(links), "settled")
+        now = open_.select("bucket", "node").join(settled, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        open_, before = written(_unsettled(now.distinct()), "open"), open_
+        removed(spark, before)
     pairs = None
     for family in range(1, LEVELS + 2):
         small = open_ if family > LEVELS else open_.where(F.col("n") <= BUCKET)
@@ -161,7 +193,7 @@ def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id"
         if family > LEVELS or large.isEmpty():
             break
         open_ = written(_unsettled(_divided(large.drop("n"), nodes, docs, size, percent, family)), "divided")
-    more = _compared(pairs.join(first, ["a", "b"], "left_anti").distinct(), nodes, docs, size, percent)
+    more = _compared(pairs.distinct().join(tried, ["a", "b"], "left_anti"), nodes, docs, size, percent)
 
     ids = nodes.select("node", "check", "id")
     names = nodes.select("node", F.col("id"))
@@ -172,7 +204,7 @@ def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id"
     found = written(components(named.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same)), "components")
     out = rows.select("id", "n_shingles").join(found.withColumnRenamed("node", "id"), "id", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    removed(spark, buckets)
+    removed(spark, open_)
     return out
 
 

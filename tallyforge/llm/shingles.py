@@ -170,3 +170,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
     return 100 * shared >= percent * (len(both) - shared)
+
+
+def parity_sketch(s: np.ndarray) -> bytes:
+    """A bit for each class of elements, set if their number is odd; about two bits an element."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Elements in which two sets differ at least: each odd difference of a class needs one."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
