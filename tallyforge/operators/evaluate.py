@@ -1,0 +1,158 @@
+"""Folds, walk-forward evaluation of strategies against chance, tests, calibration and voting."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..sources.draws import BLUES, PICKED, REDS, weight
+
+P_RED, P_BLUE = PICKED / REDS, 1 / BLUES
+#: Chance of three hits or more of six, exactly (hypergeometric).
+P_THREE = sum(math.comb(6, k) * math.comb(27, 6 - k) for k in range(3, 7)) / math.comb(33, 6)
+
+Fold = tuple[int, int, int, int, int]  # number, validation [lo, hi), training [lo, hi)
+
+
+def expanding(n: int, least: int, val: int, step: int) -> list[Fold]:
+    return [(k, s, s + val, s + val, n) for k, s in enumerate(range(n - least - val, -1, -step))]
+
+
+def rolling(n: int, train: int, val: int, step: int) -> list[Fold]:
+    return [(k, s, s + val, s + val, s + val + train) for k, s in enumerate(range(n - train - val, -1, -step))]
+
+
+def anchored(n: int, anchors: tuple[float, ...]) -> list[Fold]:
+    """The share of each anchor that is newest validates."""
+    return [(k, 0, int(n * a), int(n * a), n) for k, a in enumerate(anchors)]
+
+
+def walk_forward(n: int, n_folds: int = 5, train_ratio: float = 0.8) -> list[Fold]:
+    val = int(n * (1 - train_ratio) / n_folds)
+    if val < 10:
+        val = max(10, int(0.02 * n))
+    return [(k, k * val, (k + 1) * val, (k + 1) * val, n) for k in range(n_folds) if (k + 1) * val < n]
+
+
+def fold_table(spark: SparkSession, folds: list[Fold]) -> DataFrame:
+    return spark.createDataFrame(folds, "fold int, val_lo int, val_hi int, train_lo int, train_hi int")
+
+
+def frequency_picks(d: DataFrame, folds: DataFrame, half_life: float = 0) -> DataFrame:
+    """(fold, reds, blue): the six reds and the blue of most decayed weight in each fold's training
+    part, all folds in one aggregation keyed by fold; ties to the lower ball."""
+    w = weight(half_life)
+    marks = F.concat(F.transform("reds", lambda b: F.struct(F.lit("red").alias("colour"), b.alias("ball"))), F.array(F.struct(F.lit("blue").alias("colour"), F.col("blue").alias("ball"))))
+    part = d.join(F.broadcast(folds), (F.col("idx") >= F.col("train_lo")) & (F.col("idx") < F.col("train_hi")))
+    sums = part.select("fold", w.alias("w"), F.explode(marks).alias("m")).groupBy("fold", "m.colour", "m.ball").agg(F.sum("w").alias("w"))
+    place = F.row_number().over(Window.partitionBy("fold", "colour").orderBy(F.desc(F.round("w", 9)), "ball"))
+    best = sums.withColumn("place", place).where((F.col("place") <= 6) & (F.col("colour") == "red") | (F.col("place") == 1))
+    red, blue = F.col("colour") == "red", F.col("colour") == "blue"
+    return best.groupBy("fold").agg(F.array_sort(F.collect_list(F.when(red, F.col("ball")))).alias("reds"), F.max(F.when(blue, F.col("ball"))).alias("blue"))
+
+
+def evaluated(d: DataFrame, folds: DataFrame, picks: DataFrame) -> DataFrame:
+    """(fold, n, hit rates, shares of draws with 3, 4, 5 and 6 hits, excess over chance)."""
+    p = picks.select("fold", F.col("reds").alias("picked"), F.col("blue").alias("blue_picked"))
+    rows = d.join(F.broadcast(folds.join(p, "fold")), (F.col("idx") >= F.col("val_lo")) & (F.col("idx") < F.col("val_hi")))
+    hits = rows.select("fold", F.size(F.array_intersect("reds", "picked")).alias("h"), (F.col("blue") == F.col("blue_picked")).cast("int").alias("b"))
+    share = lambda k: F.avg((F.col("h") >= k).cast("double")).alias(f"share_{k}")
+    agg = hits.groupBy("fold").agg(F.count("*").alias("n"), F.sum("h").alias("red_hits"), F.sum("b").alias("blue_hits"), F.avg("h").alias("avg_hits"), *[share(k) for k in (3, 4, 5, 6)])
+    return agg.select("*", (F.col("red_hits") / (F.col("n") * PICKED)).alias("red_rate"), (F.col("blue_hits") / F.col("n")).alias("blue_rate"), (F.col("red_hits") - F.col("n") * (PICKED * P_RED)).alias("excess_red"), (F.col("blue_hits") - F.col("n") * P_BLUE).alias("excess_blue"))
+
+
+def summarised(folds: DataFrame) -> DataFrame:
+    """Mean and deviation over folds, ratio to chance, share of folds above it, and a grade."""
+    agg = folds.agg(F.avg("red_rate").alias("red_mean"), F.coalesce(F.stddev_pop("red_rate"), F.lit(0.0)).alias("red_std"), F.avg("blue_rate").alias("blue_mean"), F.avg((F.col("red_rate") > P_RED).cast("double")).alias("consistency"), F.avg("excess_red").alias("excess"), F.coalesce(F.stddev_pop("excess_red"), F.lit(0.0)).alias("excess_std"))
+    ratio = F.col("excess") / F.greatest(F.col("excess_std"), F.lit(0.001))
+    grade = (F.col("excess") > 0).cast("int") + (ratio > 1).cast("int") + (F.col("consistency") > 0.6).cast("int")
+    return agg.select("red_mean", "red_std", "blue_mean", (F.col("red_mean") / P_RED).alias("ratio_to_chance"), "consistency", "excess", ratio.alias("information_ratio"), grade.alias("grade"))
+
+
+def binomial_tail(spark: SparkSession, n: int, p: float) -> DataFrame:
+    """(k, tail): P(X >= k) for k = 0..n, by logarithms, so large n don't overflow."""
+    lf = F.lit(math.lgamma(n + 1))
+    rows = spark.range(0, n + 1).select(F.col("id").alias("k"))
+    logs = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(n + 1)])
+    term = F.exp(lf - F.get(logs, F.col("k").cast("int")) - F.get(logs, (n - F.col("k")).cast("int")) + F.col("k") * math.log(p) + (n - F.col("k")) * math.log(1 - p))
+    own = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)  # n + 1 rows
+    return rows.withColumn("term", term).select("k", F.least(F.sum("term").over(own), F.lit(1.0)).alias("tail"))
+
+
+def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, predicted, actual, n) of columns p and y in bins of equal width; empty: midpoint and 0."""
+    spark = rows.sparkSession
+    own = rows.groupBy(F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.avg("p").alias("predicted"), F.avg("y").alias("actual"), F.count("*").alias("n"))
+    every = spark.range(0, bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(own, "bin", "left").select("bin", F.coalesce("predicted", (F.col("bin") + 0.5) / bins).alias("predicted"), F.coalesce("actual", F.lit(0.0)).alias("actual"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def calibrated(rows: DataFrame, table: DataFrame, bins: int = 10) -> DataFrame:
+    """rows with the actual rate of their bin as `calibrated`."""
+    b = rows.withColumn("bin", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int"))
+    return b.join(F.broadcast(table.select("bin", F.col("actual").alias("calibrated"))), "bin").drop("bin")
+
+
+def calibration_error(table: DataFrame) -> DataFrame:
+    """(ece): mean distance of predicted and actual, weighted by rows; 1 without rows."""
+    return table.agg(F.coalesce(F.try_divide(F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("actual"))), F.sum("n")), F.lit(1.0)).alias("ece"))
+
+
+def disagreement(picks: DataFrame) -> DataFrame:
+    """(red, blue): 1 - |common reds| / |any reds|, and 1 - share of the commonest blue; 0 for one pick."""
+    n = picks.agg(F.count("*").alias("n"))
+    by = picks.select(F.explode("reds").alias("ball")).groupBy("ball").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n))
+    red = by.agg(F.coalesce(F.try_divide(F.count_if(F.col("c") == F.col("n")), F.count("*")), F.lit(1.0)).alias("common"), F.max("n").alias("n"))
+    blue = picks.groupBy("blue").agg(F.count("*").alias("c")).agg(F.max("c").alias("most"))
+    one = red.crossJoin(F.broadcast(blue))
+    return one.select(F.when(F.col("n") <= 1, 0.0).otherwise(1 - F.col("common")).alias("red"), F.when(F.col("n") <= 1, 0.0).otherwise(1 - F.col("most") / F.col("n")).alias("blue"))
+
+
+def member_weights(scores: DataFrame, beta: float = 0.9) -> DataFrame:
+    """(member, weight, recent): weights after w <- beta w + (1 - beta) score from 1, over the array of
+    (idx, score) of each member, oldest first; recent: sum of the last ten scores over ten."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("idx", "score")), asc=False), lambda x: x["score"])
+    rows = scores.groupBy("member").agg(ordered.alias("s"))
+    w = F.aggregate("s", F.lit(1.0), lambda a, x: a * beta + x * (1 - beta))
+    last = F.slice("s", F.greatest(F.size("s") - 9, F.lit(1)), 10)
+    return rows.select("member", w.alias("weight"), (F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / 10.0).alias("recent"))
+
+
+def voted(picks: DataFrame, weights: DataFrame) -> DataFrame:
+    """(ball, votes, place): reds by weight of the members that pick them; the first six are chosen."""
+    v = picks.join(F.broadcast(weights), "member").select("weight", F.explode("reds").alias("ball")).groupBy("ball").agg(F.sum("weight").alias("votes"))
+    return v.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("votes", 9)), "ball")))  # 33 rows at most
+
+
+def softmax(x: str, temperature: float = 1.0, *keys: str) -> Column:
+    w = Window.partitionBy(*keys)
+    e = F.exp((F.col(x) - F.max(x).over(w)) / temperature)
+    return e / F.sum(e).over(w)
+
+
+def entropy_level(df: DataFrame, p: str, *keys: str) -> DataFrame:
+    """(*keys, entropy, level) of probabilities: above 0.8 and 0.5 of ln n."""
+    agg = df.groupBy(*keys).agg((-F.sum(F.col(p) * F.ln(F.greatest(F.col(p), F.lit(1e-10))))).alias("entropy"), F.count("*").alias("n"))
+    share = F.try_divide(F.col("entropy"), F.ln(F.col("n").cast("double")))
+    return agg.select(*keys, "entropy", F.when(share > 0.8, "high").when(share > 0.5, "mid").otherwise("low").alias("level"))
+
+
+def permutation_p(d: DataFrame, idx: int = 0, half_life: int = 50, n_perm: int = 200, seed: int = 1) -> DataFrame:
+    """(p, observed): share of shuffles of the window before idx whose most extreme ball is as extreme.
+
+    Orders come from a hash of (permutation, draw); the window (3 half lives) is repeated per permutation
+    and ranked within it."""
+    part = d.where((F.col("idx") > idx) & (F.col("idx") <= idx + 3 * half_life)).select("idx", "reds", "blue")
+    perms = part.sparkSession.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm"))
+    order = Window.partitionBy("perm").orderBy(F.when(F.col("perm") == 0, F.col("idx")).otherwise(F.xxhash64("idx", "perm", F.lit(seed))), "idx")
+    aged = perms.join(F.broadcast(part)).withColumn("age", F.row_number().over(order) - 1)  # 150 rows
+    w = F.exp(F.col("age") * (-math.log(2) / half_life))
+    marks = F.concat(F.transform("reds", lambda b: F.struct(F.lit(P_RED).alias("p"), b.alias("ball"))), F.array(F.struct(F.lit(P_BLUE).alias("p"), F.col("blue").alias("ball"))))
+    e = F.lit(sum(2 ** (-k / half_life) for k in range(3 * half_life)))
+    sums = aged.select("perm", w.alias("w"), F.explode(marks).alias("m")).groupBy("perm", "m.p", "m.ball").agg(F.sum("w").alias("w"))
+    z = F.abs((F.col("w") / e - F.col("p")) / F.sqrt(F.col("p") * (1 - F.col("p")) / e))
+    most = sums.groupBy("perm").agg(F.max(F.round(z, 9)).alias("z"))
+    seen = most.where("perm = 0").select(F.col("z").alias("observed"))
+    return most.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.avg((F.col("z") >= F.col("observed")).cast("double")).alias("p"), F.max("observed").alias("observed"))

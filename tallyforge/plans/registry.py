@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import row_queries, sequence_queries
+from . import model_queries, row_queries, sequence_queries, stats_queries
 
-MODULES = (row_queries, sequence_queries)
+MODULES = (row_queries, sequence_queries, stats_queries, model_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
