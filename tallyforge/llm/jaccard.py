@@ -7,13 +7,12 @@
    any. Of a text and its edited copies that is the text itself, so a group, however large, is settled
    with a comparison a node. ROUNDS such rounds follow one another, over what is still open.
 4. Links join nodes to components. Only nodes of one bucket but different components can hold links
-   that matter still; those pairs are compared, all of them. A bucket with many such nodes is divided
-   beforehand: similar sets also share a signature under an independent partition, so the bucket's
-   nodes are dealt into smaller ones by those signatures, LEVELS times if need be.
-5. A comparison first looks at parity sketches, an eighth of a text or less, which bound from below in
-   how many elements two sets differ. What they can't exclude is compared exactly, on the shingle sets
-   of the whole texts. No cap applies anywhere: a pair of similar texts is compared or lies in one
-   component already.
+   that matter still. Their join tests, before it gives out a pair, the sizes and a parity of SKETCH
+   bits, whose differences bound from below in how many elements two sets differ: edited copies of one
+   text that are too far apart meet in many buckets, but give no rows.
+5. A comparison then looks at longer sketches, of an eighth of a text or less, and what they can't
+   exclude is compared exactly, on the shingle sets of the whole texts. No cap applies anywhere: a pair
+   of similar texts is compared or lies in one component already.
 
 Links within groups are therefore not listed, but no component misses one.
 """
@@ -33,9 +32,8 @@ from .shared import removed, written
 from .shingles import least_difference, parity_sketch, set_hash, shingle_sets, signatures, similar
 from .texts import slices
 
-#: A bucket with more unsettled nodes is divided by a further family of signatures.
-BUCKET = 1024
-LEVELS = 3
+#: Bits of the parity that the join of a bucket's nodes tests, in 64-bit words.
+SKETCH = 1024
 #: Rounds in which a node is compared with one other.
 ROUNDS = 2
 #: Up to so many ids (8 MB) select texts by a broadcast; more are joined by a shuffle.
@@ -57,9 +55,17 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
+NOTHING = np.zeros(0, np.uint64)
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n_shingles, node, check, signatures, sketch): node and check are 128 bits of the set, 0 if
-    empty; signatures and sketch are there where the task meets a set first."""
+    """(id, n_shingles, node, check, signatures, sketch, parity): node and check are 128 bits of the set,
+    0 if empty; the rest is there where the task meets a set first."""
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -71,9 +77,9 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     own.append(np.zeros(0, np.uint64) if h in seen else signatures(s, percent))
                     if len(seen) < REMEMBERED:
                         seen.add(h)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([h for h, _ in hashes], pa.int64()), pa.array([c for _, c in hashes], pa.int64()), _lists(own), pa.array([parity_sketch(s) if len(g) else None for s, g in zip(sets, own)], pa.binary())], names=["id", "n_shingles", "node", "check", "signatures", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([h for h, _ in hashes], pa.int64()), pa.array([c for _, c in hashes], pa.int64()), _lists(own), pa.array([parity_sketch(s) if len(g) else None for s, g in zip(sets, own)], pa.binary()), _lists([_parity(s) if len(g) else NOTHING for s, g in zip(sets, own)])], names=["id", "n_shingles", "node", "check", "signatures", "sketch", "parity"])
 
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n_shingles long, node long, check long, signatures array<long>, sketch binary")])
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n_shingles long, node long, check long, signatures array<long>, sketch binary, parity array<long>")])
     return docs.mapInArrow(work, schema)
 
 
@@ -122,22 +128,6 @@ def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
     return written(made, "links")
 
 
-def _divided(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, family: int) -> DataFrame:
-    """Buckets (bucket, node, component) dealt into smaller ones by signatures of another family."""
-    members = written(buckets.select("node").distinct().join(nodes, "node").select("id", "node", "check"), "members")
-    texts = _chosen_texts(docs, members.select("id").distinct(), members.count()).join(members, "id")
-
-    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            node, check = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b, sets in _sets(batch.column(2), size):
-                kept = [k for k in range(a, b) if set_hash(sets[k - a]) == (node[k], check[k])]
-                yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in kept], pa.int64()), _lists([signatures(sets[k - a], percent, family) for k in kept])], names=["node", "signatures"])
-
-    signed = texts.select("node", "check", "text").mapInArrow(work, "node long, signatures array<long>").select("node", F.explode("signatures").alias("s"))
-    return buckets.join(signed, "node").select(F.xxhash64("bucket", "s").alias("bucket"), "node", "component").distinct()
-
-
 def _unsettled(buckets: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one component, with the number of nodes of the bucket."""
     sizes = buckets.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
@@ -155,6 +145,20 @@ def _with_leader(buckets: DataFrame) -> DataFrame:
     return best.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
 
 
+def _open_pairs(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of nodes of one bucket and different components that may be similar by their sizes
+    and parities."""
+    words = range(SKETCH // 64)
+    own = nodes.select("node", F.col("n_shingles").cast("int").alias("size"), *[F.coalesce(F.get("parity", F.lit(k)), F.lit(0)).alias(f"w{k}") for k in words])
+    rows = buckets.select("bucket", "node", "component").join(own, "node").repartition("bucket")
+    x, y = (rows.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "size", *[f"w{k}" for k in words])]) for s in "ab")
+    differ = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in words), F.lit(0))
+    total = F.col("size_a") + F.col("size_b")
+    close = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (differ * (100 + percent) <= total * (100 - percent))
+    met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & close)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: shingles of `size` words, links at a Jaccard
     similarity of percent/100 or more, and the least id that can be reached by links.
@@ -167,7 +171,7 @@ def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id"
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = written(_signed(docs, size, percent), "sets")
     docs = docs.where(F.col("id").isNotNull())
-    nodes = written(rows.where("n_shingles > 0 AND id IS NOT NULL").groupBy("node", "check").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.first("sketch", ignorenulls=True).alias("sketch")), "nodes")
+    nodes = written(rows.where("n_shingles > 0 AND id IS NOT NULL").groupBy("node", "check").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"), F.max("parity").alias("parity")), "nodes")
 
     dealt = rows.where("id IS NOT NULL").select("node", F.explode("signatures").alias("bucket"))
     ends = F.expr("min(node) OVER (PARTITION BY bucket)"), F.expr("max(node) OVER (PARTITION BY bucket)")
@@ -183,17 +187,8 @@ def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id"
         now = open_.select("bucket", "node").join(settled, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         open_, before = written(_unsettled(now.distinct()), "open"), open_
         removed(spark, before)
-    pairs = None
-    for family in range(1, LEVELS + 2):
-        small = open_ if family > LEVELS else open_.where(F.col("n") <= BUCKET)
-        x, y = (small.select("bucket", F.col("node").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab")
-        own = x.join(y, "bucket").where("a < b AND c_a <> c_b").select("a", "b")
-        pairs = own if pairs is None else pairs.unionByName(own)
-        large = open_.where(F.col("n") > BUCKET)
-        if family > LEVELS or large.isEmpty():
-            break
-        open_ = written(_unsettled(_divided(large.drop("n"), nodes, docs, size, percent, family)), "divided")
-    more = _compared(pairs.distinct().join(tried, ["a", "b"], "left_anti"), nodes, docs, size, percent)
+    pairs = _open_pairs(open_, nodes, percent)
+    more = _compared(pairs.join(tried, ["a", "b"], "left_anti"), nodes, docs, size, percent)
 
     ids = nodes.select("node", "check", "id")
     names = nodes.select("node", F.col("id"))
