@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 # The fields of a raw record and their columns here.
 FIELDS = {"期号": "issue", "开奖日期": "open_date", "星期": "weekday", "红球": "reds", "蓝球": "blue", "红球顺序": "draw_order", "销售额": "sales", "奖池金额": "jackpot", "一等奖注数": "first_prize_count", "一等奖奖金": "first_prize_money"}
 RAW = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
-API = T.StructType.fromDDL("issue string, openTime string, week string, frontWinningNum string, backWinningNum string, seqFrontWinningNum string, saleMoney string, prizePoolMoney string, winnerDetails array<struct<awardEtc: string, baseBetWinner: struct<awardNum: string, awardMoney: string>>>")
+API = "issue string, openTime string, week string, frontWinningNum string, backWinningNum string, seqFrontWinningNum string, saleMoney string, prizePoolMoney string, winnerDetails array<struct<awardEtc: string, baseBetWinner: struct<awardNum: string, awardMoney: string>>>"
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
