@@ -38,6 +38,8 @@ SKETCH = 1024
 ROUNDS = 2
 #: Up to so many ids (8 MB) select texts by a broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of text whose shingles are made at once; some forty bytes of memory go with each.
+WORK = 300_000
 #: Sets that a task remembers in order not to repeat their signatures.
 REMEMBERED = 500_000
 
@@ -45,7 +47,7 @@ REMEMBERED = 500_000
 def _sets(batch_texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     if pa.types.is_large_string(batch_texts.type):
         batch_texts = batch_texts.cast(pa.string())
-    for a, b in slices(batch_texts):
+    for a, b in slices(batch_texts, WORK):
         yield a, b, shingle_sets(batch_texts.slice(a, b - a), size)
 
 

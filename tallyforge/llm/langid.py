@@ -18,12 +18,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import map_texts
+from .texts import map_texts, slices
 
 DIM = 1 << 15
 ORDERS = 3
 #: Bound of the fitting sample: documents of each language, the least by a hash of the id.
 SAMPLE_PER_LANGUAGE = 600
+WORK = 400_000  # bytes of text whose n-grams are made at once
 SHORT = 60  # characters of the stretch of each sampled text that is fitted beside the whole
 UNDETERMINED = "und"
 SCALE = 100.0
@@ -118,14 +119,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
         total = np.zeros(DIM, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a in range(0, len(texts), 256):
-                features, begins, _ = grams(texts[a : a + 256])
+            for a, b in slices(batch.column(0), WORK):
+                features, begins, _ = grams(batch.column(0).slice(a, b - a).to_pylist())
                 ends = [*begins[1:], len(features[0])]
-                for b, e in zip(begins, ends):
+                for begin, end in zip(begins, ends):
                     seen = np.zeros(DIM + 1, bool)
                     for f in features:
-                        seen[f[b:e]] = True
+                        seen[f[begin:end]] = True
                     total += seen[:DIM]
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["feature", "n"])
@@ -222,7 +222,7 @@ def predict(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
             langs, scores = m.predict(texts) if m else ([UNDETERMINED] * len(texts), [0.0] * len(texts))
             yield {"lang_pred": langs, "score": scores}
 
-    return map_texts(df, id_col, text_col, "lang_pred string, score double", work, keep)
+    return map_texts(df, id_col, text_col, "lang_pred string, score double", work, keep, WORK)
 
 
 def held_out(id_col: str) -> Column:

@@ -30,7 +30,7 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, work: Callable[[Iterator[tuple[list, list]]], Iterator[dict]], keep: tuple[str, ...] = ()) -> DataFrame:
+def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, work: Callable[[Iterator[tuple[list, list]]], Iterator[dict]], keep: tuple[str, ...] = (), most: int = SLICE) -> DataFrame:
     """One row for each row of df: its id and what `work` makes of it.
 
     `work` gets (ids, texts) of slices and yields a dict of columns (lists or arrays) for each one.
@@ -50,7 +50,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, work: Call
                 column = batch.column(1)
                 if pa.types.is_large_string(column.type):
                     column = column.cast(pa.string())
-                for a, b in slices(column):
+                for a, b in slices(column, most):
                     held.append(batch.slice(a, b - a))
                     yield held[-1].column(0).to_pylist(), column.slice(a, b - a).to_pylist()
 
