@@ -64,7 +64,9 @@ def _log(p: float, floor: float) -> float:
 
 
 def _literal(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """An array of numbers in three expressions, which the optimizer folds into one literal; an array of
+    a thousand literals would be walked anew at each of its many uses."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
 def terms(m: Model) -> dict[str, Column]:
