@@ -64,12 +64,12 @@ def judge(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str
     null in any column and null urls fit nothing. Rows stay rows; an empty table is empty; other
     columns are not read.
     """
-    spark = df.sparkSession
     listed = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("action").isNotNull())
     listed = listed.groupBy(F.concat("host", F.lit("\n"), "path").alias("key")).agg(F.max("action").alias("action"))
     sizes = listed.agg(F.count("*").alias("n"), F.collect_set(F.char_length(F.split("key", "\n")[1])).alias("lengths")).first()
     blocks = max(1, min(BLOCKS, sizes["n"] * WORDS_PER_KEY))
-    words = F.array(*[F.lit(w).cast("long") for w in bloom(listed, "key", blocks)]) if blocks <= 64 else None
+    # One text that the optimizer folds into one literal array of BLOCKS words (2 MB) at most.
+    words = F.split(F.lit(",".join(map(str, bloom(listed, "key", blocks)))), ",").cast("array<bigint>")
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = df.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     lengths = F.array(*[F.lit(n) for n in sorted(sizes["lengths"])]).cast("array<int>")
@@ -77,9 +77,6 @@ def judge(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     begins = F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
     keys = F.when(F.col("host") != "", F.flatten(F.transform(suffixes, lambda s: F.transform(begins, lambda p: F.concat(s, F.lit("\n"), p)))))
-    if words is None:
-        filters = spark.createDataFrame([(bloom(listed, "key", blocks),)], "words array<long>")
-        rows, words = rows.join(F.broadcast(filters)), F.col("words")  # one row of BLOCKS words at most
 
     def possible(key: Column) -> Column:
         h = _hash(key)
