@@ -6,6 +6,7 @@ difference of running sums; a shingle's mixes those of its words.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -121,20 +122,39 @@ def bands(percent: int, largest: int = 1 << 40, ratio: float = 1.6) -> tuple[Ban
         hi = max(lo, int(lo * ratio) - 1)
         most = hi * 100 // percent
         apart = (hi + most) * (100 - percent) // (100 + percent)
-        # Some parts are empty; with a few more than `apart`, those that aren't are mostly enough.
-        out.append(Band(len(out), lo, hi, most, apart, apart + 1 + (-(-(apart + 1) * 2 // 25) if apart else 0)))
+        out.append(Band(len(out), lo, hi, most, apart, _parts(lo, apart)))
         lo = hi + 1
     return tuple(out)
 
 
+def _parts(n: int, apart: int) -> int:
+    """Parts of which n elements leave more than `apart` filled: the number that is expected less two
+    standard deviations is enough. Some parts stay empty, so it takes a few more than `apart`."""
+
+    def enough(parts: int) -> bool:
+        empty = math.exp(-n / parts)
+        return parts * (1 - empty) - 2 * math.sqrt(parts * empty * (1 - empty)) >= apart + 1
+
+    if apart == 0:
+        return 1
+    lo, hi = apart + 1, 2 * apart + 2
+    if not enough(hi):  # small sets: further partitions serve the few that this one doesn't
+        return hi
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if enough(mid) else (mid + 1, hi)
+    return lo
+
+
 def signatures(s: np.ndarray, percent: int, family: int = 0) -> np.ndarray:
     """Signatures of a set: for each band that it can have a partner in, the hashes of its elements in
     each part of the domain that holds any.
 
     Of two similar sets at most `apart` parts differ. If more than `apart` parts of one of them hold
     elements, one such part is equal in both and gives both the same signature. A set for which that
-    fails under a partition also gets the signatures of the next partition, and so on until it holds:
-    two similar sets therefore share one under the first partition that suffices for either.
+    fails under a partition also gets the signatures of the next partition, and so on until it holds
+    (every fourth has twice the parts, so it ends): two similar sets therefore share one under the first
+    partition that suffices for either.
     `family` chooses independent partitions.
     """
     n, out = len(s), []
@@ -151,7 +171,8 @@ def signatures(s: np.ndarray, percent: int, family: int = 0) -> np.ndarray:
             own = salted.get(seed)
             if own is None:
                 own = salted[seed] = s if seed == 0 else np.sort(mix(s + U(0xA0761D6478BD642F * (seed + 1) & (2**64 - 1))))
-            part = (own >> U(32)) * U(band.parts) >> U(32)
+            parts = min(band.parts << (seed % 1000 // 4), 1 << 31)
+            part = (own >> U(32)) * U(parts) >> U(32)
             begins = np.flatnonzero(part[1:] != part[:-1]) + 1
             begins = np.concatenate([np.zeros(1, np.int64), begins])
             sums = np.add.reduceat(mix(own ^ U(0x5851F42D4C957F2D)), begins)
