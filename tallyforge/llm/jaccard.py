@@ -67,7 +67,7 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, n_shingles, node, check, signatures, sketch, parity): node and check are 128 bits of the set,
-    0 if empty; the rest is there where the task meets a set first."""
+    0 if empty; the rest is there where the task meets a set first in a row with an id."""
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -75,9 +75,9 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for a, b, sets in _sets(batch.column(1), size):
                 hashes = [set_hash(s) if len(s) else (0, 0) for s in sets]
                 own = []
-                for s, (h, _) in zip(sets, hashes):
-                    own.append(np.zeros(0, np.uint64) if h in seen else signatures(s, percent))
-                    if len(seen) < REMEMBERED:
+                for s, (h, _), known in zip(sets, hashes, batch.column(0).slice(a, b - a).is_valid().to_pylist()):
+                    own.append(signatures(s, percent) if known and h not in seen else NOTHING)
+                    if known and len(seen) < REMEMBERED:
                         seen.add(h)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([h for h, _ in hashes], pa.int64()), pa.array([c for _, c in hashes], pa.int64()), _lists(own), pa.array([parity_sketch(s) if len(g) else None for s, g in zip(sets, own)], pa.binary()), _lists([_parity(s) if len(g) else NOTHING for s, g in zip(sets, own)])], names=["id", "n_shingles", "node", "check", "signatures", "sketch", "parity"])
 

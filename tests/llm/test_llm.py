@@ -198,6 +198,14 @@ def test_join_of_ids_that_repeat_or_lack(spark):
     assert got == [(0, 0), (3, 3), (5, 3), (5, 3), (9, 3)]
 
 
+def test_row_without_id_ahead_of_a_text_and_its_near_copy(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (3, text), (7, text + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(df).collect()} == {None: None, 3: 3, 7: 3}
+    assert {r["doc_id"] for r in jaccard.one_of_each(df).collect()} == {None, 3}
+
+
 # Quality
 
 
