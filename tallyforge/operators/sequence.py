@@ -170,6 +170,28 @@ def hotness(d: DataFrame, at: Column, half_life: int = 50, least: float = 10) ->
     return pool.join(sums, ["idx", "colour", "ball"], "left").select("idx", "colour", "ball", z.alias("z"))
 
 
+def hotness_of_all(d: DataFrame, half_life: int = 50, least: float = 10) -> DataFrame:
+    """hotness of every draw, from running sums of each ball within a block: weights count from the
+    block's newest draw (2 to the power of -25 at the least), and a window is the sum down to the draw
+    before less the sum down to the draw that has just left it."""
+    reach = 3 * half_life
+    h, size = haloed(d.select("idx", "reds", "blue"), reach)
+    red = F.transform(F.sequence(F.lit(1), F.lit(REDS)), lambda b: F.struct(F.lit("red").alias("colour"), b.alias("ball"), F.array_contains("reds", b).alias("hit")))
+    blue = F.transform(F.sequence(F.lit(1), F.lit(BLUES)), lambda b: F.struct(F.lit("blue").alias("colour"), b.alias("ball"), (F.col("blue") == b).alias("hit")))
+    g = h.select("idx", "block", F.explode(F.concat(red, blue)).alias("m")).select("idx", "block", "m.*")
+    from_old = Window.partitionBy("block", "colour", "ball").orderBy(F.desc("idx"))
+    rate, age = math.log(2) / half_life, F.col("idx") - F.col("block") * size
+    total = F.sum(F.when(F.col("hit"), F.exp(age * -rate)).otherwise(0.0)).over(from_old.rowsBetween(Window.unboundedPreceding, 0))
+    sums = g.withColumns({"total": total, "older": F.row_number().over(from_old) - 1})
+    w = F.lag("total", 1, 0.0).over(from_old) - F.lag("total", reach + 1, 0.0).over(from_old)
+    own = own_rows(sums.withColumn("w", w * F.exp((age + 1) * rate)), size)
+    n = F.least("older", F.lit(reach))
+    effective = (1 - F.exp(n * -rate)) / (1 - math.exp(-rate))
+    p = F.when(F.col("colour") == "red", PICKED / REDS).otherwise(1.0 / BLUES)
+    z = (F.col("w") / F.col("effective") - p) / F.sqrt(p * (1 - p) / F.col("effective"))
+    return own.withColumn("effective", effective).where((n >= least) & (F.col("effective") >= least)).select("idx", "colour", "ball", z.alias("z"))
+
+
 def hot_cold(z: DataFrame, hot: float = 2.0, cold: float = -1.5) -> DataFrame:
     """z with its class."""
     s = F.round("z", 9)  # so that the last bits of a sum decide nothing

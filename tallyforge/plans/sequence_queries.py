@@ -52,7 +52,7 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hotness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sq.hotness(draws(spark, sf_dir), F.col("idx") % 50 == 0))
+    return rounded(sq.hotness_of_all(draws(spark, sf_dir)))
 
 
 def hot_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
