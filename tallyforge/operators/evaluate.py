@@ -139,7 +139,7 @@ def entropy_level(df: DataFrame, p: str, *keys: str) -> DataFrame:
     return agg.select(*keys, "entropy", F.when(share > 0.8, "high").when(share > 0.5, "mid").otherwise("low").alias("level"))
 
 
-def permutation_p(d: DataFrame, idx: int = 0, half_life: int = 50, n_perm: int = 200, seed: int = 1) -> DataFrame:
+def permutation_p(d: DataFrame, idx: int = 0, half_life: int = 50, n_perm: int = 1000, seed: int = 1) -> DataFrame:
     """(p, observed): share of shuffles of the window before idx whose most extreme ball is as extreme.
 
     Orders come from a hash of (permutation, draw); the window (3 half lives) is repeated per permutation

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluate
@@ -97,8 +97,6 @@ def frequency(half_life: float = 0) -> Strategy:
 def permutation_test(draws: DataFrame, picks: DataFrame, folds: DataFrame, n_perm: int = 200, seed: int = 1) -> DataFrame:
     """(p, observed): share of shuffles of the sequence under which fixed picks hit as often or more in
     the folds' draws. Orders come from a hash of (permutation, draw), ranked within the permutation."""
-    from pyspark.sql import Window
-
     perms = draws.sparkSession.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm"))
     order = Window.partitionBy("perm").orderBy(F.when(F.col("perm") == 0, F.col("idx")).otherwise(F.xxhash64("idx", "perm", F.lit(seed))), "idx")
     shuffled = draws.select("idx", "reds").join(F.broadcast(perms)).withColumn("idx", F.row_number().over(order) - 1)
@@ -106,3 +104,36 @@ def permutation_test(draws: DataFrame, picks: DataFrame, folds: DataFrame, n_per
     hits = shuffled.join(F.broadcast(folds.join(p, "fold")), (F.col("idx") >= F.col("val_lo")) & (F.col("idx") < F.col("val_hi"))).groupBy("perm").agg(F.avg(F.size(F.array_intersect("reds", "picked"))).alias("h"))
     seen = hits.where("perm = 0").select(F.col("h").alias("observed"))
     return hits.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.avg((F.col("h") >= F.col("observed")).cast("double")).alias("p"), F.max("observed").alias("observed"))
+
+
+def shuffled(draws: DataFrame, n_perm: int, seed: int = 1) -> DataFrame:
+    """(perm, place, idx): the sequence itself as perm 0 and n_perm shuffles of it, newest place 0."""
+    perms = draws.sparkSession.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm"))
+    order = Window.partitionBy("perm").orderBy(F.when(F.col("perm") == 0, F.col("idx")).otherwise(F.xxhash64("idx", "perm", F.lit(seed))), "idx")
+    return draws.select("idx").join(F.broadcast(perms)).select("perm", (F.row_number().over(order) - 1).alias("place"), "idx")
+
+
+def refitted_permutation_test(draws: DataFrame, n_folds: int = 4, n_perm: int = 500, seed: int = 1, train_ratio: float = 0.85) -> DataFrame:
+    """(p, observed): share of shuffles of the sequence whose walk-forward evaluation, with the most
+    frequent reds picked anew from each fold's own training draws, hits as often or more; p is 1
+    without folds.
+
+    Folds are of one size, validate the newest places and train on all older ones. So training counts
+    are the history's counts less those of the newest places, and only these are counted by shuffle."""
+    folds = evaluate.walk_forward(draws.count(), n_folds, train_ratio)
+    spark = draws.sparkSession
+    if not folds:
+        return spark.createDataFrame([(1.0, None)], "p double, observed double")
+    val = folds[0][2]
+    newest = shuffled(draws, n_perm, seed).where(F.col("place") < val * len(folds)).join(draws.select("idx", "reds"), "idx")
+    counts = newest.select("perm", F.floor(F.col("place") / val).cast("int").alias("fold"), F.explode("reds").alias("ball")).groupBy("perm", "fold", "ball").agg(F.count("*").alias("c"))
+    history = draws.select(F.explode("reds").alias("ball")).groupBy("ball").agg(F.count("*").alias("n"))
+    cells = spark.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm")).crossJoin(F.broadcast(evaluate.fold_table(spark, folds).select("fold"))).crossJoin(F.broadcast(history))
+    every = cells.join(counts, ["perm", "fold", "ball"], "left").select("perm", "fold", "ball", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    trained = F.col("n") - F.sum("c").over(Window.partitionBy("perm", "ball").orderBy("fold"))
+    place = F.row_number().over(Window.partitionBy("perm", "fold").orderBy(F.desc("trained"), "ball"))
+    picked = every.withColumn("trained", trained).withColumn("place", place).where("place <= 6 AND trained > 0")
+    hits = picked.groupBy("perm").agg(F.sum("c").alias("h"))
+    seen = hits.where("perm = 0").select(F.col("h").alias("observed"))
+    agg = hits.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.avg((F.col("h") >= F.col("observed")).cast("double")).alias("p"), F.max("observed").alias("observed"))
+    return agg.select("p", (F.col("observed") / (val * len(folds))).alias("observed"))

@@ -53,9 +53,7 @@ def association_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = draws(spark, sf_dir).cache()
-    folds = evaluate.fold_table(spark, evaluate.walk_forward(d.count(), 1))
-    return rounded(strategies.permutation_test(d, evaluate.frequency_picks(d, folds), folds, 100))
+    return rounded(strategies.refitted_permutation_test(draws(spark, sf_dir).cache()))
 
 
 def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:

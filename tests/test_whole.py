@@ -1,12 +1,15 @@
 """Queries over the whole table: against DuckDB or brute force, without a cap on draws."""
 
+import math
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.plans import registry, sequence_queries
-from tallyforge.sources.draws import SQL_DRAWS
+from tallyforge.sources.draws import SQL_DRAWS, draws
 
 SF = "/root/testdata/sf0.01"
 
@@ -39,3 +42,46 @@ def test_hotness_of_every_draw(spark, duck):
     z = sequence_queries._Z.format(picked="SELECT idx FROM draws")
     rows = same(spark, duck, "T12_hotness", z + "SELECT idx, colour, ball, z FROM z")
     assert rows > 0.99 * n * 49
+
+
+def orders(rows, n_perm: int) -> dict[int, list]:
+    """The rows as they are (0) and in the orders of n_perm shuffles."""
+    keys = rows.crossJoin(rows.sparkSession.range(1, n_perm + 1).select(F.col("id").cast("int").alias("perm"))).select("perm", "idx", F.xxhash64("idx", "perm", F.lit(1)).alias("key"))
+    by = {r["idx"]: (r["reds"], r["blue"]) for r in rows.collect()}
+    found = defaultdict(list)
+    for r in keys.collect():
+        found[r["perm"]].append((r["key"], r["idx"]))
+    return {0: [by[k] for k in sorted(by)]} | {p: [by[i] for _, i in sorted(x)] for p, x in found.items()}
+
+
+def test_permutations_are_refitted_by_fold(spark, sf):
+    def hits(seq) -> int:
+        val, n = int(len(seq) * (1 - 0.85) / 4), 0
+        for k in range(4):
+            c = Counter(b for reds, _ in seq[(k + 1) * val :] for b in reds)
+            best = set(sorted(c, key=lambda b: (-c[b], b))[:6])
+            n += sum(len(best & set(reds)) for reds, _ in seq[k * val : (k + 1) * val])
+        return n
+
+    rows = draws(spark, sf).select("idx", "reds", "blue").cache()
+    h = {p: hits(seq) for p, seq in orders(rows, 500).items()}
+    got = registry.QUERIES["V8_permutation_test"](spark, sf).first()
+    assert got["p"] == sum(h[p] >= h[0] for p in range(1, 501)) / 500
+    assert got["observed"] == pytest.approx(h[0] / (4 * int(rows.count() * (1 - 0.85) / 4)), abs=1e-6)
+
+
+def test_hotness_is_held_against_a_thousand_shuffles(spark, sf):
+    def extreme(seq) -> float:
+        w = [math.exp(-math.log(2) * k / 50) for k in range(len(seq))]
+        e, most = sum(w), 0.0
+        for balls, p, has in ((range(1, 34), 6 / 33, lambda x, b: b in x[0]), (range(1, 17), 1 / 16, lambda x, b: b == x[1])):
+            for b in balls:
+                s = sum(v for v, x in zip(w, seq) if has(x, b))
+                most = max(most, abs((s / e - p) / math.sqrt(p * (1 - p) / e)))
+        return round(most, 9)
+
+    rows = draws(spark, sf).where("idx BETWEEN 1 AND 150").select("idx", "reds", "blue").cache()
+    z = {p: extreme(seq) for p, seq in orders(rows, 1000).items()}
+    got = registry.QUERIES["V9_permutation_hotness"](spark, sf).first()
+    assert got["p"] == sum(z[p] >= z[0] for p in range(1, 1001)) / 1000
+    assert got["observed"] == pytest.approx(z[0], abs=1e-6)
