@@ -180,13 +180,13 @@ def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combination_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3: log10 of the product of the balls' shares (floored at 1e-10) of each of the newest 100 draws."""
+    """M3: log10 of the product of the balls' shares (floored at 1e-10) of every draw."""
     d = draws(spark, sf_dir)
     f = stats.frequencies(d)
     tot = f.groupBy("colour").agg(F.sum("weight").alias("t"))
     p = f.join(F.broadcast(tot), "colour").select("colour", "ball", F.log10(F.greatest(F.col("weight") / F.col("t"), F.lit(1e-10))).alias("l"))
     marks = F.concat(F.transform("reds", lambda b: F.struct(F.lit("red").alias("colour"), b.alias("ball"))), F.array(F.struct(F.lit("blue").alias("colour"), F.col("blue").alias("ball"))))
-    rows = d.where("idx < 100").select("idx", F.explode(marks).alias("m")).select("idx", "m.*").join(F.broadcast(p), ["colour", "ball"])
+    rows = d.select("idx", F.explode(marks).alias("m")).select("idx", "m.*").join(F.broadcast(p), ["colour", "ball"])
     return rounded(rows.groupBy("idx").agg(F.sum("l").alias("log10_p")))
 
 

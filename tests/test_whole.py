@@ -85,3 +85,10 @@ def test_hotness_is_held_against_a_thousand_shuffles(spark, sf):
     got = registry.QUERIES["V9_permutation_hotness"](spark, sf).first()
     assert got["p"] == sum(z[p] >= z[0] for p in range(1, 1001)) / 1000
     assert got["observed"] == pytest.approx(z[0], abs=1e-6)
+
+
+def test_probability_of_every_draw(spark, duck):
+    sql = """, f AS (SELECT 'red' AS colour, ball, count(*)::DOUBLE AS c FROM balls GROUP BY ball UNION ALL SELECT 'blue', blue, count(*) FROM draws GROUP BY blue),
+    l AS (SELECT colour, ball, log10(c / sum(c) OVER (PARTITION BY colour)) AS l FROM f)
+    SELECT idx, sum(l) AS log10_p FROM (SELECT idx, 'red' AS colour, ball FROM balls UNION ALL SELECT idx, 'blue', blue FROM draws) JOIN l USING (colour, ball) GROUP BY idx"""
+    assert same(spark, duck, "M3_combination_probability", sql) == duck.sql(SQL_DRAWS + "SELECT n FROM n_draws").fetchall()[0][0]
