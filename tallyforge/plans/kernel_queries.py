@@ -22,10 +22,12 @@ def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N1 as a relation: the product of the first 50 embeddings (as rows) with the next 8 (as columns)."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 58").select("vec_id", F.posexplode("embedding").alias("k", "x"))
-    a, b = e.where("vec_id < 50").toDF("i", "k", "x"), e.where("vec_id >= 50").toDF("j", "k", "y")
-    return rounded(a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("value")))
+    """N1 as a relation: the product of all embeddings (as rows) with a fixed matrix of 8 columns, whose
+    element (k, j) is ((7 k + 11 j) mod 13 - 6) / 6."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("i"), v.alias("v"), F.explode(F.array(*map(F.lit, range(8)))).alias("j"))
+    column = F.transform("v", lambda _, k: ((k * 7 + F.col("j") * 11) % 13 - 6) / 6.0)
+    return rounded(e.select("i", "j", neural.dot(F.col("v"), column).alias("value")))
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,8 @@ def test_probability_of_every_draw(spark, duck):
     l AS (SELECT colour, ball, log10(c / sum(c) OVER (PARTITION BY colour)) AS l FROM f)
     SELECT idx, sum(l) AS log10_p FROM (SELECT idx, 'red' AS colour, ball FROM balls UNION ALL SELECT idx, 'blue', blue FROM draws) JOIN l USING (colour, ball) GROUP BY idx"""
     assert same(spark, duck, "M3_combination_probability", sql) == duck.sql(SQL_DRAWS + "SELECT n FROM n_draws").fetchall()[0][0]
+
+
+def test_matrix_product_of_every_embedding(spark, duck):
+    sql = """SELECT i, j, sum(x * ((7 * k + 11 * j) % 13 - 6) / 6.0::DOUBLE) AS value FROM (SELECT vec_id AS i, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), (SELECT j::INT AS j FROM range(8) t(j)) GROUP BY i, j"""
+    assert same(spark, duck, "N1_matrix_product", sql) == 8 * duck.sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
