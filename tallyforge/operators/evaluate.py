@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.draws import BLUES, PICKED, REDS, weight
+from ..sources.draws import BLOCK, BLUES, PICKED, REDS, weight
 
 P_RED, P_BLUE = PICKED / REDS, 1 / BLUES
 #: Chance of three hits or more of six, exactly (hypergeometric).
@@ -111,12 +111,19 @@ def disagreement(picks: DataFrame) -> DataFrame:
 
 
 def member_weights(scores: DataFrame, beta: float = 0.9) -> DataFrame:
-    """(member, weight, recent): weights after w <- beta w + (1 - beta) score from 1, over the array of
-    (idx, score) of each member, oldest first; recent: sum of the last ten scores over ten."""
+    """(member, weight, recent): weights after w <- beta w + (1 - beta) score from 1, over the scores of
+    each member, oldest (largest idx) first; recent: sum of the last ten scores over ten.
+
+    Scores are folded within blocks of idx; then each member folds its blocks."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("idx", "score")), asc=False), lambda x: x["score"])
-    rows = scores.groupBy("member").agg(ordered.alias("s"))
-    w = F.aggregate("s", F.lit(1.0), lambda a, x: a * beta + x * (1 - beta))
-    last = F.slice("s", F.greatest(F.size("s") - 9, F.lit(1)), 10)
+    blocks = scores.groupBy("member", F.floor(F.col("idx") / BLOCK).alias("block")).agg(ordered.alias("s"))
+    folded = F.aggregate("s", F.lit(0.0), lambda a, x: a * beta + x * (1 - beta))
+    parts = blocks.select("member", "block", folded.alias("w"), F.pow(F.lit(beta), F.size("s")).alias("left"), F.slice("s", F.greatest(F.size("s") - 9, F.lit(1)), 10).alias("last"))
+    rows = parts.groupBy("member").agg(F.sort_array(F.collect_list(F.struct("block", "w", "left", "last")), asc=False).alias("b"))
+    w = F.aggregate("b", F.lit(1.0), lambda a, x: a * x["left"] + x["w"])
+    newest = F.aggregate("b", F.array().cast("array<double>"), lambda a, x: F.slice(F.concat(a, x["last"]), F.greatest(F.size(a) + F.size(x["last"]) - 9, F.lit(1)), 10))
+    rows = rows.withColumn("last", newest)
+    last = F.col("last")
     return rows.select("member", w.alias("weight"), (F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / 10.0).alias("recent"))
 
 

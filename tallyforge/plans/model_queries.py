@@ -47,15 +47,16 @@ def marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(en.marginal_share(draws(spark, sf_dir).where("idx < 500").select("reds")))
+    return rounded(en.marginal_share(draws(spark, sf_dir).select("reds")))
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty commonest pairs of lowest red and blue, with their share."""
-    d = draws(spark, sf_dir).select(F.get("reds", F.lit(0)).alias("r1"), "blue")
+    """The twenty commonest combinations of six reds and blue, with their share."""
+    keys = [*[f"r{k}" for k in range(1, 7)], "blue"]
+    d = draws(spark, sf_dir).select(*[F.get("reds", F.lit(k)).alias(f"r{k + 1}") for k in range(6)], "blue")
     n = d.agg(F.count("*").alias("n"))
-    top = d.groupBy("r1", "blue").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "r1", "blue").limit(20)
-    return rounded(top.crossJoin(F.broadcast(n)).select("r1", "blue", "count", (F.col("count") / F.col("n")).alias("share")))
+    top = d.groupBy(*keys).agg(F.count("*").alias("count")).orderBy(F.desc("count"), *keys).limit(20)
+    return rounded(top.crossJoin(F.broadcast(n)).select(*keys, "count", (F.col("count") / F.col("n")).alias("share")))
 
 
 def _n(spark: SparkSession, sf_dir: str) -> int:
@@ -151,11 +152,11 @@ def disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _member_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of members 0..2 over the newest 60 draws: member m picks the draw m + 1 before."""
-    d = draws(spark, sf_dir).where("idx < 70").select("idx", "reds", "blue")
+    """Scores of members 0..2 over all draws with an earlier one to pick: member m picks the draw m + 1 before."""
+    d = draws(spark, sf_dir).select("idx", "reds", "blue")
     m = d.sparkSession.range(0, 3).select(F.col("id").cast("int").alias("member"))
     p = d.select((F.col("idx")).alias("j"), F.col("reds").alias("picked"), F.col("blue").alias("blue_picked"))
-    rows = d.where("idx < 60").crossJoin(F.broadcast(m)).join(p, F.expr("j = idx + member + 1"))
+    rows = d.crossJoin(F.broadcast(m)).join(p, F.expr("j = idx + member + 1"))
     return rows.select("member", "idx", (F.size(F.array_intersect("reds", "picked")) / 6.0 * 0.7 + (F.col("blue") == F.col("blue_picked")).cast("int") * 0.3).alias("score"))
 
 

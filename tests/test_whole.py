@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import evaluate
 from tallyforge.plans import registry, sequence_queries
 from tallyforge.sources.draws import SQL_DRAWS, draws
 
@@ -97,3 +98,32 @@ def test_probability_of_every_draw(spark, duck):
 def test_matrix_product_of_every_embedding(spark, duck):
     sql = """SELECT i, j, sum(x * ((7 * k + 11 * j) % 13 - 6) / 6.0::DOUBLE) AS value FROM (SELECT vec_id AS i, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), (SELECT j::INT AS j FROM range(8) t(j)) GROUP BY i, j"""
     assert same(spark, duck, "N1_matrix_product", sql) == 8 * duck.sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
+
+
+MEMBERS = """, sc AS (SELECT m::INT AS member, d.idx, len(list_intersect(d.reds, e.reds)) / 6.0::DOUBLE * 0.7 + (d.blue = e.blue)::INT * 0.3 AS score FROM draws d, range(3) t(m), draws e WHERE e.idx = d.idx + m + 1),
+mw AS (SELECT member, pow(0.9::DOUBLE, count(*)) + sum(0.1::DOUBLE * score * pow(0.9::DOUBLE, idx)) AS weight, sum(score) FILTER (idx < 10) / 10 AS recent FROM sc GROUP BY member)
+"""
+
+
+def test_share_over_every_draw(spark, duck):
+    same(spark, duck, "A22_marginal_share", "SELECT ball, count(*) / any_value(n)::DOUBLE AS p FROM balls, n_draws GROUP BY ball")
+
+
+def test_combinations_are_of_all_balls(spark, duck):
+    reds = ", ".join(f"reds[{k}] AS r{k}" for k in range(1, 7))
+    same(spark, duck, "A21_rank_by_frequency", f"SELECT {reds}, blue, count(*) AS count, count(*) / any_value(n)::DOUBLE AS share FROM draws, n_draws GROUP BY reds, blue ORDER BY 8 DESC, 1, 2, 3, 4, 5, 6, 7 LIMIT 20")
+
+
+def test_members_are_weighed_over_every_draw(spark, duck):
+    same(spark, duck, "G8_member_weights", MEMBERS + "SELECT * FROM mw")
+    same(spark, duck, "G7_vote", MEMBERS + "SELECT ball, sum(weight) AS votes, (row_number() OVER (ORDER BY round(sum(weight), 9) DESC, ball))::INT AS place FROM balls JOIN mw ON member = idx WHERE idx < 3 GROUP BY ball")
+
+
+def test_members_fold_over_blocks(spark):
+    scores = [(m, k * 3, ((m + 1) * k * 7 % 11) / 10) for m in range(2) for k in range(3 - 2 * m, 2900)]
+    got = {r["member"]: r for r in evaluate.member_weights(spark.createDataFrame(scores, "member int, idx long, score double")).collect()}
+    for m in range(2):
+        own, w = [s for _, _, s in sorted((x for x in scores if x[0] == m), reverse=True)], 1.0
+        for s in own:
+            w = 0.9 * w + 0.1 * s
+        assert got[m]["weight"] == pytest.approx(w) and got[m]["recent"] == pytest.approx(sum(own[-10:]) / 10)
