@@ -1,20 +1,25 @@
 """N-gram Jaccard join by PartEnum signatures: links of similar texts, as components.
 
-1. Every text becomes a set of word shingles and the signatures of that set (`shingles`). Equal sets are
-   one node; a task that meets a set again does not repeat its signatures.
-2. Nodes of one signature form a bucket. Buckets of one node are dropped where they are met.
+1. Every text becomes a set of word shingles (`shingles`). Equal sets are one node.
+2. Each node's set gets PartEnum signatures. Nodes of one signature form a bucket; buckets of one node
+   are dropped where they are met. A task brings its signatures together a chunk at a time and sends
+   one row for each bucket of a chunk; the other rows of such a bucket are known to be shared and are
+   dealt by node. So a bucket that holds a third of all nodes still sends few rows to one task.
 3. Each node is first compared with one other of its buckets: the one that shares most buckets with
    any. Of a text and its edited copies that is the text itself, so a group, however large, is settled
    with a comparison a node. ROUNDS such rounds follow one another, over what is still open.
 4. Links join nodes to components. Only nodes of one bucket but different components can hold links
    that matter still. Their join tests, before it gives out a pair, the sizes and a parity of SKETCH
    bits, whose differences bound from below in how many elements two sets differ: edited copies of one
-   text that are too far apart meet in many buckets, but give no rows.
-5. A comparison then looks at longer sketches, of an eighth of a text or less, and what they can't
-   exclude is compared exactly, on the shingle sets of the whole texts. No cap applies anywhere: a pair
-   of similar texts is compared or lies in one component already.
-
-Links within groups are therefore not listed, but no component misses one.
+   text that are too far apart meet in many buckets, but give no rows. Buckets of more than DEALT
+   nodes are dealt to several tasks by salt.
+5. A comparison then looks at longer sketches, of an eighth of a text or less, then at the two sets of
+   hashes, and a link counts only if the words of the two whole texts themselves confirm it. No cap
+   applies anywhere: a pair of similar texts is compared or lies in one component already.
+
+Shingles are 64-bit hashes of keyed word hashes and equal sets are told by 128 bits, so n_shingles and
+the equality of nodes rest on hashes of random bits; links between different sets do not.
+Links within groups are not listed, but no component misses one.
 """
 
 from __future__ import annotations
@@ -28,20 +33,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import removed, written
-from .shingles import least_difference, parity_sketch, set_hash, shingle_sets, signatures, similar
+from .shared import removed, scratch, written
+from .shingles import least_difference, parity_sketch, set_hash, shingle_sets, signatures, similar, similar_texts
 from .texts import slices
 
 #: Bits of the parity that the join of a bucket's nodes tests, in 64-bit words.
 SKETCH = 1024
 #: Rounds in which a node is compared with one other.
 ROUNDS = 2
-#: Up to so many ids (8 MB) select texts by a broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Open nodes of a bucket that one task joins with the bucket's others.
+DEALT = 2_000
 #: Bytes of text whose shingles are made at once; some forty bytes of memory go with each.
 WORK = 300_000
-#: Sets that a task remembers in order not to repeat their signatures.
+#: Sets that a task remembers in order not to repeat their sketches and signatures.
 REMEMBERED = 500_000
+#: Signatures that a task brings together before it sends them.
+CHUNK = 1_000_000
 
 
 def _sets(batch_texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -65,33 +72,85 @@ def _parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n_shingles, node, check, signatures, sketch, parity): node and check are 128 bits of the set,
-    0 if empty; the rest is there where the task meets a set first in a row with an id."""
+class _Met:
+    """Sets that a task has met in rows with an id, by their 128 bits."""
+
+    def __init__(self) -> None:
+        self.seen: set[tuple[int, int]] = set()
+
+    def first(self, key: tuple[int, int]) -> bool:
+        if key in self.seen:
+            return False
+        if len(self.seen) < REMEMBERED:
+            self.seen.add(key)
+        return True
+
+
+def _described(docs: DataFrame, size: int) -> DataFrame:
+    """(id, n_shingles, node, check, sketch, parity): node and check are 128 bits of the set, 0 if empty;
+    the sketches are there where the task meets a set first in a row with an id."""
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        met = _Met()
         for batch in rows:
             for a, b, sets in _sets(batch.column(1), size):
+                ids = batch.column(0).slice(a, b - a)
                 hashes = [set_hash(s) if len(s) else (0, 0) for s in sets]
-                own = []
-                for s, (h, _), known in zip(sets, hashes, batch.column(0).slice(a, b - a).is_valid().to_pylist()):
-                    own.append(signatures(s, percent) if known and h not in seen else NOTHING)
-                    if known and len(seen) < REMEMBERED:
-                        seen.add(h)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([h for h, _ in hashes], pa.int64()), pa.array([c for _, c in hashes], pa.int64()), _lists(own), pa.array([parity_sketch(s) if len(g) else None for s, g in zip(sets, own)], pa.binary()), _lists([_parity(s) if len(g) else NOTHING for s, g in zip(sets, own)])], names=["id", "n_shingles", "node", "check", "signatures", "sketch", "parity"])
-
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n_shingles long, node long, check long, signatures array<long>, sketch binary, parity array<long>")])
+                fresh = [known and len(s) > 0 and met.first(h) for s, h, known in zip(sets, hashes, ids.is_valid().to_pylist())]
+                columns = [ids, pa.array([len(s) for s in sets], pa.int64()), *[pa.array([h[k] for h in hashes], pa.int64()) for k in range(2)]]
+                columns += [pa.array([parity_sketch(s) if own else None for s, own in zip(sets, fresh)], pa.binary()), _lists([_parity(s) if own else NOTHING for s, own in zip(sets, fresh)])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "node", "check", "sketch", "parity"])
+
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n_shingles long, node long, check long, sketch binary, parity array<long>")])
     return docs.mapInArrow(work, schema)
 
 
-def _chosen_texts(docs: DataFrame, ids: DataFrame, many: int) -> DataFrame:
-    """Texts of the ids. The ids are broadcast only if they are few enough."""
-    return docs.join(F.broadcast(ids) if many <= BROADCAST_IDS else ids, "id", "left_semi")
+def _dealt(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(bucket, node, sure) of all signatures of texts with an id. Of the nodes that a chunk finds in one
+    bucket each has a row that is `sure` (its bucket is shared); one row more stands for them all."""
+
+    def chunk(buckets: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, node = np.concatenate(buckets).view(np.int64), np.concatenate(nodes)
+        order = np.lexsort((node, bucket))
+        bucket, node = bucket[order], node[order]
+        fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))
+        bucket, node = bucket[fresh], node[fresh]
+        begins = np.append(True, bucket[1:] != bucket[:-1])
+        many = np.diff(np.append(np.flatnonzero(begins), len(bucket)))
+        sure = np.repeat(many > 1, many)
+        stand = begins & sure
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([bucket, bucket[stand]])), pa.array(np.concatenate([node, node[stand]])), pa.array(np.concatenate([sure, np.zeros(int(stand.sum()), bool)]))], names=["bucket", "node", "sure"])
+
+    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
+        buckets: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        held = 0
+        for batch in rows:
+            for _, _, sets in _sets(batch.column(0), size):
+                for s in sets:
+                    if len(s) and met.first(h := set_hash(s)) and len(own := signatures(s, percent)):
+                        buckets.append(own)
+                        nodes.append(np.full(len(own), h[0], np.int64))
+                        held += len(own)
+                if held >= CHUNK:
+                    yield chunk(buckets, nodes)
+                    buckets, nodes, held = [], [], 0
+        if held:
+            yield chunk(buckets, nodes)
+
+    return docs.where(F.col("id").isNotNull()).select("text").mapInArrow(work, "bucket long, node long, sure boolean")
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """(bucket, node, component) of buckets that hold more than one node."""
+    group = "PARTITION BY bucket, CASE WHEN sure THEN node END"
+    rows = dealt.select("bucket", "node", "sure", F.expr(f"min(node) OVER ({group})").alias("lo"), F.expr(f"max(node) OVER ({group})").alias("hi"))
+    return rows.where("sure OR lo <> hi").select("bucket", "node", F.col("node").alias("component"))
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes, the links, exactly: by the shingle sets of the two whole texts."""
+    """Of pairs (a, b) of nodes, the links, exactly: by the words of the two whole texts."""
     names = ["a", "b", "check_a", "check_b", "id_a", "id_b"]
     ends = [nodes.select(F.col("node").alias(s), F.col("check").alias(f"check_{s}"), F.col("id").alias(f"id_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"]
     few = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
@@ -105,8 +164,9 @@ def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
 
     few = few.select(*names, "n_a", "n_b", "sketch_a", "sketch_b")
     few = written(few.mapInArrow(possible, few.select(*names).schema), "pairs")
+    # Written, the ids have a known size: Spark broadcasts them below its threshold and else shuffles.
     ids = written(few.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "ids")
-    texts = _chosen_texts(docs, ids, ids.count())
+    texts = docs.join(ids, "id", "left_semi")
     for s in "ab":
         few = few.join(texts.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")), f"id_{s}")
 
@@ -122,7 +182,7 @@ def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
                         at, to, held = next(right)
                     s, t = sets[k - x], held[k - at]
                     # Two rows of one id with different texts: only the texts that were meant count.
-                    if similar(s, t, percent) and set_hash(s) == (a[k], check_a[k]) and set_hash(t) == (b[k], check_b[k]):
+                    if similar(s, t, percent) and set_hash(s) == (a[k], check_a[k]) and set_hash(t) == (b[k], check_b[k]) and similar_texts(batch.column(4)[k].as_py(), batch.column(5)[k].as_py(), size, percent):
                         found.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in found], pa.int64()), pa.array([b[k] for k in found], pa.int64())], names=["a", "b"])
 
@@ -149,15 +209,18 @@ def _with_leader(buckets: DataFrame) -> DataFrame:
 
 def _open_pairs(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of nodes of one bucket and different components that may be similar by their sizes
-    and parities."""
+    and parities. A bucket of n nodes has n / DEALT salts: every node meets those of each salt."""
     words = range(SKETCH // 64)
     own = nodes.select("node", F.col("n_shingles").cast("int").alias("size"), *[F.coalesce(F.get("parity", F.lit(k)), F.lit(0)).alias(f"w{k}") for k in words])
-    rows = buckets.select("bucket", "node", "component").join(own, "node").repartition("bucket")
-    x, y = (rows.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "size", *[f"w{k}" for k in words])]) for s in "ab")
+    salts = F.ceil(F.col("n") / DEALT).cast("int")
+    rows = buckets.select("bucket", "node", "component", salts.alias("salts")).join(own, "node")
+    rows = rows.withColumns({"own_salt": F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), "salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1))}).repartition("bucket", "salt")
+    names = ("node", "component", "size", *[f"w{k}" for k in words])
+    x, y = (r.select("bucket", "salt", *[F.col(c).alias(f"{c}_{s}") for c in names]) for s, r in (("a", rows.where("salt = own_salt")), ("b", rows)))
     differ = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in words), F.lit(0))
     total = F.col("size_a") + F.col("size_b")
     close = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (differ * (100 + percent) <= total * (100 - percent))
-    met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & close)
+    met = x.join(y, (x["bucket"] == y["bucket"]) & (x["salt"] == y["salt"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & close)
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -167,18 +230,21 @@ def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id"
 
     Null texts and texts without words have no shingles and are their own component. Rows of one id
     are one document for links; a row with a null id has no part in them and a null component. An
-    empty table is empty; columns but the two named are not read.
+    empty table is empty; columns but the two named are not read. Texts may be of any length; a text is
+    one value of its row. The tables on the way are deleted; the result is a written table.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(_signed(docs, size, percent), "sets")
+    with scratch(df.sparkSession, "jaccard"):
+        found = _joined(docs, size, percent)
+        return written(found.select(F.col("id").alias(id_col), "n_shingles", "component_id"), "components", keep=True)
+
+
+def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    rows = written(_described(docs, size), "sets")
     docs = docs.where(F.col("id").isNotNull())
     nodes = written(rows.where("n_shingles > 0 AND id IS NOT NULL").groupBy("node", "check").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"), F.max("parity").alias("parity")), "nodes")
 
-    dealt = rows.where("id IS NOT NULL").select("node", F.explode("signatures").alias("bucket"))
-    ends = F.expr("min(node) OVER (PARTITION BY bucket)"), F.expr("max(node) OVER (PARTITION BY bucket)")
-    shared = dealt.select("bucket", "node", ends[0].alias("lo"), ends[1].alias("hi")).where("lo <> hi")
-    open_ = written(shared.select("bucket", "node", F.col("node").alias("component"), F.lit(2).cast("long").alias("n")), "buckets")
+    open_ = written(_shared(_dealt(docs, size, percent)), "buckets")
     links = tried = None
     for _ in range(ROUNDS):
         first = _with_leader(open_)
@@ -188,7 +254,7 @@ def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id"
         settled = written(components(links), "settled")
         now = open_.select("bucket", "node").join(settled, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         open_, before = written(_unsettled(now.distinct()), "open"), open_
-        removed(spark, before)
+        removed(docs.sparkSession, before)
     pairs = _open_pairs(open_, nodes, percent)
     more = _compared(pairs.join(tried, ["a", "b"], "left_anti"), nodes, docs, size, percent)
 
@@ -200,9 +266,7 @@ def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id"
     same = rows.where("n_shingles > 0 AND id IS NOT NULL").join(ids.withColumnRenamed("id", "y"), ["node", "check"]).select(F.col("id").alias("a"), F.col("y").alias("b")).where("a <> b")
     found = written(components(named.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same)), "components")
     out = rows.select("id", "n_shingles").join(found.withColumnRenamed("node", "id"), "id", "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    removed(spark, open_)
-    return out
+    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,9 @@
-"""Word shingles of whole texts as sets of 64-bit hashes, and PartEnum signatures of such sets.
+"""Word shingles of whole texts as sets of 64-bit hashes, PartEnum signatures of such sets, and the exact
+comparison of two texts.
 
-Hashes are computed on the bytes of Arrow columns: a word's is a polynomial over its bytes, taken as a
-difference of running sums; a shingle's mixes those of its words.
+Words are cut on the bytes of Arrow columns and told apart by Arrow's dictionaries, which compare bytes.
+Each distinct word is hashed by keyed BLAKE2, so no pair of words is made to collide by its letters; a
+shingle's hash mixes those of its words. `similar_texts` uses no hash at all.
 """
 
 from __future__ import annotations
@@ -9,19 +11,22 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.int64).astype(U) * U(2) + U(1)
 _PLACES = np.random.default_rng(7).integers(1, 1 << 63, 64, np.int64).astype(U) * U(2) + U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTES = _BYTES[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_KEY = b"word shingles"
+#: Words whose hashes a process remembers.
+REMEMBERED_WORDS = 400_000
+_known: dict[bytes, int] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,53 +36,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> U(33)
 
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n of each at least."""
-    if len(_powers[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, base & (2**64 - 1), U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
-def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
-    """For each text its distinct shingles as sorted hashes. Words are runs of other than ASCII white
-    space, A-Z in lower case; fewer words than `size` are one shingle, none (or null) an empty set."""
+def _words(column: pa.Array) -> tuple[pa.DictionaryArray | None, np.ndarray]:
+    """The words of all texts, one after another, as a dictionary array of bytes, and the place of each
+    text's first word (one more at the end). Words are runs of other than ASCII white space, A-Z in
+    lower case."""
     n = len(column)
-    if n == 0:
-        return []
-    ends = np.frombuffer(column.buffers()[1], np.int32, n + 1 + column.offset)[column.offset :].astype(np.int64)
-    buffer = column.buffers()[2]
+    ends = np.frombuffer(column.buffers()[1], np.int32, n + 1 + column.offset)[column.offset :].astype(np.int64) if n else np.zeros(1, np.int64)
+    buffer = column.buffers()[2] if n else None
     data = np.frombuffer(buffer, np.uint8)[ends[0] : ends[-1]] if buffer is not None else np.zeros(0, np.uint8)
     ends = ends - ends[0]
     if not len(data):
-        return [np.zeros(0, U)] * n
+        return None, np.zeros(n + 1, np.int64)
     word = ~_SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     cuts = ends[:-1][ends[:-1] < len(data)]
     first[cuts] = word[cuts]
-    last = word.copy()
-    last[:-1] &= ~word[1:]
-    last[cuts[cuts > 0] - 1] = word[cuts[cuts > 0] - 1]
-    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
-    words = mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(U))
-    bounds = np.searchsorted(starts, ends)
+    starts = np.flatnonzero(first)
+    letters = np.cumsum(word, dtype=np.int32)
+    offsets = np.append(letters[starts] - 1, letters[-1]).astype(np.int32)
+    array = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[word]])])
+    return array.dictionary_encode(), np.searchsorted(starts, ends)
+
+
+def _hashes(words: pa.DictionaryArray) -> np.ndarray:
+    texts = words.dictionary.to_pylist()
+    made = list(map(_known.get, texts))
+    if None in made:
+        for k, w in enumerate(texts):
+            if made[k] is None:
+                made[k] = int.from_bytes(blake2b(w, digest_size=8, key=_KEY).digest(), "little")
+                if len(_known) < REMEMBERED_WORDS and len(w) <= 64:
+                    _known[w] = made[k]
+    return np.array(made, U)[words.indices.to_numpy(zero_copy_only=False)] if made else np.zeros(0, U)
+
+
+def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text its distinct shingles as sorted hashes; fewer words than `size` are one shingle,
+    none (or null) an empty set."""
+    n = len(column)
+    found, bounds = _words(column)
+    if found is None:
+        return [np.zeros(0, U)] * n
+    words = _hashes(found)
     valid = column.is_valid().to_numpy(zero_copy_only=False)
-    count = len(words) - size + 1
+    runs = len(words) - size + 1
     mixed = np.zeros(0, U)
-    if count > 0:
-        mixed = words[:count] * _PLACES[0]
+    if runs > 0:
+        mixed = words[:runs] * _PLACES[0]
         for k in range(1, size):
-            mixed = mixed + words[k : k + count] * _PLACES[k]
+            mixed = mixed + words[k : k + runs] * _PLACES[k]
         mixed = mix(mixed)
     out = []
     for k in range(n):
@@ -95,6 +103,36 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def similar_texts(a: str, b: str, size: int, percent: int) -> bool:
+    """100 |a and b| >= percent |a or b| for the shingle sets of two texts, by the words themselves:
+    words are numbered by Arrow's dictionary, and runs of words by sorting pairs of shorter runs."""
+    found, bounds = _words(pa.array([a, b], pa.string()))
+    counts = np.diff(bounds)
+    if found is None or not counts.all():
+        return False
+    words = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if counts.min() < size:
+        return len(set(counts)) == 1 and bool((words[: counts[0]] == words[counts[0] :]).all())
+    runs, length = words, 1
+    while length < size:
+        more = min(length, size - length)
+        other = runs if more == length else words if more == 1 else _runs(words, more)
+        ahead = other[length : length + len(words) - length - more + 1]
+        pairs = runs[: len(ahead)] << 32 | ahead
+        runs, length = np.unique(pairs, return_inverse=True)[1], length + more
+    left, right = np.unique(runs[: counts[0] - size + 1]), np.unique(runs[counts[0] :])
+    shared = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * shared >= percent * (len(left) + len(right) - shared)
+
+
+def _runs(words: np.ndarray, length: int) -> np.ndarray:
+    runs = words
+    for k in range(1, length):
+        ahead = words[k:]
+        runs = np.unique(runs[: len(ahead)] << 32 | ahead, return_inverse=True)[1]
+    return runs
+
+
 def set_hash(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, as two signed numbers."""
     both = [mix(mix(s + U(c)).sum(keepdims=True) + U(len(s))).view(np.int64)[0] for c in (0x1234567, 0x89ABCDE)]
@@ -110,11 +148,18 @@ class Band:
     hi: int
     most: int
     apart: int  # elements in which two similar sets of the band differ at most
-    parts: int  # of the domain, more than `apart`
+    parts: int  # of the domain on the first level
+
+
+#: Parts of each part on the second level, and how many of them may differ: signatures are made of all
+#: subsets of SECOND - DIFFER of them. Three parts, one of which may differ, give half as many more
+#: signatures than single parts of one level would, each of a third more elements.
+SECOND, DIFFER = 3, 1
+SUBSETS = tuple(combinations(range(SECOND), SECOND - DIFFER))
 
 
 @lru_cache(maxsize=8)
-def bands(percent: int, largest: int = 1 << 40, ratio: float = 1.6) -> tuple[Band, ...]:
+def bands(percent: int, largest: int = 1 << 40, ratio: float = 1.4) -> tuple[Band, ...]:
     """Bands for a Jaccard similarity of percent/100 or more. Sets of sizes s <= t are similar only if
     100 s >= percent t, and differ in (s + t)(100 - percent) / (100 + percent) elements at most."""
     out, lo = [], 1
@@ -127,35 +172,62 @@ def bands(percent: int, largest: int = 1 << 40, ratio: float = 1.6) -> tuple[Ban
     return tuple(out)
 
 
+def _solid(n: int, parts: int) -> float:
+    """Share of the first level's parts of which more than DIFFER second-level parts hold some of n elements."""
+    some = 1 - math.exp(-n / (parts * SECOND))
+    return sum(math.comb(SECOND, k) * some**k * (1 - some) ** (SECOND - k) for k in range(DIFFER + 1, SECOND + 1))
+
+
 def _parts(n: int, apart: int) -> int:
-    """Parts of which n elements leave more than `apart` filled: the number that is expected less two
-    standard deviations is enough. Some parts stay empty, so it takes a few more than `apart`."""
+    """First-level parts, so many that the solid ones among them are enough (see `signatures`): the least
+    of some fifty numbers for which what n elements are expected to fill, less two standard deviations,
+    suffices. Where none gives that (small sets), the number that comes nearest; further partitions
+    serve the rest."""
+    least = apart // (DIFFER + 1) + 1
+
+    def spare(parts: int) -> float:
+        p = _solid(n, parts)
+        return (parts * p - least) / math.sqrt(parts * p * (1 - p) + 1e-9)
+
+    tried = sorted({least * (50 + k) // 50 for k in range(51)})
+    return next((p for p in tried if spare(p) >= 2), max(tried, key=spare))
+
+
+#: Partitions of two levels that a set goes through before those of one level, which end for certain.
+TWO_LEVEL = 12
 
-    def enough(parts: int) -> bool:
-        empty = math.exp(-n / parts)
-        return parts * (1 - empty) - 2 * math.sqrt(parts * empty * (1 - empty)) >= apart + 1
 
-    if apart == 0:
-        return 1
-    lo, hi = apart + 1, 2 * apart + 2
-    if not enough(hi):  # small sets: further partitions serve the few that this one doesn't
-        return hi
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if enough(mid) else (mid + 1, hi)
-    return lo
+def _partition(own: np.ndarray, parts: int, second: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted elements: the parts that hold any, and for each its smaller parts' hashes and whether
+    they hold any."""
+    small = ((own >> U(32)) * U(parts * second) >> U(32)).astype(np.int64)
+    begins = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(small[1:] != small[:-1]) + 1])
+    at = small[begins]
+    part = at // second
+    fresh = np.append(True, part[1:] != part[:-1])
+    index = np.cumsum(fresh) - 1
+    sums = np.zeros((int(index[-1]) + 1, second), U)
+    held = np.zeros(sums.shape, bool)
+    sums[index, at - part * second] = np.add.reduceat(mix(own ^ U(0x5851F42D4C957F2D)), begins)
+    held[index, at - part * second] = True
+    return part[fresh], sums, held
 
 
 def signatures(s: np.ndarray, percent: int, family: int = 0) -> np.ndarray:
-    """Signatures of a set: for each band that it can have a partner in, the hashes of its elements in
-    each part of the domain that holds any.
-
-    Of two similar sets at most `apart` parts differ. If more than `apart` parts of one of them hold
-    elements, one such part is equal in both and gives both the same signature. A set for which that
-    fails under a partition also gets the signatures of the next partition, and so on until it holds
-    (every fourth has twice the parts, so it ends): two similar sets therefore share one under the first
-    partition that suffices for either.
-    `family` chooses independent partitions.
+    """PartEnum signatures of a set, for each band that it can have a partner in.
+
+    The domain falls into parts, each part into SECOND smaller ones. For each part, every subset of
+    SECOND - DIFFER of the smaller ones gives a signature: the hash of the set's elements in them, if
+    there are any. Call a part solid for a set if more than DIFFER of its smaller parts hold elements;
+    then none of its subsets is empty. If two sets differ in `apart` elements at most, and one has more
+    than apart / (DIFFER + 1) solid parts, then in one of these they differ in at most DIFFER smaller
+    parts, and the subset of the others gives both the same signature.
+    A set that has too few solid parts under a partition also gets the signatures of the next one, and
+    so on until it has enough: two similar sets therefore share a signature under the first partition
+    that suffices for either. After TWO_LEVEL such partitions (few sets get there) come partitions of
+    one level, with ever more parts, which suffice once more than `apart` parts hold elements.
+    Sets whose band allows no difference are similar only if equal, and equal sets are one node: they
+    get none. `family` chooses independent partitions.
     """
     n, out = len(s), []
     if not n:
@@ -164,22 +236,27 @@ def signatures(s: np.ndarray, percent: int, family: int = 0) -> np.ndarray:
     for band in bands(percent):
         if band.lo > n:
             break
-        if n > band.most:
+        if n > band.most or not band.apart:
             continue
-        seed = family * 1000
-        while True:
+        for turn in count():
+            seed = family * 1000 + turn
             own = salted.get(seed)
             if own is None:
                 own = salted[seed] = s if seed == 0 else np.sort(mix(s + U(0xA0761D6478BD642F * (seed + 1) & (2**64 - 1))))
-            parts = min(band.parts << (seed % 1000 // 4), 1 << 31)
-            part = (own >> U(32)) * U(parts) >> U(32)
-            begins = np.flatnonzero(part[1:] != part[:-1]) + 1
-            begins = np.concatenate([np.zeros(1, np.int64), begins])
-            sums = np.add.reduceat(mix(own ^ U(0x5851F42D4C957F2D)), begins)
-            out.append(mix(sums ^ mix(part[begins] + U((seed * 64 + band.number) << 36))))
-            if len(begins) > band.apart:
+            if turn < TWO_LEVEL:
+                parts, second, subsets, differ = band.parts, SECOND, SUBSETS, DIFFER
+            else:
+                parts, second, subsets, differ = min((2 * band.apart + 2) << (turn - TWO_LEVEL), 1 << 30), 1, ((0,),), 0
+            first, sums, held = _partition(own, parts, second)
+            for k, subset in enumerate(subsets):
+                some = held[:, subset].any(axis=1)
+                whole = mix(sums[:, subset[0]])
+                for j in subset[1:]:
+                    whole = mix(whole + sums[:, j])
+                where = first[some].astype(U) * U(len(subsets)) + U(k + ((seed * 64 + band.number) << 36))
+                out.append(mix(whole[some] ^ mix(where)))
+            if int((held.sum(axis=1) > differ).sum()) * (differ + 1) > band.apart:
                 break
-            seed += 1
     return np.concatenate(out) if out else np.zeros(0, U)
 
 

@@ -167,19 +167,80 @@ def test_components_are_those_of_all_pairs(spark, texts, monkeypatch, size, perc
     assert kept == {c for _, c in got.values()}
 
 
-def test_similar_sets_share_a_signature():
+@pytest.mark.parametrize("percent", [80, 85])
+def test_similar_sets_share_a_signature(percent):
     rng = np.random.default_rng(3)
-    for trial in range(600):
-        n = int(rng.choice([1, 2, 3, 4, 5, 6, 8, 12, 40, 200, 900]))
-        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-        drop = int(rng.integers(0, n // 6 + 1))
-        b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 12 + 1))).astype(np.uint64)]))
-        if shingles.similar(a, b, 85):
+    for _ in range(1500):
+        n = int(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 12, 20, 40, 200, 900]))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, n // 5 + 2)) :], rng.integers(0, 1 << 63, int(rng.integers(0, n // 8 + 2))).astype(np.uint64) * np.uint64(2)]))
+        if shingles.similar(a, b, percent) and len(np.setxor1d(a, b)):
             for family in (0, 1):
-                assert len(np.intersect1d(shingles.signatures(a, 85, family), shingles.signatures(b, 85, family)))
+                assert len(np.intersect1d(shingles.signatures(a, percent, family), shingles.signatures(b, percent, family)))
         assert shingles.least_difference(shingles.parity_sketch(a), shingles.parity_sketch(b)) <= len(np.setxor1d(a, b))
 
 
+def test_signatures_are_of_subsets_of_parts():
+    s = np.sort(np.random.default_rng(8).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    for band in shingles.bands(85):
+        first, sums, held = shingles._partition(s, band.parts, shingles.SECOND) if band.parts < 1 << 20 else ((), (), ())
+        assert len(sums) == len(held) == len(first) and (len(first) == 0 or held.any(axis=1).all())
+    assert len(shingles.SUBSETS) == 3 and {len(x) for x in shingles.SUBSETS} == {2}
+    # One changed element changes the signatures of two subsets of one part in each band, no more.
+    other = s.copy()
+    other[250] ^= np.uint64(1 << 8)
+    own, changed = set(shingles.signatures(s, 85).tolist()), set(shingles.signatures(other, 85).tolist())
+    assert len(own - changed) <= 4 and len(own & changed) > 100
+
+
+def plain_similar(a: str, b: str, n: int, percent: int) -> bool:
+    x, y = plain_set(a, n), plain_set(b, n)
+    return bool(x and y) and 100 * len(x & y) >= percent * len(x | y)
+
+
+def test_texts_are_compared_by_their_words():
+    rng = random.Random(1)
+    for _ in range(3000):
+        a = [rng.choice("abcde") for _ in range(rng.randint(0, 12))]
+        b = [rng.choice([w, w, w, "z"]) for w in a] + ["q"] * rng.randint(0, 1)
+        for n in range(1, 8):
+            assert shingles.similar_texts(" ".join(a), " ".join(b), n, 60) == plain_similar(" ".join(a), " ".join(b), n, 60)
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    assert shingles.shingle_sets(pa.array([word]), 4)[0] != shingles.shingle_sets(pa.array([mirror]), 4)[0]
+    assert not shingles.similar_texts(word, mirror, 4, 85)
+
+
+def test_components_of_a_large_awkward_table(spark, monkeypatch):
+    """2,000 rows with rows without an id, repeated ids, long words, many copies, and small chunks and salts."""
+    monkeypatch.setattr(jaccard, "CHUNK", 3000)
+    monkeypatch.setattr(jaccard, "DEALT", 7)
+    rng, rows, tm = random.Random(2), [], "ab" * 512
+    for _ in range(60):
+        base = [rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(rng.choice([3, 5, 8, 15, 30, 60]))]
+        for _ in range(rng.choice([1, 3, 60])):
+            copy = [f"e{rng.randint(0, 99)}" if rng.random() < 0.03 else w for w in base]
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + k, rng.choice([tm, tm + "a", "", None, f"{tm} x {k % 5}"])) for k in range(40)]
+    extra = [(None, t) for _, t in rows[::9]] + rows[::13]
+    df = spark.createDataFrame([*extra, *rows], "doc_id long, text string").repartition(3)
+    got = jaccard.join(df, 4, 85).collect()
+    want = plain_components(rows, 4, 85)
+    assert len(got) == len(rows) + len(extra)
+    assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+
+
+def test_tables_on_the_way_are_deleted(spark, docs):
+    from tallyforge.llm.shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "tallyforge"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert jaccard.join(docs).count() == docs.count()
+    assert len(set(folder.iterdir()) - before) == 1
+
+
 def test_shingles_of_sliced_columns(texts):
     col = pa.array(texts)
     for part in (col, col[5:30]):
