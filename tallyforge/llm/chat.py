@@ -1,17 +1,20 @@
 """Chat formatting: layouts told apart by a hash of their nested field paths, mapped to turns.
 
-A layout's fingerprint is a hash of its sorted nested field paths with their kinds. Each known
-fingerprint selects a declarative mapping (MAPPINGS), a list of (role, path) or the path of a list of
-messages, that turns a record into canonical turns: an array of (role, text). Records of a column of
-JSON are told apart one by one; a table with one row a turn is a layout of its own.
-
-The template is `<|role|>` newline, text, `<|end|>` newline for each turn. Texts are escaped so that no
-text can hold a mark: & becomes &amp; and < becomes &lt;, undone in the opposite order.
+A layout's fingerprint is the MD5 of its sorted nested field paths, to any depth, each with its kind
+(`messages[].content:s`). Kinds are s (text, also null), n (number), b (boolean) and e (a list of
+nothing). Fields that no mapping names are extra and take no part, whatever they hold. Each known
+fingerprint selects a declarative Mapping, which alone decides how turns are made: from parts of a
+record, from a list of messages in it, or from a table with one row a turn. A column of JSON is told
+apart record by record (`from_records`), a typed table by its schema (`from_table`).
+
+The template is `<|role|>` newline, text, `<|end|>` newline for each turn. Texts and roles are escaped so
+that none can hold a mark: & becomes &amp; and < becomes &lt;, in roles also | becomes &bar;.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,104 +22,183 @@ from pyspark.sql import types as T
 
 END = "<|end|>"
 TURNS = "array<struct<role: string, text: string>>"
+#: Turns whose lengths are added up in one fold (`_starts`).
+BLOCK = 512
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """paths: of a record of this layout. parts: (role, path) in order; messages: (path, role field,
-    text field, {role as written: canonical role})."""
+    """paths: of a record of this layout, with kinds. One of: parts, (role, fields joined by newline) in
+    order, of which an empty system part is left out; messages, (list, role field, text field), where
+    the text field may lie in a list of its own (`content[].text`, its elements joined); rows, (turn,
+    role, text) columns of a table with one row a turn. roles: as written (lower case) to canonical."""
 
     name: str
     paths: tuple[str, ...]
-    parts: tuple[tuple[str, str], ...] = ()
+    parts: tuple[tuple[str, tuple[str, ...]], ...] = ()
     messages: tuple[str, str, str] | None = None
+    rows: tuple[str, str, str] | None = None
+    roles: tuple[tuple[str, str], ...] = ()
 
 
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+SPOKEN = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 MAPPINGS = (
-    Mapping("prompt", ("completion", "prompt"), (("user", "prompt"), ("assistant", "completion"))),
-    Mapping("prompt_response", ("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
-    Mapping("instruction", ("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
-    Mapping("instruction_input", ("input", "instruction", "output"), (("user", "instruction\ninput"), ("assistant", "output"))),
-    Mapping("system_instruction", ("input", "instruction", "output", "system"), (("system", "system"), ("user", "instruction\ninput"), ("assistant", "output"))),
-    Mapping("question", ("answer", "question"), (("user", "question"), ("assistant", "answer"))),
-    Mapping("messages", ("messages[].content", "messages[].role"), messages=("messages", "role", "content")),
-    Mapping("conversations", ("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value")),
-    Mapping("turns", ("turns[].role", "turns[].text"), messages=("turns", "role", "text")),
+    Mapping("prompt", ("completion:s", "prompt:s"), (("user", ("prompt",)), ("assistant", ("completion",)))),
+    Mapping("prompt_response", ("prompt:s", "response:s"), (("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("instruction", ("instruction:s", "output:s"), (("user", ("instruction",)), ("assistant", ("output",)))),
+    Mapping("instruction_input", ("input:s", "instruction:s", "output:s"), (("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping("system_instruction", ("input:s", "instruction:s", "output:s", "system:s"), (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping("question", ("answer:s", "question:s"), (("user", ("question",)), ("assistant", ("answer",)))),
+    Mapping("messages", ("messages[].content:s", "messages[].role:s"), messages=("messages", "role", "content"), roles=SPOKEN),
+    Mapping("message_parts", ("messages[].content[].text:s", "messages[].role:s"), messages=("messages", "role", "content[].text"), roles=SPOKEN),
+    Mapping("conversations", ("conversations[].from:s", "conversations[].value:s"), messages=("conversations", "from", "value"), roles=SPOKEN),
+    Mapping("turns", ("turns[].role:s", "turns[].text:s"), messages=("turns", "role", "text"), roles=SPOKEN),
+    Mapping("turn_rows", ("conv_id:n", "role:s", "text:s", "turn:n"), rows=("turn", "role", "text")),
 )
-#: Paths of a table with one row a turn, whose mapping is a grouping.
-TURN_ROWS = ("conv_id", "role", "text", "turn")
+
+
+def fingerprint_of(paths: list[str] | tuple[str, ...]) -> str:
+    return md5("\n".join(sorted(paths)).encode()).hexdigest()
+
+
+def registry(mappings: tuple[Mapping, ...]) -> dict[str, Mapping]:
+    """Mappings by fingerprint; one of messages also by that of an empty list."""
+    made = {}
+    for m in mappings:
+        made[fingerprint_of(m.paths)] = m
+        if m.messages:
+            made.setdefault(fingerprint_of([f"{m.messages[0]}[]:e"]), m)
+    return made
+
+
+def named(mappings: tuple[Mapping, ...]) -> list[str]:
+    """All paths, without kinds, that some mapping names."""
+    return sorted({p.rsplit(":", 1)[0] for m in mappings for p in m.paths} | {f"{m.messages[0]}[]" for m in mappings if m.messages})
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
-    """Nested field paths of a type, sorted; elements of arrays are marked []."""
+    """Nested field paths of a type with their kinds; elements of arrays are marked []."""
     if isinstance(kind, T.StructType):
-        return sorted(p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name))
+        return [p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
     if isinstance(kind, T.ArrayType):
         return schema_paths(kind.elementType, f"{at}[]")
-    return [at]
+    short = "s" if isinstance(kind, (T.StringType, T.NullType)) else "n" if isinstance(kind, T.NumericType) else "b" if isinstance(kind, T.BooleanType) else kind.simpleString()
+    return [f"{at}:{short}"]
+
+
+_TOKEN = r"`(?:[^`]|``)+`: |[^<>,: `]+: |OBJECT<|ARRAY<|>|[A-Z]+(?:\([0-9, ]+\))?"
+_KINDS = (("STRING", "s"), ("BIGINT", "n"), ("DECIMAL", "n"), ("DOUBLE", "n"), ("FLOAT", "n"), ("BOOLEAN", "b"))
 
 
 def _paths(record: Column) -> Column:
-    """Sorted field paths of a JSON text, two levels deep, as schema_paths gives them."""
+    """Field paths of a JSON text with their kinds, to any depth; null for what is no JSON object.
 
-    def inner(key: Column) -> Column:
-        value = F.trim(F.call_function("get_json_object", record, F.concat(F.lit("$."), key)))
-        listed = value.startswith("[")
-        first = F.when(listed, F.get_json_object(value, "$[0]")).otherwise(value)
-        keys = F.when(first.startswith("{"), F.json_object_keys(first))
-        stem = F.when(listed, F.concat(key, F.lit("[]"))).otherwise(key)
-        return F.coalesce(F.transform(keys, lambda k: F.concat_ws(".", stem, k)), F.array(stem))
+    The text's schema as Spark gives it is read from left to right with a stack of open paths: a name
+    or a list opens one, a scalar or a closing bracket ends the last."""
+    schema = F.schema_of_variant(F.try_parse_json(record))
+    top = lambda acc: F.element_at(acc["open"], -1)
+    closed = lambda acc: F.slice(acc["open"], 1, F.size(acc["open"]) - 1)
 
-    return F.array_sort(F.flatten(F.transform(F.json_object_keys(record), inner)))
+    def state(open_: Column, out: Column) -> Column:
+        return F.struct(open_.alias("open"), out.alias("out"))
 
+    def step(acc: Column, t: Column) -> Column:
+        name = F.replace(F.regexp_replace(t, "^`|`?: $", ""), F.lit("``"), F.lit("`"))
+        path = F.when(top(acc) == "", name).otherwise(F.concat(top(acc), F.lit("."), name))
+        kind = F.when(top(acc).endswith("[]") & (t == "VOID"), F.lit("e")).when(t == "VOID", F.lit("s"))
+        for spark_kind, short in _KINDS:
+            kind = kind.when(t.startswith(spark_kind), F.lit(short))
+        scalar = state(closed(acc), F.concat(acc["out"], F.array(F.concat(top(acc), F.lit(":"), kind.otherwise(F.lower(t))))))
+        return (
+            F.when(t.endswith(": "), state(F.concat(acc["open"], F.array(path)), acc["out"]))
+            .when(t == "OBJECT<", acc)
+            .when(t == "ARRAY<", state(F.concat(acc["open"], F.array(F.concat(top(acc), F.lit("[]")))), acc["out"]))
+            .when(t == ">", state(closed(acc), acc["out"]))
+            .otherwise(scalar)
+        )
 
-def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(F.array_join(paths, "\n"))
+    none = F.array().cast("array<string>")
+    return F.when(schema.startswith("OBJECT<"), F.aggregate(F.regexp_extract_all(schema, F.lit(_TOKEN), F.lit(0)), state(F.array(F.lit("")), none), step, lambda acc: acc["out"]))
 
 
-def _turns(m: Mapping, record: Column) -> Column:
-    if m.messages:
-        path, role, text = m.messages
-        rows = F.from_json(F.get_json_object(record, f"$.{path}"), f"array<struct<`{role}`: string, `{text}`: string>>")
+def fingerprint(paths: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """Of the paths that some mapping names."""
+    known = F.array(*map(F.lit, named(mappings)))
+    return F.md5(F.array_join(F.array_sort(F.filter(paths, lambda p: F.array_contains(known, F.regexp_replace(p, ":[^:]*$", "")))), "\n"))
+
+
+def _role(role: Column, m: Mapping) -> Column:
+    out = given = F.coalesce(role, F.lit("user"))
+    for written, to in m.roles:
+        out = F.when(F.lower(given) == written, F.lit(to)).otherwise(out)
+    return out
+
 
-        def canonical(x: Column) -> Column:
-            named = F.lower(F.coalesce(x[role], F.lit("user")))
-            for written, to in ROLES.items():
-                named = F.when(named == written, F.lit(to)).otherwise(named)
-            return F.struct(named.alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
-        return F.transform(rows, canonical)
-    made = []
-    for role, path in m.parts:
-        fields = [F.nullif(F.get_json_object(record, f"$.{p}"), F.lit("")) for p in path.split("\n")]
-        made.append(F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *fields).alias("text")))
-    turns = F.array(*made)
-    return F.filter(turns, lambda x: (x["role"] != "system") | (x["text"] != ""))
 
+def _of_messages(m: Mapping, rows: Column) -> Column:
+    """Turns of an array of structs; null elements are no turns."""
+    _, role, text = m.messages
+    field, _, inner = text.partition("[].")
+    said = (lambda x: F.array_join(F.transform(x[field], lambda part: part[inner]), "")) if inner else (lambda x: x[field])
+    return F.transform(F.filter(rows, lambda x: x.isNotNull()), lambda x: _turn(_role(x[role], m), said(x)))
 
-def from_records(df: DataFrame, record_col: str, id_col: str) -> DataFrame:
+
+def _of_parts(m: Mapping, value) -> Column:
+    """Turns of the parts of a record, whose fields `value` gives."""
+    made = [_turn(F.lit(role), F.concat_ws("\n", *[F.nullif(value(p), F.lit("")) for p in fields])) for role, fields in m.parts]
+    return F.filter(F.array(*made), lambda x: (x["role"] != "system") | (x["text"] != ""))
+
+
+def _of_record(m: Mapping, record: Column) -> Column:
+    if m.messages:
+        path, role, text = m.messages
+        field, _, inner = text.partition("[].")
+        kind = f"array<struct<`{inner}`: string>>" if inner else "string"
+        return _of_messages(m, F.from_json(F.get_json_object(record, f"$.{path}"), f"array<struct<`{role}`: string, `{field}`: {kind}>>"))
+    return _of_parts(m, lambda p: F.get_json_object(record, f"$.{p}"))
+
+
+def from_records(df: DataFrame, record_col: str, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(id, layout, fingerprint, turns) of each JSON record. A record that is null, no JSON object or of
-    no known layout has null turns and layout, so it can be counted and mapped; nothing is dropped."""
+    no known layout has null turns and layout, so it can be counted and mapped; nothing is dropped.
+    Empty lists of messages are no turns. Repeated ids stay rows; an empty table is empty; columns but
+    the two named are not read."""
     rows = df.select(F.col(id_col), F.col(record_col).cast("string").alias("record"))
-    rows = rows.withColumn("fingerprint", fingerprint(_paths(F.col("record"))))
+    rows = rows.withColumn("fingerprint", fingerprint(_paths(F.col("record")), mappings))
     layout = turns = F.lit(None)
-    for m in MAPPINGS:
-        own = F.col("fingerprint") == fingerprint(F.array(*map(F.lit, sorted(m.paths))))
-        layout, turns = F.when(own, F.lit(m.name)).otherwise(layout), F.when(own, _turns(m, F.col("record"))).otherwise(turns)
+    for known, m in registry(mappings).items():
+        if not m.rows:
+            own = F.col("fingerprint") == known
+            layout, turns = F.when(own, F.lit(m.name)).otherwise(layout), F.when(own, _of_record(m, F.col("record"))).otherwise(turns)
     return rows.select(id_col, layout.cast("string").alias("layout"), "fingerprint", turns.cast(TURNS).alias("turns"))
 
 
-def from_turn_rows(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, layout, fingerprint, turns) of a table with one row a turn, in the order of turns; equal
-    turn numbers come by role, then text. Null text is empty, null role is `user`, a null id is a
-    conversation of its own. A conversation is one value of its row, whatever its length."""
-    paths = tuple(schema_paths(df.select(id_col, turn_col, role_col, text_col).schema))
-    text, role = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(role_col), F.lit("user"))
-    rows = df.select(F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("x"))
-    turns = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    made = rows.groupBy("id").agg(turns.alias("turns"))
-    return made.select(F.col("id").alias(id_col), F.lit("turn_rows").alias("layout"), fingerprint(F.array(*map(F.lit, paths))).alias("fingerprint"), "turns")
+def from_table(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(id, layout, fingerprint, turns) of a typed table, whose schema's fingerprint selects the mapping.
+
+    With one row a turn, turns come in the order of their numbers; equal numbers by role, then text.
+    Null text is empty, null role is `user`, a null id is a conversation of its own. A conversation is
+    one value of its row, whatever its length. In other layouts a row is a conversation. A table of no
+    known layout has null layout and turns in every row. An empty table is empty; further columns, of
+    any name that no mapping has, are not read.
+    """
+    known = set(named(mappings))
+    found = fingerprint_of([p for p in schema_paths(df.schema) if p.rsplit(":", 1)[0] in known])
+    m = registry(mappings).get(found)
+    if m is None:
+        return df.select(F.col(id_col), F.lit(None).cast("string").alias("layout"), F.lit(found).alias("fingerprint"), F.lit(None).cast(TURNS).alias("turns"))
+    if m.rows:
+        turn, role, text = m.rows
+        rows = df.select(F.col(id_col).alias("id"), F.struct(F.col(turn).alias("turn"), _role(F.col(role), m).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("x"))
+        turns = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+        made = rows.groupBy("id").agg(turns.alias("turns"))
+    else:
+        turns = _of_messages(m, F.col(m.messages[0])) if m.messages else _of_parts(m, F.col)
+        made = df.select(F.col(id_col).alias("id"), turns.cast(TURNS).alias("turns"))
+    return made.select(F.col("id").alias(id_col), F.lit(m.name).alias("layout"), F.lit(found).alias("fingerprint"), "turns")
 
 
 def escape(text: Column) -> Column:
@@ -127,51 +209,60 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def _starts(lengths: Column) -> Column:
+    """Sums of all lengths before each one. A fold copies what it has made at every step, so lengths are
+    added up in blocks: the work grows with the turns, and with their square only over BLOCK squared."""
+
+    def running(values: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    many = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / BLOCK).cast("int") - 1, F.lit(0)))
+    blocks = F.transform(many, lambda k: F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK)))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n))
+    return F.flatten(F.zip_with(blocks, running(sums, F.lit(0)), running))
+
+
 def render(df: DataFrame, turns_col: str = "turns", loss_role: str = "assistant") -> DataFrame:
-    """df with `formatted` and `loss`: the places (start, length by code points) of the texts of the
-    role that is learned. No turns give an empty text; null turns stay null. Same-named columns are
-    replaced."""
-    head = lambda x: F.concat(F.lit("<|"), escape(x["role"]), F.lit("|>\n"))
+    """df with `formatted` and `loss`: for each turn the place (start, length by code points) of its text
+    if its role is learned, else a length of 0. No turns give an empty text; null turns stay null.
+    Same-named columns are replaced."""
+    head = lambda x: F.concat(F.lit("<|"), F.replace(escape(x["role"]), F.lit("|"), F.lit("&bar;")), F.lit("|>\n"))
     body = lambda x: escape(x["text"])
-    tail = F.lit(f"{END}\n")
     sized = F.transform(turns_col, lambda x: F.struct(F.char_length(head(x)).alias("h"), F.char_length(body(x)).alias("n"), (x["role"] == loss_role).alias("own")))
+    rows = df.withColumns({"formatted": F.array_join(F.transform(turns_col, lambda x: F.concat(head(x), body(x), F.lit(f"{END}\n"))), ""), "loss": sized})
+    at = _starts(F.transform("loss", lambda s: s["h"] + s["n"] + F.lit(len(END) + 1)))
+    spans = F.zip_with("loss", at, lambda s, a: F.struct((a + s["h"]).alias("start"), F.when(s["own"], s["n"]).otherwise(0).alias("length")))
+    return rows.withColumn("loss", spans)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["h"]
-        mask = F.when(x["own"], F.concat(acc["mask"], F.array(F.struct(start.alias("start"), x["n"].alias("length"))))).otherwise(acc["mask"])
-        return F.struct((start + x["n"] + F.lit(len(END) + 1)).alias("at"), mask.alias("mask"))
 
-    none = F.array().cast("array<struct<start: int, length: int>>")
-    loss = F.aggregate(sized, F.struct(F.lit(0).alias("at"), none.alias("mask")), step, lambda a: a["mask"])
-    return df.withColumns({"formatted": F.array_join(F.transform(turns_col, lambda x: F.concat(head(x), body(x), tail)), ""), "loss": loss})
+def _pieces(formatted: Column) -> Column:
+    """The turns as written, without their end marks."""
+    return F.when(formatted == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(formatted, r"<\|end\|>\n\z", ""), r"<\|end\|>\n", -1))
 
 
 def parse(formatted: Column) -> Column:
     """Turns of a formatted text: what `render` was given."""
-    pieces = F.filter(F.split(formatted, r"<\|end\|>\n"), lambda p: p != "")
-    return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(F.substr(p, F.lit(3)), "|>\n", 1)).alias("role"), unescape(F.substr(p, F.instr(p, "|>\n") + 3)).alias("text")))
+    role = lambda p: F.replace(F.substring_index(F.substr(p, F.lit(3)), "|>\n", 1), F.lit("&bar;"), F.lit("|"))
+    return F.transform(_pieces(formatted), lambda p: F.struct(unescape(role(p)).alias("role"), unescape(F.substr(p, F.instr(p, "|>\n") + 3)).alias("text")))
 
 
 def masked(formatted: Column, loss: Column) -> Column:
-    """Unescaped text under the mask. What no mask covers is cut first, so that long texts with many
-    turns are read once: a place is found from the one before it, not from the start."""
-    start = F.struct(formatted.alias("rest"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        rest = F.substr(acc["rest"], m["start"] - acc["at"] + 1)
-        own = F.substr(rest, F.lit(1), m["length"])
-        return F.struct(F.substr(rest, m["length"] + 1).alias("rest"), (m["start"] + m["length"]).alias("at"), F.concat(acc["out"], F.array(unescape(own))).alias("out"))
-
-    return F.array_join(F.aggregate(loss, start, step, lambda a: a["out"]), "")
+    """Unescaped text under the mask: each span is cut from its turn, at its place less the turn's."""
+    pieces = _pieces(formatted)
+    at = _starts(F.transform(pieces, lambda p: F.char_length(p) + F.lit(len(END) + 1)))
+    placed = F.zip_with(pieces, at, lambda p, a: F.struct(p.alias("p"), a.alias("a")))
+    return F.array_join(F.zip_with(placed, loss, lambda x, m: F.when(m["length"] > 0, unescape(F.substr(x["p"], m["start"] - x["a"] + 1, m["length"]))).otherwise("")), "")
 
 
 def _digest(turns: Column) -> Column:
     return F.sha2(F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256)
 
 
-def formatted_digests(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """What is read back from the formatted text of each conversation of a table of turns."""
-    out = render(from_turn_rows(df, id_col)).withColumns({"read": parse(F.col("formatted")), "learned": masked(F.col("formatted"), F.col("loss"))})
+def formatted_digests(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """What is read back from the formatted text of each conversation of a table."""
+    out = render(from_table(df, id_col, mappings))
+    out = out.withColumns({"read": parse(F.col("formatted")), "learned": masked(F.col("formatted"), F.col("loss"))})
     return out.select(id_col, F.size("read").cast("long").alias("n_turns"), _digest(F.col("read")).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
@@ -192,7 +283,7 @@ sums AS (
   SELECT conv_id, count(*) AS n,
     coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text), '') AS turns,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
-    sum(length(role) + length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(replace(text, '<', ''))) + {len("<||>") + 1 + len(END) + 1}) AS chars
+    sum(length(role) + length(text) + 4 * (length(role) + length(text) - length(replace(replace(role, '&', ''), '|', '')) - length(replace(text, '&', ''))) + 3 * (length(role) + length(text) - length(replace(role, '<', '')) - length(replace(text, '<', ''))) + {len("<||>") + 1 + len(END) + 1}) AS chars
   FROM rows_ GROUP BY conv_id)
 SELECT conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, chars::BIGINT AS formatted_chars FROM sums
 """

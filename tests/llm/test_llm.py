@@ -304,23 +304,56 @@ def test_layouts_become_the_same_turns(spark):
     two = [("user", "hi"), ("assistant", "yo <b> & [INST]")]
     records = [
         '{"prompt": "hi", "completion": "yo <b> & [INST]"}', '{"instruction": "hi", "output": "yo <b> & [INST]"}', '{"instruction": "hi", "input": "", "output": "yo <b> & [INST]"}', '{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo <b> & [INST]"}]}',
-        '{"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo <b> & [INST]"}]}', '{"strange": 1}', "no json", None,
+        '{"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo <b> & [INST]"}]}', '{"id": 7, "prompt": "hi", "meta": {"a": [{"b": [1.5]}], "c d": true}, "completion": "yo <b> & [INST]"}', '{"instruction": "hi", "input": null, "output": "yo <b> & [INST]"}',
+        '{"messages": [{"role": "user", "name": "x", "content": [{"type": "text", "text": "h"}, {"type": "text", "text": "i"}]}, {"role": "Model", "content": [{"text": "yo <b> & [INST]"}]}]}',
     ]
-    df = spark.createDataFrame(list(enumerate(records)), "k long, record string")
+    other = ['{"strange": 1}', "no json", None, '{"prompt": 5, "completion": "x"}', "[1]", '{"prompt": "hi"}', '{"prompt": {"completion": "x"}}', '{"prompt": "a", "prompt": "b"}', "{}"]
+    df = spark.createDataFrame(list(enumerate([*records, *other, '{"messages": []}'])), "k long, record string")
     got = columns(chat.from_records(df, "record", "k"))
-    for k in range(5):
+    for k in range(len(records)):
         assert [tuple(t) for t in got[k]["turns"]] == two, got[k]
-    assert all(got[k]["turns"] is None and got[k]["layout"] is None for k in (5, 6, 7))
-    out = chat.render(chat.from_records(df.where("k < 5"), "record", "k")).select("k", chat.parse(F.col("formatted")).alias("read"), chat.masked(F.col("formatted"), F.col("loss")).alias("learned"))
+    n = len(records) + len(other)
+    assert all(got[k]["turns"] is None and got[k]["layout"] is None for k in range(len(records), n))
+    assert (got[n]["turns"], got[n]["layout"]) == ([], "messages")
+    out = chat.render(chat.from_records(df.where(f"k < {len(records)}"), "record", "k")).select("k", chat.parse(F.col("formatted")).alias("read"), chat.masked(F.col("formatted"), F.col("loss")).alias("learned"))
     assert all([tuple(t) for t in r["read"]] == two and r["learned"] == two[1][1] for r in out.collect())
+    assert chat.from_records(df.limit(0), "record", "k").count() == 0
+
+
+def test_paths_have_any_depth_and_kinds(spark):
+    df = spark.createDataFrame([('{"a": {"b": [{"c": [[1]], "d e": null, "f": true}], "g": []}, "h": "x"}',)], "r string")
+    assert sorted(df.select(chat._paths(F.col("r"))).first()[0]) == ["a.b[].c[][]:n", "a.b[].d e:s", "a.b[].f:b", "a.g[]:e", "h:s"]
+    schema = "a struct<b: array<struct<c: array<array<long>>, `d e`: string, f: boolean>>>, h string"
+    assert sorted(chat.schema_paths(spark.createDataFrame([], schema).schema)) == ["a.b[].c[][]:n", "a.b[].d e:s", "a.b[].f:b", "h:s"]
+
+
+def test_the_fingerprint_selects_the_mapping(spark, sf):
+    d = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    as_it_is = columns(chat.formatted_digests(d))
+    swapped = tuple(chat.Mapping(m.name, m.paths, rows=m.rows, roles=(("user", "assistant"), ("assistant", "user"))) if m.rows else m for m in chat.MAPPINGS)
+    changed = columns(chat.formatted_digests(d, mappings=swapped))
+    spoken = {r["conv_id"] for r in d.where("role IN ('user', 'assistant')").collect()}
+    assert len(spoken) > 10 and all((changed[k]["turns_sha256"] != as_it_is[k]["turns_sha256"]) == (k in spoken) for k in as_it_is)
+    without = chat.from_table(d, mappings=tuple(m for m in chat.MAPPINGS if not m.rows)).collect()
+    assert all(r["layout"] is None and r["turns"] is None for r in without)
+    more = d.withColumns({"x": F.lit(1), "id": F.lit("i"), "formatted": F.lit(2), "loss": F.lit(3), "turns": F.lit(4)})
+    assert columns(chat.formatted_digests(more)) == as_it_is
+    typed = spark.createDataFrame([(1, "hi", "yo", 5), (2, None, "", 5)], "k long, prompt string, completion string, n int")
+    assert [[tuple(t) for t in r["turns"]] for r in chat.from_table(typed, "k").orderBy("k").collect()] == [[("user", "hi"), ("assistant", "yo")], [("user", ""), ("assistant", "")]]
+    lists = spark.createDataFrame([(1, [("human", "hi"), None])], "k long, conversations array<struct<from: string, value: string>>")
+    assert [tuple(t) for t in chat.from_table(lists, "k").first()["turns"]] == [("user", "hi")]
 
 
 def test_turn_rows_with_nulls(spark):
-    rows = [(1, 1, None, None), (1, 0, "assistant", "<|end|>\n&lt;|user|>\n"), (None, 0, "user", "x"), (2, 0, "assistant", ""), (2, 0, "assistant", "")]
+    role = "a|>\n<|end|>\n&bar;"
+    rows = [(1, 1, None, None), (1, 0, "assistant", "<|end|>\n&lt;|user|>\n"), (None, 0, "user", "x"), (2, 0, "assistant", ""), (2, 0, "assistant", ""), (3, 0, role, "|>\ny"), *[(4, k, ("user", "assistant")[k % 2], f"é{k}" * 3) for k in range(1500)]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = columns(chat.formatted_digests(df))
-    assert got[1]["n_turns"] == 2 and got[1]["loss_chars"] == len(rows[1][3]) and got[None]["n_turns"] == 1 and got[2]["loss_chars"] == 0
+    assert got[1]["n_turns"] == 2 and got[1]["loss_chars"] == len(rows[1][3]) and got[None]["n_turns"] == 1 and got[2]["loss_chars"] == 0 and got[2]["n_turns"] == 2
     assert got[1]["turns_sha256"] == sha256(f"assistant\n{rows[1][3]}\nuser\n\n".encode()).hexdigest()
+    assert got[3]["turns_sha256"] == sha256(f"{role}\n|>\ny\n".encode()).hexdigest()
+    learned = "".join(t for c, k, _, t in rows if c == 4 and k % 2)
+    assert (got[4]["n_turns"], got[4]["loss_sha256"]) == (1500, sha256(learned.encode()).hexdigest())
     assert chat.formatted_digests(df.limit(0)).count() == 0
 
 
