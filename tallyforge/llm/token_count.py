@@ -6,17 +6,22 @@ last piece before that place and the number of tokens up to it, relative to the
 on a character is annotated with the tokens that it emits: the change of the count, which is negative
 where pieces merge. States and transitions are compiled when they are first met.
 
-A stream of texts is cut into chunks of equal length, whatever they hold. Word starts and unknown
-characters lead from any state to the same one. A chunk's map of states is therefore a head, up to the
-first such place, and an exit that no longer depends on the entry; a chunk without such a place is all
-head. All chunks are run at once from the unknown state, then the heads from the exits before them:
-(head, exit) after (head', exit') is (head, exit'), and an exit carries over an all-head chunk by
-running it, so the maps compose associatively and a text's count is the sum over its places.
+Every text is cut into chunks of equal length, whatever they hold, and all chunks of many texts run
+side by side. Word starts and unknown characters lead from any state to the same one: from the first
+such place on, a chunk's exit and count don't depend on its entry, and only its head before that place
+is still to be run once the entry is known. A chunk without such a place is a map of states: entry to
+(exit, emitted tokens). Maps compose - entry to (the second's exit, the sum of both) - and composition
+is associative, so a stretch of such chunks is scanned as a tree, neighbours first. A map holds the
+entries that were asked of it so far: its first one is guessed, by running the end of the chunk before
+it from the start state, because states mostly come together within a few characters; where the exit
+of a neighbour is another state, the map is extended by running its chunks from there. A guess decides
+what is computed in parallel, never a result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from pathlib import Path
 
@@ -30,6 +35,29 @@ from .texts import map_texts
 #: the bytes that they fall back to; known characters follow.
 FIRST_MARK, NEXT_MARK, UNKNOWN, KNOWN = 0, 1, 2, 6
 DEAD, START = 0, 1
+#: Characters before a chunk that its entry is guessed from.
+WARM = 24
+
+
+@dataclass
+class StateMap:
+    """(exit, emitted tokens) by entry, for the entries met so far, of a chunk or of two maps in a row."""
+
+    chunk: int = -1
+    pair: tuple[StateMap, StateMap] | None = None
+    known: dict[int, tuple[int, int]] = field(default_factory=dict)
+
+    def get(self, entry: int, missing: dict[tuple[int, int], StateMap]) -> tuple[int, int] | None:
+        """The entry's value; if a chunk has to run for it, None, and that chunk's map is in missing."""
+        found = self.known.get(entry)
+        if found is None and self.pair is None:
+            missing[self.chunk, entry] = self
+        elif found is None:
+            first = self.pair[0].get(entry, missing)
+            second = first and self.pair[1].get(first[0], missing)
+            if second:
+                found = self.known[entry] = (second[0], first[1] + second[1])
+        return found
 
 
 class Transducer:
@@ -134,55 +162,86 @@ class Transducer:
             values[missing] = np.array(made, np.int32)[back]
         return values
 
-    def emitted(self, kinds: np.ndarray) -> np.ndarray:
-        """Tokens emitted at each place of a stream that begins with a word mark."""
-        if self.table.nbytes > self.TABLE:
-            self._begin(self.width)
-        n, size = len(kinds), self.CHUNK
-        chunks = -(-n // size)
-        grid = np.full(chunks * size, UNKNOWN, np.int32)
-        grid[:n] = kinds
-        grid = np.ascontiguousarray(grid.reshape(chunks, size).T)
-        out = np.empty((size, chunks), np.int8)
-        states = np.full(chunks, DEAD, np.int32)
-        for t in range(size):
-            values = self._step(states, grid[t])
-            states = values >> 8
-            out[t] = (values & 255) - 128
-        resets = (grid < KNOWN) & (grid != NEXT_MARK)
-        some = resets.any(axis=0)
-        heads = np.where(some, resets.argmax(axis=0), size)
-        waiting = np.flatnonzero(heads)
-        while len(waiting):
-            ready = states[waiting - 1] != DEAD  # the exit before is known
-            now, waiting = waiting[ready], waiting[~ready]
-            entry, own = states[now - 1], heads[now]
-            for t in range(int(own.max())):
-                live = own > t
-                now, own, entry = now[live], own[live], entry[live]
-                values = self._step(entry, grid[t, now])
-                entry = values >> 8
-                out[t, now] = (values & 255) - 128
-                if t == size - 1:
-                    states[now] = np.where(some[now], states[now], entry)
-        return np.ascontiguousarray(out.T).reshape(-1)[:n]
+    def _run(self, kinds: np.ndarray, at: np.ndarray, lengths: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exits and emitted tokens of the stretches kinds[at : at + length], side by side from states."""
+        order = np.argsort(-lengths, kind="stable")
+        at, states, total = at[order], states[order], np.zeros(len(order), np.int64)
+        live = len(order) - np.searchsorted(lengths[order][::-1], np.arange(lengths.max(initial=0)), "right")
+        for t, m in enumerate(live.tolist()):
+            values = self._step(states[:m], kinds[at[:m] + t])
+            states[:m] = values >> 8
+            total[:m] += (values & 255) - 128
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return states[back], total[back]
+
+    def _scan(self, stretches: list[list[int]], kinds: np.ndarray, at: np.ndarray, lengths: np.ndarray, entries: list[int]) -> list[tuple[int, int]]:
+        """(exit, emitted tokens) of each stretch of whole chunks from its entry."""
+        inner = np.array([c for s in stretches for c in s[1:]], np.int64)
+        warm = np.minimum(WARM, lengths[inner - 1])
+        guesses = self._run(kinds, at[inner] - warm, warm, np.full(len(inner), START, np.int32))[0].tolist()
+        given = iter(guesses)
+        levels = [[StateMap(chunk=c) for c in s] for s in stretches]
+        first = [(m, e if k == 0 else next(given)) for maps, e in zip(levels, entries) for k, m in enumerate(maps)]
+        self._extend(first, kinds, at, lengths)
+        while any(len(maps) > 1 for maps in levels):
+            levels = [[StateMap(pair=(a, b)) for a, b in zip(maps[::2], maps[1::2])] + maps[len(maps) & ~1 :] for maps in levels]
+            self._extend([(m, e) for maps in levels for m in maps if m.pair for e in list(m.pair[0].known)], kinds, at, lengths)
+        return [maps[0].known[e] for maps, e in zip(levels, entries)]
+
+    def _extend(self, asked: list[tuple[StateMap, int]], kinds: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> None:
+        """Adds entries to maps; the chunks that this takes run side by side, in as few turns as can be."""
+        while asked:
+            missing: dict[tuple[int, int], StateMap] = {}
+            asked = [(m, e) for m, e in asked if m.get(e, missing) is None]
+            if missing:
+                chunks = np.array([c for c, _ in missing], np.int64)
+                exits, counts = self._run(kinds, at[chunks], lengths[chunks], np.array([e for _, e in missing], np.int32))
+                for (key, m), found in zip(missing.items(), zip(exits.tolist(), counts.tolist())):
+                    m.known[key[1]] = found
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; null and empty texts have none."""
         full = [k for k, t in enumerate(texts) if t]
         counts = [0] * len(texts)
-        if full:
-            stream = "".join([" " + texts[k].replace(MARK, " ") for k in full])
-            codes = np.frombuffer(stream.encode("utf-32-le"), np.uint32)
-            begins = np.cumsum([0] + [len(texts[k]) + 1 for k in full[:-1]])
-            space = codes == 32
-            after = np.concatenate([[False], space[:-1]])
-            after[begins] = False
-            kinds = self.classes(codes)
-            kinds = np.where(space, np.where(after, NEXT_MARK, FIRST_MARK), kinds)
-            sums = np.add.reduceat(self.emitted(kinds).astype(np.int64), begins)
-            for k, x in zip(full, sums.tolist()):
-                counts[k] = x
+        if not full:
+            return counts
+        if self.table.nbytes > self.TABLE:
+            self._begin(self.width)
+        stream = "".join([" " + texts[k].replace(MARK, " ") for k in full])
+        codes = np.frombuffer(stream.encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(texts[k]) + 1 for k in full])
+        begins = np.cumsum(sizes) - sizes
+        space = codes == 32
+        after = np.concatenate([[False], space[:-1]])
+        after[begins] = False
+        kinds = self.classes(codes)
+        kinds = np.where(space, np.where(after, NEXT_MARK, FIRST_MARK), kinds)
+
+        many = -(-sizes // self.CHUNK)
+        text = np.repeat(np.arange(len(full)), many)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        at = begins[text] + place * self.CHUNK
+        lengths = np.minimum(self.CHUNK, begins[text] + sizes[text] - at)
+        resets = np.append(np.flatnonzero((kinds < KNOWN) & (kinds != NEXT_MARK)), len(kinds))
+        heads = np.minimum(resets[np.searchsorted(resets, at)] - at, lengths)
+        # From the first place that any state leads to the same one from, the entry doesn't matter.
+        exits, total = self._run(kinds, at + heads, lengths - heads, np.full(len(at), DEAD, np.int32))
+        whole = heads == lengths
+        entries = np.append(START, exits[:-1]).astype(np.int32)
+        if whole.any():
+            begin = whole & ~np.append(False, whole[:-1])
+            number = np.cumsum(begin)
+            stretches = [s.tolist() for s in np.split(np.flatnonzero(whole), np.flatnonzero(np.diff(number[whole])) + 1)]
+            found = self._scan(stretches, kinds, at, lengths, [int(entries[s[0]]) for s in stretches])
+            for s, (out, n) in zip(stretches, found):
+                total[s[-1]] += n
+                if s[-1] + 1 < len(entries):
+                    entries[s[-1] + 1] = out
+        rest = np.flatnonzero(~whole & (heads > 0))
+        total[rest] += self._run(kinds, at[rest], heads[rest], entries[rest])[1]
+        for k, n in zip(full, np.bincount(text, total, len(full)).astype(np.int64).tolist()):
+            counts[k] = n
         return counts
 
 

@@ -74,6 +74,29 @@ def test_token_counts_do_not_depend_on_chunks(texts, library, chunk):
     assert t.counts(texts) == [len(library.encode(x or "")) for x in texts]
 
 
+def test_unbroken_texts_are_scanned(library):
+    rng = random.Random(3)
+    t = token_count.Transducer(PieceModel(Path(MODEL).read_bytes()))
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    some = [letters, letters[:1000], "a" * 100_000, "ab" * 3000 + " " + letters[:700], "é" * 2000, "一" * 1000 + letters[:900]]
+    assert t.counts(some) == [len(library.encode(x)) for x in some]
+
+
+def test_state_maps_compose_associatively():
+    t = token_count.Transducer(PieceModel(Path(MODEL).read_bytes()))
+    kinds = t.classes(np.frombuffer("internationalization".encode("utf-32-le"), np.uint32))
+    at, lengths = np.arange(0, 20, 5), np.full(4, 5)
+    made = []
+    for shape in ("left", "right"):
+        a, b, c, d = (token_count.StateMap(chunk=k) for k in range(4))
+        pair = lambda x, y: token_count.StateMap(pair=(x, y))
+        whole = pair(pair(pair(a, b), c), d) if shape == "left" else pair(a, pair(b, pair(c, d)))
+        t._extend([(whole, token_count.START)], kinds, at, lengths)
+        made.append(whole.known[token_count.START])
+    once = t._run(kinds, np.array([0]), np.array([20]), np.array([token_count.START], np.int32))
+    assert made[0] == made[1] == (once[0][0], once[1][0])
+
+
 def test_token_counts(docs, texts, library):
     got = columns(token_count.count_tokens(docs, MODEL, limit=50))
     for k, t in enumerate(texts):
