@@ -137,6 +137,65 @@ def test_trees_add_secrets_and_leave_prose_alone(spark, docs):
     assert all(r["spans"] == "" for k, r in columns(pii.find(docs)).items() if 13 <= k < 50)
 
 
+REAL = {
+    "see commit 4b825dc642cb6eb9a060e54bf8d69288fbee4904 for it": "",
+    "sha256 e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855  file.txt": "",
+    "order id 123-45-6789 was sent": "",
+    "the password: required by policy": "",
+    "pwd=correcthorsebattery": "correcthorsebattery",
+    "write me at jo dot do at example dot com please": "jo dot do at example dot com",
+    'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" x': "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae",
+    "ssn 123-45-6789 on file": "123-45-6789",
+    "call (555) 123-4567 now": "(555) 123-4567",
+    "iban DE89370400440532013000 please": "DE89370400440532013000",
+}
+
+
+def test_added_spans_of_real_forms(spark, sf):
+    windows = pii.contexts(spark.read.parquet(f"{sf}/documents.parquet"))
+    model = pii.train(windows)
+    assert len(set(model.thresholds)) > 3 and max(model.thresholds) < 1
+    for t, want in REAL.items():
+        assert [t[a:b] for _, a, b in model.select([t], [[]])[0]] == ([want] if want else []), t
+    x, y = pii.examples([w[::-1] for w in windows], 4000, 77)
+    sure = model.trees.probability(x) >= np.array(model.thresholds)[x[:, : len(pii.ADDED)].argmax(axis=1)]
+    for k, kind in enumerate(pii.ADDED):
+        own = x[:, k] > 0
+        assert y[own & sure].mean() > 0.9 and y[own & sure].sum() > 0.7 * y[own].sum(), kind
+
+
+def test_spans_of_the_query_are_those_of_a_plain_version(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model = pii.train(pii.contexts(d))
+    got, again = columns(queries.op1_pii(spark, sf)), columns(queries.op1_pii(spark, sf))
+    assert got == again
+    for r in d.collect():
+        t = r["text"] or ""
+        base = plain_spans(t)
+        found = list(base)
+        scored = [(-float(model.trees.probability(np.array([pii.describe(t, *c)]))[0]), c[1], -c[2], pii.ADDED.index(c[0])) for c in pii.candidates(t)]
+        for p, a, b, k in sorted(scored):
+            if -p >= model.thresholds[k] and all(-b <= x or y <= a for _, x, y in found):
+                found.append((pii.ADDED[k], a, -b))
+        row = got[r["doc_id"]]
+        assert row["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found, key=lambda s: (s[1], pii.ORDER[s[0]], s[2])))
+        assert row["base_sha256"] == sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [row[f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in base) for k in pii.BASE]
+
+
+def test_free_places_take_disjoint_spans():
+    rng = random.Random(6)
+    for _ in range(300):
+        base = [("ip", a, a + rng.randint(1, 9)) for a in rng.sample(range(100), 4)]
+        free, held = pii._Free(base), list(base)
+        for _ in range(30):
+            a = rng.randint(0, 100)
+            b = a + rng.randint(1, 9)
+            fits = all(b <= x or y <= a for _, x, y in held)
+            assert free.take(a, b) == fits
+            held += [("x", a, b)] * fits
+
+
 def test_calibrated_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
