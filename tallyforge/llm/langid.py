@@ -10,7 +10,6 @@ documents that the weights have not seen, makes the scores probabilities.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,13 +23,14 @@ DIM = 1 << 15
 ORDERS = 3
 #: Bound of the fitting sample: documents of each language, the least by a hash of the id.
 SAMPLE_PER_LANGUAGE = 600
+#: More languages than this are taken for an error: their counts come to the driver.
+MOST_LANGUAGES = 1_000
 WORK = 400_000  # bytes of text whose n-grams are made at once
 SHORT = 60  # characters of the stretch of each sampled text that is fitted beside the whole
 UNDETERMINED = "und"
 SCALE = 100.0
 
 _SPREAD = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
-_LETTER = re.compile(r"[^\W\d_]")
 _letter = np.full(0x110000, -1, np.int8)
 
 
@@ -89,7 +89,7 @@ class LanguageModel:
         logits = np.add.reduceat(sums, begins, axis=0, dtype=np.float64) / np.maximum(places * ORDERS, 1)[:, None] + self.bias
         p = _softmax(logits / self.temperature)
         best = p.argmax(1)
-        real = [bool(t) and _LETTER.search(t) is not None for t in texts]
+        real = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         return [self.languages[b] if r else UNDETERMINED for b, r in zip(best, real)], [float(p[k, b]) if r else 0.0 for k, (b, r) in enumerate(zip(best, real))]
 
 
@@ -106,10 +106,12 @@ def _counts(features: list[np.ndarray], begins: np.ndarray, k: int) -> np.ndarra
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.02) -> LanguageModel | None:
     """A model of all languages of df's rows with text and language; None if there are none.
 
-    The number of languages is taken to be small (a few hundred); statistics cover every row.
+    More than MOST_LANGUAGES languages raise ValueError; statistics cover every row.
     """
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
     if not sizes:
         return None
     languages = tuple(sorted(sizes))
@@ -137,9 +139,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         frequency[r["feature"]] = r["n"]
     idf = np.log((1 + n_rows) / (1 + frequency)) + 1
 
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, sample / n))) for name, n in sizes.items()])
+    shares = df.sparkSession.createDataFrame([(name, min(1.0, sample / n)) for name, n in sizes.items()], "lang string, share double")
     order = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language sample")), F.lit(1 << 30))
-    chosen = rows.withColumn("draw", order).where(F.col("draw") < share * F.lit(float(1 << 30)))
+    chosen = rows.withColumn("draw", order).join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("share") * F.lit(float(1 << 30)))
 
     def vectors(batches) -> Iterator:
         import pyarrow as pa

@@ -23,6 +23,7 @@ from .texts import map_texts
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 PART = 1 << 15  # bytes of a data chunk
+LARGEST = (1 << 31) - 1  # bytes of filtered lines of one image: what an Arrow value can hold
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 
 
@@ -98,7 +99,7 @@ def decode_png(data: bytes) -> np.ndarray:
         if data[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + body)):
             raise MediaError(f"checksum of {kind!r}")
         at += 12 + size
-        if kind == b"IHDR":
+        if kind == b"IHDR" and len(body) == 13:
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             parts.append(body)
@@ -110,11 +111,15 @@ def decode_png(data: bytes) -> np.ndarray:
     if not ended or head is None or head[2:] != (8, 0, 0, 0, 0):
         raise MediaError("not a whole grey 8-bit image without interlace")
     width, height = head[:2]
+    size = height * (width + 1)
+    if not width or not height or size > LARGEST:
+        raise MediaError("size of the image")
+    stream = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(parts))
+        raw = stream.decompress(b"".join(parts), size + 1)  # no more than the head says, whatever the data hold
     except zlib.error as e:
         raise MediaError(str(e)) from e
-    if len(raw) != height * (width + 1):
+    if len(raw) != size or not stream.eof:
         raise MediaError("size of the data")
     lines = np.frombuffer(raw, np.uint8).reshape(height, width + 1)
     return unfilter(lines[:, 0], lines[:, 1:])
@@ -171,7 +176,7 @@ def features(df: DataFrame, media_col: str = "media") -> DataFrame:
     def batches(rows):
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string())
         for batch in rows:
-            found = [one(x) for x in batch.column(at).to_pylist()]
+            found = [one(x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]], names=[*batch.schema.names, *new])
 
     added = T.StructType.fromDDL("payload_bytes long, payload_sha256 string, tail_crc32 long, feature binary, error string")

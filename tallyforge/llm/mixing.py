@@ -13,13 +13,16 @@ ranges' sums are added up first, and only the range in which the budget ends nee
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Ranges of a leaf's seeded order; the longest sort has a leaf's documents over RANGES rows.
-RANGES = 4096
+#: Ranges of a leaf's seeded order; the longest sort has a leaf's documents over RANGES rows. Their sums
+#: are added up in groups of GROUP, then the groups' sums, so no window has more than GROUP rows.
+RANGES, GROUP = 4096, 64
 MAX_EPOCHS = 4
 #: Target weights by level; a value that is not listed weighs 1.
 WEIGHTS = {"domain": {"web": 3.0, "reference": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "source": {"src0": 0.5}}
@@ -50,16 +53,24 @@ def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
     return own
 
 
+def checked(weights: dict[str, dict[str, float]]) -> None:
+    """Weights are finite and not negative; 0 leaves a node out, with all that lies below it."""
+    for level, own in weights.items():
+        for name, w in own.items():
+            if level not in LEVELS or w is None or not 0 <= w < math.inf:
+                raise ValueError(f"weight {w!r} of {level} {name!r}")
+
+
 def _fill(df: DataFrame, parent: list[str], level: str, weights: dict) -> DataFrame:
     """Adds `budget` of each child from `given` of its parent, by water filling: in order of supply for
     its weight, a child is full if the level of water at its height needs no more than is given."""
     w = _weight(level, weights)
-    rows = df.withColumn("w", w).withColumn("height", F.col("supply") / F.col("w"))
+    rows = df.withColumn("w", w).withColumn("height", F.coalesce(F.try_divide("supply", "w"), F.lit(0.0)))
     order = Window.partitionBy(*parent).orderBy("height", level)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"full_before": F.coalesce(F.sum("supply").over(before), F.lit(0)), "w_left": F.sum("w").over(Window.partitionBy(*parent)) - F.coalesce(F.sum("w").over(before), F.lit(0.0))})
-    rows = rows.withColumn("level_here", (F.col("given") - F.col("full_before")) / F.col("w_left"))
-    full = F.col("level_here") >= F.col("height")
+    rows = rows.withColumns({"full_before": F.coalesce(F.sum("supply").over(before), F.lit(0)), "w_left": F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))})
+    rows = rows.withColumn("level_here", F.try_divide(F.col("given") - F.col("full_before"), "w_left"))
+    full = (F.col("w") == 0) | (F.col("level_here") >= F.col("height"))
     # Of the children that are not full, the first one's level of water holds for all.
     rows = rows.withColumn("water", F.first(F.when(~full, F.col("level_here")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     budget = F.when(full, F.col("supply")).otherwise(F.least(F.floor(F.col("water") * F.col("w")).cast("long"), F.col("supply")))
@@ -69,7 +80,8 @@ def _fill(df: DataFrame, parent: list[str], level: str, weights: dict) -> DataFr
 def budgets(docs: DataFrame, weights: dict, max_epochs: int, total: int | None, share: tuple[int, int]) -> DataFrame:
     """(domain, lang, source, n_tokens, budget): a row for each leaf."""
     leaf = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n_tokens"))
-    leaf = leaf.withColumn("supply", F.col("n_tokens") * F.lit(max_epochs).cast("long"))
+    wanted = F.least(*[_weight(level, weights) for level in LEVELS]) > 0
+    leaf = leaf.withColumn("supply", F.when(wanted, F.col("n_tokens") * F.lit(max_epochs).cast("long")).otherwise(F.lit(0).cast("long")))
     by_lang = leaf.groupBy("domain", "lang").agg(F.sum("supply").alias("supply"))
     by_domain = leaf.groupBy("domain").agg(F.sum("supply").alias("supply"), F.sum("n_tokens").alias("n_tokens")).withColumn("root", F.lit(1))
     every = F.sum("n_tokens").over(Window.partitionBy("root"))
@@ -86,9 +98,12 @@ def mix(df: DataFrame, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS, to
     its last document and passes its budget by less than that. 0 epochs: not taken. Documents without
     words cost nothing and are taken as often as their place is reached. Null language or source is
     "", null text has no words; repeated rows follow one another; an empty table is empty.
-    `total` tokens are shared out, or `share` of the supply of one epoch if it is null. The tree (leaves
-    with their sums) is taken to be small beside the documents.
+    `total` tokens are shared out, or `share` of the supply of one epoch if it is null. A weight of 0
+    leaves a node out, and its documents have 0 epochs; negative, null or infinite weights raise
+    ValueError. The tree (leaves with their sums) is taken to be small beside the documents: siblings
+    meet in one task, a row each. Texts may be of any length; further columns are not read.
     """
+    checked(weights)
     docs = leaves(df, id_col, text_col, lang_col, source_col)
     plan = budgets(docs, weights, max_epochs, total, share)
     # Whole epochs, and what is left for the next one. Its order is that epoch's own.
@@ -99,9 +114,15 @@ def mix(df: DataFrame, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS, to
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
     rows = rows.withColumn("pos", key).withColumn("range", F.shiftright("pos", 48 - RANGES.bit_length() + 1).cast("int"))
     sums = rows.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("range_tokens"))
-    before = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("range_start", F.coalesce(F.sum("range_tokens").over(before), F.lit(0)))
-    rows = rows.join(sums, [*LEVELS, "range"])
+    sums = sums.withColumn("group", F.floor(F.col("range") / GROUP).cast("int"))
+
+    def started(df: DataFrame, value: str, name: str, order: str, *keys: str) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+
+    groups = started(sums.groupBy(*LEVELS, "group").agg(F.sum("range_tokens").alias("group_tokens")), "group_tokens", "group_start", "group", *LEVELS)
+    sums = started(sums, "range_tokens", "within", "range", *LEVELS, "group").join(groups, [*LEVELS, "group"])
+    rows = rows.join(sums.select(*LEVELS, "range", (F.col("group_start") + F.col("within")).alias("range_start")), [*LEVELS, "range"])
     own = Window.partitionBy(*LEVELS, "range").orderBy("pos", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("range_start") + F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
     epochs = F.col("whole") + F.when(F.col("start") < F.col("rest"), F.lit(1)).otherwise(F.lit(0))
@@ -116,7 +137,7 @@ def _fill_sql(name: str, source: str, parent: str, level: str) -> str:
     return f"""
 {name}_w AS (SELECT *, {_case(level, WEIGHTS)} AS w, supply / ({_case(level, WEIGHTS)}) AS height FROM {source}),
 {name}_a AS (SELECT *, coalesce(sum(supply) OVER (PARTITION BY {parent} ORDER BY height, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
-  sum(w) OVER (PARTITION BY {parent}) - coalesce(sum(w) OVER (PARTITION BY {parent} ORDER BY height, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS w_left FROM {name}_w),
+  sum(w) OVER (PARTITION BY {parent} ORDER BY height, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left FROM {name}_w),
 {name}_b AS (SELECT *, (given - full_before)::DOUBLE / w_left AS lv FROM {name}_a),
 {name}_c AS (SELECT *, lv >= height AS is_full, first_value(CASE WHEN lv < height THEN lv END IGNORE NULLS) OVER (PARTITION BY {parent} ORDER BY height, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS water FROM {name}_b),
 {name} AS (SELECT *, CASE WHEN is_full THEN supply ELSE least(floor(water * w)::BIGINT, supply) END AS budget FROM {name}_c)"""
@@ -125,8 +146,7 @@ def _fill_sql(name: str, source: str, parent: str, level: str) -> str:
 SQL = rf"""
 WITH docs AS (
   SELECT doc_id AS id, CASE WHEN coalesce(source, '') IN {REFERENCE_SOURCES} THEN 'reference' ELSE 'web' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), lambda w: w <> ''))::BIGINT AS n_tokens FROM documents),
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS n_tokens FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS n_tokens, (sum(n_tokens) * {MAX_EPOCHS})::BIGINT AS supply FROM docs GROUP BY ALL),
 dom AS (SELECT domain, 1 AS root, sum(supply)::BIGINT AS supply, floor(sum(sum(n_tokens)) OVER () * {SHARE[0]} / {SHARE[1]})::BIGINT AS given FROM leaf GROUP BY domain),
 {_fill_sql("f1", "dom", "root", "domain")},

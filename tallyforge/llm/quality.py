@@ -146,7 +146,7 @@ def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 _WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
-SQL = rf"""
+_LEDGER_SQL = rf"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 split AS (
   SELECT doc_id, r, t, {_WORDS} AS ws,
@@ -171,7 +171,13 @@ measured AS (
 ledger AS (
   SELECT *, ({" | ".join(f"(CASE WHEN {r.when} THEN {1 << k} ELSE 0 END)" for k, r in enumerate(RULES))})::BIGINT AS failed
   FROM measured)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed,
+"""
+SQL = rf"""{_LEDGER_SQL}SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed,
        (failed & {mask("base")}) <> 0 AS base_failed, (failed & {mask(CURRENT) | mask("base")}) = 0 AS kept
 FROM ledger
 """
+#: Every rule left out in turn: the policy's mask without its bit, applied to the ledger anew.
+ABLATIONS_SQL = rf"""{_LEDGER_SQL}SELECT '{CURRENT}' AS policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & {mask(CURRENT)} = bit) AS n_alone,
+       count(*) FILTER (failed & {mask(CURRENT)} = 0) AS n_kept, count(*) FILTER (failed & ({mask(CURRENT)} - bit) = 0) AS n_kept_without
+FROM ledger, (VALUES {", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(RULES) if r.name in POLICIES[CURRENT])}) AS rules(rule, bit) GROUP BY rule
+"""

@@ -27,6 +27,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", "base_failed", "kept")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy decides alone, counted from the ledger of op3."""
+    return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -56,5 +61,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_quality, op4_token_count, op5_chat, op6_mixing, op7_urls, op8_piece_codec, op9_media, op10_langid)}
-SQL = {"op3_quality": quality.SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.SQL, "op7_urls": urlfilter.SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_quality, op4_token_count, op5_chat, op6_mixing, op7_urls, op8_piece_codec, op9_media, op10_langid, quality_ablations)}
+SQL = {"op3_quality": quality.SQL, "quality_ablations": quality.ABLATIONS_SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.SQL, "op7_urls": urlfilter.SQL}

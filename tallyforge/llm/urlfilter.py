@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 6
-#: Words of the filter for each listed key (64 bits each), and the most words (2 MB).
-WORDS_PER_KEY, BLOCKS = 1, 1 << 18
-#: A list of at most so many rules is broadcast to the exact join; a longer one is shuffled.
-BROADCAST_RULES = 100_000
+#: Words of 8 bytes that a filter may have as a literal.
+LITERAL = 1 << 16
+#: A list of at most so many bytes of keys is broadcast to the exact join; a longer one is shuffled.
+BROADCAST_BYTES = 8 << 20
 
 CONTRACT_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -46,14 +46,10 @@ def _bits(h: Column) -> Column:
     return word
 
 
-def bloom(keys: DataFrame, key_col: str, blocks: int) -> list[int]:
-    """Words of the filter of all keys; the aggregation's result has `blocks` rows at most."""
+def bloom(keys: DataFrame, key_col: str, blocks: int) -> DataFrame:
+    """(block, word) of the filter of all keys; words without a bit are left out."""
     h = _hash(F.col(key_col))
-    set_bits = keys.select(_block(h, blocks).alias("b"), _bits(h).alias("w")).groupBy("b").agg(F.bit_or("w").alias("w"))
-    words = [0] * blocks
-    for r in set_bits.collect():
-        words[r["b"]] = r["w"]
-    return words
+    return keys.select(_block(h, blocks).alias("block"), _bits(h).alias("w")).groupBy("block").agg(F.bit_or("w").alias("word"))
 
 
 def judge(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -61,33 +57,45 @@ def judge(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str
 
     A rule fits its host and all subdomains if the url's path starts with the rule's; the longest rule
     wins (then the longest host). Without one, `rule` is null and `verdict` the default. Rules with a
-    null in any column and null urls fit nothing. Rows stay rows; an empty table is empty; other
-    columns are not read.
+    null in any column and null urls fit nothing; an empty list fits nothing. Rows stay rows, equal ones
+    too; an empty table is empty; other columns are not read.
     """
     listed = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("action").isNotNull())
     listed = listed.groupBy(F.concat("host", F.lit("\n"), "path").alias("key")).agg(F.max("action").alias("action"))
-    sizes = listed.agg(F.count("*").alias("n"), F.collect_set(F.char_length(F.split("key", "\n")[1])).alias("lengths")).first()
-    blocks = max(1, min(BLOCKS, sizes["n"] * WORDS_PER_KEY))
-    # One text that the optimizer folds into one literal array of BLOCKS words (2 MB) at most.
-    words = F.split(F.lit(",".join(map(str, bloom(listed, "key", blocks)))), ",").cast("array<bigint>")
+    sizes = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("key") + F.lit(64)), F.lit(0)).alias("bytes"), F.collect_set(F.char_length(F.split("key", "\n")[1])).alias("lengths")).first()
+    blocks = max(1, sizes["n"])
+    filled = bloom(listed, "key", blocks)
     host, path = host_and_path(F.col(url_col).cast("string"))
-    rows = df.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    rows = df.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     lengths = F.array(*[F.lit(n) for n in sorted(sizes["lengths"])]).cast("array<int>")
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     begins = F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
     keys = F.when(F.col("host") != "", F.flatten(F.transform(suffixes, lambda s: F.transform(begins, lambda p: F.concat(s, F.lit("\n"), p)))))
 
-    def possible(key: Column) -> Column:
-        h = _hash(key)
-        return F.get(words, _block(h, blocks)).bitwiseAND(_bits(h)) == _bits(h)
+    def passes(word: Column, key: Column) -> Column:
+        bits = _bits(_hash(key))
+        return F.coalesce(word, F.lit(0)).bitwiseAND(bits) == bits
 
-    hits = rows.select(id_col, "host", "path", "row", F.filter(keys, possible).alias("hits"))
-    exact = F.broadcast(listed) if sizes["n"] <= BROADCAST_RULES else listed
-    met = hits.select(id_col, "host", "path", "row", F.explode_outer("hits").alias("key")).join(exact, "key", "left")
+    exact = F.broadcast(listed) if sizes["bytes"] <= BROADCAST_BYTES else listed
     rank = F.when(F.col("action").isNotNull(), F.struct(F.char_length("key").alias("n"), F.char_length(F.split("key", "\n")[0]).alias("h"), "key", "action"))
-    out = met.groupBy("row", id_col, "host", "path").agg(F.max(rank).alias("best"))
-    return out.select(id_col, "host", "path", F.translate("best.key", "\n", "").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    if blocks <= LITERAL:
+        words = [0] * blocks
+        for r in filled.collect():  # LITERAL rows at most
+            words[r["block"]] = r["word"]
+        # One text that the optimizer folds into one literal array.
+        literal = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+        sieved = rows.withColumn("hits", F.filter(keys, lambda key: passes(F.get(literal, _block(_hash(key), blocks)), key)))
+        none, some = (sieved.where((F.coalesce(F.size("hits"), F.lit(0)) > 0) == hit) for hit in (False, True))
+        met = some.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.explode("hits")).join(exact, "key", "left")
+        out = met.groupBy("row", "id", "host", "path").agg(F.max(rank).alias("best"))
+        out = out.select("id", "host", "path", "best").unionByName(none.select("id", "host", "path", F.lit(None).cast(out.schema["best"].dataType).alias("best")))
+    else:
+        rows = rows.withColumn("row", F.monotonically_increasing_id())
+        asked = rows.select("row", F.explode(keys).alias("key")).withColumn("block", _block(_hash(F.col("key")), blocks))
+        hit = asked.join(filled, "block").where(passes(F.col("word"), F.col("key"))).join(exact, "key")
+        out = rows.join(hit.groupBy("row").agg(F.max(rank).alias("best")), "row", "left")
+    return out.select(F.col("id").alias(id_col), "host", "path", F.translate("best.key", "\n", "").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 SQL = r"""

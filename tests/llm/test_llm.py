@@ -1,10 +1,12 @@
 """Operators of the llm subpackage against plain versions, on small tables with the awkward cases."""
 
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
-from hashlib import sha256
+from hashlib import md5, sha256
 from pathlib import Path
 
 import duckdb
@@ -370,12 +372,18 @@ def test_measures(docs, texts):
         assert r["base_failed"] == (m[0] < 20 or 100 * m[4] > 30 * m[0]) and not (r["kept"] and r["base_failed"])
 
 
-def test_ablations_come_from_the_ledger(docs):
-    rows = quality.ledger(docs).cache()
-    kept = quality.verdicts(rows).where("kept").count()
-    for r in quality.ablations(rows).collect():
-        without = rows.where(F.col("failed").bitwiseAND(F.lit(quality.mask("v2") & ~quality.mask("base") | quality.mask("base"))) == 0).count()
-        assert r["n_kept"] == kept == without and r["n_alone"] <= r["n_failed"]
+def test_ablations_come_from_the_ledger(spark, texts):
+    rows = [*enumerate(texts), (900, "# " * 400 + "word"), (901, "SHOUT LOUD " + " ".join(f"W{k}ORD" for k in range(60)))]
+    rows = quality.ledger(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    failed = [r["failed"] for r in rows.select("failed").collect()]
+    found = quality.ablations(rows).collect()
+    assert len(found) == len(quality.POLICIES["v2"])
+    for r in found:
+        bit = 1 << [x.name for x in quality.RULES].index(r["rule"])
+        rest = quality.mask("v2") - bit
+        assert r["n_failed"] == sum(f & bit > 0 for f in failed) and r["n_kept"] == sum(f & quality.mask("v2") == 0 for f in failed)
+        assert r["n_kept_without"] == sum(f & rest == 0 for f in failed) == r["n_kept"] + r["n_alone"]
+    assert any(r["n_alone"] for r in found)
     assert quality.ablations(rows.limit(0)).first()["n_kept"] == 0
 
 
@@ -457,6 +465,65 @@ def test_budgets_fill_siblings_first(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_weights_of_zero_leave_out(spark):
+    rows = [(k, "w " * (k % 5), ("en", "de", None)[k % 3], ("a", "b", "src1")[k % 2]) for k in range(60)]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, lang string, source string, id int, budget int, pos string")
+    got = mixing.mix(df, weights={"source": {"a": 0.0}, "lang": {"de": 0}}, max_epochs=2, total=100).collect()
+    assert len(got) == 60 and all(r["epochs"] == 0 and r["budget"] == 0 for r in got if r["source"] == "a" or r["lang"] == "de")
+    taken = sum(r["n_tokens"] * r["epochs"] for r in got)
+    most = sum(2 * r["n_tokens"] for r in got if r["source"] != "a" and r["lang"] != "de")
+    assert 0 <= taken - min(100, most) < 20
+    assert all(r["epochs"] == 0 for r in mixing.mix(df, weights={"domain": {"web": 0, "reference": 0}}).collect())
+    for bad in (-1.0, None, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mix(df, weights={"lang": {"en": bad}})
+    long_text = spark.createDataFrame([(1, "w " * 200_000, "en", "a"), (1, "w", "en", "a"), (None, "w", "en", "a")], "doc_id long, text string, lang string, source string")
+    assert sorted(r["n_tokens"] for r in mixing.mix(long_text).collect()) == [1, 1, 200_000]
+
+
+def test_mixture_is_that_of_a_plain_version(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = mixing.mix(d, max_epochs=3, total=9000).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault((r["domain"], r["lang"], r["source"]), []).append(r)
+
+    def fill(given: int, supply: dict, weight: dict) -> dict:
+        out, left = {}, dict(supply)
+        while left:
+            level = given / sum(weight[c] for c in left)
+            full = [c for c in left if supply[c] <= level * weight[c]]
+            if not full:
+                return out | {c: min(int(level * weight[c]), supply[c]) for c in left}
+            c = min(full, key=lambda c: (supply[c] / weight[c], c))
+            out[c], given = supply[c], given - supply[c]
+            del left[c]
+        return out
+
+    def weigh(level: str, names: set) -> dict:
+        return {n: mixing.WEIGHTS[level].get(n, 1.0) for n in names}
+
+    tokens = {k: sum(r["n_tokens"] for r in v) for k, v in by.items()}
+    top = fill(9000, {d: sum(3 * n for k, n in tokens.items() if k[0] == d) for d, _, _ in by}, weigh("domain", {k[0] for k in by}))
+    for dom, budget in top.items():
+        mid = fill(budget, {x: sum(3 * n for k, n in tokens.items() if k[:2] == (dom, x)) for d, x, _ in by if d == dom}, weigh("lang", {k[1] for k in by}))
+        for lang, own in mid.items():
+            low = fill(own, {x: 3 * tokens[dom, lang, x] for d, l, x in by if (d, l) == (dom, lang)}, weigh("source", {k[2] for k in by}))
+            for source, b in low.items():
+                leaf = by[dom, lang, source]
+                assert {r["budget"] for r in leaf} == {b}
+                n = tokens[dom, lang, source]
+                whole, at = (b // n, 0) if n else (0, 0)
+                key = lambda r: (int(sha_like(f"{mixing.SEED}:{whole}:{r['doc_id']}"), 16), r["doc_id"], r["n_tokens"])  # noqa: B023, E731
+                for r in sorted(leaf, key=key):
+                    assert r["epochs"] == whole + (at < b - whole * n)
+                    at += r["n_tokens"]
+
+
+def sha_like(text: str) -> str:
+    return md5(text.encode()).hexdigest()[:12]
+
+
 # Urls
 
 
@@ -469,10 +536,25 @@ def test_rules_and_hosts(spark):
     assert all(got[k]["rule"] is None for k in (0, 1, 2, 3, 10, 11))
 
 
-def test_long_lists_keep_their_verdicts(spark):
+@pytest.mark.parametrize("literal", [1 << 16, 16])
+def test_long_lists_keep_their_verdicts(spark, monkeypatch, literal):
+    monkeypatch.setattr(urlfilter, "LITERAL", literal)
     rules = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".net")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("action"))
-    df = spark.range(0, 6000).select("id", F.concat(F.lit("http://www.h"), "id", F.lit(".net/p")).alias("url"))
-    assert {r["verdict"]: r["count"] for r in urlfilter.judge(df, rules, "id").groupBy("verdict").count().collect()} == {"block": 3000, "allow": 3000}
+    df = spark.range(0, 6000).select(F.col("id").alias("row"), F.concat(F.lit("http://www.h"), "id", F.lit(".net/p")).alias("url"), *[F.lit("x").alias(c) for c in ("host", "path", "id", "key", "hits", "best")])
+    got = urlfilter.judge(df, rules, "row").collect()
+    assert sorted(r["row"] for r in got) == list(range(6000)) and all((r["verdict"] == "block") == (r["row"] < 3000) == (r["rule"] is not None) for r in got)
+    twice = urlfilter.judge(df.where("row < 2").union(df.where("row < 2")), rules, "row")
+    assert twice.count() == 4 and urlfilter.judge(df.limit(0), rules, "row").count() == 0
+    assert {r["verdict"] for r in urlfilter.judge(df.limit(5), rules.limit(0), "row").collect()} == {"allow"}
+
+
+def test_filters_have_no_false_negatives(spark):
+    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
+    words = {r["block"]: r["word"] for r in urlfilter.bloom(keys, "key", 5000).collect()}
+    h = urlfilter._hash(F.col("key"))
+    asked = spark.range(10000).select("id", F.concat(F.lit("k"), "id").alias("key")).select("id", urlfilter._block(h, 5000).alias("b"), urlfilter._bits(h).alias("w")).collect()
+    passed = [r["id"] for r in asked if words.get(r["b"], 0) & r["w"] == r["w"]]
+    assert set(range(5000)) <= set(passed) and len(passed) < 5000 + 300
 
 
 # Media
@@ -500,14 +582,130 @@ def test_all_filters_and_broken_files():
     assert (media.unfilter(kinds, lines) == image).all()
     png = media.encode_png(image.tobytes())
     assert (media.decode_png(png) == image).all()
-    for bad in (b"", png[:-5], png[:40] + b"\x00" + png[41:], b"x" + png[1:]):
+    short = media.SIGNATURE + media._chunk(b"IHDR", b"\0" * 5) + png[33:]
+    flat = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 0, 8, 0, 0, 0, 0)) + png[33:]
+    huge = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 1 << 30, 1 << 30, 8, 0, 0, 0, 0)) + png[33:]
+    bomb = media.SIGNATURE + png[8:33] + media._chunk(b"IDAT", zlib.compress(bytes(50_000_000))) + media._chunk(b"IEND", b"")
+    for bad in (short, flat, huge, bomb, b"", png[:-5], png[:40] + b"\x00" + png[41:], b"x" + png[1:]):
         with pytest.raises(media.MediaError):
             media.decode_png(bad)
 
 
+def test_broken_media_are_rows_with_an_error(spark):
+    png = media.encode_png(bytes(64))
+    rows = [(1, png), (1, png), (2, None), (3, b""), (4, media.SIGNATURE + media._chunk(b"IHDR", b"")), (5, png[:33] + png[45:])]
+    got = media.features(spark.createDataFrame([(k, m, "x") for k, m in rows], "id int, media binary, error string")).collect()
+    assert [r["error"] is None for r in sorted(got, key=lambda r: r["id"])] == [True, True, False, False, False, False]
+
+
+def test_feature_is_that_of_a_plain_cosine_transform(spark):
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 31, 32, 40, 200):
+        image = rng.integers(0, 256, (n, 64), np.uint8)
+        rows = [[int(v) for v in r] for r in image]
+        # Reduced to 32 x 32: means of the rows, then columns, that fall into each bin, in 256ths.
+        def bins(a):
+            m = len(a)
+            if m < 32:
+                return [[v * 256 for v in a[k * m // 32]] for k in range(32)]
+            cuts = [k * m // 32 for k in range(33)]
+            return [[sum(r[c] for r in a[x:y]) * 256 // (y - x) for c in range(len(a[0]))] for x, y in zip(cuts, cuts[1:])]
+        small = [list(c) for c in zip(*bins([[v // 16 for v in c] for c in zip(*bins(rows))]))]
+        cos = [[round(4096 * math.cos(math.pi * (2 * x + 1) * u / 64)) for x in range(32)] for u in range(8)]
+        low = [sum(cos[u][y] * cos[v][x] * small[y][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+        median = sorted(low)[31]
+        assert media.cosine_hash(image) == int("".join("01"[v > median] for v in low), 2).to_bytes(8, "big")
+
+
 # Language
 
 
+def plain_grams(t: str | None) -> Counter:
+    """Features of a text's n-grams, character by character."""
+    low, letters = (t or "").lower(), []
+    for c in low:
+        if c.isalpha():
+            letters.append(ord(c))
+        elif not letters or letters[-1] != 0:
+            letters.append(0)
+    if letters and letters[0] == 0:
+        letters = letters[1:] if False else letters
+    chars, found, m = [0, 0, *letters], Counter(), (1 << 32) - 1
+    for at in range(2, len(chars)):
+        mixed = 0
+        for k in range(3):
+            mixed = (mixed + chars[at - k] * int(langid._SPREAD[k])) & m
+            h = (mixed + k * 97 + 1) & m
+            h = (h ^ h >> 15) * 739982445 & m
+            found[(h >> 17) & (langid.DIM - 1)] += 1
+    return found
+
+
+def test_model_is_that_of_a_plain_version(spark):
+    rng = random.Random(12)
+    words = {"en": "the of and to in".split(), "de": "der die und das von".split()}
+    rows = [(k, " ".join(rng.choice(words[l]) + rng.choice(("", "ing", "en")) for _ in range(rng.randint(1, 12))), l) for k, l in enumerate(rng.choice(("en", "de")) for _ in range(60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, sample=1000)
+    n, frequency = len(rows), Counter()
+    for _, t, _ in rows:
+        frequency.update(plain_grams(t).keys())
+    idf = {f: math.log((1 + n) / (1 + c)) + 1 for f, c in frequency.items()}
+    draws = {r["doc_id"]: r["d"] for r in df.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 30)).alias("d")).collect()}
+    names, fit, held = ["de", "en"], [], []
+    for k, t, l in rows:
+        for part in (t, t[len(t) // 3 :][: langid.SHORT]):
+            g = plain_grams(part)
+            total = max(1, sum(g.values()))
+            x = {f: float(np.float32(c / total)) * idf.get(f, math.log(1 + n) + 1) * langid.SCALE for f, c in g.items()}
+            sortable = (draws[k], l, np.array(sorted(g), np.uint16).tobytes(), np.array([g[f] / total for f in sorted(g)], np.float32).tobytes())
+            (held if draws[k] % 4 == 0 else fit).append((sortable, x, names.index(l)))
+    fit.sort(key=lambda r: r[0])
+    z, s = {}, {}
+
+    def weight(f, c):
+        v, q = z.get((f, c), 0.0), s.get((f, c), 0.0)
+        return 0.0 if abs(v) <= 0.002 else -(v - math.copysign(0.002, v)) / (1.0 + math.sqrt(q) + 0.02)
+
+    for epoch in range(3):
+        for k in np.random.default_rng(epoch).permutation(len(fit)):
+            _, x, y = fit[k]
+            x = x | {-1: 1.0}
+            score = [sum(v * weight(f, c) for f, v in x.items()) for c in range(2)]
+            p = [math.exp(v - max(score)) for v in score]
+            p = [v / sum(p) for v in p]
+            old = {(f, c): weight(f, c) for f in x for c in range(2)}
+            for f, v in x.items():
+                for c in range(2):
+                    g, q = v * (p[c] - (c == y)), s.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - (math.sqrt(q + g * g) - math.sqrt(q)) * old[f, c]
+                    s[f, c] = q + g * g
+    logits = [([sum(v * weight(f, c) for f, v in x.items()) + weight(-1, c) for c in range(2)], y) for _, x, y in held]
+    loss = lambda u: sum(math.log(sum(math.exp((v - l[y]) / math.exp(u)) for v in l)) for l, y in logits) / len(logits) + 1e-4 * u * u
+    best = math.exp(min((k / 500 - 3 for k in range(3001)), key=loss))
+    assert model.temperature == pytest.approx(best, rel=0.01)
+    for t in ("the undoing of", "der von", "", "x", rows[0][1] * 3):
+        g = plain_grams(t)
+        total = max(1, sum(g.values()))
+        score = [sum(c / total * idf.get(f, math.log(1 + n) + 1) * langid.SCALE * weight(f, k) for f, c in g.items()) + weight(-1, k) for k in range(2)]
+        p = [math.exp((v - max(score)) / model.temperature) for v in score]
+        lang, sure = model.predict([t])
+        if t:
+            assert lang == [names[p.index(max(p))]] and sure[0] == pytest.approx(max(p) / sum(p), abs=1e-3)
+        else:
+            assert (lang, sure) == (["und"], [0.0])
+
+
+def test_signs_that_are_no_letters_have_no_language(spark, docs):
+    more = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(900, "² ½ ① Ⅷ", "en"), (900, "² ½ ① Ⅷ", "en"), (901, "中", "en")], "doc_id long, text string, lang string"))
+    got = langid.identify(more).where("doc_id >= 900").collect()
+    assert sorted((r["doc_id"], r["lang_pred"] == "und") for r in got) == [(900, True), (900, True), (901, False)]
+    many = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.train(many)
+
+
+
 def test_languages_of_held_out_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
