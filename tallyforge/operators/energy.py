@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rows
-from ..sources.draws import BLUES, REDS
-from . import association, stats
+from ..sources.draws import BLUES, REDS, weight
 
 #: Weights of the terms. Fixed values.
 WEIGHTS = {"sum": 1.0, "span": 1.0, "parity": 1.5, "zone": 1.5, "ac": 0.5, "gap": 0.5, "position": 2.0, "frequency": 0.3, "association": 0.2, "conditional": 0.1}
@@ -35,17 +34,52 @@ class Model:
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
 
 
+def _cells(d: DataFrame, half_life: float) -> dict[str, dict[tuple, tuple[float, int]]]:
+    """(weight, count) of all that the model counts in draws, by kind and key: one aggregation, whose map
+    side already reduces to some 1,300 cells, bounded by the pools."""
+    none = F.lit(None).cast("int")
+    z, at = rows.zones(), [F.get("reds", F.lit(k)) for k in range(6)]
+
+    def cell(kind: str, *keys: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), *[(keys[k].cast("int") if k < len(keys) else none).alias(f"k{k}") for k in range(3)])
+
+    own = [cell("draws"), cell("total", rows.numeric()["sum"]), cell("span", rows.numeric()["span"]), cell("parity", rows.parity()["odd_count"]), cell("zone", z["zone_small"], z["zone_mid"], z["zone_large"]), cell("ac", rows.ac_value()), cell("blue", F.col("blue"))]
+    own += [cell("position", F.lit(k + 1), at[k]) for k in range(6)] + [cell("gap", at[k + 1] - at[k]) for k in range(5)] + [cell("red", x) for x in at]
+    own += [cell("pair", at[i], at[j]) for i in range(6) for j in range(i + 1, 6)]
+    sums = d.select(weight(half_life).alias("w"), F.explode(F.array(*own)).alias("x")).groupBy("x.kind", "x.k0", "x.k1", "x.k2").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    out: dict[str, dict[tuple, tuple[float, int]]] = {}
+    for r in sums.collect():
+        out.setdefault(r["kind"], {})[tuple(k for k in (r["k0"], r["k1"], r["k2"]) if k is not None)] = (float(r["w"]), r["n"])
+    return out
+
+
+def _lifts(cells: dict, min_support: float, min_lift: float, n_top: int = 50) -> dict[tuple[int, int], float]:
+    """What association.pair_scores gives: of the n_top directed pairs of most lift, ties to the lower."""
+    total = cells["draws"][()][0]
+    single = {b: w / total for (b,), (w, _) in cells["red"].items()}
+    frequent = {b: s if round(s, 9) >= min_support else 0.001 for b, s in single.items()}
+    found = {}
+    for pair, (w, _) in cells["pair"].items():
+        if round(w / total, 9) >= min_support:
+            found[pair] = w / total / max(frequent[pair[0]] * frequent[pair[1]], 1e-4)
+    best = sorted((p for p in found if round(found[p], 9) >= min_lift), key=lambda p: (-round(found[p], 9), p))
+    return {p: found[p] for p in best[: n_top // 2]}
+
+
 def fit(d: DataFrame, half_life: float = 200, min_support: float = 0.01, min_lift: float = 1.02, mine: bool = True) -> Model:
-    s = stats.sum_distribution(d).first()
-    dist: dict[str, dict[tuple, float]] = {}
-    for r in stats.distributions(d).collect():  # a few hundred cells
-        dist.setdefault(r["dist"], {})[tuple(k for k in (r["k1"], r["k2"], r["k3"]) if k is not None)] = r["p"]
-    f = {(r["colour"], r["ball"]): r["weight"] for r in stats.frequencies(d, half_life).collect()}
-    cond = [[0.0] * REDS for _ in range(REDS)]
-    for r in stats.conditional(d, half_life).collect():
-        cond[r["a"] - 1][r["b"] - 1] = r["p"]
-    lifts = {(r["x"], r["y"]): r["lift"] for r in association.pair_scores(association.rules(association.itemsets(d, min_support, 2, half_life)), min_lift).collect()} if mine else {}
-    return Model(s["mean"], s["std"], dist, [f["red", b] for b in range(1, REDS + 1)], [f["blue", b] for b in range(1, BLUES + 1)], cond, lifts)
+    """One job over the history; the model's tables follow from its cells on the driver. A history
+    without draws gives empty tables."""
+    cells = _cells(d, half_life)
+    draws = cells.get("draws", {(): (0.0, 0)})[()][1]
+    totals = {k[0]: n for k, (_, n) in cells.get("total", {}).items()}
+    mean = sum(t * n for t, n in totals.items()) / max(draws, 1)
+    std = math.sqrt(max(0.0, sum(t * t * n for t, n in totals.items()) * draws - sum(t * n for t, n in totals.items()) ** 2)) / max(draws, 1)
+    dist = {name: {k: n / (draws * (5 if name == "gap" else 1)) for k, (_, n) in cells.get(name, {}).items()} for name in ("span", "parity", "zone", "ac", "position", "gap")}
+    ball = lambda kind, b: cells.get(kind, {}).get((b,), (0.0, 0))[0]
+    pair = lambda a, b: cells.get("pair", {}).get((min(a, b), max(a, b)), (0.0, 0))[0]
+    pool = range(1, REDS + 1)
+    conditional = [[pair(a, b) / max(ball("red", a), 0.001) if a != b else 0.0 for b in pool] for a in pool]
+    return Model(mean, std, dist, [ball("red", b) for b in pool], [ball("blue", b) for b in range(1, BLUES + 1)], conditional, _lifts(cells, min_support, min_lift) if mine and draws else {})
 
 
 def combinations(spark: SparkSession) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rows
-from ..sources.draws import BLUES, PICKED, REDS, grid
+from ..sources.draws import BLUES, PICKED, REDS
 
 BLOCK = 1024
 
@@ -41,49 +41,90 @@ def windowed(d: DataFrame, reach: int, columns: dict[str, Column]) -> DataFrame:
     return own_rows(h.withColumns(columns), size)
 
 
-def ema(x: Column, w: int, alpha: float | None = None) -> Column:
-    """Starts at the newest earlier draw and folds towards older ones; null without earlier draws."""
-    a = alpha if alpha is not None else 2.0 / (w + 1)
-    seen = F.collect_list(x.cast("double")).over(past(w))
-    return F.when(F.size(seen) > 0, F.aggregate(F.slice(seen, 2, w), F.get(seen, 0), lambda acc, v: v * a + acc * (1 - a)))
+def _older() -> Column:
+    """Draws before this one that its block and halo hold: all there are, or as many as a window reaches."""
+    return F.max("idx").over(Window.partitionBy("block")) - F.col("idx")
 
 
-def trend(x: Column, w: int) -> Column:
-    """Least-squares slope against age (0: newest); null under three earlier draws."""
-    return F.when(F.count(x).over(past(w)) >= 3, F.regr_slope(x.cast("double"), F.col("idx").cast("double")).over(past(w)))
+def _running(h: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """h with sums over its block from the newest draw down to each one: a window's sum is the difference
+    of two of them, so every row costs the same whatever the window."""
+    down = Window.partitionBy("block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return h.withColumns({n: F.sum(c).over(down) for n, c in columns.items()} | {"older": _older()})
 
 
-def volatility(x: Column, w: int) -> Column:
-    return F.when(F.count(x).over(past(w)) >= 2, F.stddev_pop(x).over(past(w)))
+def _sum_before(name: str, w: int) -> Column:
+    """Sum over the w draws before, of a column of `_running`."""
+    order = Window.partitionBy("block").orderBy("idx")
+    last = F.last(name).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.coalesce(F.lead(name, w).over(order), last) - F.col(name)
 
 
-def change(x: Column, lag: int) -> Column:
-    return x - F.lead(x, lag).over(Window.partitionBy("block").orderBy("idx"))
+def _emas(h: DataFrame, windows: tuple[int, ...]) -> dict[str, Column]:
+    """Starts at the newest earlier draw and folds towards older ones; null without earlier draws. The
+    fold weighs a draw by (1 - a) to the number of window rows older than it, so it is a window's sum of
+    values times (1 - a) to minus the place in the block, scaled back. These grow towards older draws by
+    less than 1e70 in a block; the oldest ones, which the window's sum consists of, are never lost."""
+    return {f"{n}_{w}": F.col(n) * F.exp(F.col("place") * -math.log(1 - 2.0 / (w + 1))) for w in windows for n in rows.simple()}
 
 
 def followed(d: DataFrame, kind: str, windows: tuple[int, ...]) -> DataFrame:
-    """idx and, for each simple feature and window, its ema, trend or vol; deltas for kind `delta`."""
-    make = {"ema": ema, "trend": trend, "vol": volatility, "delta": change}[kind]
-    h, size = haloed(d.select("idx", *[c.alias(n) for n, c in rows.simple().items()]), max(windows))
-    made = {f"{kind}_{w}_{n}": make(F.col(n), w) for w in windows for n in rows.simple()}
-    return own_rows(h.select("idx", "block", *[c.alias(n) for n, c in made.items()]), size)
+    """idx and, for each simple feature and window, over the draws before: ema (see `_emas`), trend
+    (least-squares slope against age, 0 the newest; null under three earlier draws) or vol (population
+    deviation; null under two); for kind `delta`, the difference to the draw so many before. Slopes and
+    deviations come from sums of whole numbers, exactly."""
+    h, size = haloed(d.select("idx", *[c.cast("long").alias(n) for n, c in rows.simple().items()]), max(windows))
+    names, order, made = list(rows.simple()), Window.partitionBy("block").orderBy("idx"), {}
+    if kind == "delta":
+        made = {f"delta_{w}_{n}": (F.col(n) - F.lead(n, w).over(order)).cast("int") for w in windows for n in names}
+        return own_rows(h.select("idx", "block", *[c.alias(n) for n, c in made.items()]), size)
+    h = h.withColumn("place", F.col("idx") - F.col("block") * size)
+    if kind == "ema":
+        sums = _running(h, _emas(h, windows))
+        for w in windows:
+            a, n_rows = 2.0 / (w + 1), F.least(F.col("older"), F.lit(w))
+            for n in names:
+                newest = F.lead(n, 1).over(order)
+                rest = _sum_before(f"{n}_{w}", w) - newest * F.exp((F.col("place") + 1) * -math.log(1 - a))
+                made[f"ema_{w}_{n}"] = rest * a * F.exp((F.col("place") + n_rows) * math.log(1 - a)) + newest * F.exp((n_rows - 1) * math.log(1 - a))
+    else:
+        power = {"trend": lambda n: F.col(n) * F.col("place"), "vol": lambda n: F.col(n) * F.col(n)}[kind]
+        sums = _running(h, {f"s_{n}": F.col(n) for n in names} | {f"p_{n}": power(n) for n in names})
+        for w in windows:
+            k = F.least(F.col("older"), F.lit(w)).cast("long")
+            for n in names:
+                s, p = _sum_before(f"s_{n}", w), _sum_before(f"p_{n}", w)
+                if kind == "trend":
+                    age = k * (k + 1) / 2  # sum of the distances 1..k, and below of their squares
+                    slope = (k * (p - F.col("place") * s) - age * s) / (k * (k * (k + 1) * (2 * k + 1) / 6) - age * age)
+                    made[f"trend_{w}_{n}"] = F.when(k >= 3, slope)
+                else:
+                    made[f"vol_{w}_{n}"] = F.when(k >= 2, F.sqrt((k * p - s * s).cast("double")) / k)
+    return own_rows(sums.select("idx", "block", *[c.alias(n) for n, c in made.items()]), size)
+
+
+def mask(balls: Column) -> Column:
+    """A bit for each ball."""
+    return F.aggregate(balls, F.lit(0).cast("long"), lambda m, b: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
 
 
 def overlap(d: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """Reds shared with each of the w draws before: mean, most, mean difference of sums, flag for >= 5."""
-    h, size = haloed(d.select("idx", "reds"), max(windows))
+    """Reds shared with each of the w draws before: mean, most, mean difference of sums, flag for >= 5.
+    Draws are bit masks, so what two share is one count of bits."""
+    total = F.aggregate("reds", F.lit(0), lambda a, x: a + x).cast("long")
+    h, size = haloed(d.select("idx", mask(F.col("reds")).alias("m"), total.alias("total")), max(windows))
+    order = Window.partitionBy("block").orderBy("idx")
+    sums = _running(h, {"s": F.col("total")})
+    shared = sums.withColumns({f"o{k}": F.bit_count(F.col("m").bitwiseAND(F.lead("m", k).over(order))) for k in range(1, max(windows) + 1)} | {f"s{w}": _sum_before("s", w) for w in windows})
     out = {}
     for w in windows:
-        seen = F.collect_list("reds").over(past(w))
-        shared = F.transform(seen, lambda p: F.size(F.array_intersect(p, F.col("reds"))))
-        total = F.aggregate("reds", F.lit(0), lambda a, x: a + x)
-        sums = F.aggregate(F.flatten(seen), F.lit(0), lambda a, x: a + x)
-        some = F.size(seen) > 0
-        out[f"sim_{w}_avg_overlap"] = F.when(some, F.aggregate(shared, F.lit(0), lambda a, x: a + x) / F.size(seen))
-        out[f"sim_{w}_max_overlap"] = F.array_max(shared)
-        out[f"sim_{w}_avg_sum_diff"] = F.when(some, total - sums / F.size(seen))
-        out[f"sim_{w}_has_identical"] = F.when(some, (F.array_max(shared) >= 5).cast("int"))
-    return own_rows(h.select("idx", "block", *[c.alias(n) for n, c in out.items()]), size)
+        own = [F.col(f"o{k}") for k in range(1, w + 1)]
+        n, most = F.least(F.col("older"), F.lit(w)), F.greatest(*own)
+        out[f"sim_{w}_avg_overlap"] = F.try_divide(sum((F.coalesce(c, F.lit(0)) for c in own), F.lit(0)), n)
+        out[f"sim_{w}_max_overlap"] = most
+        out[f"sim_{w}_avg_sum_diff"] = F.col("total") - F.try_divide(f"s{w}", n)
+        out[f"sim_{w}_has_identical"] = F.when(n > 0, (most >= 5).cast("int"))
+    return own_rows(shared.select("idx", "block", *[c.alias(n) for n, c in out.items()]), size)
 
 
 def repeats(d: DataFrame) -> DataFrame:
@@ -96,58 +137,84 @@ def repeats(d: DataFrame) -> DataFrame:
     return own_rows(h.select("idx", "block", n.alias("repeat_red_count"), (n / 6.0).alias("repeat_ratio"), same.alias("repeat_blue")), size)
 
 
-def _since(g: DataFrame, hit: str, w: int, *keys: str) -> Column:
-    """Draws since the last one with the mark, within w; one more than there are if none has it."""
-    f = past(w, *keys)
-    return F.coalesce(F.min(F.when(F.col(hit), F.col("idx"))).over(f) - F.col("idx"), F.count("*").over(f) + 1)
+def _last_seen(colour: str, balls: int) -> list[Column]:
+    """For each ball of a colour the idx of the last draw before with it, in the block and its halo. One
+    pass from old to new keeps the latest; no row looks at another window than the one before it."""
+    before = Window.partitionBy("block").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    hit = (lambda b: F.col("m").bitwiseAND(F.lit(1 << b)) != 0) if colour == "red" else (lambda b: F.col("blue") == b)
+    return [F.last(F.when(hit(b), F.col("idx")), ignorenulls=True).over(before) for b in range(1, balls + 1)]
 
 
-def ball_gaps(d: DataFrame, lookback: int = 200) -> DataFrame:
-    """(idx, ball, gap): draws since each ball was drawn last before this one."""
-    g, size = haloed(grid(d), lookback)
-    return own_rows(g.withColumn("gap", _since(g, "hit", lookback, "ball")), size)
+def _gaps(d: DataFrame, lookback: int) -> tuple[DataFrame, int]:
+    """d's rows with halo, `n` (draws before, `lookback` at most), and red_gaps: draws since each ball was
+    drawn last before this draw, n + 1 if none of the n holds it."""
+    h, size = haloed(d.select("idx", "reds", "blue", mask(F.col("reds")).alias("m")), lookback)
+    n = F.least(_older(), F.lit(lookback).cast("long"))
+    seen = h.withColumns({"n": n} | {f"r{b}": c for b, c in enumerate(_last_seen("red", REDS), 1)})
+    gap = [F.when(F.col(f"r{b}") - F.col("idx") <= F.col("n"), F.col(f"r{b}") - F.col("idx")).otherwise(F.col("n") + 1) for b in range(1, REDS + 1)]
+    return seen.select("idx", "block", "reds", "blue", "m", "n", F.array(*gap).alias("red_gaps")), size
 
 
-def blue_gaps(d: DataFrame, lookback: int = 200) -> DataFrame:
-    """(idx, blue_missing): draws since this draw's blue ball, by its own sequence of draws."""
-    last = F.lead("idx").over(Window.partitionBy("blue").orderBy("idx"))
-    n = d.agg(F.count("*").alias("n"))
-    most = F.least(F.lit(lookback).cast("long"), F.col("n") - F.col("idx") - 1)
-    gap = last - F.col("idx")
-    return d.select("idx", "blue", last.alias("last")).crossJoin(F.broadcast(n)).select("idx", F.when(F.col("last") - F.col("idx") <= most, F.col("last") - F.col("idx")).otherwise(most + 1).alias("blue_missing"))
+def ball_gaps(d: DataFrame, lookback: int = 200) -> DataFrame:
+    """(idx, ball, hit, gap): draws since each red ball was drawn last before this one."""
+    g, size = _gaps(d, lookback)
+    return own_rows(g, size).select("idx", "reds", F.posexplode("red_gaps").alias("at", "gap")).select("idx", (F.col("at") + 1).alias("ball"), F.array_contains("reds", F.col("at") + 1).alias("hit"), "gap")
 
 
 def missing(d: DataFrame, lookback: int = 200) -> DataFrame:
-    """Per draw: gaps of its own balls and of all 33 (mean, deviation, skew with a floor of 0.001)."""
-    gaps = ball_gaps(d, lookback)
-    g, own = F.col("gap").cast("double"), F.when(F.col("hit"), F.col("gap"))
-    s = gaps.groupBy("idx").agg(F.avg(own).alias("red_avg_missing"), F.max(own).alias("red_max_missing"), F.min(own).alias("red_min_missing"), F.avg(g).alias("m"), F.stddev_pop(g).alias("sd"), F.avg(g * g).alias("m2"), F.avg(g * g * g).alias("m3"), F.count_if(own <= 3).alias("hot_red_count"), F.count_if(own >= 20).alias("cold_red_count"))
-    third = F.col("m3") - 3 * F.col("m") * F.col("m2") + 2 * F.col("m") * F.col("m") * F.col("m")
-    skew = third / F.greatest(F.pow("sd", F.lit(3.0)), F.lit(0.001))
-    return s.join(blue_gaps(d, lookback), "idx").select("idx", "red_avg_missing", "red_max_missing", "red_min_missing", "blue_missing", F.col("m").alias("global_avg_missing"), F.col("sd").alias("global_missing_std"), skew.alias("missing_skew"), "hot_red_count", "cold_red_count")
+    """Per draw: gaps of its own balls and of all 33 (mean, deviation, skew with a floor of 0.001), and of
+    its blue. Moments come from sums of whole numbers."""
+    g, size = _gaps(d, lookback)
+    blue = F.array(*_last_seen("blue", BLUES))
+    g = own_rows(g.withColumn("blue_gap", F.element_at(blue, F.col("blue")) - F.col("idx")), size)
+    own = F.transform("reds", lambda b: F.element_at("red_gaps", b))
+    total = lambda power: F.aggregate("red_gaps", F.lit(0).cast("long"), lambda a, x: a + math.prod([x] * power)).cast("double")
+    s = g.select("idx", "n", "blue_gap", own.alias("own"), *[total(k).alias(f"t{k}") for k in (1, 2, 3)])
+    m, m2, m3 = (F.col(f"t{k}") / REDS for k in (1, 2, 3))
+    sd = F.sqrt(F.col("t2") * REDS - F.col("t1") * F.col("t1")) / REDS
+    third = m3 - 3 * m * m2 + 2 * m * m * m
+    mean_own = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x) / PICKED
+    return s.select("idx", mean_own.alias("red_avg_missing"), F.array_max("own").alias("red_max_missing"), F.array_min("own").alias("red_min_missing"), F.when(F.col("blue_gap") <= F.col("n"), F.col("blue_gap")).otherwise(F.col("n") + 1).alias("blue_missing"), m.alias("global_avg_missing"), sd.alias("global_missing_std"), (third / F.greatest(F.pow(sd, F.lit(3.0)), F.lit(0.001))).alias("missing_skew"), F.size(F.filter("own", lambda x: x <= 3)).cast("long").alias("hot_red_count"), F.size(F.filter("own", lambda x: x >= 20)).cast("long").alias("cold_red_count"))
+
+
+def _runs(d: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Rows with halo, `n` (draws before, `most` at most), red_gaps as in `_gaps`, `runs`: for k = 1..most
+    the balls (as bits) that all of the last k draws hold, and blue_streak."""
+    g, size = _gaps(d, most)
+    order = Window.partitionBy("block").orderBy("idx")
+    both = F.lead("m", 1).over(order)
+    steps = {"c1": both} | {f"l{k}": F.lead("m", k).over(order) for k in range(2, most + 1)}
+    changed = g.withColumn("end", F.when(F.coalesce(F.lead("blue").over(order) != F.col("blue"), F.lit(True)), F.col("idx")))
+    from_old = Window.partitionBy("block").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = changed.withColumns(steps | {"run_end": F.last("end", ignorenulls=True).over(from_old), "blue_before": F.lead("blue").over(order), "blue_last": F.element_at(F.array(*_last_seen("blue", BLUES)), F.col("blue"))})
+    runs = [F.coalesce("c1", F.lit(0).cast("long"))]
+    leads = F.array(*[F.coalesce(f"l{k}", F.lit(0).cast("long")) for k in range(2, most + 1)])
+    # Bits that are left after each further draw; a draw that is not there ends all runs.
+    left = F.aggregate(leads, F.struct(runs[0].alias("c"), F.array(runs[0]).alias("out")), lambda acc, m: F.when(acc["c"] == 0, acc).otherwise(F.struct(acc["c"].bitwiseAND(m).alias("c"), F.concat(acc["out"], F.array(acc["c"].bitwiseAND(m))).alias("out"))), lambda acc: acc["out"])
+    n = F.col("n")
+    same = F.least(F.col("run_end") - F.col("idx"), n)
+    other = F.least(F.coalesce(F.col("blue_last") - F.col("idx") - 1, n), n)
+    blue = F.when(n == 0, F.lit(0)).when(F.col("blue_before") == F.col("blue"), same).otherwise(-other)
+    return seen.select("idx", "block", "n", "red_gaps", left.alias("runs"), blue.cast("int").alias("blue_streak")), size
 
 
 def ball_streaks(d: DataFrame, most: int = 50) -> DataFrame:
     """(idx, ball, streak): draws in a row before this one with the ball (positive) or without it."""
-    g, size = haloed(grid(d), most)
-    f = past(most, "ball")
-    n = F.count("*").over(f)
-    hit = F.coalesce(F.min(F.when(F.col("hit"), F.col("idx"))).over(f) - F.col("idx") - 1, n)
-    miss = F.coalesce(F.min(F.when(~F.col("hit"), F.col("idx"))).over(f) - F.col("idx") - 1, n)
-    return own_rows(g.select("idx", "block", "ball", F.when(miss > 0, miss).otherwise(-hit).cast("int").alias("streak")), size)
+    g, size = _runs(d, most)
+    rows_ = own_rows(g, size).select("idx", "runs", F.posexplode("red_gaps").alias("at", "gap"))
+    ball = F.col("at") + 1
+    held = F.size(F.filter("runs", lambda c: F.call_function("shiftright", c, ball).bitwiseAND(F.lit(1)) == 1))
+    return rows_.select("idx", ball.alias("ball"), F.when(held > 0, held).otherwise((1 - F.col("gap")).cast("int")).alias("streak"))
 
 
 def streaks(d: DataFrame, most: int = 50) -> DataFrame:
-    s = F.col("streak")
-    reds = ball_streaks(d, most).groupBy("idx").agg(F.coalesce(F.max(F.when(s > 0, s)), F.lit(0)).alias("red_max_positive_streak"), F.coalesce(F.max(F.when(s < 0, -s)), F.lit(0)).alias("red_max_negative_streak"), F.count_if(s > 2).alias("current_hot_streak_sum"), F.count_if(s < -10).alias("current_cold_streak_sum"))
-    h, size = haloed(d.select("idx", "blue"), most)
-    seen = F.collect_list("blue").over(past(most))
-    same = F.transform(seen, lambda b: b == F.col("blue"))
-    first = F.get(same, 0)
-    run = F.array_position(same, ~first) - 1
-    length = F.when(run >= 0, run).otherwise(F.size(seen))
-    blue = own_rows(h.select("idx", "block", F.coalesce(F.when(first, length).otherwise(-length), F.lit(0)).cast("int").alias("blue_streak")), size)
-    return reds.join(blue, "idx")
+    """Per draw, over the draws before: the longest runs of a red ball with and without, the balls in
+    runs of more than 2 with and more than 10 without, and the run of this draw's blue."""
+    g, size = _runs(d, most)
+    without = F.transform("red_gaps", lambda x: x - 1)
+    out = own_rows(g, size)
+    longest = F.size(F.filter("runs", lambda c: c != 0))
+    return out.select("idx", longest.alias("red_max_positive_streak"), F.array_max(without).cast("int").alias("red_max_negative_streak"), F.coalesce(F.bit_count(F.get("runs", F.lit(2))), F.lit(0)).cast("long").alias("current_hot_streak_sum"), F.size(F.filter(without, lambda x: x > 10)).cast("long").alias("current_cold_streak_sum"), "blue_streak")
 
 
 def hotness(d: DataFrame, at: Column, half_life: int = 50, least: float = 10) -> DataFrame:

@@ -22,6 +22,19 @@ def model(d):
     return energy.fit(d)
 
 
+def test_fitted_tables_are_those_of_the_operators(d, model):
+    s = stats.sum_distribution(d).first()
+    assert (model.mean, model.std) == (pytest.approx(s["mean"]), pytest.approx(s["std"]))
+    dist = {(r["dist"], tuple(k for k in (r["k1"], r["k2"], r["k3"]) if k is not None)): r["p"] for r in stats.distributions(d).collect()}
+    assert {(n, k): p for n, own in model.dist.items() for k, p in own.items()} == pytest.approx(dist)
+    f = {(r["colour"], r["ball"]): r["weight"] for r in stats.frequencies(d, 200).collect()}
+    assert model.red == pytest.approx([f["red", b] for b in range(1, 34)]) and model.blue == pytest.approx([f["blue", b] for b in range(1, 17)])
+    assert all(model.conditional[r["a"] - 1][r["b"] - 1] == pytest.approx(r["p"]) for r in stats.conditional(d, 200).collect())
+    lifts = {(r["x"], r["y"]): r["lift"] for r in association.pair_scores(association.rules(association.itemsets(d, 0.01, 2, 200))).collect()}
+    assert model.lifts == pytest.approx(lifts) and len(lifts) == 25
+    assert energy.fit(d.limit(0)).lifts == {}
+
+
 def test_plain_energy_is_the_query_energy(d, model):
     e = sampler.energy_function(model)
     blue = energy.blue_energy(model)
