@@ -256,6 +256,11 @@ class PieceModel:
             return list(chain.from_iterable(map(self.stretch, self.cut.findall(" " + text))))
         return list(chain.from_iterable(map(self._words.__getitem__, text.split(" "))))
 
+    def forget(self) -> None:
+        """Drops the words met so far, so that an idle worker does not hold them."""
+        self._words.clear()
+        self._words.parts.clear()
+
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids. Bytes that are no UTF-8 become U+FFFD, one for each byte."""
         text = "".join(map(self._decoded.__getitem__, ids))

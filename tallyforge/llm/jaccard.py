@@ -44,9 +44,9 @@ ROUNDS = 2
 #: Open nodes of a bucket that one task joins with the bucket's others.
 DEALT = 2_000
 #: Bytes of text whose shingles are made at once; some forty bytes of memory go with each.
-WORK = 300_000
+WORK = 600_000
 #: Sets that a task remembers in order not to repeat their sketches and signatures.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Signatures that a task brings together before it sends them.
 CHUNK = 1_000_000
 
@@ -76,9 +76,10 @@ class _Met:
     """Sets that a task has met in rows with an id, by their 128 bits."""
 
     def __init__(self) -> None:
-        self.seen: set[tuple[int, int]] = set()
+        self.seen: set[int] = set()
 
-    def first(self, key: tuple[int, int]) -> bool:
+    def first(self, halves: tuple[int, int]) -> bool:
+        key = halves[0] << 64 | halves[1] & (1 << 64) - 1
         if key in self.seen:
             return False
         if len(self.seen) < REMEMBERED:

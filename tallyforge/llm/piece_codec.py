@@ -29,6 +29,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         for _, texts in slices:
             ids = [model.encode(t) for t in texts]
             yield {"ids": ids} | ({"decoded": [model.decode(i) for i in ids]} if decode else {})
+        model.forget()
 
     return map_texts(df, id_col, text_col, "ids array<int>" + ", decoded string" * decode, work, keep)
 
@@ -66,5 +67,6 @@ def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
                 out["ids_sha256"].append(sha256(",".join(map(name.__getitem__, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(sha256(model.decode(ids).encode()).hexdigest())
             yield out
+        model.forget()
 
     return map_texts(df, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", work)

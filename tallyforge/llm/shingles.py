@@ -25,7 +25,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _KEY = b"word shingles"
 #: Words whose hashes a process remembers.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 _known: dict[bytes, int] = {}
 
 
@@ -60,7 +60,9 @@ def _words(column: pa.Array) -> tuple[pa.DictionaryArray | None, np.ndarray]:
 
 
 def _hashes(words: pa.DictionaryArray) -> np.ndarray:
-    texts = words.dictionary.to_pylist()
+    _, ends, letters = words.dictionary.buffers()
+    ends, letters = np.frombuffer(ends, np.int32, len(words.dictionary) + 1).tolist(), letters.to_pybytes() if letters else b""
+    texts = [letters[a:b] for a, b in zip(ends, ends[1:])]
     made = list(map(_known.get, texts))
     if None in made:
         for k, w in enumerate(texts):
@@ -197,9 +199,9 @@ def _parts(n: int, apart: int) -> int:
 TWO_LEVEL = 12
 
 
-def _partition(own: np.ndarray, parts: int, second: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted elements: the parts that hold any, and for each its smaller parts' hashes and whether
-    they hold any."""
+def _partition(own: np.ndarray, mixed: np.ndarray, parts: int, second: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted elements and their hashes: the parts that hold any, and for each its smaller parts'
+    hashes and whether they hold any."""
     small = ((own >> U(32)) * U(parts * second) >> U(32)).astype(np.int64)
     begins = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(small[1:] != small[:-1]) + 1])
     at = small[begins]
@@ -208,7 +210,7 @@ def _partition(own: np.ndarray, parts: int, second: int) -> tuple[np.ndarray, np
     index = np.cumsum(fresh) - 1
     sums = np.zeros((int(index[-1]) + 1, second), U)
     held = np.zeros(sums.shape, bool)
-    sums[index, at - part * second] = np.add.reduceat(mix(own ^ U(0x5851F42D4C957F2D)), begins)
+    sums[index, at - part * second] = np.add.reduceat(mixed, begins)
     held[index, at - part * second] = True
     return part[fresh], sums, held
 
@@ -232,7 +234,7 @@ def signatures(s: np.ndarray, percent: int, family: int = 0) -> np.ndarray:
     n, out = len(s), []
     if not n:
         return np.zeros(0, U)
-    salted: dict[int, np.ndarray] = {}
+    salted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for band in bands(percent):
         if band.lo > n:
             break
@@ -240,21 +242,21 @@ def signatures(s: np.ndarray, percent: int, family: int = 0) -> np.ndarray:
             continue
         for turn in count():
             seed = family * 1000 + turn
-            own = salted.get(seed)
-            if own is None:
-                own = salted[seed] = s if seed == 0 else np.sort(mix(s + U(0xA0761D6478BD642F * (seed + 1) & (2**64 - 1))))
+            if seed not in salted:
+                own = s if seed == 0 else np.sort(mix(s + U(0xA0761D6478BD642F * (seed + 1) & (2**64 - 1))))
+                salted[seed] = own, mix(own ^ U(0x5851F42D4C957F2D))
             if turn < TWO_LEVEL:
                 parts, second, subsets, differ = band.parts, SECOND, SUBSETS, DIFFER
             else:
                 parts, second, subsets, differ = min((2 * band.apart + 2) << (turn - TWO_LEVEL), 1 << 30), 1, ((0,),), 0
-            first, sums, held = _partition(own, parts, second)
+            first, sums, held = _partition(*salted[seed], parts, second)
             for k, subset in enumerate(subsets):
-                some = held[:, subset].any(axis=1)
-                whole = mix(sums[:, subset[0]])
-                for j in subset[1:]:
-                    whole = mix(whole + sums[:, j])
-                where = first[some].astype(U) * U(len(subsets)) + U(k + ((seed * 64 + band.number) << 36))
-                out.append(mix(whole[some] ^ mix(where)))
+                whole = first.astype(U) * _PLACES[8] + U(int(_PLACES[9]) * (k + len(subsets) * (seed * 64 + band.number)) & (2**64 - 1))
+                some = held[:, subset[0]]
+                for j in subset:
+                    whole += sums[:, j] * _PLACES[10 + j]
+                    some = some | held[:, j]
+                out.append(mix(mix(whole[some])))
             if int((held.sum(axis=1) > differ).sum()) * (differ + 1) > band.apart:
                 break
     return np.concatenate(out) if out else np.zeros(0, U)

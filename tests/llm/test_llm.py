@@ -267,7 +267,7 @@ def test_similar_sets_share_a_signature(percent):
 def test_signatures_are_of_subsets_of_parts():
     s = np.sort(np.random.default_rng(8).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
     for band in shingles.bands(85):
-        first, sums, held = shingles._partition(s, band.parts, shingles.SECOND) if band.parts < 1 << 20 else ((), (), ())
+        first, sums, held = shingles._partition(s, s, band.parts, shingles.SECOND) if band.parts < 1 << 20 else ((), (), ())
         assert len(sums) == len(held) == len(first) and (len(first) == 0 or held.any(axis=1).all())
     assert len(shingles.SUBSETS) == 3 and {len(x) for x in shingles.SUBSETS} == {2}
     # One changed element changes the signatures of two subsets of one part in each band, no more.
@@ -757,3 +757,21 @@ def test_pipeline_stage_by_stage(spark, sf):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     by = {r["doc_id"]: r["text"] for r in four.collect()}
     assert all(r["ids"] == sp.encode(by[r["doc_id"]]) for r in cp.pieces(spark, four, sf).collect())
+
+
+def test_pipeline_stages_take_awkward_tables(spark, sf):
+    import corpus_pipeline as cp
+
+    rows = [(1, None, None, None, None), (None, "the of and " * 9, "en", "a", 3), (2, "", "en", "a", 0), (3, "the of and to " * 7, "en", None, 1), (3, "the of and to " * 7, "en", None, 1), (4, "the " * 30_000, None, "b", 9), (5, "der die das " * 9, "de", "b", 2), (6, "² ½", "de", "b", 2), (7, "mail a@b.com der die das " * 9, "de", "b", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = df.withColumns({c: F.lit(1) for c in ("id", "node", "taken", "epochs", "redacted", "lang_pred", "score", "ids", "epoch")})
+    for name, stage in cp.STAGES:
+        out = stage(spark, more, sf)
+        assert out.count() == stage(spark, df, sf).count() and stage(spark, df.limit(0), sf).count() == 0, name
+        assert set(out.columns) == (set(cp.COLUMNS) if name != cp.STAGES[-1][0] else {"doc_id", "lang", "source", "n_tokens", "ids"}), name
+    kept = Counter(r["doc_id"] for r in cp.language(spark, df, sf).collect())
+    assert kept == Counter([None, 3, 3, 4, 5, 7])
+    assert Counter(r["doc_id"] for r in cp.near_duplicates(spark, df, sf).collect()) == Counter([1, None, 2, 3, 3, 4, 5, 6, 7])
+    found = {r["doc_id"]: r for r in cp.personal_data(spark, df, sf).collect()}
+    assert found[1]["text"] is None and found[7]["text"].count("[EMAIL]") == 9 and len(found) == 8
+    assert {r["doc_id"]: r["ids"] for r in cp.pieces(spark, df, sf).collect()}[1] == []
