@@ -163,17 +163,27 @@ def constraints(m: Model, strictness: float = 0.8) -> Column:
     return total.between(m.mean - 3 * m.std, m.mean + 3 * m.std) & rows.parity()["odd_count"].isin(*kept)
 
 
-def scored(spark: SparkSession, m: Model, strictness: float = 0.8) -> DataFrame:
-    """(reds, energy, score) of every allowed red set: score = sum of ln frequency shares
-    + 0.5 ln max(mean lift, 0.01) - 0.1 energy."""
+def score(m: Model) -> Column:
+    """Of `reds`: the sum of ln frequency shares + 0.5 ln max(mean lift, 0.01) - 0.1 energy."""
     total = max(sum(m.red), 1)
     share = _literal([_log(w / total, 1e-10) for w in m.red])
     lift = _literal([m.lifts.get((min(a, b), max(a, b)), 1.0) for a in range(1, REDS + 1) for b in range(1, REDS + 1)])
     at = [F.get("reds", F.lit(k)) for k in range(6)]
     add = lambda cs: sum(cs[1:], cs[0])
     mean_lift = add([F.get(lift, (at[i] - 1) * REDS + at[j] - 1) for i in range(6) for j in range(i + 1, 6)]) / 15.0
-    rows_ = combinations(spark).where(constraints(m, strictness)).withColumn("energy", energy(m))
-    return rows_.withColumn("score", add([F.get(share, x - 1) for x in at]) + F.ln(F.greatest(mean_lift, F.lit(0.01))) * 0.5 - F.col("energy") * 0.1)
+    return add([F.get(share, x - 1) for x in at]) + F.ln(F.greatest(mean_lift, F.lit(0.01))) * 0.5 - energy(m) * 0.1
+
+
+def of_blue(m: Model, what: str) -> Column:
+    """What `blue` adds to a red set's energy or score."""
+    total = max(sum(m.blue), 1)
+    own = blue_energy(m)
+    return F.get(_literal(own if what == "energy" else [_log(w / total, 1e-10) - 0.1 * e for w, e in zip(m.blue, own)]), F.col("blue") - 1)
+
+
+def scored(spark: SparkSession, m: Model, strictness: float = 0.8) -> DataFrame:
+    """(reds, energy, score) of every allowed red set."""
+    return combinations(spark).where(constraints(m, strictness)).withColumns({"energy": energy(m), "score": score(m)})
 
 
 def recommend(spark: SparkSession, m: Model, k: int = 10, strictness: float = 0.8) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,14 +101,15 @@ def calibration_error(table: DataFrame) -> DataFrame:
     return table.agg(F.coalesce(F.try_divide(F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("actual"))), F.sum("n")), F.lit(1.0)).alias("ece"))
 
 
-def disagreement(picks: DataFrame) -> DataFrame:
-    """(red, blue): 1 - |common reds| / |any reds|, and 1 - share of the commonest blue; 0 for one pick."""
-    n = picks.agg(F.count("*").alias("n"))
-    by = picks.select(F.explode("reds").alias("ball")).groupBy("ball").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n))
-    red = by.agg(F.coalesce(F.try_divide(F.count_if(F.col("c") == F.col("n")), F.count("*")), F.lit(1.0)).alias("common"), F.max("n").alias("n"))
-    blue = picks.groupBy("blue").agg(F.count("*").alias("c")).agg(F.max("c").alias("most"))
-    one = red.crossJoin(F.broadcast(blue))
-    return one.select(F.when(F.col("n") <= 1, 0.0).otherwise(1 - F.col("common")).alias("red"), F.when(F.col("n") <= 1, 0.0).otherwise(1 - F.col("most") / F.col("n")).alias("blue"))
+def disagreement(picks: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, red, blue): 1 - |common reds| / |any reds|, and 1 - share of the commonest blue, of the picks
+    of each key; 0 for one pick."""
+    n = picks.groupBy(*keys).agg(F.count("*").alias("n"))
+    on = lambda a, b: a.join(b, list(keys)) if keys else a.crossJoin(F.broadcast(b))  # noqa: E731 - without keys, a row each
+    by = on(picks.select(*keys, F.explode("reds").alias("ball")).groupBy(*keys, "ball").agg(F.count("*").alias("c")), n)
+    red = by.groupBy(*keys).agg(F.coalesce(F.try_divide(F.count_if(F.col("c") == F.col("n")), F.count("*")), F.lit(1.0)).alias("common"), F.max("n").alias("n"))
+    blue = picks.groupBy(*keys, "blue").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.max("c").alias("most"))
+    return on(red, blue).select(*keys, F.when(F.col("n") <= 1, 0.0).otherwise(1 - F.col("common")).alias("red"), F.when(F.col("n") <= 1, 0.0).otherwise(1 - F.col("most") / F.col("n")).alias("blue"))
 
 
 def member_weights(scores: DataFrame, beta: float = 0.9) -> DataFrame:
@@ -127,10 +129,36 @@ def member_weights(scores: DataFrame, beta: float = 0.9) -> DataFrame:
     return rows.select("member", w.alias("weight"), (F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / 10.0).alias("recent"))
 
 
-def voted(picks: DataFrame, weights: DataFrame) -> DataFrame:
-    """(ball, votes, place): reds by weight of the members that pick them; the first six are chosen."""
-    v = picks.join(F.broadcast(weights), "member").select("weight", F.explode("reds").alias("ball")).groupBy("ball").agg(F.sum("weight").alias("votes"))
-    return v.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("votes", 9)), "ball")))  # 33 rows at most
+def voted(picks: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, colour, ball, votes, place, chosen): balls by weight of the members that pick them, for each
+    key; the first six reds and the first blue are chosen. Weights are a row a member."""
+    marks = F.concat(F.transform("reds", lambda b: F.struct(F.lit("red").alias("colour"), b.alias("ball"))), F.array(F.struct(F.lit("blue").alias("colour"), F.col("blue").alias("ball"))))
+    v = picks.join(F.broadcast(weights), "member").select(*keys, "weight", F.explode(marks).alias("m")).groupBy(*keys, "m.colour", "m.ball").agg(F.sum("weight").alias("votes"))
+    v = v.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "colour").orderBy(F.desc(F.round("votes", 9)), "ball")))  # 33 rows at most
+    return v.withColumn("chosen", F.col("place") <= F.when(F.col("colour") == "red", PICKED).otherwise(1))
+
+
+def elected(votes: DataFrame) -> DataFrame:
+    """(reds, blue, confidence): the chosen balls, and the share of the reds' votes that these have (of 1
+    vote at least); no row without votes."""
+    red = F.col("colour") == "red"
+    one = votes.agg(F.array_sort(F.collect_list(F.when(red & F.col("chosen"), F.col("ball")))).alias("reds"), F.max(F.when(~red & F.col("chosen"), F.col("ball"))).alias("blue"), (F.sum(F.when(red & F.col("chosen"), F.col("votes"))) / F.greatest(F.sum(F.when(red, F.col("votes"))), F.lit(1.0))).alias("confidence"))
+    return one.where(F.size("reds") > 0)
+
+
+def run_cv(d: DataFrame, picks: Callable[[DataFrame, DataFrame], DataFrame], method: str = "expanding", **options) -> tuple[DataFrame, DataFrame]:
+    """(folds, summary) of a set-based strategy (draws, folds) -> (fold, reds, blue), all folds in one
+    job. Methods and their options: expanding (least, val, step), rolling (train, val, step), anchored
+    (anchors); another raises ValueError. Without folds both tables are empty."""
+    made = {"expanding": expanding, "rolling": rolling, "anchored": anchored}.get(method)
+    if made is None:
+        raise ValueError(f"unknown method of cross-validation: {method}")
+    folds = fold_table(d.sparkSession, made(d.count(), **options))
+    each = evaluated(d, folds, picks(d, folds))
+    mean = lambda c: F.avg(c).alias(f"{c}_mean")
+    above = lambda c, p: F.avg((F.col(c) > p).cast("double"))
+    agg = each.agg(F.count("*").alias("n_folds"), mean("red_rate"), F.coalesce(F.stddev_pop("red_rate"), F.lit(0.0)).alias("red_rate_std"), mean("blue_rate"), F.coalesce(F.stddev_pop("blue_rate"), F.lit(0.0)).alias("blue_rate_std"), mean("share_3"), above("red_rate", P_RED).alias("consistency_red"), above("blue_rate", P_BLUE).alias("consistency_blue"))
+    return each, agg.where("n_folds > 0").select("*", (F.col("red_rate_mean") / P_RED).alias("red_to_chance"), (F.col("blue_rate_mean") / P_BLUE).alias("blue_to_chance"))
 
 
 def softmax(x: str, temperature: float = 1.0, *keys: str) -> Column:
@@ -146,20 +174,19 @@ def entropy_level(df: DataFrame, p: str, *keys: str) -> DataFrame:
     return agg.select(*keys, "entropy", F.when(share > 0.8, "high").when(share > 0.5, "mid").otherwise("low").alias("level"))
 
 
-def permutation_p(d: DataFrame, idx: int = 0, half_life: int = 50, n_perm: int = 1000, seed: int = 1) -> DataFrame:
-    """(p, observed): share of shuffles of the window before idx whose most extreme ball is as extreme.
-
-    Orders come from a hash of (permutation, draw); the window (3 half lives) is repeated per permutation
-    and ranked within it."""
-    part = d.where((F.col("idx") > idx) & (F.col("idx") <= idx + 3 * half_life)).select("idx", "reds", "blue")
-    perms = part.sparkSession.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm"))
-    order = Window.partitionBy("perm").orderBy(F.when(F.col("perm") == 0, F.col("idx")).otherwise(F.xxhash64("idx", "perm", F.lit(seed))), "idx")
-    aged = perms.join(F.broadcast(part)).withColumn("age", F.row_number().over(order) - 1)  # 150 rows
-    w = F.exp(F.col("age") * (-math.log(2) / half_life))
-    marks = F.concat(F.transform("reds", lambda b: F.struct(F.lit(P_RED).alias("p"), b.alias("ball"))), F.array(F.struct(F.lit(P_BLUE).alias("p"), F.col("blue").alias("ball"))))
-    e = F.lit(sum(2 ** (-k / half_life) for k in range(3 * half_life)))
-    sums = aged.select("perm", w.alias("w"), F.explode(marks).alias("m")).groupBy("perm", "m.p", "m.ball").agg(F.sum("w").alias("w"))
-    z = F.abs((F.col("w") / e - F.col("p")) / F.sqrt(F.col("p") * (1 - F.col("p")) / e))
-    most = sums.groupBy("perm").agg(F.max(F.round(z, 9)).alias("z"))
-    seen = most.where("perm = 0").select(F.col("z").alias("observed"))
-    return most.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.avg((F.col("z") >= F.col("observed")).cast("double")).alias("p"), F.max("observed").alias("observed"))
+def combination_probability(d: DataFrame, f: DataFrame, floor: float = 1e-10) -> DataFrame:
+    """(idx, log10_p) of the product of the shares of a draw's seven balls, each floored; f has colour,
+    ball, weight. A product of seven shares is given by its logarithm, which can't underflow."""
+    total = f.groupBy("colour").agg(F.sum("weight").alias("t"))
+    p = f.join(F.broadcast(total), "colour").select("colour", "ball", F.log10(F.greatest(F.col("weight") / F.col("t"), F.lit(floor))).alias("l"))
+    marks = F.concat(F.transform("reds", lambda b: F.struct(F.lit("red").alias("colour"), b.alias("ball"))), F.array(F.struct(F.lit("blue").alias("colour"), F.col("blue").alias("ball"))))
+    rows = d.select("idx", F.explode(marks).alias("m")).select("idx", "m.*").join(F.broadcast(p), ["colour", "ball"])  # 49 rows
+    return rows.groupBy("idx").agg(F.sum("l").alias("log10_p"))
+
+
+def probability_report(p: DataFrame, k: int = 6, k_blue: int = 5) -> DataFrame:
+    """(colour, place, ball, p, entropy, level): the k reds and k_blue blues of most probability, with the
+    entropy of their colour; p has colour, ball, p."""
+    place = F.row_number().over(Window.partitionBy("colour").orderBy(F.desc(F.round("p", 12)), "ball"))  # 33 rows at most
+    top = p.withColumn("place", place).where(F.col("place") <= F.when(F.col("colour") == "red", k).otherwise(k_blue))
+    return top.join(F.broadcast(entropy_level(p, "p", "colour")), "colour").select("colour", "place", "ball", "p", "entropy", "level")

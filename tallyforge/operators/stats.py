@@ -29,8 +29,9 @@ def _pairs(same: bool) -> Column:
     return F.flatten(F.transform("reds", lambda a: F.transform(F.col("reds") if same else F.filter("reds", lambda b: b != a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
-def _square(df: DataFrame) -> DataFrame:
-    a, b = dim(df.sparkSession, REDS).toDF("a"), dim(df.sparkSession, REDS).toDF("b")
+def square(spark) -> DataFrame:
+    """(a, b): every pair of reds, each ball with itself included."""
+    a, b = dim(spark, REDS).toDF("a"), dim(spark, REDS).toDF("b")
     return a.crossJoin(F.broadcast(b))  # 33 x 33
 
 
@@ -39,7 +40,7 @@ def conditional(d: DataFrame, half_life: float = 0) -> DataFrame:
     w = weight(half_life)
     pair = d.select(w.alias("w"), F.explode(_pairs(False)).alias("x")).groupBy("x.a", "x.b").agg(F.sum("w").alias("w"))
     single = d.select(w.alias("w"), F.explode("reds").alias("a")).groupBy("a").agg(F.sum("w").alias("wa"))
-    return _square(d).join(pair, ["a", "b"], "left").join(single, "a", "left").select("a", "b", (F.coalesce("w", F.lit(0.0)) / F.greatest(F.coalesce("wa", F.lit(0.0)), F.lit(FLOOR))).alias("p"))
+    return square(d.sparkSession).join(pair, ["a", "b"], "left").join(single, "a", "left").select("a", "b", (F.coalesce("w", F.lit(0.0)) / F.greatest(F.coalesce("wa", F.lit(0.0)), F.lit(FLOOR))).alias("p"))
 
 
 def co_occurrence(d: DataFrame, half_life: float = 0) -> DataFrame:
@@ -47,7 +48,7 @@ def co_occurrence(d: DataFrame, half_life: float = 0) -> DataFrame:
     w = weight(half_life)
     total = d.agg(F.sum(w).alias("total"))
     pair = d.select(w.alias("w"), F.explode(_pairs(True)).alias("x")).groupBy("x.a", "x.b").agg(F.sum("w").alias("w"))
-    return _square(d).join(pair, ["a", "b"], "left").crossJoin(F.broadcast(total)).select("a", "b", (F.coalesce("w", F.lit(0.0)) / F.col("total")).alias("value"))
+    return square(d.sparkSession).join(pair, ["a", "b"], "left").crossJoin(F.broadcast(total)).select("a", "b", (F.coalesce("w", F.lit(0.0)) / F.col("total")).alias("value"))
 
 
 def sum_distribution(d: DataFrame) -> DataFrame:
@@ -122,3 +123,13 @@ def top(weights: DataFrame, k: int, descending: bool = True) -> DataFrame:
     return few.withColumn("place", F.row_number().over(Window.orderBy(F.desc(key) if descending else F.asc(key), "ball")))  # k rows
 
 
+
+
+def rank_by_frequency(samples: DataFrame, top_n: int = 20) -> DataFrame:
+    """(r1..r6, blue, count, share) of the top_n combinations that samples hold most often; ties to the
+    lower balls."""
+    keys = [*[f"r{k}" for k in range(1, 7)], "blue"]
+    rows_ = samples.select(*[F.get("reds", F.lit(k)).alias(f"r{k + 1}") for k in range(6)], "blue")
+    n = rows_.agg(F.count("*").alias("n"))
+    best = rows_.groupBy(*keys).agg(F.count("*").alias("count")).orderBy(F.desc("count"), *keys).limit(top_n)
+    return best.crossJoin(F.broadcast(n)).select(*keys, "count", (F.col("count") / F.col("n")).alias("share"))

@@ -1,52 +1,135 @@
-"""Strategies that pick six reds and a blue, and a registry of weighted members."""
+"""Strategies that pick six reds and a blue, an ensemble of weighted members, and permutation tests.
+
+A strategy takes draws to one row (reds sorted, blue). Its tables are bounded by the pools (33 weights,
+33 x 33 pairs), so they are gathered in one row, and greedy steps fold over it; ties go to the lower ball.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import evaluate
+from ..sources.draws import BLUES, PICKED, REDS
+from . import association, evaluate, sequence, stats
 
 #: Draws -> one row (reds, blue).
 Strategy = Callable[[DataFrame], DataFrame]
 
 
-def filled(first: list[int], frequencies: DataFrame, descending: bool = True) -> DataFrame:
-    """(ball, place): up to six of a list as given, then the most (or least) frequent others."""
-    spark = frequencies.sparkSession
-    own = spark.createDataFrame([(b, k) for k, b in enumerate(dict.fromkeys(first))][:6], "ball int, place int")
-    key = F.round("weight", 9)
-    rest = frequencies.where("colour = 'red'").join(F.broadcast(own), "ball", "left_anti").orderBy(F.desc(key) if descending else key, "ball").limit(6)
-    ranked = rest.select("ball", (F.expr(f"row_number() OVER (ORDER BY round(weight, 9) {'DESC' if descending else 'ASC'}, ball)") + 99).alias("place"))  # six rows
-    return own.unionByName(ranked).orderBy("place").limit(6)
+def _listed(key: Column, value: Column) -> Column:
+    """Values in the order of their keys, of a group of at most 33 rows."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v")))), lambda x: x["v"])
+
+
+def _weights(draws: DataFrame, half_life: float) -> DataFrame:
+    """One row: red and blue, the decayed weights of all balls."""
+    f = stats.frequencies(draws, half_life).withColumn("slot", F.when(F.col("colour") == "red", F.col("ball")).otherwise(F.col("ball") + REDS))
+    return f.agg(_listed(F.col("slot"), F.col("weight")).alias("w")).select(F.slice("w", 1, REDS).alias("red"), F.slice("w", REDS + 1, BLUES).alias("blue"))
+
+
+def _matrix(cells: DataFrame, value: str) -> DataFrame:
+    """One row: m, the values of (a, b) as 33 arrays of 33."""
+    rows = cells.groupBy("a").agg(_listed(F.col("b"), F.col(value)).alias("r"))
+    return rows.agg(_listed(F.col("a"), F.col("r")).alias("m"))
+
+
+def _best(pool: int, score: Callable[[Column], Column], skip: Column | None = None, places: int = 9) -> Column:
+    """The ball of the greatest score, rounded so that last bits decide nothing."""
+    ranked = F.transform(F.sequence(F.lit(1), F.lit(pool)), lambda b: F.struct((-F.round(score(b), places)).alias("s"), b.alias("ball")))
+    if skip is not None:
+        ranked = F.filter(ranked, lambda x: ~F.array_contains(skip, x["ball"]))
+    return F.array_min(ranked)["ball"]
+
+
+def _grown(first: Column, score: Callable[[Column, Column], Column], places: int) -> Column:
+    """Six balls: first, then one after another the best by score(picked, ball)."""
+    return F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(PICKED)), first.cast("array<int>"), lambda picked, _: F.concat(picked, F.array(_best(REDS, lambda b: score(picked, b), picked, places).cast("int")))), 1, PICKED)
+
+
+def _pick(one: DataFrame, reds: Column, blue: Column) -> DataFrame:
+    return one.select(F.array_sort(reds).alias("reds"), blue.cast("int").alias("blue"))
+
+
+def _frequent_blue() -> Column:
+    return _best(BLUES, lambda b: F.get("blue", b - 1))
+
+
+def frequency(half_life: float = 0) -> Strategy:
+    """The most frequent reds and blue."""
+    return lambda draws: _pick(_weights(draws, half_life), _grown(F.array(), lambda _, b: F.get("red", b - 1), 9), _frequent_blue())
+
+
+def greedy(half_life: float = 0) -> Strategy:
+    """First the most frequent red, then the ball of most mean P(ball | picked) times its share."""
+
+    def pick(draws: DataFrame) -> DataFrame:
+        one = _weights(draws, half_life).crossJoin(F.broadcast(_matrix(stats.conditional(draws, half_life), "p")))  # a row each
+        total = F.greatest(F.aggregate("red", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
+        mean = lambda picked, b: F.aggregate(picked, F.lit(0.0), lambda a, s: a + F.get(F.get("m", s - 1), b - 1)) / F.size(picked)
+        first = F.array(_best(REDS, lambda b: F.get("red", b - 1)))
+        return _pick(one, _grown(first, lambda picked, b: mean(picked, b) * F.get("red", b - 1) / total, 12), _frequent_blue())
+
+    return pick
+
+
+def _filled(classes: DataFrame, draws: DataFrame, half_life: float, name: str, sign: int) -> DataFrame:
+    """Up to six reds of a class, lower first, then the most (sign 1) or least (-1) frequent others; the
+    class's lowest blue, or 1."""
+    own = classes.where(F.col("class") == name).agg(F.array_sort(F.collect_list(F.when(F.col("colour") == "red", F.col("ball")))).alias("own"), F.coalesce(F.min(F.when(F.col("colour") == "blue", F.col("ball"))), F.lit(1)).alias("own_blue"))
+    one = _weights(draws, half_life).crossJoin(F.broadcast(own))  # a row each
+    return _pick(one, _grown(F.slice("own", 1, PICKED), lambda _, b: F.get("red", b - 1) * sign, 9), F.col("own_blue"))
+
+
+def _classes(draws: DataFrame) -> DataFrame:
+    return sequence.hot_cold(sequence.hotness(draws, F.col("idx") == 0))
+
 
+def hot(half_life: float = 0) -> Strategy:
+    """Hot reds of the newest draw's window, filled up by the most frequent."""
+    return lambda draws: _filled(_classes(draws), draws, half_life, "hot", 1)
 
-def by_pairs(pairs: DataFrame, frequencies: DataFrame) -> list[int]:
-    """The pair of most lift, then four times the ball of most mean lift with what is picked times its
-    share (pairs without a score count 1). At most 528 pairs and 33 balls, on the driver."""
-    lifts = {(r["x"], r["y"]): r["lift"] for r in pairs.collect()}
-    f = {r["ball"]: r["weight"] for r in frequencies.where("colour = 'red'").collect()}
-    if not lifts:
-        return [b for b, _ in sorted(f.items(), key=lambda kv: (-round(kv[1], 9), kv[0]))[:6]]
-    picked = list(min(lifts, key=lambda p: (-round(lifts[p], 9), p)))
-    total = max(sum(f.values()), 1)
-    while len(picked) < 6:
-        score = lambda b: sum(lifts.get((min(a, b), max(a, b)), 1.0) for a in picked) / len(picked) * f[b] / total
-        picked.append(min((b for b in f if b not in picked), key=lambda b: (-round(score(b), 12), b)))
-    return sorted(picked)
+
+def cold(half_life: float = 0) -> Strategy:
+    """Cold reds of the newest draw's window, filled up by the least frequent."""
+    return lambda draws: _filled(_classes(draws), draws, half_life, "cold", -1)
+
+
+def paired(half_life: float = 0, min_support: float = 0.01, min_lift: float = 1.02) -> Strategy:
+    """The pair of most lift, then the ball of most mean lift with what is picked (1 for pairs without a
+    score) times its share; without pairs the most frequent."""
+
+    def pick(draws: DataFrame) -> DataFrame:
+        pairs = association.pair_scores(association.rules(association.itemsets(draws, min_support, 2, half_life)), min_lift)
+        both = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("c"), "lift").select("c.*", "lift")
+        cells = stats.square(draws.sparkSession).join(both, ["a", "b"], "left").select("a", "b", F.coalesce("lift", F.lit(1.0)).alias("lift"))
+        first = pairs.agg(F.min(F.struct((-F.round("lift", 9)).alias("s"), "x", "y")).alias("p"))
+        one = _weights(draws, half_life).crossJoin(F.broadcast(_matrix(cells, "lift"))).crossJoin(F.broadcast(first))  # a row each
+        total = F.greatest(F.aggregate("red", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
+        mean = lambda picked, b: F.when(F.size(picked) == 0, 1.0).otherwise(F.aggregate(picked, F.lit(0.0), lambda a, s: a + F.get(F.get("m", s - 1), b - 1)) / F.size(picked))
+        start = F.when(F.col("p").isNull(), F.array().cast("array<int>")).otherwise(F.array("p.x", "p.y"))
+        return _pick(one, _grown(start, lambda picked, b: mean(picked, b) * F.get("red", b - 1) / total, 12), _frequent_blue())
+
+    return pick
+
+
+#: Strategies by name, as members and for queries.
+STRATEGIES = {"frequency": frequency, "greedy": greedy, "hot": hot, "cold": cold, "paired": paired}
 
 
 @dataclass
 class Ensemble:
-    """Members by name with their weights; a member that fails is left out of a vote."""
+    """Members by name; weights is (member, weight) and scores (member, n, score), a row for each member
+    and update. Their number is that of the members times the updates, not of the draws."""
 
+    spark: SparkSession
     beta: float = 0.9
     members: dict[str, Strategy] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
     scores: dict[str, list[float]] = field(default_factory=dict)
+    last: DataFrame | None = None
 
     def add(self, name: str, strategy: Strategy, weight: float = 1.0) -> None:
         self.members[name], self.weights[name], self.scores[name] = strategy, weight, []
@@ -55,65 +138,70 @@ class Ensemble:
         for own in (self.members, self.weights, self.scores):
             own.pop(name, None)
 
-    def predict(self, draws: DataFrame) -> dict:
-        """reds and blue of most votes, the confidence (share of votes on the chosen reds) and each pick."""
-        picks = {}
+    def picks(self, draws: DataFrame) -> DataFrame:
+        """(member, reds, blue); a member that fails has no row. They are kept for `update`."""
+        rows = []
         for name, strategy in self.members.items():
             try:
-                picks[name] = strategy(draws).select("reds", "blue").first()
+                one = strategy(draws).select("reds", "blue").first()
             except Exception:  # noqa: BLE001, S112 - any failure of a member counts as no vote
                 continue
-        votes: dict[int, float] = {}
-        blues: dict[int, float] = {}
-        for name, p in picks.items():
-            for b in p["reds"]:
-                votes[b] = votes.get(b, 0.0) + self.weights[name]
-            blues[p["blue"]] = blues.get(p["blue"], 0.0) + self.weights[name]
-        reds = sorted(votes, key=lambda b: (-round(votes[b], 9), b))[:6]
-        return {"reds": sorted(reds), "blue": min(blues, key=lambda b: (-round(blues[b], 9), b), default=None), "confidence": sum(votes[b] for b in reds) / max(sum(votes.values()), 1.0), "picks": picks}
-
-    def update(self, picks: dict, reds: list[int], blue: int) -> None:
-        """w <- beta w + (1 - beta)(0.7 hits / 6 + 0.3 if the blue is right)."""
-        for name, p in picks.items():
-            s = 0.7 * len(set(p["reds"]) & set(reds)) / 6 + 0.3 * (p["blue"] == blue)
-            self.scores[name].append(s)
-            self.weights[name] = self.beta * self.weights[name] + (1 - self.beta) * s
-
-    def summary(self) -> dict[str, dict[str, float]]:
+            if one is not None:
+                rows.append((name, list(one["reds"]), one["blue"]))
+        self.last = self.spark.createDataFrame(rows, "member string, reds array<int>, blue int")
+        return self.last
+
+    def weight_table(self) -> DataFrame:
+        return self.spark.createDataFrame(list(self.weights.items()), "member string, weight double")
+
+    def predict(self, draws: DataFrame) -> DataFrame:
+        """(reds, blue, confidence) by votes; no row where no member picked."""
+        return evaluate.elected(evaluate.voted(self.picks(draws), self.weight_table()))
+
+    def update(self, reds: list[int], blue: int, picks: DataFrame | None = None) -> None:
+        """w <- beta w + (1 - beta)(0.7 hits / 6 + 0.3 if the blue is right), for the members of the last
+        picks (or of those given)."""
+        drawn = F.array(*map(F.lit, reds))
+        score = F.size(F.array_intersect("reds", drawn)) / 6.0 * 0.7 + (F.col("blue") == blue).cast("int") * 0.3
+        for r in (self.last if picks is None else picks).select("member", score.alias("s")).collect():  # a row a member
+            self.scores[r["member"]].append(r["s"])
+            self.weights[r["member"]] = self.beta * self.weights[r["member"]] + (1 - self.beta) * r["s"]
+
+    def summary(self) -> DataFrame:
+        """(member, weight, share, recent): recent is the sum of the last ten scores over ten."""
         total = sum(self.weights.values()) or 1.0
-        return {n: {"weight": w, "share": w / total, "recent": sum(self.scores[n][-10:]) / 10} for n, w in self.weights.items()}
+        return self.spark.createDataFrame([(n, w, w / total, sum(self.scores[n][-10:]) / 10) for n, w in self.weights.items()], "member string, weight double, share double, recent double")
 
 
-def frequency(half_life: float = 0) -> Strategy:
-    """All of the history as one fold."""
+# Permutation tests
 
-    def pick(draws: DataFrame) -> DataFrame:
-        folds = evaluate.fold_table(draws.sparkSession, [(0, 0, 0, 0, 2**31 - 1)])
-        return evaluate.frequency_picks(draws, folds, half_life)
+#: Hexadecimal digits of a key that deal a permutation's draws to ranges.
+DIGITS = 2
 
-    return pick
 
+def permutation_key(perm: Column, idx: Column, seed: int = 1) -> Column:
+    """Order of a draw in a permutation: the same on every engine that has MD5."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), perm.cast("string"), idx.cast("string")))
 
-def permutation_test(draws: DataFrame, picks: DataFrame, folds: DataFrame, n_perm: int = 200, seed: int = 1) -> DataFrame:
-    """(p, observed): share of shuffles of the sequence under which fixed picks hit as often or more in
-    the folds' draws. Orders come from a hash of (permutation, draw), ranked within the permutation."""
-    perms = draws.sparkSession.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm"))
-    order = Window.partitionBy("perm").orderBy(F.when(F.col("perm") == 0, F.col("idx")).otherwise(F.xxhash64("idx", "perm", F.lit(seed))), "idx")
-    shuffled = draws.select("idx", "reds").join(F.broadcast(perms)).withColumn("idx", F.row_number().over(order) - 1)
-    p = picks.select("fold", F.col("reds").alias("picked"))
-    hits = shuffled.join(F.broadcast(folds.join(p, "fold")), (F.col("idx") >= F.col("val_lo")) & (F.col("idx") < F.col("val_hi"))).groupBy("perm").agg(F.avg(F.size(F.array_intersect("reds", "picked"))).alias("h"))
-    seen = hits.where("perm = 0").select(F.col("h").alias("observed"))
-    return hits.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.avg((F.col("h") >= F.col("observed")).cast("double")).alias("p"), F.max("observed").alias("observed"))
 
+def shuffled(draws: DataFrame, n_perm: int, newest: int, seed: int = 1) -> DataFrame:
+    """(perm, place, idx) of the `newest` first places: of the sequence itself as perm 0 and of n_perm
+    shuffles of it by key.
 
-def shuffled(draws: DataFrame, n_perm: int, seed: int = 1) -> DataFrame:
-    """(perm, place, idx): the sequence itself as perm 0 and n_perm shuffles of it, newest place 0."""
-    perms = draws.sparkSession.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm"))
-    order = Window.partitionBy("perm").orderBy(F.when(F.col("perm") == 0, F.col("idx")).otherwise(F.xxhash64("idx", "perm", F.lit(seed))), "idx")
-    return draws.select("idx").join(F.broadcast(perms)).select("perm", (F.row_number().over(order) - 1).alias("place"), "idx")
+    A permutation isn't sorted in one task: draws fall into ranges of the key, the ranges are counted,
+    and draws are placed within ranges that begin before the last place asked for."""
+    perms = F.explode(F.sequence(F.lit(1), F.lit(n_perm)))
+    rows = draws.select("idx", perms.alias("perm")).withColumn("key", permutation_key(F.col("perm"), F.col("idx"), seed))
+    rows = rows.withColumn("range", F.substring("key", 1, DIGITS))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("perm").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("perm", "range").agg(F.count("*").alias("n")).withColumn("start", before).where(F.col("start") < newest)
+    place = F.col("start") + F.row_number().over(Window.partitionBy("perm", "range").orderBy("key", "idx")) - 1
+    placed = rows.join(starts.select("perm", "range", "start"), ["perm", "range"]).select("perm", place.alias("place"), "idx")
+    own = draws.where(F.col("idx") < newest).select(F.lit(0).alias("perm"), F.col("idx").alias("place"), "idx")
+    return own.unionByName(placed.where(F.col("place") < newest))
 
 
-def refitted_permutation_test(draws: DataFrame, n_folds: int = 4, n_perm: int = 500, seed: int = 1, train_ratio: float = 0.85) -> DataFrame:
+def permutation_test(draws: DataFrame, n_folds: int = 4, n_perm: int = 500, seed: int = 1, train_ratio: float = 0.85) -> DataFrame:
     """(p, observed): share of shuffles of the sequence whose walk-forward evaluation, with the most
     frequent reds picked anew from each fold's own training draws, hits as often or more; p is 1
     without folds.
@@ -125,11 +213,12 @@ def refitted_permutation_test(draws: DataFrame, n_folds: int = 4, n_perm: int =
     if not folds:
         return spark.createDataFrame([(1.0, None)], "p double, observed double")
     val = folds[0][2]
-    newest = shuffled(draws, n_perm, seed).where(F.col("place") < val * len(folds)).join(draws.select("idx", "reds"), "idx")
+    newest = shuffled(draws, n_perm, val * len(folds), seed).join(draws.select("idx", "reds"), "idx")
     counts = newest.select("perm", F.floor(F.col("place") / val).cast("int").alias("fold"), F.explode("reds").alias("ball")).groupBy("perm", "fold", "ball").agg(F.count("*").alias("c"))
     history = draws.select(F.explode("reds").alias("ball")).groupBy("ball").agg(F.count("*").alias("n"))
-    cells = spark.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm")).crossJoin(F.broadcast(evaluate.fold_table(spark, folds).select("fold"))).crossJoin(F.broadcast(history))
-    every = cells.join(counts, ["perm", "fold", "ball"], "left").select("perm", "fold", "ball", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    cells = spark.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm"), F.explode(F.sequence(F.lit(0), F.lit(len(folds) - 1))).alias("fold"))
+    cells = cells.select("perm", "fold", F.explode(F.sequence(F.lit(1), F.lit(REDS))).alias("ball"))
+    every = cells.join(F.broadcast(history), "ball").join(counts, ["perm", "fold", "ball"], "left").select("perm", "fold", "ball", "n", F.coalesce("c", F.lit(0)).alias("c"))
     trained = F.col("n") - F.sum("c").over(Window.partitionBy("perm", "ball").orderBy("fold"))
     place = F.row_number().over(Window.partitionBy("perm", "fold").orderBy(F.desc("trained"), "ball"))
     picked = every.withColumn("trained", trained).withColumn("place", place).where("place <= 6 AND trained > 0")
@@ -137,3 +226,24 @@ def refitted_permutation_test(draws: DataFrame, n_folds: int = 4, n_perm: int =
     seen = hits.where("perm = 0").select(F.col("h").alias("observed"))
     agg = hits.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.avg((F.col("h") >= F.col("observed")).cast("double")).alias("p"), F.max("observed").alias("observed"))
     return agg.select("p", (F.col("observed") / (val * len(folds))).alias("observed"))
+
+
+def hotness_test(draws: DataFrame, idx: int = 0, half_life: int = 50, n_perm: int = 1000, seed: int = 1) -> DataFrame:
+    """(p, observed): share of shuffles of the window before idx (3 half lives at most) whose most extreme
+    ball, by hotness over all 33 and 16, is as extreme; p is 1 for windows under 20 draws. The window is
+    bounded, so a shuffle of it is a few rows."""
+    part = draws.where((F.col("idx") > idx) & (F.col("idx") <= idx + 3 * half_life)).select((F.col("idx") - (idx + 1)).alias("idx"), "reds", "blue")
+    n = part.count()
+    if n < 20:
+        return draws.sparkSession.createDataFrame([(1.0, None)], "p double, observed double")
+    w = [2.0 ** (-k / half_life) for k in range(n)]
+    e = sum(w)
+    aged = shuffled(part, n_perm, n, seed).join(F.broadcast(part), "idx")
+    marks = F.concat(F.transform("reds", lambda b: b), F.array(F.col("blue") + REDS))
+    sums = aged.select("perm", F.get(F.array(*map(F.lit, w)), F.col("place").cast("int")).alias("w"), F.explode(marks).alias("slot")).groupBy("perm", "slot").agg(F.sum("w").alias("w"))
+    pool = draws.sparkSession.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm"), F.explode(F.sequence(F.lit(1), F.lit(REDS + BLUES))).alias("slot"))
+    p = F.when(F.col("slot") <= REDS, evaluate.P_RED).otherwise(evaluate.P_BLUE)
+    z = F.abs((F.coalesce("w", F.lit(0.0)) / max(e, 1.0) - p) / F.greatest(F.sqrt(p * (1 - p) / max(e, 1.0)), F.lit(0.001)))
+    most = pool.join(sums, ["perm", "slot"], "left").groupBy("perm").agg(F.max(F.round(z, 9)).alias("z"))
+    seen = most.where("perm = 0").select(F.col("z").alias("observed"))
+    return most.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.avg((F.col("z") >= F.col("observed")).cast("double")).alias("p"), F.max("observed").alias("observed"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rows
-from ..operators import association, energy, evaluate, neural, sampler, sequence, stats, strategies
+from ..operators import energy, neural, sampler
 from ..sources.draws import SQL_DRAWS, draws
 from .sequence_queries import rounded
 from .stats_queries import HALF_LIFE
@@ -31,7 +31,7 @@ def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sampler.sample(spark, energy.fit(draws(spark, sf_dir).cache(), HALF_LIFE), 500, 4, 7))
+    return rounded(sampler.sample(spark, energy.fit(draws(spark, sf_dir), HALF_LIFE), 500, 4, 7))
 
 
 def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,33 +41,16 @@ def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neural.predict(seq, best).select("idx", "reds", "blue")
 
 
-def hot_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = draws(spark, sf_dir).cache()
-    z = sequence.hot_cold(sequence.hotness(d, F.col("idx") == 0))
-    hot = [r["ball"] for r in z.where("colour = 'red' AND class = 'hot'").orderBy("ball").collect()]  # 33 at most
-    return strategies.filled(hot, stats.frequencies(d, HALF_LIFE)).select("ball")
-
-
-def association_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = draws(spark, sf_dir).cache()
-    pairs = association.pair_scores(association.rules(association.itemsets(d, 0.01, 2, HALF_LIFE)))
-    return spark.createDataFrame([(b,) for b in strategies.by_pairs(pairs, stats.frequencies(d, HALF_LIFE))], "ball int")
-
-
-def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(strategies.refitted_permutation_test(draws(spark, sf_dir).cache()))
-
-
 def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = neural.multi_hot(F.col("reds"), 33)
     return draws(spark, sf_dir).select("idx", F.array_join(F.transform(hot, lambda x: x.cast("string")), "").alias("hot"))
 
 
-QUERIES = {"N1_matrix_product": matrix_product, "N3_vector_functions": vector_functions, "N10_multi_hot": multi_hot, "N13_attention": attention, "C4_sampler": sampled, "G3_hot_strategy": hot_strategy, "G5_association_strategy": association_strategy, "V8_permutation_test": permutation}
+QUERIES = {"N1_matrix_product": matrix_product, "N3_vector_functions": vector_functions, "N10_multi_hot": multi_hot, "N13_attention": attention, "C4_sampler": sampled}
 _V = "list_transform(embedding, lambda x: x::DOUBLE)"
 _R = "round({}, 6) + 0.0 AS {}"
 SQL = {
-    "N1_matrix_product": "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE vec_id < 58) SELECT a.vec_id AS i, b.vec_id AS j, round(sum(a.x * b.x), 6) + 0.0 AS value FROM e a JOIN e b ON a.k = b.k AND a.vec_id < 50 AND b.vec_id >= 50 GROUP BY ALL",
+    "N1_matrix_product": "SELECT i, j, round(sum(x * ((7 * k + 11 * j) % 13 - 6) / 6.0::DOUBLE), 6) + 0.0 AS value FROM (SELECT vec_id AS i, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), (SELECT j::INT AS j FROM range(8) t(j)) GROUP BY i, j",
     "N3_vector_functions": "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT vec_id, avg(x) AS mu, var_pop(x) AS va, max(x) AS mx, sum(exp(x)) AS se FROM e GROUP BY vec_id) SELECT vec_id, " + ", ".join(_R.format(e, n) for e, n in (("sum(x * x)", "dot"), ("any_value(mu)", "mean"), ("any_value(va)", "var"), ("sum(greatest(x, 0))", "relu"), ("sum(1 / (1 + exp(-x)))", "sigmoid"), ("sum(0.5::DOUBLE * x * (1 + tanh((x + 0.044715::DOUBLE * x * x * x) * sqrt(2 / pi()))))", "gelu"), ("exp(any_value(mx)) / any_value(se)", "soft_max"), ("(any_value(mx) - any_value(mu)) / sqrt(any_value(va) + 1e-5::DOUBLE)", "norm_max"), ("-ln(greatest(max(CASE WHEN k = 1 THEN exp(x) / se END), 1e-10))", "loss"))) + " FROM e JOIN m USING (vec_id) GROUP BY vec_id",
     "N10_multi_hot": SQL_DRAWS + "SELECT idx, array_to_string(list_transform(range(1, 34), lambda k: list_contains(reds, k)::INT), '') AS hot FROM draws",
 }

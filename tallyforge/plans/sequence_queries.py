@@ -98,6 +98,9 @@ pool AS (SELECT 'red' AS colour, ball, 6.0::DOUBLE / 33 AS p FROM dim_red UNION
 z AS (SELECT e.idx, colour, ball, (coalesce(w, 0) / e - p) / sqrt(p * (1 - p) / e) AS z FROM eff e CROSS JOIN pool LEFT JOIN sums USING (idx, colour, ball) WHERE n >= 10 AND e >= 10)
 """
 
+#: Classes of all balls at the newest draw.
+CLASSES = _Z.format(picked="SELECT 0::BIGINT AS idx") + ", cl AS (SELECT colour, ball, CASE WHEN round(z, 9) >= 2 THEN 'hot' WHEN round(z, 9) >= 0.5 THEN 'warm' WHEN round(z, 9) >= -0.5 THEN 'neutral' WHEN round(z, 9) >= -1.5 THEN 'cool' ELSE 'cold' END AS class FROM z)"
+
 QUERIES = {
     "T3_ema": ema, "T4_trend": trend, "T5_volatility": volatility, "T6_recent_changes": changes, "T7_missing_values": missing, "T8_overlap": overlap, "T9_repeats": repeats, "T10_simple_features": simple_features,
     "T12_hotness": hotness, "P4_hot_cold": hot_cold, "T13_intervals": intervals, "T14_streaks": streaks, "T15_financial_stats": money, "F21_financial": financial, "T16_first_prizes": first_prizes,
@@ -118,7 +121,7 @@ SELECT idx, round(a, 6) + 0.0 AS red_avg_missing, mx AS red_max_missing, mn AS r
     "T8_overlap": SQL_DRAWS + ", p AS (SELECT d.idx, e.idx - d.idx AS k, len(list_intersect(d.reds, e.reds)) AS o, list_sum(d.reds) - list_sum(e.reds) AS df FROM draws d LEFT JOIN draws e ON e.idx > d.idx AND e.idx <= d.idx + 30) SELECT idx, " + ", ".join(f"round(avg(o) FILTER (k <= {w}), 6) + 0.0 AS sim_{w}_avg_overlap, (max(o) FILTER (k <= {w}))::DOUBLE AS sim_{w}_max_overlap, round(avg(df) FILTER (k <= {w}), 6) + 0.0 AS sim_{w}_avg_sum_diff, (max(o) FILTER (k <= {w}) >= 5)::INT::DOUBLE AS sim_{w}_has_identical" for w in (10, 30)) + " FROM p GROUP BY idx",
     "T9_repeats": SQL_DRAWS + "SELECT d.idx, coalesce(len(list_intersect(d.reds, e.reds)), 0)::INT AS repeat_red_count, round(coalesce(len(list_intersect(d.reds, e.reds)), 0) / 6.0::DOUBLE, 6) + 0.0 AS repeat_ratio, coalesce((d.blue = e.blue)::INT, 0) AS repeat_blue FROM draws d LEFT JOIN draws e ON e.idx = d.idx + 1",
     "T10_simple_features": _SIMPLE + "SELECT * FROM simple",
-    "T12_hotness": SQL_DRAWS + _Z.format(picked="SELECT idx FROM draws WHERE idx % 50 = 0") + "SELECT idx, colour, ball, round(z, 6) + 0.0 AS z FROM z",
+    "T12_hotness": SQL_DRAWS + _Z.format(picked="SELECT idx FROM draws") + "SELECT idx, colour, ball, round(z, 6) + 0.0 AS z FROM z",
     "P4_hot_cold": SQL_DRAWS + _Z.format(picked="SELECT 0::BIGINT AS idx") + "SELECT idx, colour, ball, round(z, 6) + 0.0 AS z, CASE WHEN round(z, 9) >= 2 THEN 'hot' WHEN round(z, 9) >= 0.5 THEN 'warm' WHEN round(z, 9) >= -0.5 THEN 'neutral' WHEN round(z, 9) >= -1.5 THEN 'cool' ELSE 'cold' END AS class FROM z",
     "T13_intervals": SQL_DRAWS + ", part AS (SELECT idx - 1 AS gap, reds FROM draws WHERE idx BETWEEN 1 AND 200), n AS (SELECT count(*) AS n FROM part), hits AS (SELECT gap, unnest(reds) AS ball FROM part), lagged AS (SELECT ball, gap, gap - lag(gap) OVER (PARTITION BY ball ORDER BY gap) AS step FROM hits), s AS (SELECT ball, max(gap) AS oldest, avg(step) AS mean FROM lagged GROUP BY ball), r AS (SELECT ball, coalesce(n - oldest, n + 1) AS age, coalesce(mean, 5.5::DOUBLE) AS mean FROM dim_red CROSS JOIN n LEFT JOIN s USING (ball) WHERE n >= 10) SELECT ball, age AS age_of_oldest, round(mean, 6) + 0.0 AS avg_interval, round(age / mean, 6) + 0.0 AS overdue FROM r",
     "T14_streaks": SQL_DRAWS + _GRID + """, marks AS (SELECT idx, ball, hit, count(*) OVER w AS n, min(CASE WHEN hit THEN idx END) OVER w AS h, min(CASE WHEN NOT hit THEN idx END) OVER w AS m FROM grid WINDOW w AS (PARTITION BY ball ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 50 FOLLOWING)),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import rows
-from tallyforge.operators import association, energy, evaluate, neural, sampler, stats, strategies
+from tallyforge.operators import association, energy, evaluate, neural, predictor, sampler, stats, strategies
 from tallyforge.sources import api, draws, history
 from tallyforge.streaming import ingest
 
@@ -90,27 +90,66 @@ def test_vector_columns(spark):
     assert r["p"] == [11.0, 17.0] and sum(r["s"]) == pytest.approx(1) and r["var"] == 1.25 and r["h"] == [0, 1, 0] and r["r"] == [0.0] and r["sg"] == [0.5]
 
 
-def test_strategies_and_ensemble(d):
-    f = stats.frequencies(d)
-    assert [r["ball"] for r in strategies.filled([9, 9, 4], f).collect()][:2] == [9, 4]
-    pairs = association.pair_scores(association.rules(association.itemsets(d, 0.01, 2)))
-    assert len(set(strategies.by_pairs(pairs, f))) == 6 and len(strategies.by_pairs(pairs.limit(0), f)) == 6
-    e = strategies.Ensemble()
+def test_strategies_pick_seven_balls(d):
+    for name, make in strategies.STRATEGIES.items():
+        one = make(100)(d).first()
+        assert len(set(one["reds"])) == 6 and one["reds"] == sorted(one["reds"]) and 1 <= one["blue"] <= 16, name
+    assert strategies.paired(min_lift=99)(d).first() == strategies.frequency()(d).first()
+
+
+def test_ensemble_votes_and_learns(spark, d):
+    e = strategies.Ensemble(spark)
+    assert e.predict(d).count() == 0
     e.add("even", strategies.frequency())
-    e.add("recent", strategies.frequency(20))
+    e.add("recent", strategies.frequency(20), 2.0)
     e.add("broken", lambda _: 1 / 0)
-    got = e.predict(d)
-    assert set(got["picks"]) == {"even", "recent"} and len(got["reds"]) == 6 and 0 < got["confidence"] <= 1
-    e.update(got["picks"], got["picks"]["even"]["reds"], got["picks"]["even"]["blue"])
-    assert e.weights["even"] == pytest.approx(1.0) and e.summary()["even"]["recent"] == pytest.approx(0.1)
+    got = e.predict(d).first()
+    assert len(got["reds"]) == 6 and 0 < got["confidence"] <= 1
+    picks = {r["member"]: r for r in e.last.collect()}
+    assert set(picks) == {"even", "recent"} and got["blue"] == picks["recent"]["blue"]
+    e.update(picks["even"]["reds"], picks["even"]["blue"])
+    assert e.weights["even"] == pytest.approx(1.0)
+    summary = {r["member"]: r for r in e.summary().collect()}
+    assert summary["even"]["recent"] == pytest.approx(0.1) and summary["broken"]["weight"] == 1.0
     e.remove("broken")
-    assert "broken" not in e.summary()
-
-
-def test_permutation_test(spark, d):
-    folds = evaluate.fold_table(spark, [(0, 0, 50, 50, 10**6)])
-    p = strategies.permutation_test(d, evaluate.frequency_picks(d, folds), folds, 30).first()
-    assert 0 <= p["p"] <= 1
+    assert e.summary().count() == 2
+
+
+def test_cross_validation_by_method(d):
+    each, summary = evaluate.run_cv(d, evaluate.frequency_picks, "expanding", least=200, val=50, step=50)
+    s = summary.first()
+    assert each.count() == s["n_folds"] > 1 and s["red_to_chance"] == pytest.approx(s["red_rate_mean"] * 33 / 6)
+    assert evaluate.run_cv(d, evaluate.frequency_picks, "anchored", anchors=(0.2, 0.5))[0].count() == 2
+    none, empty = evaluate.run_cv(d, evaluate.frequency_picks, "rolling", train=10**6, val=1, step=1)
+    assert none.count() == 0 and empty.count() == 0
+    with pytest.raises(ValueError):
+        evaluate.run_cv(d, evaluate.frequency_picks, "other")
+
+
+def test_short_histories_have_no_significance(d):
+    assert strategies.hotness_test(d.where("idx < 15")).first()["p"] == 1.0
+    assert strategies.permutation_test(d.where("idx < 5")).first()["p"] == 1.0
+
+
+def test_facade_predicts_and_reports(spark, d):
+    p = predictor.Predictor(spark, seed=4)
+    with pytest.raises(ValueError):
+        p.predict()
+    m = p.prepare(d)
+    got = p.predict(5, 1200)
+    best = got.recommendations.collect()
+    assert len(best) == 5 and [r["score"] for r in best] == sorted((r["score"] for r in best), reverse=True)
+    e, blue = sampler.energy_function(m), energy.blue_energy(m)
+    for r in best:
+        reds = [r[f"r{k}"] for k in range(1, 7)]
+        assert r["energy"] == pytest.approx(e(reds, r["blue"])) and blue[r["blue"] - 1] <= r["energy"]
+    share = {(r["colour"], r["ball"]): r["p"] for r in got.marginals.collect()}
+    assert sum(v for (c, _), v in share.items() if c == "red") == pytest.approx(6) and sum(v for (c, _), v in share.items() if c == "blue") == pytest.approx(1)
+    assert got.n_candidates > 100 and got.diagnostics.count() == 4 and got.ranked.count() == 5
+    lines = predictor.report(got).collect()
+    assert {r["section"] for r in lines} == {"recommendations", "ranked", "marginals red", "marginals blue"} and all(r["line"] for r in lines)
+    exact = p.predict(3, 0)
+    assert exact.n_candidates == 0 and exact.recommendations.count() == 3 and exact.ranked.count() == 0
 
 
 def test_api_source(spark, d):
