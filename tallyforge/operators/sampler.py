@@ -20,6 +20,8 @@ from .energy import Model, blue_energy
 
 #: Chances of changing one red, two reds, the blue. Fixed values.
 MOVES = (0.5, 0.3, 0.2)
+#: Floor of the temperature. Fixed value.
+COLDEST = 0.001
 SCHEMA = "chain int, sample int, reds array<int>, blue int, energy double, acceptance double"
 
 
@@ -53,9 +55,11 @@ def energy_function(m: Model) -> Callable[[list[int], int], float]:
 
 
 def chain(energy: Callable[[list[int], int], float], n: int, seed: int, temperature: float = 1.0, tau: float = 3000.0, burn_in: int = 1000, thin: int = 2) -> tuple[list[tuple[tuple[int, ...], int, float]], float]:
-    """Samples (reds, blue, energy) after the burn-in, every `thin` steps, and the share of moves taken.
+    """Samples (reds, blue, energy) of the first step after the burn-in and every `thin` steps from there,
+    and the share of moves taken.
 
-    The temperature falls as exp(-step / tau) during the burn-in only (if tau is positive)."""
+    The temperature falls as exp(-step / tau) during the burn-in only (if tau is positive), and no lower
+    than COLDEST."""
     rng = np.random.default_rng(seed)
     reds, blue = sorted(rng.choice(REDS, PICKED, replace=False) + 1), int(rng.integers(1, BLUES + 1))
     reds = [int(x) for x in reds]
@@ -74,10 +78,10 @@ def chain(energy: Callable[[list[int], int], float], n: int, seed: int, temperat
         else:
             b = int((blue - 1 + rng.integers(1, BLUES)) % BLUES) + 1
         e = energy(new, b)
-        if e <= now or rng.random() < math.exp((now - e) / t):
+        if e <= now or rng.random() < math.exp((now - e) / max(t, COLDEST)):
             reds, blue, now = new, b, e
             taken += 1
-        if step >= burn_in and (step - burn_in) % thin == thin - 1:
+        if step >= burn_in and (step - burn_in) % thin == 0:
             out.append((tuple(reds), blue, now))
     return out, taken / max(1, steps)
 

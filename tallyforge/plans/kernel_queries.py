@@ -36,21 +36,32 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attention model after three passes over the history, applied to every draw with ten before it."""
-    seq = neural.sequences(draws(spark, sf_dir), [c / 33.0 for c in rows.positional().values()]).cache()
+    seq = neural.sequences(draws(spark, sf_dir), [c / 33.0 for c in rows.positional().values()])
     best, _ = neural.train(seq, neural.init(6, width=16), epochs=3)
     return neural.predict(seq, best).select("idx", "reds", "blue")
 
 
+def vector_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More vector functions of the embeddings, reduced to numbers."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", v.alias("v"))
+    w = F.slice("v", 1, 4)
+    m = neural.reshape(F.slice("v", 1, 8), 2, 4)
+    total = neural.total
+    return rounded(e.select("vec_id", total(neural.add(w, w)).alias("twice"), total(neural.div(w, neural.mul(w, w))).alias("quotients"), total(neural.sqrt(w)).alias("roots"), total(neural.tanh(w)).alias("tanh"), total(neural.log_softmax(w)).alias("log_soft"), neural.std(F.col("v")).alias("std"), F.get(neural.along(m, 0, total), F.lit(1)).alias("column_sum"), F.get(neural.along(m, 1, neural.mean), F.lit(1)).alias("row_mean"), total(F.get(neural.mat_mul(m, neural.transpose(m)), F.lit(0))).alias("product"), total(neural.flatten(neural.outer(w, w))).alias("outer"), neural.argmax(F.col("v")).alias("first_max"), F.array_join(neural.argsort(w), " ").alias("sorted"), neural.binary_cross_entropy(neural.sigmoid(w), neural.one_hot(F.lit(2), 4)).alias("bce")))
+
+
 def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = neural.multi_hot(F.col("reds"), 33)
     return draws(spark, sf_dir).select("idx", F.array_join(F.transform(hot, lambda x: x.cast("string")), "").alias("hot"))
 
 
-QUERIES = {"N1_matrix_product": matrix_product, "N3_vector_functions": vector_functions, "N10_multi_hot": multi_hot, "N13_attention": attention, "C4_sampler": sampled}
+QUERIES = {"N1_matrix_product": matrix_product, "N3_vector_functions": vector_functions, "N2_vector_forms": vector_forms, "N10_multi_hot": multi_hot, "N13_attention": attention, "C4_sampler": sampled}
 _V = "list_transform(embedding, lambda x: x::DOUBLE)"
 _R = "round({}, 6) + 0.0 AS {}"
 SQL = {
     "N1_matrix_product": "SELECT i, j, round(sum(x * ((7 * k + 11 * j) % 13 - 6) / 6.0::DOUBLE), 6) + 0.0 AS value FROM (SELECT vec_id AS i, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), (SELECT j::INT AS j FROM range(8) t(j)) GROUP BY i, j",
     "N3_vector_functions": "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT vec_id, avg(x) AS mu, var_pop(x) AS va, max(x) AS mx, sum(exp(x)) AS se FROM e GROUP BY vec_id) SELECT vec_id, " + ", ".join(_R.format(e, n) for e, n in (("sum(x * x)", "dot"), ("any_value(mu)", "mean"), ("any_value(va)", "var"), ("sum(greatest(x, 0))", "relu"), ("sum(1 / (1 + exp(-x)))", "sigmoid"), ("sum(0.5::DOUBLE * x * (1 + tanh((x + 0.044715::DOUBLE * x * x * x) * sqrt(2 / pi()))))", "gelu"), ("exp(any_value(mx)) / any_value(se)", "soft_max"), ("(any_value(mx) - any_value(mu)) / sqrt(any_value(va) + 1e-5::DOUBLE)", "norm_max"), ("-ln(greatest(max(CASE WHEN k = 1 THEN exp(x) / se END), 1e-10))", "loss"))) + " FROM e JOIN m USING (vec_id) GROUP BY vec_id",
+    "N2_vector_forms": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), f AS (SELECT *, v[1:4] AS w FROM e) SELECT vec_id, " + ", ".join(_R.format(e, n) for e, n in (("2 * list_sum(w)", "twice"), ("list_sum(list_transform(w, lambda x: x / (x * x + 1e-8)))", "quotients"), ("list_sum(list_transform(w, lambda x: sqrt(greatest(x, 0))))", "roots"), ("list_sum(list_transform(w, lambda x: tanh(x)))", "tanh"), ("list_sum(w) - 4 * ln(list_sum(list_transform(w, lambda x: exp(x))))", "log_soft"), ("list_stddev_pop(v)", "std"), ("v[2] + v[6]", "column_sum"), ("(v[5] + v[6] + v[7] + v[8]) / 4", "row_mean"), ("list_sum(list_transform(w, lambda x: x * x)) + v[1] * v[5] + v[2] * v[6] + v[3] * v[7] + v[4] * v[8]", "product"), ("list_sum(w) ** 2", "outer"), ("(ln(1 + exp(v[1])) + ln(1 + exp(v[2])) + ln(1 + exp(-v[3])) + ln(1 + exp(v[4]))) / 4", "bce"))) + ", (list_position(v, list_max(v)) - 1)::INT AS first_max, array_to_string(list_transform(list_sort(list_transform(range(4), lambda k: {'x': w[k + 1], 'k': k})), lambda s: s.k), ' ') AS sorted FROM f",
     "N10_multi_hot": SQL_DRAWS + "SELECT idx, array_to_string(list_transform(range(1, 34), lambda k: list_contains(reds, k)::INT), '') AS hot FROM draws",
 }

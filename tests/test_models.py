@@ -69,6 +69,88 @@ def test_gradients_are_the_differences():
             assert (both[0] - both[1]) / 2e-5 == pytest.approx(g[name][at], rel=1e-3, abs=1e-5)
 
 
+def test_the_block_is_whole():
+    p = neural.init(31, width=48, heads=2, length=20)
+    assert sum(p[k].size for k in p if k not in neural.FIXED) == 32_017
+    x = np.random.default_rng(1).normal(size=(2, 20, 31))
+    red, blue, c = neural.forward(p, x)
+    assert c["a"].shape == (2, 2, 20, 20) and np.allclose(c["a"].sum(-1), 1) and np.allclose(red.sum(1), 1) and np.allclose(blue.sum(1), 1)
+    # One row by hand, a place at a time.
+    h = [x[0, t] @ p["w_in"] + p["b_in"] + p["place"][t] for t in range(20)]
+    heads = []
+    for k in range(2):
+        own = slice(k * 24, (k + 1) * 24)
+        q, key, v = ([(y @ p[w])[own] for y in h] for w in "qkv")
+        weights = [np.exp([a @ b / np.sqrt(24) for b in key]) for a in q]
+        heads.append([sum(w / ws.sum() * b for w, b in zip(ws, v)) for ws in weights])
+
+    def norm(r, g, s):
+        return (r - r.mean()) / np.sqrt(((r - r.mean()) ** 2).mean() + 1e-5) * g + s
+
+    out = []
+    for t in range(20):
+        y = norm(h[t] + np.concatenate([heads[0][t], heads[1][t]]) @ p["o"], p["gain1"], p["shift1"])
+        z = y @ p["w_up"] + p["b_up"]
+        f = 0.5 * z * (1 + np.tanh(np.sqrt(2 / np.pi) * (z + 0.044715 * z**3))) @ p["w_down"] + p["b_down"]
+        out.append(norm(y + f, p["gain2"], p["shift2"]))
+    logits = np.mean(out, 0) @ p["w_red"] + p["b_red"]
+    assert np.allclose(red[0], np.exp(logits) / np.exp(logits).sum())
+
+
+def test_optimizer_and_clipping():
+    g = {"a": np.array([3.0]), "b": np.array([[4.0]])}
+    assert neural.clip_gradients(g, 10) is g and neural.clip_gradients(g, 1)["b"][0, 0] == pytest.approx(0.8)
+    adam, p = neural.AdamW(rate=0.1, decay=0.5), {"a": np.array([2.0]), "b": np.array([[1.0]])}
+    once = adam.step(p, {"a": np.array([0.5])})
+    assert once["a"][0] == pytest.approx(2 * (1 - 0.05) - 0.1) and once["b"] is p["b"]
+    twice = adam.step(once, {"a": np.array([-0.5])})
+    m, v = (0.9 * 0.05 - 0.05) / (1 - 0.81), (0.999 * 0.00025 + 0.00025) / (1 - 0.998001)
+    assert twice["a"][0] == pytest.approx(once["a"][0] * 0.95 - 0.1 * m / (np.sqrt(v) + 1e-8))
+
+
+def test_vector_functions(spark):
+    v = F.array(*map(F.lit, (1.0, -2.0, 3.0, 3.0)))
+    m = neural.reshape(v, 2, 2)
+    r = spark.range(1).select(neural.argsort(v).alias("up"), neural.argsort(v, True).alias("down"), neural.argmax(v).alias("most"), neural.shape(m).alias("shape"), neural.transpose(m).alias("t"), neural.outer(v, v).alias("o"), neural.one_hot(F.lit(1), 3).alias("one"), neural.softmax_2d(m).alias("s2"), neural.layer_norm(v, v, v).alias("ln"), neural.scaled(v, 2.0).alias("two"), neural.sub(v, v).alias("zero"), neural.sqrt(v).alias("root"), neural.binary_cross_entropy(F.array(F.lit(0.0), F.lit(1.0)), F.array(F.lit(1.0), F.lit(1.0))).alias("bce")).first()
+    assert r["up"] == [1, 0, 2, 3] and r["down"] == [2, 3, 0, 1] and r["most"] == 2 and r["shape"] == [2, 2] and r["t"] == [[1, 3], [-2, 3]] and r["o"][1] == [-2, 4, -6, -6] and r["one"] == [0, 1, 0]
+    assert [sum(x) for x in r["s2"]] == pytest.approx([1, 1]) and r["two"][2] == 6 and set(r["zero"]) == {0} and r["root"][1] == 0 and r["bce"] == pytest.approx(-np.log(1e-10) / 2)
+    x = np.array([1.0, -2, 3, 3])
+    assert r["ln"] == pytest.approx(list((x - x.mean()) / np.sqrt(x.var() + 1e-5) * x + x))
+    d = spark.range(2000).select(neural.dropout(F.array(F.lit(1.0), F.lit(2.0)), 0.25, F.col("id"), seed=3).alias("d"))
+    kept = [x for row in d.collect() for x in row["d"]]
+    assert sum(x == 0 for x in kept) / 4000 == pytest.approx(0.25, abs=0.03) and set(kept) <= {0.0, 1 / 0.75, 2 / 0.75} and d.collect() == d.collect()
+
+
+def test_noise_has_mean_deviation_and_entropy(spark):
+    p = spark.createDataFrame([(1, [0.5, 0.3, 0.2], [0.9, 0.1])], "idx long, red_p array<double>, blue_p array<double>")
+    got = neural.noisy(p, 4000, 0.1, seed=5).collect()
+    by = {(r["colour"], r["ball"]): r for r in got}
+    draws_ = np.random.default_rng(0).normal(1, 0.1, (200_000, 3)) * [0.5, 0.3, 0.2]
+    want = draws_ / draws_.sum(1, keepdims=True)
+    for k in range(3):
+        assert by["red", k + 1]["mean"] == pytest.approx(want[:, k].mean(), abs=0.002) and by["red", k + 1]["std"] == pytest.approx(want[:, k].std(), abs=0.002)
+    means = [by["red", k]["mean"] for k in (1, 2, 3)]
+    assert by["red", 1]["entropy"] == pytest.approx(-sum(m * np.log(m) for m in means)) and sum(by["blue", k]["mean"] for k in (1, 2)) == pytest.approx(1)
+    assert all(r["std"] == 0 for r in neural.noisy(p, 5, 0.0).collect())
+
+
+def test_cold_chains_and_autocorrelation(spark, model):
+    e = sampler.energy_function(model)
+    got, rate = sampler.chain(e, 50, 3, tau=1, burn_in=1000, thin=2)
+    assert len(got) == 50 and 0 < rate < 1
+    rows_ = [(0, k, float(x)) for k, x in enumerate([1, 3, 2, 5, 4])] + [(1, 0, 7.0)]
+    r = {x["chain"]: x["r"] for x in sampler.autocorrelation(spark.createDataFrame(rows_, "chain int, sample int, energy double")).collect()}
+    c = np.array([1, 3, 2, 5, 4]) - 3.0
+    assert r[0] == pytest.approx((c[1:] * c[:-1]).sum() / (c * c).sum()) and r[1] == 0
+
+
+def test_evaluated_predictions(spark):
+    p = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6], 7), (2, [1, 2, 3, 9, 10, 11], 8)], "idx long, reds array<int>, blue int")
+    actual = spark.createDataFrame([(1, [1, 2, 3, 4, 20, 21], 7), (2, [1, 20, 21, 22, 23, 24], 9)], "idx long, reds array<int>, blue int")
+    r = neural.evaluate(p, actual).first()
+    assert (r["n"], r["avg_hits"], r["blue_rate"], r["share_3"]) == (2, 2.5, 0.5, 0.5) and r["red_rate"] == pytest.approx(2.5 / 6)
+
+
 def test_training_lowers_the_loss(spark, d, tmp_path):
     seq = neural.sequences(d, [c / 33.0 for c in rows.positional().values()], 5).cache()
     p = neural.init(6, width=8, heads=2, length=5)
@@ -81,7 +163,8 @@ def test_training_lowers_the_loss(spark, d, tmp_path):
     assert neural.evaluate(got.limit(0), d).first()["red_rate"] == 0
     neural.save(best, spark, str(tmp_path / "p"))
     assert all(np.allclose(neural.load(spark, str(tmp_path / "p"))[k], v) for k, v in best.items())
-    assert neural.noisy(got.limit(2), 5).agg(F.sum("mean")).first()[0] == pytest.approx(2)
+    assert neural.noisy(got.limit(2), 5).agg(F.sum("mean")).first()[0] == pytest.approx(4)
+    assert all(sum(w) == pytest.approx(1) for w in first["attention"])
 
 
 def test_vector_columns(spark):
