@@ -12,16 +12,31 @@ RAW = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
 API = "issue string, openTime string, week string, frontWinningNum string, backWinningNum string, seqFrontWinningNum string, saleMoney string, prizePoolMoney string, winnerDetails array<struct<awardEtc: string, baseBetWinner: struct<awardNum: string, awardMoney: string>>>"
 
 
-def load_history(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records of a JSON array file, under the columns of FIELDS. A missing path, or one that holds
-    no list of objects, gives no rows; nothing is created. Fields of other types are read as text."""
+def _read(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], RAW).toDF(*FIELDS.values())
-    read = spark.read.schema(RAW).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        return spark.createDataFrame([], T.StructType([*RAW, T.StructField("corrupt", T.StringType())]))
+    kept = T.StructType([*RAW, T.StructField("corrupt", T.StringType())])
+    return spark.read.schema(kept).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path)
+
+
+def load_history(spark: SparkSession, path: str) -> DataFrame:
+    """Raw records of a JSON array file, under the columns of FIELDS. A missing path, or one that holds
+    no list of objects, gives no rows; nothing is created. Fields of other types are read as text. What
+    is no JSON is left out here and comes with `malformed`."""
+    read = _read(spark, path).where("corrupt IS NULL").drop("corrupt")
     return read.toDF(*FIELDS.values()).where(F.col("issue").isNotNull() | F.col("reds").isNotNull())
 
 
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of what `load_history` can't read: a file that is no JSON is one such text."""
+    read = _read(spark, path)
+    if "corrupt" not in read.columns or not read.inputFiles():
+        return spark.createDataFrame([], "file string, text string")
+    # Spark reads the corrupt column only beside another one.
+    return read.where("corrupt IS NOT NULL AND (`期号` IS NULL OR length(`期号`) >= 0)").select(F.input_file_name().alias("file"), F.col("corrupt").alias("text"))
+
+
 def _numbers(text: Column) -> Column:
     """Integers of a text apart by white space; what is no number is null."""
     return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""), lambda x: x.try_cast("int"))
@@ -95,3 +110,20 @@ def status(draws: DataFrame, today: str) -> DataFrame:
     """Rows, days covered, days since the last draw and the estimate of draws missed (days // 2)."""
     since = F.datediff(F.lit(today).cast("date"), F.max("draw_date"))
     return draws.agg(F.count("*").alias("total"), F.max("draw_no").alias("latest"), F.datediff(F.max("draw_date"), F.min("draw_date")).alias("days_covered"), since.alias("days_since"), F.floor(since / 2).alias("missed"))
+
+
+def completed(spark: SparkSession, store: DataFrame, transport, lookback: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(store, outcome) after one update: the ids among the newest `lookback` offered that the store (of
+    raw records) lacks are fetched and appended, oldest first; outcome has a row for each of them
+    (issue, place, stored), stored being false where nothing came or the draw has no balls yet."""
+    from . import api
+
+    offered = api.issue_list(spark, transport, lookback).select(F.col("issue").cast("long").alias("draw_no"))
+    gone = missing_ids(offered, store.select(F.col("issue").try_cast("bigint").alias("draw_no")), lookback)
+    ids = [(str(r["draw_no"]), r["place"]) for r in gone.orderBy("place").collect()]  # lookback rows at most
+    asked = spark.createDataFrame(ids, "issue string, place int")
+    fetched = parse_issue(api.issue_details(spark, transport, [i for i, _ in ids]))
+    # Fetched once: the rows are few, and the outcome is that of what is appended.
+    fetched = spark.createDataFrame(fetched.collect(), fetched.schema)
+    outcome = asked.join(fetched.select("issue", F.lit(True).alias("stored")), "issue", "left").select("issue", "place", F.coalesce("stored", F.lit(False)).alias("stored"))
+    return append(store, fetched), outcome

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.history import parse
+from ..sources import api
+from ..sources.history import parse, parse_issue
 
 RECORD = "issue string, open_date string, weekday string, reds string, blue string, draw_order string, sales string, jackpot string, first_prize_count string, first_prize_money string"
 
@@ -21,20 +23,32 @@ def stored_ids(spark: SparkSession, store: str) -> DataFrame | None:
     return spark.read.parquet(store).select("draw_no") if there else None
 
 
-def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends draws of new files to the store, each id once: duplicates of a batch go, then ids that
-    the store has (anti-join), so a repeated batch changes nothing. Late ids are taken like any other."""
+def _merge(records: DataFrame, store: str) -> None:
+    """Appends parsed draws of raw records: duplicates of a batch go, then ids that the store has
+    (anti-join), so a repeated batch changes nothing. Late ids are taken like any other."""
+    new = parse(records).where(F.col("draw_no").isNotNull()).dropDuplicates(["draw_no"])
+    have = stored_ids(records.sparkSession, store)
+    (new if have is None else new.join(have, "draw_no", "left_anti")).write.mode("append").parquet(store)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        new = parse(batch).where(F.col("draw_no").isNotNull()).dropDuplicates(["draw_no"])
-        have = stored_ids(batch.sparkSession, store)
-        (new if have is None else new.join(have, "draw_no", "left_anti")).write.mode("append").parquet(store)
 
+def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Appends draws of new files to the store, each id once."""
     stream = spark.readStream.schema(RECORD).json(source)
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda batch, _: _merge(batch, store)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 minutes")).start()
 
 
+def follow(spark: SparkSession, transport: api.Transport | str, store: str, checkpoint: str, clock: Callable[[], datetime] = datetime.now, every: str = "5 minutes") -> StreamingQuery:
+    """Polls the API on draw days after the draw, once a day, and appends what the store lacks. The day of
+    the last poll is the stream's offset, so it outlives a restart."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        _merge(parse_issue(api.objects(batch)), store)
+
+    stream = api.poll(spark, transport, clock)
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def full_refresh(spark: SparkSession, source: str, store: str) -> None:
     """The store anew from all files, by falling id."""
     rows = parse(spark.read.schema(RECORD).json(source)).where(F.col("draw_no").isNotNull()).dropDuplicates(["draw_no"])

@@ -235,16 +235,21 @@ def test_facade_predicts_and_reports(spark, d):
     assert exact.n_candidates == 0 and exact.recommendations.count() == 3 and exact.ranked.count() == 0
 
 
-def test_api_source(spark, d):
-    objects = {r["issue"]: r.asDict(recursive=True) for r in history.api_objects(d.where("idx < 12")).collect()}
+def make_transport(d, n: int):
+    found = {r["issue"]: r.asDict(recursive=True) for r in history.api_objects(d.where(f"idx < {n}")).collect()}
 
     def transport(params, timeout):
         if params["transactionType"] == "list":
-            return {"resCode": "000000", "issue": sorted(objects, key=int, reverse=True)}
-        if params["issue"] == "0":
+            return {"resCode": "000000", "issue": sorted(found, key=int, reverse=True)[: int(params["count"])]}
+        if params["issue"] not in found:
             return {"resCode": "999"}
-        return objects[params["issue"]]
+        return {"resCode": "000000"} | found[params["issue"]]
+
+    return transport, found
+
 
+def test_api_source(spark, d):
+    transport, found = make_transport(d, 12)
     ids = [r["issue"] for r in api.issue_list(spark, transport).collect()]
     assert len(ids) == 12
     got = history.parse_issue(api.issue_details(spark, transport, [*ids, "0"], chunk=5))
@@ -256,6 +261,54 @@ def test_api_source(spark, d):
         raise OSError
 
     assert api.fetch(failing, {}, wait=lambda s: None) is None and len(tried) == 3
+    for bad in ({}, {"resCode": "0"}, {"resCode": None}, ["000000"]):
+        assert api.fetch(lambda params, timeout, bad=bad: bad, {}) is None
+
+
+def test_update_appends_and_counts(spark, d):
+    transport, found = make_transport(d, 12)
+    store = history.raw(d.where("idx BETWEEN 4 AND 8"))
+    after, outcome = history.completed(spark, store, transport, 10)
+    rows_ = outcome.orderBy("place").collect()
+    ids = sorted(int(i) for i in found)[-10:]
+    have = {int(r["issue"]) for r in store.collect()}
+    assert [int(r["issue"]) for r in rows_] == [i for i in ids if i not in have]
+    assert all(r["stored"] == (int(r["issue"]) % 7 != 0) for r in rows_)
+    assert after.count() == 5 + sum(r["stored"] for r in rows_)
+    again, nothing = history.completed(spark, after, transport, 10)
+    assert not nothing.where("stored").count() and again.count() == after.count()
+
+
+def test_malformed_files_are_counted(spark, tmp_path):
+    (tmp_path / "good.json").write_text('[{"期号": "1", "红球": "01 02 03 04 05 06", "蓝球": "07"}, {"期号": "2", "红球": "1 2 3 4 5 6", "蓝球": "8"}]')
+    (tmp_path / "bad.json").write_text('[{"期号": "3", "红球"')
+    assert history.load_history(spark, str(tmp_path)).count() == 2
+    bad = history.malformed(spark, str(tmp_path)).collect()
+    assert len(bad) == 1 and bad[0]["file"].endswith("bad.json") and history.malformed(spark, str(tmp_path / "none")).count() == 0
+    assert history.load_history(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_polling_waits_for_the_draw(spark, d, tmp_path):
+    from datetime import datetime
+
+    at = datetime(2024, 2, 20, 21, 30)  # a Tuesday
+    assert api.due(at, "") and not api.due(at, "20240220") and api.due(at, "20240218")
+    assert not api.due(at.replace(hour=21, minute=29), "") and not api.due(at.replace(day=21), "")
+    transport, found = make_transport(d, 12)
+    store, checkpoint = str(tmp_path / "store"), str(tmp_path / "cp")
+    for clock, many in ((lambda: datetime(2024, 2, 21, 22, 0), 0), (lambda: datetime(2024, 2, 20, 22, 0), 1), (lambda: datetime(2024, 2, 20, 23, 0), 1)):
+        q = ingest.follow(spark, transport, store, checkpoint, clock, "0 seconds")
+        q.processAllAvailable()
+        q.stop()
+        have = ingest.stored_ids(spark, store)
+        want = {int(i) for i in sorted(found, key=int)[-10:] if int(i) % 7}
+        assert ({r["draw_no"] for r in have.collect()} if have is not None else set()) == (want if many else set())
+
+
+def test_draw_status(d):
+    s = history.status(d, "2030-01-01").first()
+    days = d.selectExpr("count(*) AS n", "max(draw_no) AS last", "datediff(max(draw_date), min(draw_date)) AS days", "datediff(DATE'2030-01-01', max(draw_date)) AS since").first()
+    assert (s["total"], s["latest"], s["days_covered"], s["days_since"], s["missed"]) == (days["n"], days["last"], days["days"], days["since"], days["since"] // 2)
 
 
 def test_streamed_ids_are_stored_once(spark, d, tmp_path):
