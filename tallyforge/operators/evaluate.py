@@ -43,11 +43,17 @@ def fold_table(spark: SparkSession, folds: list[Fold]) -> DataFrame:
 
 def frequency_picks(d: DataFrame, folds: DataFrame, half_life: float = 0) -> DataFrame:
     """(fold, reds, blue): the six reds and the blue of most decayed weight in each fold's training
-    part, all folds in one aggregation keyed by fold; ties to the lower ball."""
-    w = weight(half_life)
+    part; ties to the lower ball.
+
+    The ends of all training parts cut the history into segments. Draws are summed up once, by segment,
+    and a fold adds up the segments it trains on, 49 rows each: no draw is repeated for a fold."""
+    bounds = sorted({r[c] for r in folds.select("train_lo", "train_hi").collect() for c in ("train_lo", "train_hi")})  # two a fold
     marks = F.concat(F.transform("reds", lambda b: F.struct(F.lit("red").alias("colour"), b.alias("ball"))), F.array(F.struct(F.lit("blue").alias("colour"), F.col("blue").alias("ball"))))
-    part = d.join(F.broadcast(folds), (F.col("idx") >= F.col("train_lo")) & (F.col("idx") < F.col("train_hi")))
-    sums = part.select("fold", w.alias("w"), F.explode(marks).alias("m")).groupBy("fold", "m.colour", "m.ball").agg(F.sum("w").alias("w"))
+    segment = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<int>"), lambda b: b <= F.col("idx")))
+    parts = d.select(segment.alias("segment"), weight(half_life).alias("w"), F.explode(marks).alias("m")).groupBy("segment", "m.colour", "m.ball").agg(F.sum("w").alias("w"))
+    number = F.array(*map(F.lit, bounds)).cast("array<int>")
+    ends = folds.select("fold", F.array_position(number, F.col("train_lo")).alias("lo"), F.array_position(number, F.col("train_hi")).alias("hi"))
+    sums = parts.join(F.broadcast(ends), (F.col("segment") >= F.col("lo")) & (F.col("segment") < F.col("hi"))).groupBy("fold", "colour", "ball").agg(F.sum("w").alias("w"))
     place = F.row_number().over(Window.partitionBy("fold", "colour").orderBy(F.desc(F.round("w", 9)), "ball"))
     best = sums.withColumn("place", place).where((F.col("place") <= 6) & (F.col("colour") == "red") | (F.col("place") == 1))
     red, blue = F.col("colour") == "red", F.col("colour") == "blue"

@@ -84,6 +84,13 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select(text("d").alias("d"), F.weekday("d").isin(1, 3, 6).alias("is_draw_day"), text(F.date_sub("d", since)).alias("last_draw"), text(nxt).alias("next_draw"), (F.unix_timestamp(at_draw) - F.unix_timestamp(now)).alias("seconds_until"))
 
 
+def draw_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store covers, seen from a fixed day."""
+    from ..sources.history import status
+
+    return status(draws(spark, sf_dir), "2100-01-01")
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws as raw records of strings, parsed back."""
     from ..sources.history import parse, raw
@@ -164,7 +171,7 @@ _MONEY = "CAST(prize AS BIGINT)"
 
 QUERIES = {
     "S0_draw_table": draw_table, "S3_parse_record": parsed, "S5_summary": summary, "S11_parse_issue": parsed_issues, "S15_missing_issues": latest_and_missing, "P1_feature_vector": feature_vector, "P3_split_by_date": split_by_date, "K6_last_n": last_n,
-    "F11_encode_draw": encode_draw, "F9_frequency_features": frequency_features, "F19_encode_draw_advanced": encode_draw_advanced, "F20_day_of_week": day_of_week, "F22_draw_order": draw_order_features, "F23_seasonal": seasonal, "D1_calendar": calendar,
+    "F11_encode_draw": encode_draw, "F9_frequency_features": frequency_features, "F19_encode_draw_advanced": encode_draw_advanced, "F20_day_of_week": day_of_week, "F22_draw_order": draw_order_features, "F23_seasonal": seasonal, "D1_calendar": calendar, "S17_status": draw_status,
 }
 _RANK = "coalesce(nullif(list_position(draw_order, reds[{k}]), 0), {k})::INT"
 
@@ -193,6 +200,7 @@ SELECT idx, round(a, 6) + 0.0 AS red_avg_freq, mx AS red_max_freq, mn AS red_min
     "F20_day_of_week": SQL_DRAWS + "SELECT idx, k AS day_index, (k = 0)::INT AS is_sunday, (k = 1)::INT AS is_tuesday, (k = 2)::INT AS is_thursday, round(sin(2 * pi() * k / 3), 6) + 0.0 AS day_sin, round(cos(2 * pi() * k / 3), 6) + 0.0 AS day_cos FROM (SELECT idx, CASE weekday WHEN '周二' THEN 1 WHEN '周四' THEN 2 ELSE 0 END AS k FROM draws)",
     "F22_draw_order": SQL_DRAWS + "SELECT idx, " + ", ".join([*[_RANK.format(k=k) + f" AS order_pos_{k}" for k in range(1, 7)], _zone_avg(1, 11, "order_small_avg"), _zone_avg(12, 22, "order_mid_avg"), _zone_avg(23, 33, "order_large_avg"), "draw_order[1] AS first_ball_drawn", "draw_order[6] AS last_ball_drawn", "CASE WHEN draw_order[1] <= 11 THEN 0 WHEN draw_order[1] <= 22 THEN 1 ELSE 2 END AS first_ball_zone", f"list_max({_STEPS}) AS order_max_gap", _r(f"list_sum({_STEPS}) / 5.0::DOUBLE", "order_mean_gap"), f"list_min({_STEPS}) AS order_min_gap", "1 AS has_draw_order"]) + " FROM draws",
     "F23_seasonal": SQL_DRAWS + "SELECT idx, " + ", ".join([_r(f"{f}(2 * pi() * {x} / {n})", f"{name}_{f}") for name, x, n in (("month", "month(draw_date)", 12), ("quarter", "quarter(draw_date)", 4), ("week", _WEEK, 52)) for f in ("sin", "cos")]) + ", month(draw_date)::INT AS month_raw, quarter(draw_date)::INT AS quarter_raw FROM draws",
+    "S17_status": SQL_DRAWS + "SELECT count(*) AS total, max(draw_no) AS latest, (max(draw_date) - min(draw_date))::INT AS days_covered, (DATE '2100-01-01' - max(draw_date))::INT AS days_since, ((DATE '2100-01-01' - max(draw_date)) // 2)::BIGINT AS missed FROM draws",
     "D1_calendar": """WITH days AS (SELECT (DATE '2024-02-20' + i::INT)::DATE AS d FROM range(61) t(i)), near AS (SELECT d, max(x.d2) FILTER (x.d2 <= d) AS l, min(x.d2) FILTER (x.d2 > d) AS n FROM days, (SELECT (DATE '2024-02-01' + i::INT)::DATE AS d2 FROM range(120) t(i) WHERE dayofweek(DATE '2024-02-01' + i::INT) IN (0, 2, 4)) x GROUP BY d)
 SELECT strftime(d, '%Y-%m-%d') AS d, dayofweek(d) IN (0, 2, 4) AS is_draw_day, strftime(l, '%Y-%m-%d') AS last_draw, strftime(n, '%Y-%m-%d') AS next_draw, (76500 - 3600 * ((d - DATE '2024-02-20') % 24) - 60 * ((d - DATE '2024-02-20') % 60))::BIGINT AS seconds_until FROM near""",
 }
