@@ -83,8 +83,10 @@ def _filled(classes: DataFrame, draws: DataFrame, half_life: float, name: str, s
     return _pick(one, _grown(F.slice("own", 1, PICKED), lambda _, b: F.get("red", b - 1) * sign, 9), F.col("own_blue"))
 
 
-def _classes(draws: DataFrame) -> DataFrame:
-    return sequence.hot_cold(sequence.hotness(draws, F.col("idx") == 0))
+def _classes(draws: DataFrame, half_life: int = 50) -> DataFrame:
+    """Classes of all balls at the newest draw, whose window is the 3 half lives of draws before it."""
+    window = draws.where(F.col("idx") <= 3 * half_life)
+    return sequence.hot_cold(sequence.hotness(window, F.col("idx") == 0, half_life))
 
 
 def hot(half_life: float = 0) -> Strategy:

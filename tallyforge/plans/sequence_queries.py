@@ -56,7 +56,8 @@ def hotness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hot_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sq.hot_cold(sq.hotness(draws(spark, sf_dir), F.col("idx") == 0)))
+    """At the newest draw, whose window is the 150 draws before it."""
+    return rounded(sq.hot_cold(sq.hotness(draws(spark, sf_dir).where("idx <= 150"), F.col("idx") == 0)))
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
