@@ -96,7 +96,10 @@ class PieceModel:
         self.automaton.make_automaton()
         self.sizes = [len(p) for p in self.pieces]
         self._pairs: dict[int, bool] = {}
-        self._shorter: dict[int, int] = {}
+        #: The longest piece that is a proper prefix of each piece, or -1.
+        self.shorter = [-1] * len(self.pieces)
+        for p, i in self.ids.items():
+            self.shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), -1)
         self._alone: dict[int, bool] = {}
         self._runs: dict[int, tuple[int, ...]] = {}
         self._words = _Words(self)
@@ -165,14 +168,6 @@ class PieceModel:
             found = self._alone[a] = self.merge(self.pieces[a]) == (a,)
         return found
 
-    def shorter(self, a: int) -> int:
-        """The longest piece that is a proper prefix of the piece, or -1."""
-        found = self._shorter.get(a)
-        if found is None:
-            p = self.pieces[a]
-            found = self._shorter[a] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), -1)
-        return found
-
     # Encoding
 
     def run(self, n: int) -> tuple[int, ...]:
@@ -187,36 +182,36 @@ class PieceModel:
     def backtrack(self, word: str) -> list[int]:
         """Ids of a stretch of known characters with one word mark at most, at its start."""
         n = len(word)
-        sizes, pairs = self.sizes, self._pairs
+        sizes, known, shorter = self.sizes, self._pairs.get, self.shorter
         longest = [0] * n
         for end, i in self.automaton.iter(word):
             longest[end - sizes[i] + 1] = i  # ends come in order: the last is the longest
         failed = bytearray((n >> 3) + 1)
         out: list[int] = []
-        at, piece = 0, longest[0]
+        at, piece, last = 0, longest[0], -1
         while True:
             end = at + sizes[piece]
             if failed[end >> 3] >> (end & 7) & 1:
                 fits = False
-            elif not out:
+            elif last < 0:
                 fits = self.alone(piece)
             else:
-                fits = pairs.get(out[-1] << 20 | piece)
+                fits = known(last << 20 | piece)
                 if fits is None:
-                    fits = self.compatible(out[-1], piece)
+                    fits = self.compatible(last, piece)
             if fits:
                 out.append(piece)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                piece = longest[at]
+                at, last, piece = end, piece, longest[end]
                 continue
-            piece = self.shorter(piece)
+            piece = shorter[piece]
             while piece < 0:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= sizes[piece]
-                piece = self.shorter(piece)
+                last = out[-1] if out else -1
+                piece = shorter[piece]
 
     def stretch(self, text: str) -> tuple[int, ...]:
         """Ids of a match of `cut`."""

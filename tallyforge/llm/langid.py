@@ -21,8 +21,9 @@ from .texts import map_texts, slices
 
 DIM = 1 << 15
 ORDERS = 3
-#: Bound of the fitting sample: documents of each language, the least by a hash of the id.
-SAMPLE_PER_LANGUAGE = 600
+#: Bounds of the fitting sample: documents of each language, the least by a hash of the id, and of all
+#: languages together (many languages get fewer each), because the sample comes to the driver.
+SAMPLE_PER_LANGUAGE, SAMPLE = 600, 12_000
 #: More languages than this are taken for an error: their counts come to the driver.
 MOST_LANGUAGES = 1_000
 WORK = 400_000  # bytes of text whose n-grams are made at once
@@ -115,6 +116,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not sizes:
         return None
     languages = tuple(sorted(sizes))
+    sample = min(sample, max(1, SAMPLE // len(languages)))
 
     def frequencies(batches) -> Iterator:
         import pyarrow as pa
