@@ -17,7 +17,7 @@
    hashes, and a link counts only if the words of the two whole texts themselves confirm it. No cap
    applies anywhere: a pair of similar texts is compared or lies in one component already.
 
-Shingles are 64-bit hashes of keyed word hashes and equal sets are told by 128 bits, so n_shingles and
+Shingles are 64-bit hashes of keyed word hashes and equal sets are told by 127 bits, so n_shingles and
 the equality of nodes rest on hashes of random bits; links between different sets do not.
 Links within groups are not listed, but no component misses one.
 """
@@ -73,7 +73,7 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 
 class _Met:
-    """Sets that a task has met in rows with an id, by their 128 bits."""
+    """Sets that a task has met in rows with an id, by their 127 bits."""
 
     def __init__(self) -> None:
         self.seen: set[int] = set()
@@ -88,7 +88,7 @@ class _Met:
 
 
 def _described(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n_shingles, node, check, sketch, parity): node and check are 128 bits of the set, 0 if empty;
+    """(id, n_shingles, node, check, sketch, parity): node and check are 127 bits of the set, 0 if empty;
     the sketches are there where the task meets a set first in a row with an id."""
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +107,10 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _dealt(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(bucket, node, sure) of all signatures of texts with an id. Of the nodes that a chunk finds in one
-    bucket each has a row that is `sure` (its bucket is shared); one row more stands for them all."""
+    """(key, value) of all signatures of texts with an id: bucket and node. Of the nodes that a chunk finds
+    in one bucket, which is therefore known to be shared, each has a row of node + 1 and bucket instead,
+    and one row more of bucket and node stands for them all. Buckets and nodes are even, so the two kinds
+    of row are told apart without a column more, and no key has more than a row a chunk or a signature."""
 
     def chunk(buckets: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
         bucket, node = np.concatenate(buckets).view(np.int64), np.concatenate(nodes)
@@ -120,7 +122,8 @@ def _dealt(docs: DataFrame, size: int, percent: int) -> DataFrame:
         many = np.diff(np.append(np.flatnonzero(begins), len(bucket)))
         sure = np.repeat(many > 1, many)
         stand = begins & sure
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([bucket, bucket[stand]])), pa.array(np.concatenate([node, node[stand]])), pa.array(np.concatenate([sure, np.zeros(int(stand.sum()), bool)]))], names=["bucket", "node", "sure"])
+        key, value = np.where(sure, node + 1, bucket), np.where(sure, bucket, node)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, bucket[stand]])), pa.array(np.concatenate([value, node[stand]]))], names=["key", "value"])
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Met()
@@ -140,14 +143,16 @@ def _dealt(docs: DataFrame, size: int, percent: int) -> DataFrame:
         if held:
             yield chunk(buckets, nodes)
 
-    return docs.where(F.col("id").isNotNull()).select("text").mapInArrow(work, "bucket long, node long, sure boolean")
+    return docs.where(F.col("id").isNotNull()).select("text").mapInArrow(work, "key long, value long")
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
     """(bucket, node, component) of buckets that hold more than one node."""
-    group = "PARTITION BY bucket, CASE WHEN sure THEN node END"
-    rows = dealt.select("bucket", "node", "sure", F.expr(f"min(node) OVER ({group})").alias("lo"), F.expr(f"max(node) OVER ({group})").alias("hi"))
-    return rows.where("sure OR lo <> hi").select("bucket", "node", F.col("node").alias("component"))
+    ends = (F.expr(f"{f}(value) OVER (PARTITION BY key)").alias(n) for f, n in (("min", "lo"), ("max", "hi")))
+    sure = F.col("key").bitwiseAND(F.lit(1)) == 1
+    rows = dealt.select("key", "value", *ends).where(sure | (F.col("lo") != F.col("hi")))
+    node = F.when(sure, F.col("key") - 1).otherwise(F.col("value"))
+    return rows.select(F.when(sure, F.col("value")).otherwise(F.col("key")).alias("bucket"), node.alias("node"), node.alias("component"))
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

@@ -136,9 +136,9 @@ def _runs(words: np.ndarray, length: int) -> np.ndarray:
 
 
 def set_hash(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed numbers."""
+    """127 bits of a set, as two signed numbers, of which the first is even."""
     both = [mix(mix(s + U(c)).sum(keepdims=True) + U(len(s))).view(np.int64)[0] for c in (0x1234567, 0x89ABCDE)]
-    return int(both[0]), int(both[1])
+    return int(both[0]) & ~1, int(both[1])
 
 
 @dataclass(frozen=True)
@@ -229,7 +229,7 @@ def signatures(s: np.ndarray, percent: int, family: int = 0) -> np.ndarray:
     that suffices for either. After TWO_LEVEL such partitions (few sets get there) come partitions of
     one level, with ever more parts, which suffice once more than `apart` parts hold elements.
     Sets whose band allows no difference are similar only if equal, and equal sets are one node: they
-    get none. `family` chooses independent partitions.
+    get none. Signatures are even. `family` chooses independent partitions.
     """
     n, out = len(s), []
     if not n:
@@ -259,7 +259,7 @@ def signatures(s: np.ndarray, percent: int, family: int = 0) -> np.ndarray:
                 out.append(mix(mix(whole[some])))
             if int((held.sum(axis=1) > differ).sum()) * (differ + 1) > band.apart:
                 break
-    return np.concatenate(out) if out else np.zeros(0, U)
+    return np.concatenate(out) & U(2**64 - 2) if out else np.zeros(0, U)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
