@@ -269,10 +269,15 @@ class _Free:
 
 
 def contexts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = CONTEXTS) -> list[str]:
-    """Windows of at most `most` texts, the least by a hash of the id; each begins at a hashed place."""
+    """Windows of at most `most` texts, the least by a hash of the id; each begins at a hashed place. A
+    bound on the hash, from the number of rows, leaves some four times as many to be ordered, so that
+    tasks send the driver few rows however many tasks there are."""
+    n = df.count()
     text, key = F.col(text_col).cast("string"), F.col(id_col).cast("string")
     place = F.pmod(F.xxhash64(key, F.lit(SEED)), F.greatest(F.char_length(text) - WINDOW, F.lit(1)))
-    rows = df.where(F.char_length(text) > 0).select(F.xxhash64(key, F.lit("contexts")).alias("h"), F.substr(text, (place + 1).cast("int"), F.lit(WINDOW)).alias("w"))
+    draw = F.xxhash64(key, F.lit("contexts"))
+    share = min(1.0, 4 * most / max(n, 1))
+    rows = df.where((F.pmod(draw, F.lit(1 << 30)) < int(share * (1 << 30))) & (F.char_length(text) > 0)).select(F.pmod(draw, F.lit(1 << 30)).alias("h"), F.substr(text, (place + 1).cast("int"), F.lit(WINDOW)).alias("w"))
     return [r["w"] for r in rows.orderBy("h", "w").limit(most).collect()]
 
 
