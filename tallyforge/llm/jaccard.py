@@ -279,5 +279,7 @@ def one_of_each(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     """df with one row of each component: the one whose id the component has. Repeated rows of that id
     stay if they are all it has; a null id stays."""
     own = join(df.select(id_col, text_col), size, percent, id_col, text_col)
-    gone = own.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    # Written, the ids that go have a known size: below its threshold Spark broadcasts them, and the
+    # texts are not shuffled.
+    gone = written(own.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "gone", keep=True)
     return df.join(gone, id_col, "left_anti")
