@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, langid, media, mixing, pii, piece_codec, quality, token_count, urlfilter
+from . import chat, jaccard, langid, media, mixing, pii, piece_codec, quality, token_count, urlfilter, warc
 
 PIECES = "piece_bpe_32k.model"
 
@@ -61,5 +61,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_quality, op4_token_count, op5_chat, op6_mixing, op7_urls, op8_piece_codec, op9_media, op10_langid, quality_ablations)}
-SQL = {"op3_quality": quality.SQL, "quality_ablations": quality.ABLATIONS_SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.SQL, "op7_urls": urlfilter.SQL}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_and_read(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_quality, op4_token_count, op5_chat, op6_mixing, op7_urls, op8_piece_codec, op9_media, op10_langid, op13_warc, quality_ablations)}
+SQL = {"op3_quality": quality.SQL, "quality_ablations": quality.ABLATIONS_SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.SQL, "op7_urls": urlfilter.SQL, "op13_warc": warc.SQL}

@@ -30,11 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written as Parquet and read again: its lineage ends here, lost executors lose nothing of it,
     and joins see its true size. Within `scratch` it goes when that ends, unless it is to be kept."""
-    spark = df.sparkSession
-    folder = (None if keep else _folder.get()) or f"{shared_dir(spark)}/tallyforge"
-    path = f"{folder}/{name}-{uuid4().hex}"
+    path = place(df.sparkSession, name, keep)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def place(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path for files of this name, as `written` takes it."""
+    folder = (None if keep else _folder.get()) or f"{shared_dir(spark)}/tallyforge"
+    return f"{folder}/{name}-{uuid4().hex}"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
