@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, divergence, jaccard, langid, media, mixing, pii, piece_codec, quality, token_count, urlfilter, warc
+from . import chat, divergence, jaccard, langid, media, mixing, pii, piece_codec, quality, token_count, turns, urlfilter, warc
 
 PIECES = "piece_bpe_32k.model"
 
@@ -65,9 +65,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.summaries(turns.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_and_read(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_quality, op4_token_count, op5_chat, op6_mixing, op7_urls, op8_piece_codec, op9_media, op10_langid, op11_divergence, op13_warc, quality_ablations)}
-SQL = {"op3_quality": quality.SQL, "quality_ablations": quality.ABLATIONS_SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.SQL, "op7_urls": urlfilter.SQL, "op11_divergence": divergence.SQL, "op13_warc": warc.SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_quality, op4_token_count, op5_chat, op6_mixing, op7_urls, op8_piece_codec, op9_media, op10_langid, op11_divergence, op12_turns, op13_warc, quality_ablations)}
+SQL = {"op3_quality": quality.SQL, "quality_ablations": quality.ABLATIONS_SQL, "op5_chat": chat.SQL, "op6_mixing": mixing.SQL, "op7_urls": urlfilter.SQL, "op11_divergence": divergence.SQL, "op12_turns": turns.SQL, "op13_warc": warc.SQL}
