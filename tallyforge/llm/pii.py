@@ -32,9 +32,13 @@ from .texts import map_texts
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "blob", "national_phone", "national_id", "account", "spelled_email")
 ORDER = {k: i for i, k in enumerate(BASE + ADDED)}
-TRAINING, SEED = 8_000, 20_240_601  # planted examples, a quarter each for calibration and thresholds
+TRAINING, SEED = 16_000, 20_240_601  # planted examples, a quarter each for calibration and thresholds
 CONTEXTS, WINDOW = 1_600, 160  # documents, the least by a hash of the id, and characters taken of each
-PRECISION = 0.95  # that a kind's threshold reaches on the examples kept for thresholds
+#: That a kind's threshold reaches: the lower end of the precision's interval (Wilson's, one side) of the
+#: examples kept for thresholds, at CONFIDENCE standard deviations, since the least of many is chosen.
+PRECISION, CONFIDENCE = 0.95, 2.33
+#: Share of the true spans over the least such threshold that stay when it is raised for safety.
+KEPT = 0.99
 #: Share of a kind's doubtful forms (right format, no cue) that count as personal or secret.
 DOUBTFUL = {"secret": 0.3, "blob": 0.15, "national_phone": 0.5, "national_id": 0.6, "account": 0.8, "spelled_email": 0.7}
 
@@ -230,15 +234,15 @@ class SpanModel:
     thresholds: tuple[float, ...]  # by kind as in ADDED; over 1 if a kind can't reach the precision
 
     def select(self, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
-        """Base spans and, by falling probability, the candidates over their thresholds that overlap
-        none already there (ties: leftmost, then longest, then kind as listed)."""
+        """Base spans and, by falling probability in hundredths, the candidates over their thresholds that
+        overlap none already there (ties: leftmost, then longest, then kind as listed)."""
         found = [candidates(t) for t in texts]
         rows = [describe(t, *c) for t, cs in zip(texts, found) for c in cs]
         probs = iter(self.trees.probability(np.array(rows)).tolist() if rows else ())
         out = []
         for spans, cs in zip(base, found):
             taken, free = list(spans), _Free(spans)
-            sure = [(-p, a, -b, ADDED.index(kind)) for kind, a, b in cs if (p := next(probs)) >= self.thresholds[ADDED.index(kind)]]
+            sure = [(-round(100 * p), a, -b, ADDED.index(kind)) for kind, a, b in cs if (p := next(probs)) >= self.thresholds[ADDED.index(kind)]]
             for _, a, b, kind in sorted(sure):
                 if free.take(a, -b):
                     taken.append((ADDED[kind], a, -b))
@@ -290,10 +294,17 @@ def examples(windows: list[str], many: int, seed: int) -> tuple[np.ndarray, np.n
 
 def train(windows: list[str] | None = None, many: int = TRAINING, seed: int = SEED, precision: float = PRECISION) -> SpanModel:
     """Trees on half of the examples, calibration on a quarter, thresholds on the last quarter: for each
-    kind the least threshold at which, and above which, its precision is reached."""
+    kind the least threshold at which, and from the first on that reaches it above which, the lower
+    bound of its precision is enough, raised as far as hardly any true span is lost."""
     return _trained(tuple(windows or ("",)), many, seed, precision)
 
 
+def surely(right: int, n: int, deviations: float = CONFIDENCE) -> float:
+    """The lower end of Wilson's interval for a share of `right` in n."""
+    p, z = right / n, deviations**2
+    return float((p + z / (2 * n) - deviations * np.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n))
+
+
 @lru_cache(maxsize=4)
 def _trained(windows: tuple[str, ...], many: int, seed: int, precision: float) -> SpanModel:
     parts = [list(windows[k::4]) or list(windows) for k in range(4)]
@@ -306,10 +317,14 @@ def _trained(windows: tuple[str, ...], many: int, seed: int, precision: float) -
         least = 2.0
         for t in np.arange(0.98, 0.01, -0.02):
             sure = own & (p >= t)
-            if sure.sum() >= 20:
-                if y[sure].mean() < precision:
-                    break
+            if sure.any() and surely(int(y[sure].sum()), int(sure.sum())) >= precision:
                 least = float(t)
+            elif least < 2:
+                break
+        if least < 2:
+            # What lies between the kinds of forms is empty: the threshold moves away from those left out.
+            held = y[own & (p >= least)].sum()
+            least = max(float(t) for t in np.arange(0.98, 0.01, -0.02) if y[own & (p >= t)].sum() >= KEPT * held)
         thresholds.append(least)
     return SpanModel(trees, tuple(thresholds))
 
