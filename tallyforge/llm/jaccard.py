@@ -107,7 +107,7 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _dealt(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, value) of all signatures of texts with an id: bucket and node. Of the nodes that a chunk finds
+    """(value, key) of all signatures of texts with an id: bucket and node. Of the nodes that a chunk finds
     in one bucket, which is therefore known to be shared, each has a row of node + 1 and bucket instead,
     and one row more of bucket and node stands for them all. Buckets and nodes are even, so the two kinds
     of row are told apart without a column more, and no key has more than a row a chunk or a signature."""
@@ -117,13 +117,15 @@ def _dealt(docs: DataFrame, size: int, percent: int) -> DataFrame:
         order = np.lexsort((node, bucket))
         bucket, node = bucket[order], node[order]
         fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))
-        bucket, node = bucket[fresh], node[fresh]
+        bucket, node, order = bucket[fresh], node[fresh], order[fresh]
         begins = np.append(True, bucket[1:] != bucket[:-1])
         many = np.diff(np.append(np.flatnonzero(begins), len(bucket)))
         sure = np.repeat(many > 1, many)
         stand = begins & sure
         key, value = np.where(sure, node + 1, bucket), np.where(sure, bucket, node)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, bucket[stand]])), pa.array(np.concatenate([value, node[stand]]))], names=["key", "value"])
+        # A node's rows follow one another, so that the shuffle's compression finds it again and again.
+        order = np.argsort(order)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([value[order], node[stand]])), pa.array(np.concatenate([key[order], bucket[stand]]))], names=["value", "key"])
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Met()
@@ -143,14 +145,14 @@ def _dealt(docs: DataFrame, size: int, percent: int) -> DataFrame:
         if held:
             yield chunk(buckets, nodes)
 
-    return docs.where(F.col("id").isNotNull()).select("text").mapInArrow(work, "key long, value long")
+    return docs.where(F.col("id").isNotNull()).select("text").mapInArrow(work, "value long, key long")
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
     """(bucket, node, component) of buckets that hold more than one node."""
     ends = (F.expr(f"{f}(value) OVER (PARTITION BY key)").alias(n) for f, n in (("min", "lo"), ("max", "hi")))
     sure = F.col("key").bitwiseAND(F.lit(1)) == 1
-    rows = dealt.select("key", "value", *ends).where(sure | (F.col("lo") != F.col("hi")))
+    rows = dealt.select("value", "key", *ends).where(sure | (F.col("lo") != F.col("hi")))
     node = F.when(sure, F.col("key") - 1).otherwise(F.col("value"))
     return rows.select(F.when(sure, F.col("value")).otherwise(F.col("key")).alias("bucket"), node.alias("node"), node.alias("component"))
 

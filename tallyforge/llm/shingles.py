@@ -195,6 +195,9 @@ def _parts(n: int, apart: int) -> int:
     return next((p for p in tried if spare(p) >= 2), max(tried, key=spare))
 
 
+#: Bits of a signature. Different ones that agree in them make a bucket that needn't be, no more; six bytes
+#: keep those rare up to some 10^13 signatures.
+BUCKET_BITS = 48
 #: Partitions of two levels that a set goes through before those of one level, which end for certain.
 TWO_LEVEL = 12
 
@@ -229,7 +232,7 @@ def signatures(s: np.ndarray, percent: int, family: int = 0) -> np.ndarray:
     that suffices for either. After TWO_LEVEL such partitions (few sets get there) come partitions of
     one level, with ever more parts, which suffice once more than `apart` parts hold elements.
     Sets whose band allows no difference are similar only if equal, and equal sets are one node: they
-    get none. Signatures are even. `family` chooses independent partitions.
+    get none. Signatures are even and of BUCKET_BITS bits. `family` chooses independent partitions.
     """
     n, out = len(s), []
     if not n:
@@ -259,7 +262,7 @@ def signatures(s: np.ndarray, percent: int, family: int = 0) -> np.ndarray:
                 out.append(mix(mix(whole[some])))
             if int((held.sum(axis=1) > differ).sum()) * (differ + 1) > band.apart:
                 break
-    return np.concatenate(out) & U(2**64 - 2) if out else np.zeros(0, U)
+    return np.concatenate(out) & U(2**BUCKET_BITS - 2) if out else np.zeros(0, U)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
