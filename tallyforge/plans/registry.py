@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import kernel_queries, model_queries, row_queries, sequence_queries, stats_queries
+from . import kernel_queries, model_queries, row_queries, sequence_queries, stats_queries, store_queries
 
-MODULES = (row_queries, sequence_queries, stats_queries, model_queries, kernel_queries)
+MODULES = (row_queries, sequence_queries, stats_queries, model_queries, kernel_queries, store_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

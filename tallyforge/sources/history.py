@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import store
+
 # The fields of a raw record and their columns here.
 FIELDS = {"期号": "issue", "开奖日期": "open_date", "星期": "weekday", "红球": "reds", "蓝球": "blue", "红球顺序": "draw_order", "销售额": "sales", "奖池金额": "jackpot", "一等奖注数": "first_prize_count", "一等奖奖金": "first_prize_money"}
 RAW = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
@@ -20,10 +22,14 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kept).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path)
 
 
-def load_history(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records of a JSON array file, under the columns of FIELDS. A missing path, or one that holds
-    no list of objects, gives no rows; nothing is created. Fields of other types are read as text. What
-    is no JSON is left out here and comes with `malformed`."""
+def load_history(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Raw records under the columns of FIELDS: of a store that `save` wrote, those of a version (the
+    newest by default), else those of a JSON array file or a folder of such. A missing path, or one that
+    holds no list of objects, gives no rows; nothing is created. Fields of other types are read as text.
+    What is no JSON is left out here and comes with `malformed`. A version of what is no store, or one
+    it lacks, is an error."""
+    if version is not None or store.manifests(path):
+        return store.snapshot(spark, path, RAW, version).toDF(*FIELDS.values())
     read = _read(spark, path).where("corrupt IS NULL").drop("corrupt")
     return read.toDF(*FIELDS.values()).where(F.col("issue").isNotNull() | F.col("reds").isNotNull())
 
@@ -99,11 +105,27 @@ def append(store: DataFrame, fetched: DataFrame) -> DataFrame:
     return store.unionByName(fetched, allowMissingColumns=True)
 
 
-def save(records: DataFrame, folder: str, version: str) -> str:
-    """Records by falling id (as text) in a folder of their version; older versions are the backups."""
-    path = f"{folder.rstrip('/')}/version={version}"
-    records.orderBy(F.desc("issue")).write.mode("errorifexists").json(path)
-    return path
+def _written_form(records: DataFrame) -> DataFrame:
+    """Records under the fields of RAW, by falling id."""
+    names = {c: f for f, c in FIELDS.items()}
+    rows = records.select(*[F.col(c).cast("string").alias(names[c]) for c in FIELDS.values() if c in records.columns])
+    return rows.orderBy(F.desc(names["issue"]))
+
+
+def save(records: DataFrame, folder: str, version: int | str | None = None) -> str:
+    """Writes records by falling id (as text) as the next version of the store in `folder`, which
+    `load_history` reads; the path of its files. Older versions stay as backups (`store.restore`). A
+    `version` that is given must be the next one; a write that fails leaves the newest what it was."""
+    base = None if version is None else int(version) - 1
+    if base is not None and base != max(store.manifests(folder), default=0):
+        raise store.Taken(f"version {version} isn't the next one of {folder}")
+    made = store.write(_written_form(records), folder, RAW.fieldNames()[0], base=base)
+    return f"{folder.rstrip('/')}/data/{made['attempt']}"
+
+
+def extend(records: DataFrame, folder: str) -> int:
+    """The next version of the store: its newest with these records added, as files of their own."""
+    return store.write(_written_form(records), folder, RAW.fieldNames()[0], mode="append")["version"]
 
 
 def status(draws: DataFrame, today: str) -> DataFrame:
