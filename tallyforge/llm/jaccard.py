@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 from .components import components
 from .shared import removed, scratch, written
-from .shingles import least_difference, parity_sketch, set_hash, shingle_sets, signatures, similar, similar_texts
-from .texts import slices
+from .shingles import forget, least_difference, parity_sketch, set_hash, shingle_sets, signatures, similar, similar_texts
+from .texts import released, slices
 
 #: Bits of the parity that the join of a bucket's nodes tests, in 64-bit words.
 SKETCH = 1024
@@ -72,6 +72,11 @@ def _parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def _idle() -> None:
+    forget()
+    released()
+
+
 class _Met:
     """Sets that a task has met in rows with an id, by their 127 bits."""
 
@@ -101,6 +106,7 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
                 columns = [ids, pa.array([len(s) for s in sets], pa.int64()), *[pa.array([h[k] for h in hashes], pa.int64()) for k in range(2)]]
                 columns += [pa.array([parity_sketch(s) if own else None for s, own in zip(sets, fresh)], pa.binary()), _lists([_parity(s) if own else NOTHING for s, own in zip(sets, fresh)])]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "node", "check", "sketch", "parity"])
+        _idle()
 
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n_shingles long, node long, check long, sketch binary, parity array<long>")])
     return docs.mapInArrow(work, schema)
@@ -144,6 +150,7 @@ def _dealt(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     buckets, nodes, held = [], [], 0
         if held:
             yield chunk(buckets, nodes)
+        _idle()
 
     return docs.where(F.col("id").isNotNull()).select("text").mapInArrow(work, "value long, key long")
 
@@ -193,6 +200,7 @@ def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
                     if similar(s, t, percent) and set_hash(s) == (a[k], check_a[k]) and set_hash(t) == (b[k], check_b[k]) and similar_texts(batch.column(4)[k].as_py(), batch.column(5)[k].as_py(), size, percent):
                         found.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in found], pa.int64()), pa.array([b[k] for k in found], pa.int64())], names=["a", "b"])
+        _idle()
 
     made = few.select("a", "b", "check_a", "check_b", "text_a", "text_b").mapInArrow(work, "a long, b long")
     return written(made, "links")

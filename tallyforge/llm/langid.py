@@ -1,7 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 N-grams of one to three characters of the lower-cased text, in which all that is no letter is one
-space, fall into DIM hashed features. A feature's value is its share of the text's n-grams times its
+space, fall into DIM hashed features (fewer for very many languages, so that the table of weights keeps
+its bound). A feature's value is its share of the text's n-grams times its
 inverse document frequency, so a class's score is a mean over the n-grams of the whole text. Document
 frequencies are counted over all training documents; the weights are fitted by follow-the-regularised-
 leader with an elastic-net penalty on a bounded sample of them, and a temperature, fitted on sampled
@@ -14,18 +15,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .texts import map_texts, slices
 
 DIM = 1 << 15
 ORDERS = 3
-#: Bounds of the fitting sample: documents of each language, the least by a hash of the id, and of all
-#: languages together (many languages get fewer each), because the sample comes to the driver.
-SAMPLE_PER_LANGUAGE, SAMPLE = 600, 12_000
-#: More languages than this are taken for an error: their counts come to the driver.
-MOST_LANGUAGES = 1_000
+#: Bounds of the fitting sample, which comes to the driver: documents of each language, the least by a hash
+#: of id and text; characters taken of each, from a hashed place on; and bytes of all of them (an n-gram
+#: takes six), so that many languages get fewer documents each.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARACTERS, SAMPLE_BYTES = 600, 2_000, 128 << 20
+#: Weights of the table: features times languages.
+WEIGHTS = 1 << 25
 WORK = 400_000  # bytes of text whose n-grams are made at once
 SHORT = 60  # characters of the stretch of each sampled text that is fitted beside the whole
 UNDETERMINED = "und"
@@ -44,10 +46,15 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return known.astype(bool)
 
 
-def grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def features_for(languages: int) -> int:
+    """Hashed features that leave the table of so many languages within its bound."""
+    return max(64, min(DIM, 1 << max(1, WEIGHTS // max(1, languages)).bit_length() - 1))
+
+
+def grams(texts: list[str | None], dim: int = DIM) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(features of each place by order, first place of each text, places of each text).
 
-    The first two places of a text stand before it; they have the feature DIM, which weighs nothing.
+    The first two places of a text stand before it; they have the feature `dim`, which weighs nothing.
     """
     low = ["  " + (t or "").lower() for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -65,8 +72,8 @@ def grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.nda
         mixed[k:] += codes[: len(codes) - k] * _SPREAD[k]
         h = mixed + np.uint32(k * 97 + 1)
         h = (h ^ h >> np.uint32(15)) * np.uint32(739982445)
-        own = (h >> np.uint32(17)).astype(np.int32) & (DIM - 1)
-        own[front] = DIM
+        own = (h >> np.uint32(17)).astype(np.int32) & (dim - 1)
+        own[front] = dim
         out.append(own)
     places = np.diff(np.append(begins, len(codes))) - 2
     return out, begins, places
@@ -75,7 +82,7 @@ def grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.nda
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    weights: np.ndarray  # DIM + 1 rows, times the inverse document frequency; a column a language
+    weights: np.ndarray  # a row a feature and one more, times the inverse document frequency; a column a language
     bias: np.ndarray
     temperature: float
 
@@ -83,7 +90,7 @@ class LanguageModel:
         """Language and its calibrated probability; `und` and 0 for null or without a letter."""
         if not texts:
             return [], []
-        features, begins, places = grams(texts)
+        features, begins, places = grams(texts, len(self.weights) - 1)
         sums = self.weights[features[0]]
         for f in features[1:]:
             sums += self.weights[f]
@@ -99,51 +106,58 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _counts(features: list[np.ndarray], begins: np.ndarray, k: int) -> np.ndarray:
+def _counts(features: list[np.ndarray], begins: np.ndarray, k: int, dim: int) -> np.ndarray:
     end = begins[k + 1] if k + 1 < len(begins) else None
-    return sum(np.bincount(f[begins[k] : end], minlength=DIM + 1) for f in features)[:DIM]
+    return sum(np.bincount(f[begins[k] : end], minlength=dim + 1) for f in features)[:dim]
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.02) -> LanguageModel | None:
     """A model of all languages of df's rows with text and language; None if there are none.
 
-    More than MOST_LANGUAGES languages raise ValueError; statistics cover every row.
+    Statistics cover every row; `sample` bounds what is fitted. Null and repeated ids are drawn like any
+    other, by their text.
     """
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
+    # A row a language, of which the model has a column each.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     languages = tuple(sorted(sizes))
-    sample = min(sample, max(1, SAMPLE // len(languages)))
+    dim = features_for(len(languages))
+    sample = min(sample, max(1, SAMPLE_BYTES // (len(languages) * 6 * min(dim, ORDERS * SAMPLE_CHARACTERS))))
 
     def frequencies(batches) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(DIM, np.int64)
+        total = np.zeros(dim, np.int64)
         for batch in batches:
             for a, b in slices(batch.column(0), WORK):
-                features, begins, _ = grams(batch.column(0).slice(a, b - a).to_pylist())
+                features, begins, _ = grams(batch.column(0).slice(a, b - a).to_pylist(), dim)
                 ends = [*begins[1:], len(features[0])]
                 for begin, end in zip(begins, ends):
-                    seen = np.zeros(DIM + 1, bool)
+                    seen = np.zeros(dim + 1, bool)
                     for f in features:
                         seen[f[begin:end]] = True
-                    total += seen[:DIM]
+                    total += seen[:dim]
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["feature", "n"])
 
     counted = rows.select("text").mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     n_rows = sum(sizes.values())
-    frequency = np.zeros(DIM)
+    frequency = np.zeros(dim)
     for r in counted:
         frequency[r["feature"]] = r["n"]
     idf = np.log((1 + n_rows) / (1 + frequency)) + 1
 
-    shares = df.sparkSession.createDataFrame([(name, min(1.0, sample / n)) for name, n in sizes.items()], "lang string, share double")
-    order = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language sample")), F.lit(1 << 30))
-    chosen = rows.withColumn("draw", order).join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("share") * F.lit(float(1 << 30)))
+    # A bound on the hash, four times as wide as it need be, leaves tasks few rows to order; the order is
+    # cut in the tasks first, so repeated rows, which share a hash, send no more than others.
+    key = F.col("id").cast("string")
+    draw = F.pmod(F.xxhash64(key, "text", F.lit("language sample")), F.lit(1 << 30))
+    shares = df.sparkSession.createDataFrame([(name, min(1.0, 4 * sample / n)) for name, n in sizes.items()], "lang string, share double")
+    chosen = rows.withColumn("draw", draw).join(shares, "lang").where(F.col("draw") < F.col("share") * F.lit(float(1 << 30)))
+    place = F.pmod(F.xxhash64("text", key), F.greatest(F.char_length("text") - SAMPLE_CHARACTERS, F.lit(0)) + 1)
+    chosen = chosen.select("draw", "lang", F.substr("text", (place + 1).cast("int"), F.lit(SAMPLE_CHARACTERS)).alias("text"))
+    chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("rank") <= sample)
 
     def vectors(batches) -> Iterator:
         import pyarrow as pa
@@ -153,32 +167,30 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             out = []
             draws, langs = ([x for x in xs for _ in range(2)] for xs in (draws, langs))
             for t in (x for t in texts for x in (t, t[len(t) // 3 :][:SHORT])):
-                features, begins, places = grams([t])
-                n = _counts(features, begins, 0)
+                features, begins, places = grams([t], dim)
+                n = _counts(features, begins, 0, dim)
                 at = np.flatnonzero(n)
                 out.append((at.astype(np.uint16).tobytes(), (n[at] / max(1, places[0] * ORDERS)).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(draws, pa.int64()), pa.array(langs), pa.array([a for a, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], names=["draw", "lang", "at", "value"])
 
     got = sorted(chosen.select("draw", "lang", "text").mapInArrow(vectors, "draw long, lang string, at binary, value binary").collect(), key=lambda r: (r["draw"], r["lang"], bytes(r["at"]), bytes(r["value"])))
-    taken, fit, held = dict.fromkeys(languages, 0), [], []
+    column, fit, held = {name: k for k, name in enumerate(languages)}, [], []
     for r in got:
-        if taken[r["lang"]] < 2 * sample:
-            taken[r["lang"]] += 1
-            at = np.frombuffer(r["at"], np.uint16).astype(np.int64)
-            x = np.frombuffer(r["value"], np.float32).astype(np.float64) * idf[at] * SCALE
-            (held if r["draw"] % 4 == 0 else fit).append((at, x, languages.index(r["lang"])))
-    weights, bias = _ftrl(fit, len(languages), epochs, alpha, beta, l1, l2)
+        at = np.frombuffer(r["at"], np.uint16).astype(np.int64)
+        x = np.frombuffer(r["value"], np.float32).astype(np.float64) * idf[at] * SCALE
+        (held if r["draw"] % 4 == 0 else fit).append((at, x, column[r["lang"]]))
+    weights, bias = _ftrl(fit, dim, len(languages), epochs, alpha, beta, l1, l2)
     held = held or fit
     logits = np.array([x @ weights[at] + bias for at, x, _ in held]).reshape(len(held), len(languages))
     temperature = _temperature(logits, np.array([y for _, _, y in held], np.int64))
-    table = np.zeros((DIM + 1, len(languages)), np.float32)
-    table[:DIM] = weights * idf[:, None] * SCALE
+    table = np.zeros((dim + 1, len(languages)), np.float32)
+    table[:dim] = weights * idf[:, None] * SCALE
     return LanguageModel(languages, table, bias, temperature)
 
 
-def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int, classes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias after passes over the rows in an order seeded by the pass."""
-    z, n = np.zeros((DIM + 1, classes)), np.zeros((DIM + 1, classes))
+    z, n = np.zeros((dim + 1, classes)), np.zeros((dim + 1, classes))
 
     def weights(at) -> np.ndarray:
         own, seen = z[at], n[at]
@@ -187,7 +199,7 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs:
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
             at, x, y = rows[k]
-            at, x = np.append(at, DIM), np.append(x, 1.0)  # the last row is the bias
+            at, x = np.append(at, dim), np.append(x, 1.0)  # the last row is the bias
             w = weights(at)
             error = _softmax(x @ w)
             error[y] -= 1
@@ -196,7 +208,7 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs:
             z[at] += g - (np.sqrt(seen + g * g) - np.sqrt(seen)) / alpha * w
             n[at] = seen + g * g
     w = weights(slice(None))
-    return w[:DIM], w[DIM]
+    return w[:dim], w[dim]
 
 
 def _temperature(logits: np.ndarray, y: np.ndarray) -> float:

@@ -73,6 +73,11 @@ def _hashes(words: pa.DictionaryArray) -> np.ndarray:
     return np.array(made, U)[words.indices.to_numpy(zero_copy_only=False)] if made else np.zeros(0, U)
 
 
+def forget() -> None:
+    """Drops the words met so far, so that an idle worker does not hold them."""
+    _known.clear()
+
+
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """For each text its distinct shingles as sorted hashes; fewer words than `size` are one shingle,
     none (or null) an empty set."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,15 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def released() -> None:
+    """Gives memory that is free but held by the worker's allocators back to the system. Workers live on
+    between tasks and jobs; what one has done at its peak shouldn't be held beside the next one's work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc has it
+        trim(0)
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, work: Callable[[Iterator[tuple[list, list]]], Iterator[dict]], keep: tuple[str, ...] = (), most: int = SLICE) -> DataFrame:
     """One row for each row of df: its id and what `work` makes of it.
 
@@ -58,5 +68,6 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, work: Call
             batch = held.pop()
             parts = [batch.column(0), *[batch.column(2 + k) for k in range(len(keep))], *[made[n] for n in names]]
             yield pa.RecordBatch.from_arrays([p.cast(f.type) if isinstance(p, pa.Array) else pa.array(p, f.type) for p, f in zip(parts, arrow)], schema=arrow)
+        released()
 
     return source.mapInArrow(batches, out)

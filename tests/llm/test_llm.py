@@ -666,7 +666,7 @@ def test_model_is_that_of_a_plain_version(spark):
     for _, t, _ in rows:
         frequency.update(plain_grams(t).keys())
     idf = {f: math.log((1 + n) / (1 + c)) + 1 for f, c in frequency.items()}
-    draws = {r["doc_id"]: r["d"] for r in df.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 30)).alias("d")).collect()}
+    draws = {r["doc_id"]: r["d"] for r in df.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("language sample")), F.lit(1 << 30)).alias("d")).collect()}
     names, fit, held = ["de", "en"], [], []
     for k, t, l in rows:
         for part in (t, t[len(t) // 3 :][: langid.SHORT]):
@@ -696,7 +696,7 @@ def test_model_is_that_of_a_plain_version(spark):
                     z[f, c] = z.get((f, c), 0.0) + g - (math.sqrt(q + g * g) - math.sqrt(q)) * old[f, c]
                     s[f, c] = q + g * g
     logits = [([sum(v * weight(f, c) for f, v in x.items()) + weight(-1, c) for c in range(2)], y) for _, x, y in held]
-    loss = lambda u: sum(math.log(sum(math.exp((v - l[y]) / math.exp(u)) for v in l)) for l, y in logits) / len(logits) + 1e-4 * u * u
+    loss = lambda u: sum(float(np.logaddexp.reduce([(v - l[y]) / math.exp(u) for v in l])) for l, y in logits) / len(logits) + 1e-4 * u * u
     best = math.exp(min((k / 500 - 3 for k in range(3001)), key=loss))
     assert model.temperature == pytest.approx(best, rel=0.01)
     for t in ("the undoing of", "der von", "", "x", rows[0][1] * 3):
@@ -715,11 +715,35 @@ def test_signs_that_are_no_letters_have_no_language(spark, docs):
     more = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(900, "² ½ ① Ⅷ", "en"), (900, "² ½ ① Ⅷ", "en"), (901, "中", "en")], "doc_id long, text string, lang string"))
     got = langid.identify(more).where("doc_id >= 900").collect()
     assert sorted((r["doc_id"], r["lang_pred"] == "und") for r in got) == [(900, True), (900, True), (901, False)]
-    many = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.col("id").cast("string").alias("lang"))
-    with pytest.raises(ValueError):
-        langid.train(many)
 
 
+def test_very_many_languages_share_a_bounded_table(spark):
+    assert [langid.features_for(n) for n in (1, 4, 1024, 1025, 4096, 10**9)] == [1 << 15, 1 << 15, 1 << 15, 1 << 14, 1 << 13, 64]
+    many = spark.range(1100).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.translate(F.col("id").cast("string"), "0123456789", "qwrtpsdfgh")).alias("text"), F.col("id").cast("string").alias("lang"))
+    model = langid.train(many, epochs=1)
+    assert len(model.languages) == 1100 and model.weights.size <= langid.WEIGHTS + 1100
+    assert model.predict(["word q"])[0][0] in model.languages
+
+
+def test_sample_of_null_and_repeated_ids_is_bounded_and_drawn(spark, monkeypatch):
+    """Rows without ids, and rows that share one, teach like others; equal rows send no more than others."""
+    sent = []
+    plain = langid._ftrl
+    monkeypatch.setattr(langid, "_ftrl", lambda rows, *a: (sent.append(len(rows)), plain(rows, *a))[1])
+    for key in ("CAST(NULL AS LONG)", "7L", "id"):
+        df = spark.range(4000).selectExpr(f"{key} AS doc_id", "CASE WHEN id % 2 = 0 THEN concat('the thing of ', id % 300) ELSE concat('der die und das ', id % 300) END AS text", "CASE WHEN id % 2 = 0 THEN 'en' ELSE 'de' END AS lang")
+        model = langid.train(df, sample=100)
+        assert model.predict(["of the thing", "und das"])[0] == ["en", "de"]
+    equal = spark.range(4000).selectExpr("1L AS doc_id", "'the same text' AS text", "'en' AS lang").union(spark.range(40).selectExpr("id", "'der und das'", "'de'"))
+    langid.train(equal, sample=100)
+    assert max(sent) <= 400 and min(sent) >= 40
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    long_ = spark.range(40).selectExpr("id AS doc_id", "concat('the ', repeat(concat('word', id, ' '), 40000)) AS text", "'en' AS lang").union(spark.range(40).selectExpr("id", "repeat('und das ', 50000)", "'de'"))
+    model = langid.train(long_, sample=20)
+    assert model.predict(["the word", "und das"])[0] == ["en", "de"]
+
 
 def test_languages_of_held_out_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
