@@ -41,29 +41,84 @@ def fold_table(spark: SparkSession, folds: list[Fold]) -> DataFrame:
     return spark.createDataFrame(folds, "fold int, val_lo int, val_hi int, train_lo int, train_hi int")
 
 
+def fold_range(spark: SparkSession, n: int, least: int, val: int, step: int, train: int | None = None) -> DataFrame:
+    """The folds of `expanding` (or, with the size of the training part, of `rolling`) as a table that the
+    tasks make: their number grows with the history."""
+    first = n - (least if train is None else train) - val
+    many = max(0, first // step + 1) if first >= 0 else 0
+    lo = F.lit(first) - F.col("id") * step
+    hi = F.lit(n) if train is None else lo + val + train
+    return spark.range(many).select(*[c.cast("int").alias(k) for k, c in {"fold": F.col("id"), "val_lo": lo, "val_hi": lo + val, "train_lo": lo + val, "train_hi": hi}.items()])
+
+
+def _before(sizes: DataFrame, size: str) -> DataFrame:
+    """(block, start): the sum of `size` over the blocks before, a row a block."""
+    own = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("block", F.coalesce(F.sum(size).over(own), F.lit(0)).alias("start"))
+
+
+def cut(d: DataFrame, bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """d with `segment`, how many of the bounds are its idx or less, and (bound, segment) of the bounds
+    themselves. Both are put in order within blocks of idx, so no draw meets a bound of another block."""
+    own = bounds.select(F.col("bound").cast("long").alias("idx")).distinct().withColumn("is_draw", F.lit(False))
+    rows = d.withColumn("is_draw", F.lit(True)).unionByName(own, allowMissingColumns=True).withColumn("block", F.floor(F.col("idx") / BLOCK))
+    starts = _before(rows.groupBy("block").agg(F.count_if(~F.col("is_draw")).alias("n")), "n")
+    # A bound comes ahead of the draw that it is at.
+    within = F.count_if(~F.col("is_draw")).over(Window.partitionBy("block").orderBy("idx", "is_draw").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("within", within).join(starts, "block").withColumn("segment", F.col("start") + F.col("within")).drop("block", "start", "within")
+    return found.where("is_draw").drop("is_draw"), found.where("NOT is_draw").select(F.col("idx").alias("bound"), "segment")
+
+
+def fold_sums(d: DataFrame, folds: DataFrame, half_life: float = 0) -> DataFrame:
+    """(fold, slot, w, n): decayed weight and number of the draws with a ball in each fold's training
+    part; slots are the 33 reds, then the 16 blues.
+
+    The ends of all training parts cut the history into segments, whose sums are added up in order; the
+    sum of a fold is the difference of two of these, however long it is. So the work is that of the
+    draws and of 49 rows a fold."""
+    ends = folds.select(F.explode(F.array("train_lo", "train_hi")).alias("bound"))
+    rows, at = cut(d.select("idx", "reds", "blue"), ends)
+    slots = F.concat("reds", F.array(F.col("blue") + REDS))
+    parts = rows.select("segment", weight(half_life).alias("w"), F.explode(slots).alias("slot")).groupBy("segment", "slot").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    pool = F.explode(F.sequence(F.lit(1), F.lit(REDS + BLUES))).alias("slot")
+    # The segment just before each bound: all that is newer than the bound ends with it.
+    dense = at.select((F.col("segment") - 1).alias("segment"), pool)
+    every = dense.join(parts, ["segment", "slot"], "left")
+    upto = Window.partitionBy("slot").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
+    sums = every.select("segment", "slot", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("w", "n")])
+    sums = sums.join(at.select((F.col("segment") - 1).alias("segment"), "bound"), "segment").drop("segment")
+    lo, hi = (sums.select(F.col("bound").alias(b), "slot", F.col("w").alias(f"w_{b}"), F.col("n").alias(f"n_{b}")) for b in ("train_lo", "train_hi"))
+    both = folds.select("fold", F.col("train_lo").cast("long").alias("train_lo"), F.col("train_hi").cast("long").alias("train_hi")).join(lo, "train_lo").join(hi, ["train_hi", "slot"])
+    return both.select("fold", "slot", (F.col("w_train_hi") - F.col("w_train_lo")).cast("double").alias("w"), (F.col("n_train_hi") - F.col("n_train_lo")).alias("n"))
+
+
 def frequency_picks(d: DataFrame, folds: DataFrame, half_life: float = 0) -> DataFrame:
     """(fold, reds, blue): the six reds and the blue of most decayed weight in each fold's training
-    part; ties to the lower ball.
-
-    The ends of all training parts cut the history into segments. Draws are summed up once, by segment,
-    and a fold adds up the segments it trains on, 49 rows each: no draw is repeated for a fold."""
-    bounds = sorted({r[c] for r in folds.select("train_lo", "train_hi").collect() for c in ("train_lo", "train_hi")})  # two a fold
-    marks = F.concat(F.transform("reds", lambda b: F.struct(F.lit("red").alias("colour"), b.alias("ball"))), F.array(F.struct(F.lit("blue").alias("colour"), F.col("blue").alias("ball"))))
-    segment = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<int>"), lambda b: b <= F.col("idx")))
-    parts = d.select(segment.alias("segment"), weight(half_life).alias("w"), F.explode(marks).alias("m")).groupBy("segment", "m.colour", "m.ball").agg(F.sum("w").alias("w"))
-    number = F.array(*map(F.lit, bounds)).cast("array<int>")
-    ends = folds.select("fold", F.array_position(number, F.col("train_lo")).alias("lo"), F.array_position(number, F.col("train_hi")).alias("hi"))
-    sums = parts.join(F.broadcast(ends), (F.col("segment") >= F.col("lo")) & (F.col("segment") < F.col("hi"))).groupBy("fold", "colour", "ball").agg(F.sum("w").alias("w"))
-    place = F.row_number().over(Window.partitionBy("fold", "colour").orderBy(F.desc(F.round("w", 9)), "ball"))
-    best = sums.withColumn("place", place).where((F.col("place") <= 6) & (F.col("colour") == "red") | (F.col("place") == 1))
-    red, blue = F.col("colour") == "red", F.col("colour") == "blue"
-    return best.groupBy("fold").agg(F.array_sort(F.collect_list(F.when(red, F.col("ball")))).alias("reds"), F.max(F.when(blue, F.col("ball"))).alias("blue"))
+    part; ties to the lower ball."""
+    red = F.col("slot") <= REDS
+    seen = fold_sums(d, folds, half_life).where("n > 0").select("fold", "w", red.alias("is_red"), F.when(red, F.col("slot")).otherwise(F.col("slot") - REDS).alias("ball"))
+    place = F.row_number().over(Window.partitionBy("fold", "is_red").orderBy(F.desc(F.round("w", 9)), "ball"))
+    best = seen.withColumn("place", place).where((F.col("place") <= PICKED) & F.col("is_red") | (F.col("place") == 1))
+    return best.groupBy("fold").agg(F.array_sort(F.collect_list(F.when(F.col("is_red"), F.col("ball")))).alias("reds"), F.max(F.when(~F.col("is_red"), F.col("ball"))).alias("blue"))
+
+
+def validated(d: DataFrame, folds: DataFrame) -> DataFrame:
+    """d's rows, each with the columns of every fold that it validates. A fold's part falls into two or
+    three blocks of its own size (a power of two), so that draws meet folds by equal blocks."""
+    level = F.floor(F.log2(F.greatest(F.col("val_hi") - F.col("val_lo"), F.lit(1)).cast("double"))).cast("int")
+    own = folds.withColumn("level", level)
+    levels = [r["level"] for r in own.select("level").distinct().collect()]  # 63 at most
+    shifted = lambda c: F.expr(f"shiftright({c}, level)")
+    own = own.withColumn("block", F.explode(F.sequence(shifted("CAST(val_lo AS BIGINT)"), shifted("CAST(val_hi - 1 AS BIGINT)"))))
+    rows = d.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("block", shifted("CAST(idx AS BIGINT)"))
+    met = rows.join(own, ["level", "block"]).where((F.col("idx") >= F.col("val_lo")) & (F.col("idx") < F.col("val_hi")))
+    return met.drop("level", "block")
 
 
 def evaluated(d: DataFrame, folds: DataFrame, picks: DataFrame) -> DataFrame:
     """(fold, n, hit rates, shares of draws with 3, 4, 5 and 6 hits, excess over chance)."""
     p = picks.select("fold", F.col("reds").alias("picked"), F.col("blue").alias("blue_picked"))
-    rows = d.join(F.broadcast(folds.join(p, "fold")), (F.col("idx") >= F.col("val_lo")) & (F.col("idx") < F.col("val_hi")))
+    rows = validated(d, folds.join(p, "fold"))
     hits = rows.select("fold", F.size(F.array_intersect("reds", "picked")).alias("h"), (F.col("blue") == F.col("blue_picked")).cast("int").alias("b"))
     share = lambda k: F.avg((F.col("h") >= k).cast("double")).alias(f"share_{k}")
     agg = hits.groupBy("fold").agg(F.count("*").alias("n"), F.sum("h").alias("red_hits"), F.sum("b").alias("blue_hits"), F.avg("h").alias("avg_hits"), *[share(k) for k in (3, 4, 5, 6)])
@@ -156,10 +211,10 @@ def run_cv(d: DataFrame, picks: Callable[[DataFrame, DataFrame], DataFrame], met
     """(folds, summary) of a set-based strategy (draws, folds) -> (fold, reds, blue), all folds in one
     job. Methods and their options: expanding (least, val, step), rolling (train, val, step), anchored
     (anchors); another raises ValueError. Without folds both tables are empty."""
-    made = {"expanding": expanding, "rolling": rolling, "anchored": anchored}.get(method)
-    if made is None:
+    if method not in ("expanding", "rolling", "anchored"):
         raise ValueError(f"unknown method of cross-validation: {method}")
-    folds = fold_table(d.sparkSession, made(d.count(), **options))
+    n = d.count()
+    folds = fold_table(d.sparkSession, anchored(n, **options)) if method == "anchored" else fold_range(d.sparkSession, n, **({"least": 0} | options))
     each = evaluated(d, folds, picks(d, folds))
     mean = lambda c: F.avg(c).alias(f"{c}_mean")
     above = lambda c, p: F.avg((F.col(c) > p).cast("double"))

@@ -59,11 +59,11 @@ def _n(spark: SparkSession, sf_dir: str) -> int:
 
 
 def expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.fold_table(spark, ev.expanding(_n(spark, sf_dir), 500, 200, 300))
+    return ev.fold_range(spark, _n(spark, sf_dir), 500, 200, 300)
 
 
 def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.fold_table(spark, ev.rolling(_n(spark, sf_dir), 500, 200, 300))
+    return ev.fold_range(spark, _n(spark, sf_dir), 0, 200, 300, 500)
 
 
 def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
