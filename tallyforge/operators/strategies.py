@@ -44,7 +44,7 @@ def _best(pool: int, score: Callable[[Column], Column], skip: Column | None = No
     return F.array_min(ranked)["ball"]
 
 
-def _grown(first: Column, score: Callable[[Column, Column], Column], places: int) -> Column:
+def grown(first: Column, score: Callable[[Column, Column], Column], places: int) -> Column:
     """Six balls: first, then one after another the best by score(picked, ball)."""
     return F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(PICKED)), first.cast("array<int>"), lambda picked, _: F.concat(picked, F.array(_best(REDS, lambda b: score(picked, b), picked, places).cast("int")))), 1, PICKED)
 
@@ -59,7 +59,7 @@ def _frequent_blue() -> Column:
 
 def frequency(half_life: float = 0) -> Strategy:
     """The most frequent reds and blue."""
-    return lambda draws: _pick(_weights(draws, half_life), _grown(F.array(), lambda _, b: F.get("red", b - 1), 9), _frequent_blue())
+    return lambda draws: _pick(_weights(draws, half_life), grown(F.array(), lambda _, b: F.get("red", b - 1), 9), _frequent_blue())
 
 
 def greedy(half_life: float = 0) -> Strategy:
@@ -70,7 +70,7 @@ def greedy(half_life: float = 0) -> Strategy:
         total = F.greatest(F.aggregate("red", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
         mean = lambda picked, b: F.aggregate(picked, F.lit(0.0), lambda a, s: a + F.get(F.get("m", s - 1), b - 1)) / F.size(picked)
         first = F.array(_best(REDS, lambda b: F.get("red", b - 1)))
-        return _pick(one, _grown(first, lambda picked, b: mean(picked, b) * F.get("red", b - 1) / total, 12), _frequent_blue())
+        return _pick(one, grown(first, lambda picked, b: mean(picked, b) * F.get("red", b - 1) / total, 12), _frequent_blue())
 
     return pick
 
@@ -80,7 +80,7 @@ def _filled(classes: DataFrame, draws: DataFrame, half_life: float, name: str, s
     class's lowest blue, or 1."""
     own = classes.where(F.col("class") == name).agg(F.array_sort(F.collect_list(F.when(F.col("colour") == "red", F.col("ball")))).alias("own"), F.coalesce(F.min(F.when(F.col("colour") == "blue", F.col("ball"))), F.lit(1)).alias("own_blue"))
     one = _weights(draws, half_life).crossJoin(F.broadcast(own))  # a row each
-    return _pick(one, _grown(F.slice("own", 1, PICKED), lambda _, b: F.get("red", b - 1) * sign, 9), F.col("own_blue"))
+    return _pick(one, grown(F.slice("own", 1, PICKED), lambda _, b: F.get("red", b - 1) * sign, 9), F.col("own_blue"))
 
 
 def _classes(draws: DataFrame, half_life: int = 50) -> DataFrame:
@@ -112,7 +112,7 @@ def paired(half_life: float = 0, min_support: float = 0.01, min_lift: float = 1.
         total = F.greatest(F.aggregate("red", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
         mean = lambda picked, b: F.when(F.size(picked) == 0, 1.0).otherwise(F.aggregate(picked, F.lit(0.0), lambda a, s: a + F.get(F.get("m", s - 1), b - 1)) / F.size(picked))
         start = F.when(F.col("p").isNull(), F.array().cast("array<int>")).otherwise(F.array("p.x", "p.y"))
-        return _pick(one, _grown(start, lambda picked, b: mean(picked, b) * F.get("red", b - 1) / total, 12), _frequent_blue())
+        return _pick(one, grown(start, lambda picked, b: mean(picked, b) * F.get("red", b - 1) / total, 12), _frequent_blue())
 
     return pick
 
@@ -179,6 +179,8 @@ class Ensemble:
 
 #: Hexadecimal digits of a key that deal a permutation's draws to ranges.
 DIGITS = 2
+#: Ranges of all shuffles up to which they are broadcast (some 20 bytes each).
+STARTS = 1_000_000
 
 
 def permutation_key(perm: Column, idx: Column, seed: int = 1) -> Column:
@@ -198,36 +200,20 @@ def shuffled(draws: DataFrame, n_perm: int, newest: int, seed: int = 1) -> DataF
     before = F.coalesce(F.sum("n").over(Window.partitionBy("perm").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = rows.groupBy("perm", "range").agg(F.count("*").alias("n")).withColumn("start", before).where(F.col("start") < newest)
     place = F.col("start") + F.row_number().over(Window.partitionBy("perm", "range").orderBy("key", "idx")) - 1
-    placed = rows.join(starts.select("perm", "range", "start"), ["perm", "range"]).select("perm", place.alias("place"), "idx")
+    starts = starts.select("perm", "range", "start")
+    # Their number is that of the shuffles times the ranges; joined ahead of the shuffle, they leave only
+    # the draws of the ranges that are asked for to be dealt.
+    starts = F.broadcast(starts) if n_perm * 16**DIGITS <= STARTS else starts
+    placed = rows.join(starts, ["perm", "range"]).select("perm", place.alias("place"), "idx")
     own = draws.where(F.col("idx") < newest).select(F.lit(0).alias("perm"), F.col("idx").alias("place"), "idx")
     return own.unionByName(placed.where(F.col("place") < newest))
 
 
-def permutation_test(draws: DataFrame, n_folds: int = 4, n_perm: int = 500, seed: int = 1, train_ratio: float = 0.85) -> DataFrame:
-    """(p, observed): share of shuffles of the sequence whose walk-forward evaluation, with the most
-    frequent reds picked anew from each fold's own training draws, hits as often or more; p is 1
-    without folds.
-
-    Folds are of one size, validate the newest places and train on all older ones. So training counts
-    are the history's counts less those of the newest places, and only these are counted by shuffle."""
-    folds = evaluate.walk_forward(draws.count(), n_folds, train_ratio)
-    spark = draws.sparkSession
-    if not folds:
-        return spark.createDataFrame([(1.0, None)], "p double, observed double")
-    val = folds[0][2]
-    newest = shuffled(draws, n_perm, val * len(folds), seed).join(draws.select("idx", "reds"), "idx")
-    counts = newest.select("perm", F.floor(F.col("place") / val).cast("int").alias("fold"), F.explode("reds").alias("ball")).groupBy("perm", "fold", "ball").agg(F.count("*").alias("c"))
-    history = draws.select(F.explode("reds").alias("ball")).groupBy("ball").agg(F.count("*").alias("n"))
-    cells = spark.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm"), F.explode(F.sequence(F.lit(0), F.lit(len(folds) - 1))).alias("fold"))
-    cells = cells.select("perm", "fold", F.explode(F.sequence(F.lit(1), F.lit(REDS))).alias("ball"))
-    every = cells.join(F.broadcast(history), "ball").join(counts, ["perm", "fold", "ball"], "left").select("perm", "fold", "ball", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    trained = F.col("n") - F.sum("c").over(Window.partitionBy("perm", "ball").orderBy("fold"))
-    place = F.row_number().over(Window.partitionBy("perm", "fold").orderBy(F.desc("trained"), "ball"))
-    picked = every.withColumn("trained", trained).withColumn("place", place).where("place <= 6 AND trained > 0")
-    hits = picked.groupBy("perm").agg(F.sum("c").alias("h"))
-    seen = hits.where("perm = 0").select(F.col("h").alias("observed"))
-    agg = hits.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.avg((F.col("h") >= F.col("observed")).cast("double")).alias("p"), F.max("observed").alias("observed"))
-    return agg.select("p", (F.col("observed") / (val * len(folds))).alias("observed"))
+def permutation_test(draws: DataFrame, n_folds: int = 4, n_perm: int = 500, seed: int = 1, train_ratio: float = 0.85, strategy: str = "frequency") -> DataFrame:
+    """(p, observed) of a strategy by name; see keyed.permutation_test, which takes one's own too."""
+    from . import keyed
+
+    return keyed.permutation_test(draws, strategy, n_folds, n_perm, seed, train_ratio)
 
 
 def hotness_test(draws: DataFrame, idx: int = 0, half_life: int = 50, n_perm: int = 1000, seed: int = 1) -> DataFrame:

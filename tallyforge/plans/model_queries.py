@@ -183,6 +183,11 @@ def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(st.permutation_test(draws(spark, sf_dir)))
 
 
+def permutation_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8 of the greedy strategy: refitted, pairs and all, for four folds of 500 shuffles."""
+    return rounded(st.permutation_test(draws(spark, sf_dir), strategy="greedy"))
+
+
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a prediction over 4,000 seeded samples."""
     p = Predictor(spark, HALF_LIFE)
@@ -192,7 +197,7 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "C11_recommend": recommend, "E12_energy_components": energies, "C6_enumeration": enumeration, "P2_constraints": constrained, "C11_marginal_exact": marginals, "A22_marginal_share": candidate_share, "A21_rank_by_frequency": ranked,
-    "V1_expanding": expanding, "V2_rolling": rolling, "V3_anchored": anchored, "V5_run_cv": cross_validated, "V6_walk_forward": walk_forward, "V7_compare_to_baseline": compared, "V8_permutation_test": permutation, "V9_permutation_hotness": hotness_p,
+    "V1_expanding": expanding, "V2_rolling": rolling, "V3_anchored": anchored, "V5_run_cv": cross_validated, "V6_walk_forward": walk_forward, "V7_compare_to_baseline": compared, "V8_permutation_test": permutation, "V8_permutation_greedy": permutation_greedy, "V9_permutation_hotness": hotness_p,
     "G1_frequency_strategy": _strategy("frequency"), "G2_greedy_strategy": _strategy("greedy"), "G3_hot_strategy": _strategy("hot"), "G4_cold_strategy": _strategy("cold"), "G5_association_strategy": _strategy("paired"),
     "G7_vote": voted, "G8_member_weights": member_weights, "A23_random_baseline": baseline, "A25_binomial_tail": binomial, "A29_calibration": calibration, "A30_calibrated": calibrated, "A31_calibration_error": calibration_error, "A28_disagreement": disagreement, "M1_softmax": softmax, "M4_entropy_level": entropy,
     "M3_combination_probability": combination_probability, "K2_probability_report": probability_report, "C7_prediction_report": report,
@@ -250,6 +255,24 @@ def _filled(name: str, order: str) -> str:
 
 _CV = ", fold AS (SELECT k, n - 700 - 300 * k AS lo, n - 500 - 300 * k AS hi, n - 300 * k AS top FROM n_draws, range(100000) t(k) WHERE n - 700 - 300 * k >= 0), pk AS (SELECT k, 'red' AS colour, ball, count(*) AS w FROM balls JOIN fold ON idx >= hi AND idx < top GROUP BY ALL UNION ALL SELECT k, 'blue', blue, count(*) FROM draws JOIN fold ON idx >= hi AND idx < top GROUP BY ALL), bst AS (SELECT *, row_number() OVER (PARTITION BY k, colour ORDER BY w DESC, ball) AS r FROM pk), pick AS (SELECT k, list(ball) FILTER (colour = 'red' AND r <= 6) AS reds, max(ball) FILTER (colour = 'blue' AND r = 1) AS blue FROM bst GROUP BY k), res AS (SELECT k, sum(len(list_intersect(d.reds, p.reds))) / (count(*) * 6.0::DOUBLE) AS red, avg((d.blue = p.blue)::INT) AS blue, avg((len(list_intersect(d.reds, p.reds)) >= 3)::INT) AS three FROM draws d JOIN fold ON idx >= lo AND idx < hi JOIN pick p USING (k) GROUP BY k)\n"
 _PERM = ", perm AS (SELECT 0 AS perm, idx, idx AS place FROM {t} UNION ALL SELECT p, idx, row_number() OVER (PARTITION BY p ORDER BY md5('1:' || p || ':' || idx), idx) - 1 FROM {t}, range(1, {n} + 1) r(p))\n"
+_VALIDATED = ", v AS (SELECT n, CASE WHEN floor(n * (1 - 0.85::DOUBLE) / 4) < 10 THEN greatest(10, floor(0.02::DOUBLE * n)::BIGINT) ELSE floor(n * (1 - 0.85::DOUBLE) / 4)::BIGINT END AS val FROM n_draws), fold AS (SELECT k::INT AS fold, val FROM v, range(4) t(k) WHERE (k + 1) * val < n), nf AS (SELECT count(*) AS nf, any_value(val) AS val FROM fold)\n"
+# Counts of each shuffle's folds as lists: rl of reds and pl of pairs that are trained on, cl of reds validated.
+_COUNTED = (
+    ", pb AS (SELECT perm, place // val AS fold, idx FROM perm, nf WHERE place < val * nf), keys AS MATERIALIZED (SELECT perm, fold FROM (SELECT DISTINCT perm FROM perm), fold), c1 AS (SELECT perm, fold, ball, count(*) AS c FROM pb JOIN balls USING (idx) GROUP BY ALL),\n"
+    "c2 AS (SELECT perm, fold, a.ball AS a, b.ball AS b, count(*) AS c FROM pb JOIN balls a USING (idx) JOIN balls b USING (idx) WHERE a.ball <> b.ball GROUP BY ALL), h2 AS (SELECT x.ball AS a, y.ball AS b, count(i.idx) AS n FROM dim_red x CROSS JOIN dim_red y LEFT JOIN (SELECT a.idx, a.ball AS a, b.ball AS b FROM balls a JOIN balls b USING (idx) WHERE a.ball <> b.ball) i ON i.a = x.ball AND i.b = y.ball GROUP BY ALL),\n"
+    "t1 AS (SELECT perm, fold, ball, coalesce(c, 0) AS c, (h.n - sum(coalesce(c, 0)) OVER (PARTITION BY perm, ball ORDER BY fold))::DOUBLE AS t FROM keys CROSS JOIN (SELECT ball, count(*) AS n FROM balls GROUP BY ball) h LEFT JOIN c1 USING (perm, fold, ball)), t2 AS (SELECT perm, fold, a, b, (h2.n - sum(coalesce(c, 0)) OVER (PARTITION BY perm, a, b ORDER BY fold))::DOUBLE AS t FROM keys CROSS JOIN h2 LEFT JOIN c2 USING (perm, fold, a, b)),\n"
+    "g AS MATERIALIZED (SELECT * FROM (SELECT perm, fold, list(t ORDER BY ball) AS rl, list(c ORDER BY ball) AS cl FROM t1 GROUP BY ALL) JOIN (SELECT perm, fold, list(t ORDER BY a, b) AS pl FROM t2 GROUP BY ALL) USING (perm, fold))\n"
+)
+
+
+def _greedy_steps() -> str:
+    least = "list_min(list_transform(list_filter(range(1, 34), lambda b: NOT list_contains(picked, b)), lambda b: {{'s': -round({score}, {places}), 'b': b}})).b"
+    mean = "list_sum(list_transform(picked, lambda s: pl[(s - 1) * 33 + b] / greatest(rl[s], 0.001::DOUBLE))) / len(picked) * rl[b] / greatest(list_sum(rl), 1)"
+    steps = [f"g0 AS (SELECT *, []::BIGINT[] AS picked FROM g), g1 AS (SELECT * REPLACE ([{least.format(score='rl[b]', places=9)}] AS picked) FROM g0)"]
+    steps += [f"g{k} AS (SELECT * REPLACE (list_append(picked, {least.format(score=mean, places=12)}) AS picked) FROM g{k - 1})" for k in range(2, 7)]
+    return ", " + ", ".join(steps) + ", h AS (SELECT perm, sum(list_sum(list_transform(picked, lambda b: cl[b])))::BIGINT AS h FROM g6 GROUP BY perm), o AS (SELECT h AS o FROM h WHERE perm = 0)\n"
+
+
 _R = "round({0}, 6) + 0.0 AS {0}"
 SQL = {
     "C6_enumeration": SQL_DRAWS + f"SELECT a + b + c + d + e + f AS sum, count(*) AS n FROM ({_CMB}) GROUP BY 1",
@@ -281,5 +304,6 @@ SQL = {
     "G5_association_strategy": SQL_DRAWS + _MODEL + _grown("SELECT unnest([x, y]) AS ball FROM (SELECT x, y FROM best ORDER BY round(lift, 9) DESC, x, y LIMIT 1)", "lift") + _PICK.format(blue=_BLUE),
     "V5_run_cv": SQL_DRAWS + _CV + "SELECT count(*) AS n_folds, round(avg(red), 6) AS red_rate_mean, round(stddev_pop(red), 6) + 0.0 AS red_rate_std, round(avg(blue), 6) AS blue_rate_mean, round(stddev_pop(blue), 6) + 0.0 AS blue_rate_std, round(avg(three), 6) + 0.0 AS share_3_mean, round(avg((red > 6.0::DOUBLE / 33)::INT), 6) + 0.0 AS consistency_red, round(avg((blue > 1.0::DOUBLE / 16)::INT), 6) + 0.0 AS consistency_blue, round(avg(red) / (6.0::DOUBLE / 33), 6) AS red_to_chance, round(avg(blue) * 16, 6) AS blue_to_chance FROM res HAVING count(*) > 0",
     "V8_permutation_test": SQL_DRAWS + _PERM.format(t="draws", n=500) + ", v AS (SELECT n, CASE WHEN floor(n * (1 - 0.85::DOUBLE) / 4) < 10 THEN greatest(10, floor(0.02::DOUBLE * n)::BIGINT) ELSE floor(n * (1 - 0.85::DOUBLE) / 4)::BIGINT END AS val FROM n_draws), fold AS (SELECT k::INT AS fold, val FROM v, range(4) t(k) WHERE (k + 1) * val < n), nf AS (SELECT count(*) AS nf, any_value(val) AS val FROM fold), c AS (SELECT perm, place // val AS fold, ball, count(*) AS c FROM perm JOIN balls USING (idx), nf WHERE place < val * nf GROUP BY ALL), tr AS (SELECT perm, fold, ball, t.n - sum(coalesce(c, 0)) OVER (PARTITION BY perm, ball ORDER BY fold) AS trained, coalesce(c, 0) AS c FROM (SELECT DISTINCT perm FROM perm) CROSS JOIN fold CROSS JOIN (SELECT ball, count(*) AS n FROM balls GROUP BY ball) t LEFT JOIN c USING (perm, fold, ball)), pk AS (SELECT perm, c, trained, row_number() OVER (PARTITION BY perm, fold ORDER BY trained DESC, ball) AS r FROM tr), h AS (SELECT perm, sum(c) AS h FROM pk WHERE r <= 6 AND trained > 0 GROUP BY perm), o AS (SELECT h AS o FROM h WHERE perm = 0) SELECT round(avg((h >= o)::INT), 6) + 0.0 AS p, round(any_value(o)::DOUBLE / any_value(val * nf), 6) AS observed FROM h, o, nf WHERE perm > 0",
+    "V8_permutation_greedy": SQL_DRAWS + _PERM.format(t="draws", n=500) + _VALIDATED + _COUNTED + _greedy_steps() + "SELECT round(avg((h >= o)::INT), 6) + 0.0 AS p, round(any_value(o)::DOUBLE / any_value(val * nf), 6) AS observed FROM h, o, nf WHERE perm > 0",
     "V9_permutation_hotness": SQL_DRAWS + ", part AS (SELECT idx - 1 AS idx, reds, blue FROM draws WHERE idx BETWEEN 1 AND 150)" + _PERM.format(t="part", n=1000) + ", e AS (SELECT sum(pow(2.0::DOUBLE, -idx / 50.0::DOUBLE)) AS e FROM part), hit AS (SELECT perm, 'red' AS colour, unnest(reds) AS ball, pow(2.0::DOUBLE, -place / 50.0::DOUBLE) AS w FROM perm JOIN part USING (idx) UNION ALL SELECT perm, 'blue', blue, pow(2.0::DOUBLE, -place / 50.0::DOUBLE) FROM perm JOIN part USING (idx)), s AS (SELECT perm, colour, ball, sum(w) AS w FROM hit GROUP BY ALL), pool AS (SELECT 'red' AS colour, ball, 6.0::DOUBLE / 33 AS q FROM dim_red UNION ALL SELECT 'blue', ball, 1.0::DOUBLE / 16 FROM dim_blue), z AS (SELECT perm, max(round(abs((coalesce(w, 0) / e - q) / sqrt(q * (1 - q) / e)), 9)) AS z FROM (SELECT DISTINCT perm FROM perm) CROSS JOIN pool CROSS JOIN e LEFT JOIN s USING (perm, colour, ball) GROUP BY perm), o AS (SELECT z AS o FROM z WHERE perm = 0) SELECT round(avg((z >= o)::INT), 6) + 0.0 AS p, round(any_value(o), 6) AS observed FROM z, o WHERE perm > 0",
 }

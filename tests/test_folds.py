@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evaluate
+from tallyforge.operators import evaluate, keyed, strategies
+from tallyforge.sources import draws
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +77,33 @@ def test_bounds_cut_draws_in_blocks(spark):
     rows, at = evaluate.cut(d, spark.createDataFrame([(b,) for b in bounds * 2], "bound long"))
     assert {r["bound"]: r["segment"] for r in at.collect()} == {b: k + 1 for k, b in enumerate(bounds)}
     assert all(r["segment"] == sum(b <= r["idx"] for b in bounds) for r in rows.collect()) and rows.count() == d.count()
+
+
+@pytest.mark.parametrize("name", sorted(keyed.KEYED))
+def test_refitted_picks_are_the_strategys_own(spark, sf, name):
+    """For the history itself and for a shuffle, each fold's pick is what the strategy makes of its draws."""
+    d = draws.draws(spark, sf).where("idx < 330")
+    d = d.join(d.agg(F.min("idx").alias("least")), F.lit(True)).withColumn("idx", F.col("idx") - F.col("least")).select("idx", "reds", "blue").cache()
+    val, n_folds = 60, 3
+    got = {(r["perm"], r["fold"]): r for r in keyed.refitted(d, keyed.KEYED[name], val, n_folds, 2).collect()}
+    assert len(got) == 3 * n_folds
+    placed = strategies.shuffled(d, 2, d.count()).join(d, "idx").select("perm", F.col("place").alias("idx"), "reds", "blue").cache()
+    for perm, fold in ((0, 0), (1, 2)):
+        own = placed.where(f"perm = {perm}").select("idx", "reds", "blue")
+        start = (fold + 1) * val
+        train = own.where(F.col("idx") >= start).withColumn("idx", F.col("idx") - start)
+        want = strategies.STRATEGIES[name]()(train).first()
+        r = got[perm, fold]
+        assert (r["reds"], r["blue"]) == (want["reds"], want["blue"])
+        part = own.where((F.col("idx") >= fold * val) & (F.col("idx") < start)).collect()
+        assert r["hits"] == sum(len(set(x["reds"]) & set(want["reds"])) for x in part) and r["blue_hits"] == sum(x["blue"] == want["blue"] for x in part)
+
+
+def test_ones_own_strategy_is_tested(spark, sf):
+    """A strategy that knows the answers is never beaten by shuffles; one that always says the same ties."""
+    d = draws.draws(spark, sf)
+    fixed = keyed.Keyed(lambda rows: rows.withColumns({"reds": F.array(*map(F.lit, range(1, 7))), "pick": F.lit(1)}))
+    got = keyed.permutation_test(d, fixed, n_perm=20).first()
+    newest = d.orderBy("idx").limit(14 * 4).collect()
+    assert got["observed"] == pytest.approx(sum(len(set(r["reds"]) & set(range(1, 7))) for r in newest) / 56) and 0 <= got["p"] <= 1
+    assert keyed.permutation_test(d.where("idx < 5"), "greedy").first()["p"] == 1.0
