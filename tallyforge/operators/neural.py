@@ -2,8 +2,8 @@
 vector functions it is made of as columns.
 
 One block: self-attention, a feed-forward layer with GELU, each with a residual and a normalisation with
-gain and shift; then mean pooling and two heads (33 reds, 16 blues). Gradients are analytic; training
-averages them over the rows of each pass, which executors compute by partition and add up.
+gain and shift; then mean pooling and two heads (33 reds, 16 blues). Gradients are analytic. `train` takes
+one step a pass over all rows; mini-batches are in `training`.
 """
 
 from __future__ import annotations
@@ -347,7 +347,7 @@ def sequences(d: DataFrame, features: list[Column], length: int = 10) -> DataFra
     return own_rows(h.select("idx", "block", F.collect_list("f").over(past(length)).alias("x"), "reds", "blue"), size).where(F.size("x") == length)
 
 
-def _arrays(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def arrays(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = np.array([[list(r) for r in rows] for rows in part["x"]], float)
     reds = np.zeros((len(part), REDS))
     for k, own in enumerate(part["reds"]):
@@ -368,7 +368,7 @@ def _gradient(rows: DataFrame, p: Params, names: list[str]) -> tuple[float, int,
         whole, count, sums = 0.0, 0, None
         for part in parts:
             for a in range(0, len(part), 512):
-                one, g = gradients(shared.value, *_arrays(part.iloc[a : a + 512]))
+                one, g = gradients(shared.value, *arrays(part.iloc[a : a + 512]))
                 whole, count = whole + one, count + min(512, len(part) - a)
                 sums = g if sums is None else {k: sums[k] + g[k] for k in g}
         if count:

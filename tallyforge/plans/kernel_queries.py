@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rows
-from ..operators import energy, neural, sampler
+from ..operators import energy, neural, sampler, training
 from ..sources.draws import SQL_DRAWS, draws
 from .sequence_queries import rounded
 from .stats_queries import HALF_LIFE
@@ -35,9 +35,9 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attention model after three passes over the history, applied to every draw with ten before it."""
+    """The attention model after three epochs of mini-batches, applied to every draw with ten before it."""
     seq = neural.sequences(draws(spark, sf_dir), [c / 33.0 for c in rows.positional().values()])
-    best, _ = neural.train(seq, neural.init(6, width=16), epochs=3)
+    best, _ = training.train(seq, neural.init(6, width=16), epochs=3, batch=256, rate=0.01, workers=2)
     return neural.predict(seq, best).select("idx", "reds", "blue")
 
 
