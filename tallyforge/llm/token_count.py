@@ -60,10 +60,18 @@ class StateMap:
         return found
 
 
+class _Full(Exception):
+    """The table has no room for another state."""
+
+
 class Transducer:
     CHUNK = 256
-    #: Bytes of the transition table, beyond which it is compiled anew. Results don't depend on it.
-    TABLE = 128_000_000
+    #: Bytes of the transition table, and states, beyond which it is compiled anew, in the middle of a text
+    #: if need be. Results don't depend on them.
+    TABLE, STATES = 128_000_000, 100_000
+    #: Characters that are run through the table at once, and the fewest that this comes down to where
+    #: ever new ones fill it; twice as many are tried after each time that they fitted.
+    GROUP, LEAST = 4_000_000, 2_048
 
     def __init__(self, model: PieceModel):
         self.model = model
@@ -71,6 +79,11 @@ class Transducer:
         grown = [len(model.run(r)) for r in range(4 * model.longest_piece + 1)]
         steps = [b - a for a, b in zip(grown, grown[1:])]
         self.period = next(p for p in range(1, len(steps)) if steps[p:] == steps[:-p])
+        self.group = self.GROUP
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begins with no characters and no states."""
         self.chars: list[str] = []
         self.class_of = np.full(0x110000, -1, np.int32)
         self._begin(96)
@@ -79,17 +92,21 @@ class Transducer:
         self.width = width
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.table = np.full((1024, width), -1, np.int32)
+        self.table = np.full((max(64, min(1024, self.TABLE // (4 * width))), width), -1, np.int32)
         self._state(("dead",))
         self._state(("", ((0, -1, 0),)))
 
     def _state(self, key: tuple) -> int:
         found = self.ids.get(key)
         if found is None:
-            found = self.ids[key] = len(self.states)
+            found = len(self.states)
+            rows = len(self.table) if found < len(self.table) else found + found // 4
+            if (4 * rows * self.width > self.TABLE or found >= self.STATES) and found > 1 and self.group > self.LEAST:
+                raise _Full
+            if rows > len(self.table):
+                self.table = np.concatenate([self.table, np.full((rows - found, self.width), -1, np.int32)])
+            self.ids[key] = found
             self.states.append(key)
-            if found == len(self.table):
-                self.table = np.concatenate([self.table, np.full((found // 4, self.width), -1, np.int32)])
         return found
 
     # Transitions
@@ -201,25 +218,54 @@ class Transducer:
                     m.known[key[1]] = found
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text; null and empty texts have none."""
-        full = [k for k, t in enumerate(texts) if t]
+        """Tokens of each text; null and empty texts have none.
+
+        Texts go through the table in groups. A group that fills it is cut in half and begun anew on an
+        empty one; a text that is cut goes on from the state it was left in."""
         counts = [0] * len(texts)
-        if not full:
-            return counts
-        if self.table.nbytes > self.TABLE:
-            self._begin(self.width)
-        stream = "".join([" " + texts[k].replace(MARK, " ") for k in full])
-        codes = np.frombuffer(stream.encode("utf-32-le"), np.uint32)
-        sizes = np.array([len(texts[k]) + 1 for k in full])
+        todo = [(k, " " + t.replace(MARK, " ")) for k, t in enumerate(texts) if t][::-1]
+        cut: tuple[tuple, bool] | None = None  # state of the first text's rest, and whether a space is before it
+        while todo:
+            own: list[tuple[int, str]] = []
+            left = self.group
+            while todo and left:
+                k, stream = todo.pop()
+                own.append((k, stream[:left]))
+                if len(stream) > left:
+                    todo.append((k, stream[left:]))
+                left -= len(own[-1][1])
+            rest = bool(todo) and todo[-1][0] == own[-1][0]
+            try:
+                totals, state = self._grouped([part for _, part in own], cut)
+            except _Full:
+                if rest:
+                    k, stream = todo.pop()
+                    own[-1] = (k, own[-1][1] + stream)
+                todo += own[::-1]
+                self.group = max(self.LEAST, min(self.group, sum(len(part) for _, part in own)) // 2)
+                self._forget()
+                continue
+            for (k, _), n in zip(own, totals):
+                counts[k] += n
+            cut = (state, own[-1][1][-1] == " ") if rest else None
+            self.group = min(self.GROUP, 2 * self.group)
+        return counts
+
+    def _grouped(self, parts: list[str], cut: tuple[tuple, bool] | None) -> tuple[list[int], tuple]:
+        """Tokens that each part emits, and the state after the last one. The first part goes on from `cut`
+        if that is given; all others begin texts."""
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(part) for part in parts])
         begins = np.cumsum(sizes) - sizes
         space = codes == 32
         after = np.concatenate([[False], space[:-1]])
         after[begins] = False
+        after[0] = bool(cut and cut[1])
         kinds = self.classes(codes)
         kinds = np.where(space, np.where(after, NEXT_MARK, FIRST_MARK), kinds)
 
         many = -(-sizes // self.CHUNK)
-        text = np.repeat(np.arange(len(full)), many)
+        text = np.repeat(np.arange(len(parts)), many)
         place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
         at = begins[text] + place * self.CHUNK
         lengths = np.minimum(self.CHUNK, begins[text] + sizes[text] - at)
@@ -228,7 +274,8 @@ class Transducer:
         # From the first place that any state leads to the same one from, the entry doesn't matter.
         exits, total = self._run(kinds, at + heads, lengths - heads, np.full(len(at), DEAD, np.int32))
         whole = heads == lengths
-        entries = np.append(START, exits[:-1]).astype(np.int32)
+        entries = np.append(self._state(cut[0]) if cut else START, exits[:-1]).astype(np.int32)
+        last = int(exits[-1])
         if whole.any():
             begin = whole & ~np.append(False, whole[:-1])
             number = np.cumsum(begin)
@@ -238,11 +285,11 @@ class Transducer:
                 total[s[-1]] += n
                 if s[-1] + 1 < len(entries):
                     entries[s[-1] + 1] = out
+                else:
+                    last = out
         rest = np.flatnonzero(~whole & (heads > 0))
         total[rest] += self._run(kinds, at[rest], heads[rest], entries[rest])[1]
-        for k, n in zip(full, np.bincount(text, total, len(full)).astype(np.int64).tolist()):
-            counts[k] = n
-        return counts
+        return np.bincount(text, total, len(parts)).astype(np.int64).tolist(), self.states[last]
 
 
 @lru_cache(maxsize=2)

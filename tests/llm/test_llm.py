@@ -84,6 +84,32 @@ def test_unbroken_texts_are_scanned(library):
     assert t.counts(some) == [len(library.encode(x)) for x in some]
 
 
+@pytest.mark.parametrize("even", [True, False])
+def test_ideographs_stay_within_the_table(library, even):
+    """Ever new letters fill the table; it is begun anew within a text, and the counts are the library's."""
+    m, rng = PieceModel(Path(MODEL).read_bytes()), random.Random(9)
+    signs = sorted(c for c in m.chars if 0x3000 <= ord(c) < 0xFFFF)
+    weights = None if even else [1 / (k + 1) for k in range(len(signs))]
+    text = "".join(rng.choices(signs, weights, k=30_000))
+    some = [text, *[text[k : k + 700] for k in range(0, 7000, 700)]]
+    t = token_count.Transducer(m)
+    t.TABLE = 24_000_000
+    assert t.counts(some) == [len(library.encode(x)) for x in some]
+    assert t.table.nbytes <= t.TABLE and t.group < t.GROUP  # it was full, and begun anew
+
+
+def test_cut_texts_go_on_where_they_were_left(texts, library):
+    rng = random.Random(10)
+    some = [*texts, *["".join(rng.choice(["a", "ing", " ", "  ", "é", "日", "▁", "\x7f", "の", "."]) for _ in range(rng.randint(0, 300))) for _ in range(60)]]
+    want = [len(library.encode(x or "")) for x in some]
+    for group, states in ((1, 10**6), (7, 10**6), (100, 10**6), (4_000_000, 900), (4_000_000, 150)):
+        t = token_count.Transducer(PieceModel(Path(MODEL).read_bytes()))
+        t.group = t.GROUP = group
+        t.STATES, t.LEAST, t.CHUNK = states, min(group, 64), 16
+        few = some if group > 1 else some[:8] + some[-20:]
+        assert t.counts(few) == (want if group > 1 else want[:8] + want[-20:])
+
+
 def test_state_maps_compose_associatively():
     t = token_count.Transducer(PieceModel(Path(MODEL).read_bytes()))
     kinds = t.classes(np.frombuffer("internationalization".encode("utf-32-le"), np.uint32))
