@@ -1,11 +1,13 @@
 """Chat formatting: layouts told apart by a hash of their nested field paths, mapped to turns.
 
 A layout's fingerprint is the MD5 of its sorted nested field paths, to any depth, each with its kind
-(`messages[].content:s`). Kinds are s (text, also null), n (number), b (boolean) and e (a list of
-nothing). Fields that no mapping names are extra and take no part, whatever they hold. Each known
-fingerprint selects a declarative Mapping, which alone decides how turns are made: from parts of a
-record, from a list of messages in it, or from a table with one row a turn. A column of JSON is told
-apart record by record (`from_records`), a typed table by its schema (`from_table`).
+(`messages[].content:s`). Kinds are s (text, also null), n (number), b (boolean), e (a list of nothing)
+and v (of several kinds). Of a record's paths, those of the names that a Mapping has are held against the
+Mapping's fingerprint: what else the record has is extra to it and takes no part. Where several Mappings
+fit, the one of most paths is selected, of these the first listed; it alone decides how turns are made:
+from parts of a record, from a list of messages in it (parts, if any, come first), or from a table with
+one row a turn. A column of JSON is told apart record by record (`from_records`), a typed table by its
+schema (`from_table`); the id's column has no part in that.
 
 The template is `<|role|>` newline, text, `<|end|>` newline for each turn. Texts and roles are escaped so
 that none can hold a mark: & becomes &amp; and < becomes &lt;, in roles also | becomes &bar;.
@@ -28,10 +30,11 @@ BLOCK = 512
 
 @dataclass(frozen=True)
 class Mapping:
-    """paths: of a record of this layout, with kinds. One of: parts, (role, fields joined by newline) in
+    """paths: of a record of this layout, with kinds. Of: parts, (role, fields joined by newline) in
     order, of which an empty system part is left out; messages, (list, role field, text field), where
-    the text field may lie in a list of its own (`content[].text`, its elements joined); rows, (turn,
-    role, text) columns of a table with one row a turn. roles: as written (lower case) to canonical."""
+    the text field may lie in a list of its own (`content[].text`, its elements joined; `content|text`,
+    as a list in some messages and as a text in others); or rows, (turn, role, text) columns of a table
+    with one row a turn. roles: as written (lower case) to canonical."""
 
     name: str
     paths: tuple[str, ...]
@@ -48,12 +51,16 @@ MAPPINGS = (
     Mapping("instruction", ("instruction:s", "output:s"), (("user", ("instruction",)), ("assistant", ("output",)))),
     Mapping("instruction_input", ("input:s", "instruction:s", "output:s"), (("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("system_instruction", ("input:s", "instruction:s", "output:s", "system:s"), (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping("question_input", ("answer:s", "input:s", "question:s"), (("user", ("question", "input")), ("assistant", ("answer",)))),
     Mapping("question", ("answer:s", "question:s"), (("user", ("question",)), ("assistant", ("answer",)))),
     Mapping("messages", ("messages[].content:s", "messages[].role:s"), messages=("messages", "role", "content"), roles=SPOKEN),
     Mapping("message_parts", ("messages[].content[].text:s", "messages[].role:s"), messages=("messages", "role", "content[].text"), roles=SPOKEN),
+    Mapping("mixed_messages", ("messages[].content:v", "messages[].role:s"), messages=("messages", "role", "content|text"), roles=SPOKEN),
+    Mapping("system_messages", ("messages[].content:s", "messages[].role:s", "system:s"), (("system", ("system",)),), ("messages", "role", "content"), roles=SPOKEN),
+    Mapping("system_conversations", ("conversations[].from:s", "conversations[].value:s", "system:s"), (("system", ("system",)),), ("conversations", "from", "value"), roles=SPOKEN),
     Mapping("conversations", ("conversations[].from:s", "conversations[].value:s"), messages=("conversations", "from", "value"), roles=SPOKEN),
     Mapping("turns", ("turns[].role:s", "turns[].text:s"), messages=("turns", "role", "text"), roles=SPOKEN),
-    Mapping("turn_rows", ("conv_id:n", "role:s", "text:s", "turn:n"), rows=("turn", "role", "text")),
+    Mapping("turn_rows", ("role:s", "text:s", "turn:n"), rows=("turn", "role", "text")),
 )
 
 
@@ -61,19 +68,31 @@ def fingerprint_of(paths: list[str] | tuple[str, ...]) -> str:
     return md5("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-def registry(mappings: tuple[Mapping, ...]) -> dict[str, Mapping]:
-    """Mappings by fingerprint; one of messages also by that of an empty list."""
-    made = {}
-    for m in mappings:
-        made[fingerprint_of(m.paths)] = m
-        if m.messages:
-            made.setdefault(fingerprint_of([f"{m.messages[0]}[]:e"]), m)
-    return made
+def _name(path: str) -> str:
+    return path.rsplit(":", 1)[0]
+
+
+@dataclass(frozen=True)
+class Known:
+    """A Mapping, the names of its paths, and the fingerprints of these that select it."""
 
+    mapping: Mapping
+    names: tuple[str, ...]
+    prints: tuple[str, ...]
 
-def named(mappings: tuple[Mapping, ...]) -> list[str]:
-    """All paths, without kinds, that some mapping names."""
-    return sorted({p.rsplit(":", 1)[0] for m in mappings for p in m.paths} | {f"{m.messages[0]}[]" for m in mappings if m.messages})
+
+def registry(mappings: tuple[Mapping, ...]) -> list[Known]:
+    """Mappings in the order in which they are tried, the most paths first. One of messages is also
+    selected by an empty list, with its other paths."""
+    made = []
+    for m in sorted(mappings, key=lambda m: -len(m.paths)):
+        names = {_name(p) for p in m.paths}
+        prints = [fingerprint_of(m.paths)]
+        if m.messages:
+            names.add(f"{m.messages[0]}[]")
+            prints.append(fingerprint_of([p for p in m.paths if not p.startswith(f"{m.messages[0]}[]")] + [f"{m.messages[0]}[]:e"]))
+        made.append(Known(m, tuple(sorted(names)), tuple(prints)))
+    return made
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -87,7 +106,7 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 
 _TOKEN = r"`(?:[^`]|``)+`: |[^<>,: `]+: |OBJECT<|ARRAY<|>|[A-Z]+(?:\([0-9, ]+\))?"
-_KINDS = (("STRING", "s"), ("BIGINT", "n"), ("DECIMAL", "n"), ("DOUBLE", "n"), ("FLOAT", "n"), ("BOOLEAN", "b"))
+_KINDS = (("VARIANT", "v"), ("STRING", "s"), ("BIGINT", "n"), ("DECIMAL", "n"), ("DOUBLE", "n"), ("FLOAT", "n"), ("BOOLEAN", "b"))
 
 
 def _paths(record: Column) -> Column:
@@ -121,10 +140,13 @@ def _paths(record: Column) -> Column:
     return F.when(schema.startswith("OBJECT<"), F.aggregate(F.regexp_extract_all(schema, F.lit(_TOKEN), F.lit(0)), state(F.array(F.lit("")), none), step, lambda acc: acc["out"]))
 
 
-def fingerprint(paths: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """Of the paths that some mapping names."""
-    known = F.array(*map(F.lit, named(mappings)))
-    return F.md5(F.array_join(F.array_sort(F.filter(paths, lambda p: F.array_contains(known, F.regexp_replace(p, ":[^:]*$", "")))), "\n"))
+def fingerprint(paths: Column, names: tuple[str, ...] | None = None) -> Column:
+    """Of the paths, or of those of these names."""
+    own = paths
+    if names is not None:
+        known = F.array(*map(F.lit, names))
+        own = F.filter(paths, lambda p: F.array_contains(known, F.regexp_replace(p, ":[^:]*$", "")))
+    return F.md5(F.array_join(F.array_sort(own), "\n"))
 
 
 def _role(role: Column, m: Mapping) -> Column:
@@ -142,12 +164,23 @@ def _of_messages(m: Mapping, rows: Column) -> Column:
     """Turns of an array of structs; null elements are no turns."""
     _, role, text = m.messages
     field, _, inner = text.partition("[].")
+    if "|" in text:
+        return F.transform(F.filter(rows, lambda x: ~F.is_variant_null(x)), lambda x: _turn(_role(F.try_variant_get(x, f"$.{role}", "string"), m), _of_either(x, *text.split("|"))))
     said = (lambda x: F.array_join(F.transform(x[field], lambda part: part[inner]), "")) if inner else (lambda x: x[field])
     return F.transform(F.filter(rows, lambda x: x.isNotNull()), lambda x: _turn(_role(x[role], m), said(x)))
 
 
+def _of_either(message: Column, field: str, inner: str) -> Column:
+    """The text of a message: as it is, or of a list of parts, joined."""
+    given = F.try_variant_get(message, f"$.{field}", "variant")
+    parts = F.transform(F.try_variant_get(given, "$", "array<variant>"), lambda part: F.try_variant_get(part, f"$.{inner}", "string"))
+    return F.when(F.schema_of_variant(given).startswith("ARRAY<"), F.array_join(parts, "")).otherwise(F.try_variant_get(given, "$", "string"))
+
+
 def _of_parts(m: Mapping, value) -> Column:
     """Turns of the parts of a record, whose fields `value` gives."""
+    if not m.parts:
+        return F.array().cast(TURNS)
     made = [_turn(F.lit(role), F.concat_ws("\n", *[F.nullif(value(p), F.lit("")) for p in fields])) for role, fields in m.parts]
     return F.filter(F.array(*made), lambda x: (x["role"] != "system") | (x["text"] != ""))
 
@@ -155,25 +188,35 @@ def _of_parts(m: Mapping, value) -> Column:
 def _of_record(m: Mapping, record: Column) -> Column:
     if m.messages:
         path, role, text = m.messages
+        front = _of_parts(m, lambda p: F.get_json_object(record, f"$.{p}"))
+        if "|" in text:
+            return F.concat(front, _of_messages(m, F.try_variant_get(F.try_parse_json(record), f"$.{path}", "array<variant>")))
         field, _, inner = text.partition("[].")
         kind = f"array<struct<`{inner}`: string>>" if inner else "string"
-        return _of_messages(m, F.from_json(F.get_json_object(record, f"$.{path}"), f"array<struct<`{role}`: string, `{field}`: {kind}>>"))
+        return F.concat(front, _of_messages(m, F.from_json(F.get_json_object(record, f"$.{path}"), f"array<struct<`{role}`: string, `{field}`: {kind}>>")))
     return _of_parts(m, lambda p: F.get_json_object(record, f"$.{p}"))
 
 
 def from_records(df: DataFrame, record_col: str, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(id, layout, fingerprint, turns) of each JSON record. A record that is null, no JSON object or of
-    no known layout has null turns and layout, so it can be counted and mapped; nothing is dropped.
-    Empty lists of messages are no turns. Repeated ids stay rows; an empty table is empty; columns but
-    the two named are not read."""
+    """(id, layout, fingerprint, turns) of each JSON record. The fingerprint is that which selected the
+    layout; of a record of no known layout it is that of all its paths, by which such records can be
+    counted and mapped, and its layout and turns are null, as those of what is null or no JSON object;
+    nothing is dropped. Empty lists of messages are no turns. Repeated ids stay rows; an empty table is
+    empty; columns but the two named are not read."""
     rows = df.select(F.col(id_col), F.col(record_col).cast("string").alias("record"))
-    rows = rows.withColumn("fingerprint", fingerprint(_paths(F.col("record")), mappings))
-    layout = turns = F.lit(None)
-    for known, m in registry(mappings).items():
-        if not m.rows:
-            own = F.col("fingerprint") == known
-            layout, turns = F.when(own, F.lit(m.name)).otherwise(layout), F.when(own, _of_record(m, F.col("record"))).otherwise(turns)
-    return rows.select(id_col, layout.cast("string").alias("layout"), "fingerprint", turns.cast(TURNS).alias("turns"))
+    rows = rows.withColumn("paths", _paths(F.col("record")))
+    known = [k for k in registry(mappings) if not k.mapping.rows]
+    fits = F.lit(None).cast("int")
+    for k in reversed(range(len(known))):
+        fits = F.when(fingerprint(F.col("paths"), known[k].names).isin(*known[k].prints), F.lit(k)).otherwise(fits)
+    rows = rows.withColumn("number", fits)
+    layout, turns, found = F.lit(None).cast("string"), F.lit(None).cast(TURNS), fingerprint(F.col("paths"))
+    for k, own in enumerate(known):
+        number = F.col("number") == k
+        layout = F.when(number, F.lit(own.mapping.name)).otherwise(layout)
+        found = F.when(number, fingerprint(F.col("paths"), own.names)).otherwise(found)
+        turns = F.when(number, _of_record(own.mapping, F.col("record")).cast(TURNS)).otherwise(turns)
+    return rows.select(id_col, layout.alias("layout"), found.alias("fingerprint"), turns.alias("turns"))
 
 
 def from_table(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -182,21 +225,25 @@ def from_table(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping,
     With one row a turn, turns come in the order of their numbers; equal numbers by role, then text.
     Null text is empty, null role is `user`, a null id is a conversation of its own. A conversation is
     one value of its row, whatever its length. In other layouts a row is a conversation. A table of no
-    known layout has null layout and turns in every row. An empty table is empty; further columns, of
-    any name that no mapping has, are not read.
+    known layout has null layout and turns, in one row for each id. An empty table is empty; the id may
+    have any name and kind; further columns, of any name, are not read.
     """
-    known = set(named(mappings))
-    found = fingerprint_of([p for p in schema_paths(df.schema) if p.rsplit(":", 1)[0] in known])
-    m = registry(mappings).get(found)
+    paths = [p for f in df.schema.fields if f.name != id_col for p in schema_paths(f.dataType, f.name)]
+    m, found = None, fingerprint_of(paths)
+    for known in registry(mappings):
+        own = fingerprint_of([p for p in paths if _name(p) in known.names])
+        if own in known.prints:
+            m, found = known.mapping, own
+            break
     if m is None:
-        return df.select(F.col(id_col), F.lit(None).cast("string").alias("layout"), F.lit(found).alias("fingerprint"), F.lit(None).cast(TURNS).alias("turns"))
+        return df.groupBy(F.col(id_col)).agg(F.lit(None).cast("string").alias("layout"), F.lit(found).alias("fingerprint"), F.lit(None).cast(TURNS).alias("turns"))
     if m.rows:
         turn, role, text = m.rows
         rows = df.select(F.col(id_col).alias("id"), F.struct(F.col(turn).alias("turn"), _role(F.col(role), m).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("x"))
         turns = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
         made = rows.groupBy("id").agg(turns.alias("turns"))
     else:
-        turns = _of_messages(m, F.col(m.messages[0])) if m.messages else _of_parts(m, F.col)
+        turns = F.concat(_of_parts(m, F.col), _of_messages(m, F.col(m.messages[0]))) if m.messages else _of_parts(m, F.col)
         made = df.select(F.col(id_col).alias("id"), turns.cast(TURNS).alias("turns"))
     return made.select(F.col("id").alias(id_col), F.lit(m.name).alias("layout"), F.lit(found).alias("fingerprint"), "turns")
 
@@ -261,9 +308,10 @@ def _digest(turns: Column) -> Column:
 
 def formatted_digests(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """What is read back from the formatted text of each conversation of a table."""
-    out = render(from_table(df, id_col, mappings))
+    own = "the conversation's id"  # which may have the name of a column that is made here
+    out = render(from_table(df.withColumnRenamed(id_col, own), own, mappings))
     out = out.withColumns({"read": parse(F.col("formatted")), "learned": masked(F.col("formatted"), F.col("loss"))})
-    return out.select(id_col, F.size("read").cast("long").alias("n_turns"), _digest(F.col("read")).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    return out.select(F.col(own).alias(id_col), F.size("read").cast("long").alias("n_turns"), _digest(F.col("read")).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
 HARD_TEXT = "</s>[INST] ok [/INST]"

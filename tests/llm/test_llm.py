@@ -451,6 +451,40 @@ def test_layouts_become_the_same_turns(spark):
     assert chat.from_records(df.limit(0), "record", "k").count() == 0
 
 
+def test_extra_fields_and_mixed_contents_map(spark):
+    hi, yo = ("user", "hi"), ("assistant", "yo")
+    want = {
+        '{"instruction": "hi", "input": "", "output": "yo", "text": "### hi"}': ("instruction_input", [hi, yo]),
+        '{"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}], "system": "Be."}': ("system_conversations", [("system", "Be."), hi, yo]),
+        '{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}], "system": ""}': ("system_messages", [hi, yo]),
+        '{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}], "prompt": "hi"}': ("messages", [hi, yo]),
+        '{"question": "hi", "answer": "yo", "input": "there"}': ("question_input", [("user", "hi\nthere"), yo]),
+        '{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}], "turn": 3, "role": "x", "text": "y"}': ("messages", [hi, yo]),
+        '{"messages": [{"role": "user", "content": [{"type": "text", "text": "h"}, {"text": "i"}]}, {"role": "gpt", "content": "yo"}]}': ("mixed_messages", [hi, yo]),
+        '{"messages": [{"role": "user", "content": "[{\\"text\\": \\"x\\"}]"}, {"role": "assistant", "content": []}, {"role": "assistant", "content": [{"text": "yo"}]}]}': ("mixed_messages", [("user", '[{"text": "x"}]'), ("assistant", ""), yo]),
+        '{"instruction": "hi", "output": "yo", "input": 5}': ("instruction", [hi, yo]),
+        '{"prompt": "hi", "completion": "yo", "response": "other"}': ("prompt", [hi, yo]),
+        '{"system": "Be.", "messages": []}': ("system_messages", [("system", "Be.")]),
+        '{"messages": [null, {"role": "user", "content": "hi"}], "conversations": 5}': ("messages", [hi]),
+        '{"turn": 1, "role": "user"}': (None, None),
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "k long, record string")
+    got = columns(chat.from_records(df, "record", "k"))
+    for k, (record, (layout, turns)) in enumerate(want.items()):
+        assert (got[k]["layout"], got[k]["turns"] and [tuple(t) for t in got[k]["turns"]]) == (layout, turns), record
+    assert len({r["fingerprint"] for r in got.values() if r["layout"] == "messages"}) == 1
+
+
+def test_ids_of_any_name_and_kind(spark, sf):
+    d = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    as_it_is = columns(chat.formatted_digests(d))
+    for made in (d.withColumnRenamed("conv_id", "conv"), d.select(F.col("conv_id").cast("string").alias("turns"), "turn", "role", "text"), d.select(F.struct("conv_id").alias("system"), "turn", "role", "text")):
+        got = chat.formatted_digests(made, made.columns[0])
+        assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(tuple(r.values())[1:] for r in as_it_is.values())
+    unknown = chat.from_table(d.drop("text"))
+    assert unknown.count() == len(as_it_is) and unknown.where("turns IS NOT NULL OR layout IS NOT NULL").count() == 0
+
+
 def test_paths_have_any_depth_and_kinds(spark):
     df = spark.createDataFrame([('{"a": {"b": [{"c": [[1]], "d e": null, "f": true}], "g": []}, "h": "x"}',)], "r string")
     assert sorted(df.select(chat._paths(F.col("r"))).first()[0]) == ["a.b[].c[][]:n", "a.b[].d e:s", "a.b[].f:b", "a.g[]:e", "h:s"]
