@@ -153,8 +153,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # cut in the tasks first, so repeated rows, which share a hash, send no more than others.
     key = F.col("id").cast("string")
     draw = F.pmod(F.xxhash64(key, "text", F.lit("language sample")), F.lit(1 << 30))
+    # A row a language, from the driver itself: broadcast, so that no text is dealt by language.
     shares = df.sparkSession.createDataFrame([(name, min(1.0, 4 * sample / n)) for name, n in sizes.items()], "lang string, share double")
-    chosen = rows.withColumn("draw", draw).join(shares, "lang").where(F.col("draw") < F.col("share") * F.lit(float(1 << 30)))
+    chosen = rows.withColumn("draw", draw).join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("share") * F.lit(float(1 << 30)))
     place = F.pmod(F.xxhash64("text", key), F.greatest(F.char_length("text") - SAMPLE_CHARACTERS, F.lit(0)) + 1)
     chosen = chosen.select("draw", "lang", F.substr("text", (place + 1).cast("int"), F.lit(SAMPLE_CHARACTERS)).alias("text"))
     chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("rank") <= sample)
