@@ -60,33 +60,56 @@ def _sum_before(name: str, w: int) -> Column:
     return F.coalesce(F.lead(name, w).over(order), last) - F.col(name)
 
 
-def _emas(h: DataFrame, windows: tuple[int, ...]) -> dict[str, Column]:
+def _emas(names: list[str], windows: tuple[int, ...]) -> dict[str, Column]:
     """Starts at the newest earlier draw and folds towards older ones; null without earlier draws. The
     fold weighs a draw by (1 - a) to the number of window rows older than it, so it is a window's sum of
     values times (1 - a) to minus the place in the block, scaled back. These grow towards older draws by
     less than 1e70 in a block; the oldest ones, which the window's sum consists of, are never lost."""
-    return {f"{n}_{w}": F.col(n) * F.exp(F.col("place") * -math.log(1 - 2.0 / (w + 1))) for w in windows for n in rows.simple()}
-
-
-def followed(d: DataFrame, kind: str, windows: tuple[int, ...]) -> DataFrame:
-    """idx and, for each simple feature and window, over the draws before: ema (see `_emas`), trend
-    (least-squares slope against age, 0 the newest; null under three earlier draws) or vol (population
-    deviation; null under two); for kind `delta`, the difference to the draw so many before. Slopes and
-    deviations come from sums of whole numbers, exactly."""
-    h, size = haloed(d.select("idx", *[c.cast("long").alias(n) for n, c in rows.simple().items()]), max(windows))
-    names, order, made = list(rows.simple()), Window.partitionBy("block").orderBy("idx"), {}
+    return {f"{n}_{w}": F.col(n) * F.exp(F.col("place") * -math.log(1 - 2.0 / (w + 1))) for w in windows for n in names}
+
+
+def followed(d: DataFrame, kind: str, windows: tuple[int, ...], features: dict[str, Column] | None = None) -> DataFrame:
+    """idx and, for each feature (by default the simple ones) and window, over the draws before: ema (see
+    `_emas`), trend (least-squares slope against age, 0 the newest; null under three earlier draws) or vol
+    (population deviation; null under two); for kind `delta`, the difference to the draw so many before.
+
+    Slopes and deviations of the simple features come from differences of sums of whole numbers, exactly.
+    Given features are columns of any numbers, null counting as 0: differences of sums would lose the
+    digits of small values beside large ones, so their slopes and deviations are made anew in each window
+    about its own mean, and a row costs its window; for ema, the median of the block is left out of the
+    sums and given back after."""
+    given = rows.simple() if features is None else features
+    h, size = haloed(d.select("idx", *[(c.cast("long") if features is None else F.coalesce(c.cast("double"), F.lit(0.0))).alias(n) for n, c in given.items()]), max(windows))
+    names, order, made = list(given), Window.partitionBy("block").orderBy("idx"), {}
     if kind == "delta":
-        made = {f"delta_{w}_{n}": (F.col(n) - F.lead(n, w).over(order)).cast("int") for w in windows for n in names}
+        change = {f"delta_{w}_{n}": F.col(n) - F.lead(n, w).over(order) for w in windows for n in names}
+        made = {n: c.cast("int") if features is None else c for n, c in change.items()}
+        return own_rows(h.select("idx", "block", *[c.alias(n) for n, c in made.items()]), size)
+    base = {n: F.lit(0) for n in names}
+    if features is not None and kind != "ema":
+        for w in windows:
+            frame = past(w)
+            n_rows = F.count("*").over(frame)
+            for n in names:
+                if kind == "trend":
+                    made[f"trend_{w}_{n}"] = F.when(n_rows >= 3, F.regr_slope(n, "idx").over(frame))
+                else:
+                    made[f"vol_{w}_{n}"] = F.when(n_rows >= 2, F.stddev_pop(n).over(frame))
         return own_rows(h.select("idx", "block", *[c.alias(n) for n, c in made.items()]), size)
+    if features is not None:
+        middle = Window.partitionBy("block")
+        h = h.withColumns({f"base_{n}": F.percentile_approx(n, 0.5, 100).over(middle) for n in names})
+        h = h.withColumns({n: F.col(n) - F.col(f"base_{n}") for n in names})
+        base = {n: F.col(f"base_{n}") for n in names}
     h = h.withColumn("place", F.col("idx") - F.col("block") * size)
     if kind == "ema":
-        sums = _running(h, _emas(h, windows))
+        sums = _running(h, _emas(names, windows))
         for w in windows:
             a, n_rows = 2.0 / (w + 1), F.least(F.col("older"), F.lit(w))
             for n in names:
                 newest = F.lead(n, 1).over(order)
                 rest = _sum_before(f"{n}_{w}", w) - newest * F.exp((F.col("place") + 1) * -math.log(1 - a))
-                made[f"ema_{w}_{n}"] = rest * a * F.exp((F.col("place") + n_rows) * math.log(1 - a)) + newest * F.exp((n_rows - 1) * math.log(1 - a))
+                made[f"ema_{w}_{n}"] = base[n] + rest * a * F.exp((F.col("place") + n_rows) * math.log(1 - a)) + newest * F.exp((n_rows - 1) * math.log(1 - a))
     else:
         power = {"trend": lambda n: F.col(n) * F.col("place"), "vol": lambda n: F.col(n) * F.col(n)}[kind]
         sums = _running(h, {f"s_{n}": F.col(n) for n in names} | {f"p_{n}": power(n) for n in names})
@@ -99,7 +122,7 @@ def followed(d: DataFrame, kind: str, windows: tuple[int, ...]) -> DataFrame:
                     slope = (k * (p - F.col("place") * s) - age * s) / (k * (k * (k + 1) * (2 * k + 1) / 6) - age * age)
                     made[f"trend_{w}_{n}"] = F.when(k >= 3, slope)
                 else:
-                    made[f"vol_{w}_{n}"] = F.when(k >= 2, F.sqrt((k * p - s * s).cast("double")) / k)
+                    made[f"vol_{w}_{n}"] = F.when(k >= 2, F.sqrt(F.greatest((k * p - s * s).cast("double"), F.lit(0.0))) / k)
     return own_rows(sums.select("idx", "block", *[c.alias(n) for n, c in made.items()]), size)
 
 

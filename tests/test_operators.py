@@ -1,7 +1,9 @@
 """Fixed examples, invariants and edge cases of the draw operators."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,27 @@ def test_saved_versions(spark, sf, tmp_path):
     path = history.save(raw, f"file://{tmp_path}", "1")
     assert spark.read.json(path).count() == raw.count()
     assert history.append(raw, raw.select("issue", "reds")).count() == 2 * raw.count()
+
+
+def test_windows_over_given_features(spark):
+    """Values with a large common part, nulls, and blocks' ends, against loops."""
+    rng = random.Random(3)
+    values = [None if k % 97 == 5 else 1e9 + rng.random() for k in range(2100)]
+    d = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "idx long, v double").repartition(3)
+    plain = [0.0 if v is None else v for v in values]
+    for kind in ("ema", "trend", "vol", "delta"):
+        got = {r["idx"]: r[1] for r in sequence.followed(d, kind, (20,), {"v": F.col("v")}).collect()}
+        for k in (0, 1, 500, 1010, 1023, 1024, 1025, 2047, 2078, 2096, 2097, 2098, 2099):
+            own = plain[k + 1 : k + 21]
+            want = None
+            if kind == "delta":
+                want = plain[k] - plain[k + 20] if k + 20 < len(plain) else None
+            elif kind == "ema" and own:
+                want = own[0]
+                for v in own[1:]:
+                    want = 2 / 21 * v + 19 / 21 * want
+            elif kind == "vol" and len(own) >= 2:
+                want = float(np.std(own))
+            elif kind == "trend" and len(own) >= 3:
+                want = float(np.polyfit(range(len(own)), own, 1)[0])
+            assert got[k] == (want if want is None else pytest.approx(want, rel=1e-6, abs=1e-4)), (kind, k)
