@@ -143,6 +143,24 @@ def binomial_tail(spark: SparkSession, n: int, p: float) -> DataFrame:
     return rows.withColumn("term", term).select("k", F.least(F.sum("term").over(own), F.lit(1.0)).alias("tail"))
 
 
+def upper_tail(hits: Column, trials: Column, p: float) -> Column:
+    """P(X >= hits) of a binomial X in each row: terms follow one another by their ratio, in logarithms."""
+    first = F.struct((trials * math.log1p(-p)).alias("log"), F.lit(0.0).alias("tail"))
+
+    def step(acc: Column, k: Column) -> Column:
+        log = acc["log"] + F.when(k > 0, F.ln((trials - k + 1) / F.greatest(k, F.lit(1))) + math.log(p / (1 - p))).otherwise(0.0)
+        return F.struct(log.alias("log"), (acc["tail"] + F.when(k >= hits, F.exp(log)).otherwise(0.0)).alias("tail"))
+
+    return F.least(F.aggregate(F.sequence(F.lit(0).cast("long"), trials.cast("long")), first, step, lambda acc: acc["tail"]), F.lit(1.0))
+
+
+def chance(n: Column) -> dict[str, Column]:
+    """What picking at random gives over n draws: mean rates, their standard errors, and the share of draws
+    with three hits or more, exactly."""
+    error = lambda p: F.lit(math.sqrt(p * (1 - p))) / F.sqrt(n.cast("double"))
+    return {"red": F.lit(P_RED), "blue": F.lit(P_BLUE), "red_std": error(P_RED), "blue_std": error(P_BLUE), "three_or_more": F.lit(P_THREE)}
+
+
 def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, predicted, actual, n) of columns p and y in bins of equal width; empty: midpoint and 0."""
     spark = rows.sparkSession

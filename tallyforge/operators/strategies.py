@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.draws import BLUES, PICKED, REDS
@@ -131,6 +133,7 @@ class Ensemble:
     members: dict[str, Strategy] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
     scores: dict[str, list[float]] = field(default_factory=dict)
+    failed: dict[str, Exception] = field(default_factory=dict)
     last: DataFrame | None = None
 
     def add(self, name: str, strategy: Strategy, weight: float = 1.0) -> None:
@@ -141,18 +144,33 @@ class Ensemble:
             own.pop(name, None)
 
     def picks(self, draws: DataFrame) -> DataFrame:
-        """(member, reds, blue); a member that fails has no row. They are kept for `update`."""
-        rows = []
+        """(member, reds, blue); a member that fails has no row, and its error is in `failed`. They are kept
+        for `update`. All members are one query; only if that fails is each one tried alone, to tell whose
+        fault it is."""
+        self.failed = {}
+        plans: dict[str, DataFrame] = {}
         for name, strategy in self.members.items():
             try:
-                one = strategy(draws).select("reds", "blue").first()
-            except Exception:  # noqa: BLE001, S112 - any failure of a member counts as no vote
-                continue
-            if one is not None:
-                rows.append((name, list(one["reds"]), one["blue"]))
+                one = strategy(draws).select(F.lit(name).alias("member"), F.col("reds").cast("array<int>"), F.col("blue").cast("int")).limit(1)
+                plans[name] = one
+            except Exception as e:  # noqa: BLE001 - a member may be anything; what it raised is kept
+                self.failed[name] = e
+        rows = self._collected(plans)
         self.last = self.spark.createDataFrame(rows, "member string, reds array<int>, blue int")
         return self.last
 
+    def _collected(self, plans: dict[str, DataFrame]) -> list[Row]:
+        """Their rows, one a member at most."""
+        if not plans:
+            return []
+        try:
+            return reduce(DataFrame.unionByName, plans.values()).collect()
+        except PySparkException as e:
+            if len(plans) == 1:
+                self.failed |= dict.fromkeys(plans, e)
+                return []
+        return [r for name, plan in plans.items() for r in self._collected({name: plan})]
+
     def weight_table(self) -> DataFrame:
         return self.spark.createDataFrame(list(self.weights.items()), "member string, weight double")
 

@@ -31,9 +31,11 @@ def energies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = en.combinations(spark)
+    """All combinations by their sum, and the draws of that sum beside them."""
     total = F.aggregate("reds", F.lit(0), lambda a, x: a + x)
-    return c.groupBy(total.alias("sum")).agg(F.count("*").alias("n"))
+    space = en.combinations(spark).groupBy(total.alias("sum")).agg(F.count("*").alias("n"))
+    seen = draws(spark, sf_dir).groupBy(total.alias("sum")).agg(F.count("*").alias("drawn"))
+    return space.join(seen, "sum", "left").select("sum", "n", F.coalesce("drawn", F.lit(0)).alias("drawn"))
 
 
 def constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,12 +102,16 @@ def cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = 100
-    return rounded(spark.range(1).select(F.lit(ev.P_RED).alias("red"), F.lit(ev.P_BLUE).alias("blue"), F.lit(math.sqrt(ev.P_RED * (1 - ev.P_RED)) / math.sqrt(n)).alias("red_std"), F.lit(math.sqrt(ev.P_BLUE * (1 - ev.P_BLUE)) / math.sqrt(n)).alias("blue_std"), F.lit(ev.P_THREE).alias("three_or_more")))
+    """For each fold of the walk-forward evaluation, what chance gives over its draws, and how many
+    standard errors the strategy's rates are above it."""
+    each = _walk(spark, sf_dir).select("fold", "n", "red_rate", "blue_rate", *[c.alias(k) for k, c in ev.chance(F.col("n")).items()])
+    return rounded(each.select("fold", "n", "red", "blue", "red_std", "blue_std", "three_or_more", ((F.col("red_rate") - F.col("red")) / F.col("red_std")).alias("red_z"), ((F.col("blue_rate") - F.col("blue")) / F.col("blue_std")).alias("blue_z")))
 
 
 def binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.binomial_tail(spark, 100, 0.18), 9)
+    """For each fold, the chance of as many hits or more if the strategy picked at random."""
+    each = _walk(spark, sf_dir)
+    return rounded(each.select("fold", "n", "red_hits", "blue_hits", ev.upper_tail(F.col("red_hits"), F.col("n") * 6, ev.P_RED).alias("red_p"), ev.upper_tail(F.col("blue_hits"), F.col("n"), ev.P_BLUE).alias("blue_p")), 6)
 
 
 def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,15 +281,15 @@ def _greedy_steps() -> str:
 
 _R = "round({0}, 6) + 0.0 AS {0}"
 SQL = {
-    "C6_enumeration": SQL_DRAWS + f"SELECT a + b + c + d + e + f AS sum, count(*) AS n FROM ({_CMB}) GROUP BY 1",
+    "C6_enumeration": SQL_DRAWS + f"SELECT sum, n, coalesce(drawn, 0) AS drawn FROM (SELECT a + b + c + d + e + f AS sum, count(*) AS n FROM ({_CMB}) GROUP BY 1) LEFT JOIN (SELECT list_sum(reds)::INT AS sum, count(*) AS drawn FROM draws GROUP BY 1) USING (sum)",
     "P2_constraints": SQL_DRAWS + ", st AS (SELECT avg(list_sum(reds)) AS m, stddev_pop(list_sum(reds)) AS sd FROM draws), od AS (SELECT len(list_filter(reds, lambda x: x % 2 = 1)) AS k, count(*)::DOUBLE / any_value(n) AS p FROM draws, n_draws GROUP BY 1), kept AS (SELECT k, coalesce(sum(p) OVER (ORDER BY p DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM od) SELECT idx FROM draws, st WHERE list_sum(reds) BETWEEN m - 3 * sd AND m + 3 * sd AND len(list_filter(reds, lambda x: x % 2 = 1)) IN (SELECT k FROM kept WHERE before < 0.8)",
     "V1_expanding": SQL_DRAWS + _FOLDS.format(hi="n"), "V2_rolling": SQL_DRAWS + _FOLDS.format(hi="(s + 700)"),
     "V3_anchored": SQL_DRAWS + "SELECT k::INT AS fold, 0 AS val_lo, s AS val_hi, s AS train_lo, n::INT AS train_hi FROM (SELECT n, k, floor(n * [0.25::DOUBLE, 0.5::DOUBLE][k + 1])::INT AS s FROM n_draws, range(2) t(k))",
     "V6_walk_forward": SQL_DRAWS + _WALK + "SELECT fold, n, red_hits, blue_hits, " + ", ".join(_R.format(c) for c in ("avg_hits", "share_3", "share_4", "share_5", "share_6", "red_rate", "blue_rate", "excess_red", "excess_blue")) + " FROM res",
     "V7_compare_to_baseline": SQL_DRAWS + _WALK + ", s AS (SELECT avg(red_rate) AS red_mean, stddev_pop(red_rate) AS red_std, avg(blue_rate) AS blue_mean, avg(red_rate) / (6.0::DOUBLE / 33) AS ratio_to_chance, avg((red_rate > 6.0::DOUBLE / 33)::INT) AS consistency, avg(excess_red) AS excess, avg(excess_red) / greatest(stddev_pop(excess_red), 0.001) AS information_ratio FROM res) SELECT " + ", ".join(_R.format(c) for c in ("red_mean", "red_std", "blue_mean", "ratio_to_chance", "consistency", "excess", "information_ratio")) + ", (excess > 0)::INT + (information_ratio > 1)::INT + (consistency > 0.6)::INT AS grade FROM s",
     "G8_member_weights": SQL_DRAWS + _MEM + "SELECT member, round(weight, 6) AS weight, round(recent, 6) AS recent FROM mw",
-    "A23_random_baseline": "SELECT round(6 / 33.0::DOUBLE, 6) AS red, round(1 / 16.0::DOUBLE, 6) AS blue, round(sqrt(6 / 33.0::DOUBLE * 27 / 33) / 10, 6) AS red_std, round(sqrt(1 / 16.0::DOUBLE * 15 / 16) / 10, 6) AS blue_std, round(63928 / 1107568.0::DOUBLE, 6) AS three_or_more",
-    "A25_binomial_tail": "WITH t AS (SELECT k, exp(lgamma(101) - lgamma(k + 1) - lgamma(101 - k) + k * ln(0.18::DOUBLE) + (100 - k) * ln(0.82::DOUBLE)) AS p FROM range(101) r(k)) SELECT k, round(least(sum(p) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1), 9) + 0.0 AS tail FROM t",
+    "A23_random_baseline": SQL_DRAWS + _WALK + ", ch AS (SELECT *, 6 / 33.0::DOUBLE AS red, 1 / 16.0::DOUBLE AS blue, sqrt(6 / 33.0::DOUBLE * 27 / 33 / n) AS red_std, sqrt(1 / 16.0::DOUBLE * 15 / 16 / n) AS blue_std FROM res) SELECT fold, n, round(red, 6) AS red, round(blue, 6) AS blue, round(red_std, 6) AS red_std, round(blue_std, 6) AS blue_std, round(63928 / 1107568.0::DOUBLE, 6) AS three_or_more, round((red_rate - red) / red_std, 6) + 0.0 AS red_z, round((blue_rate - blue) / blue_std, 6) + 0.0 AS blue_z FROM ch",
+    "A25_binomial_tail": SQL_DRAWS + _WALK + ", ".join(["", *(f"{c}_t AS (SELECT fold, sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln({p}) + (m - k) * ln(1 - {p}))) AS p FROM (SELECT fold, {c}_hits AS h, n * {m} AS m FROM res) r, LATERAL (SELECT unnest(range(h, m + 1)) AS k) GROUP BY fold)" for c, p, m in (("red", "6 / 33.0::DOUBLE", 6), ("blue", "1 / 16.0::DOUBLE", 1)))]) + " SELECT fold, n, red_hits, blue_hits, round(least(red_t.p, 1), 6) + 0.0 AS red_p, round(least(blue_t.p, 1), 6) + 0.0 AS blue_p FROM res JOIN red_t USING (fold) JOIN blue_t USING (fold)",
     "A29_calibration": SQL_DRAWS + _P + "SELECT bin, round(predicted, 6) AS predicted, round(actual, 6) AS actual, n FROM cal",
     "A30_calibrated": SQL_DRAWS + _P + "SELECT idx, round(actual, 6) AS calibrated FROM pr JOIN cal ON cal.bin = least(floor(p * 10), 9)::INT",
     "A31_calibration_error": SQL_DRAWS + _P + "SELECT round(sum(n * abs(predicted - actual)) / sum(n), 6) AS ece FROM cal",

@@ -72,16 +72,17 @@ def last_n(spark: SparkSession, sf_dir: str, n: int = 25) -> DataFrame:
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draw days (Sunday, Tuesday, Thursday): whether a date is one, the last up to it, the next after
-    it, and the seconds from a time of it (an hour and a minute more on each date) to the draw at 21:15."""
-    days = spark.range(0, 61).select(F.date_add(F.lit("2024-02-20").cast("date"), F.col("id").cast("int")).alias("d"), "id")
+    """Draw days (Sunday, Tuesday, Thursday), seen from up to six days after each draw: whether that date
+    is one, the last up to it, the next after it, and the seconds from a time of it (an hour and a minute
+    more for each draw) to the draw at 21:15."""
+    days = draws(spark, sf_dir).select(F.date_add("draw_date", (F.col("idx") % 7).cast("int")).alias("d"), F.col("idx").alias("id"))
     since = F.get(F.array(*map(F.lit, (1, 0, 1, 0, 1, 2, 0))), F.weekday("d"))
     nxt = F.least(*[F.next_day("d", x) for x in ("TU", "TH", "SU")])
     clock = F.format_string(" %02d:%02d:00", (F.col("id") % 24).cast("int"), (F.col("id") % 60).cast("int"))
-    now = F.to_timestamp(F.concat(F.date_format("d", "yyyy-MM-dd"), clock))
-    at_draw = F.to_timestamp(F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit(" 21:15:00")))
+    now = F.to_timestamp_ntz(F.concat(F.date_format("d", "yyyy-MM-dd"), clock))
+    at_draw = F.to_timestamp_ntz(F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit(" 21:15:00")))
     text = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return days.select(text("d").alias("d"), F.weekday("d").isin(1, 3, 6).alias("is_draw_day"), text(F.date_sub("d", since)).alias("last_draw"), text(nxt).alias("next_draw"), (F.unix_timestamp(at_draw) - F.unix_timestamp(now)).alias("seconds_until"))
+    return days.select(F.col("id").alias("idx"), text("d").alias("d"), F.weekday("d").isin(1, 3, 6).alias("is_draw_day"), text(F.date_sub("d", since)).alias("last_draw"), text(nxt).alias("next_draw"), F.timestamp_diff("SECOND", now, at_draw).alias("seconds_until"))
 
 
 def draw_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +202,7 @@ SELECT idx, round(a, 6) + 0.0 AS red_avg_freq, mx AS red_max_freq, mn AS red_min
     "F22_draw_order": SQL_DRAWS + "SELECT idx, " + ", ".join([*[_RANK.format(k=k) + f" AS order_pos_{k}" for k in range(1, 7)], _zone_avg(1, 11, "order_small_avg"), _zone_avg(12, 22, "order_mid_avg"), _zone_avg(23, 33, "order_large_avg"), "draw_order[1] AS first_ball_drawn", "draw_order[6] AS last_ball_drawn", "CASE WHEN draw_order[1] <= 11 THEN 0 WHEN draw_order[1] <= 22 THEN 1 ELSE 2 END AS first_ball_zone", f"list_max({_STEPS}) AS order_max_gap", _r(f"list_sum({_STEPS}) / 5.0::DOUBLE", "order_mean_gap"), f"list_min({_STEPS}) AS order_min_gap", "1 AS has_draw_order"]) + " FROM draws",
     "F23_seasonal": SQL_DRAWS + "SELECT idx, " + ", ".join([_r(f"{f}(2 * pi() * {x} / {n})", f"{name}_{f}") for name, x, n in (("month", "month(draw_date)", 12), ("quarter", "quarter(draw_date)", 4), ("week", _WEEK, 52)) for f in ("sin", "cos")]) + ", month(draw_date)::INT AS month_raw, quarter(draw_date)::INT AS quarter_raw FROM draws",
     "S17_status": SQL_DRAWS + "SELECT count(*) AS total, max(draw_no) AS latest, (max(draw_date) - min(draw_date))::INT AS days_covered, (DATE '2100-01-01' - max(draw_date))::INT AS days_since, ((DATE '2100-01-01' - max(draw_date)) // 2)::BIGINT AS missed FROM draws",
-    "D1_calendar": """WITH days AS (SELECT (DATE '2024-02-20' + i::INT)::DATE AS d FROM range(61) t(i)), near AS (SELECT d, max(x.d2) FILTER (x.d2 <= d) AS l, min(x.d2) FILTER (x.d2 > d) AS n FROM days, (SELECT (DATE '2024-02-01' + i::INT)::DATE AS d2 FROM range(120) t(i) WHERE dayofweek(DATE '2024-02-01' + i::INT) IN (0, 2, 4)) x GROUP BY d)
-SELECT strftime(d, '%Y-%m-%d') AS d, dayofweek(d) IN (0, 2, 4) AS is_draw_day, strftime(l, '%Y-%m-%d') AS last_draw, strftime(n, '%Y-%m-%d') AS next_draw, (76500 - 3600 * ((d - DATE '2024-02-20') % 24) - 60 * ((d - DATE '2024-02-20') % 60))::BIGINT AS seconds_until FROM near""",
+    "D1_calendar": SQL_DRAWS + """, days AS (SELECT idx, (draw_date + (idx % 7)::INT)::DATE AS d FROM draws)
+SELECT idx, strftime(d, '%Y-%m-%d') AS d, dayofweek(d) IN (0, 2, 4) AS is_draw_day, strftime(d - list_filter(range(7), lambda k: dayofweek(d - k::INT) IN (0, 2, 4))[1]::INT, '%Y-%m-%d') AS last_draw,
+  strftime(d + list_filter(range(1, 8), lambda k: dayofweek(d + k::INT) IN (0, 2, 4))[1]::INT, '%Y-%m-%d') AS next_draw, (21 * 3600 + 15 * 60 - (idx % 24) * 3600 - (idx % 60) * 60)::BIGINT AS seconds_until FROM days""",
 }

@@ -23,9 +23,10 @@ def weighted_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decay_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weight of every draw by its age, decayed and not."""
     from ..sources.draws import weight
 
-    return rounded(spark.range(0, 50).select(F.col("id").alias("idx")).select("idx", weight(HALF_LIFE).alias("weight"), weight(0).alias("flat")))
+    return rounded(draws(spark, sf_dir).select("idx", weight(HALF_LIFE).alias("weight"), weight(0).alias("flat")))
 
 
 def conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +111,7 @@ _FREQ = f", f AS (SELECT 'red' AS colour, ball, sum({_W}) AS w, count(*) AS n FR
 SQL = {
     "A1_global_frequencies": SQL_DRAWS + _FREQ + "SELECT colour, ball, coalesce(n, 0)::BIGINT AS n FROM pool LEFT JOIN f USING (colour, ball)",
     "A2_weighted_frequencies": SQL_DRAWS + _FREQ + "SELECT colour, ball, round(coalesce(w, 0), 6) + 0.0 AS weight FROM pool LEFT JOIN f USING (colour, ball)",
-    "T1_decay_weights": f"SELECT i AS idx, round(exp(-ln(2.0::DOUBLE) * i / {HALF_LIFE}), 6) AS weight, 1.0::DOUBLE AS flat FROM range(50) t(i)",
+    "T1_decay_weights": SQL_DRAWS + f"SELECT idx, round(exp(-ln(2.0::DOUBLE) * idx / {HALF_LIFE}), 6) + 0.0 AS weight, 1.0::DOUBLE AS flat FROM draws",
     "A4_conditional": SQL_DRAWS + f", p AS (SELECT x.ball AS a, y.ball AS b, sum(exp(-ln(2.0::DOUBLE) * x.idx / {HALF_LIFE})) AS w FROM balls x JOIN balls y ON x.idx = y.idx AND x.ball <> y.ball GROUP BY ALL), s AS (SELECT ball AS a, sum({_W}) AS wa FROM balls GROUP BY ball) SELECT d.ball AS a, e.ball AS b, round(coalesce(w, 0) / greatest(coalesce(wa, 0), 0.001), 6) + 0.0 AS p FROM dim_red d CROSS JOIN dim_red e LEFT JOIN p ON p.a = d.ball AND p.b = e.ball LEFT JOIN s ON s.a = d.ball",
     "A5_co_occurrence": SQL_DRAWS + f", p AS (SELECT x.ball AS a, y.ball AS b, sum(exp(-ln(2.0::DOUBLE) * x.idx / {HALF_LIFE})) AS w FROM balls x JOIN balls y ON x.idx = y.idx GROUP BY ALL), t AS (SELECT sum({_W}) AS t FROM draws) SELECT d.ball AS a, e.ball AS b, round(coalesce(w, 0) / t, 6) + 0.0 AS value FROM dim_red d CROSS JOIN dim_red e CROSS JOIN t LEFT JOIN p ON p.a = d.ball AND p.b = e.ball",
     "A6_sum_distribution": SQL_DRAWS + "SELECT round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std, min(s)::INT AS min, max(s)::INT AS max FROM (SELECT list_sum(reds) AS s FROM draws)",

@@ -107,3 +107,22 @@ def test_ones_own_strategy_is_tested(spark, sf):
     newest = d.orderBy("idx").limit(14 * 4).collect()
     assert got["observed"] == pytest.approx(sum(len(set(r["reds"]) & set(range(1, 7))) for r in newest) / 56) and 0 <= got["p"] <= 1
     assert keyed.permutation_test(d.where("idx < 5"), "greedy").first()["p"] == 1.0
+
+
+def test_members_are_one_query_and_failures_are_told(spark, sf, monkeypatch):
+    d = draws.draws(spark, sf).where("idx < 200").cache()
+    e = strategies.Ensemble(spark)
+    fixed = lambda b: lambda own: own.limit(1).select(F.array(*map(F.lit, range(b, b + 6))).alias("reds"), F.lit(b).alias("blue"))
+    for name, b in {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5}.items():
+        e.add(name, fixed(b))
+    asked, plain = [], strategies.Ensemble._collected
+    monkeypatch.setattr(strategies.Ensemble, "_collected", lambda self, plans: (asked.append(len(plans)), plain(self, plans))[1])
+    assert {r["member"]: r["blue"] for r in e.picks(d).collect()} == {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5} and not e.failed
+    assert asked == [5]
+    e.add("raises", lambda own: 1 / 0)
+    e.add("no column", lambda own: own.select("nothing"))
+    e.add("fails in a task", lambda own: own.limit(1).select(F.raise_error(F.lit("lost")).cast("string").alias("r"), "reds", "blue").select(F.when(F.col("r") == "", F.col("reds")).alias("reds"), "blue"))
+    e.add("empty", lambda own: own.where("idx < 0").select("reds", "blue"))
+    assert {r["member"] for r in e.picks(d).collect()} == {"one", "two", "three", "four", "five"}
+    assert set(e.failed) == {"raises", "no column", "fails in a task"} and "lost" in str(e.failed["fails in a task"])
+    assert asked == [5, 7, *[1] * 7]

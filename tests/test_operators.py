@@ -147,3 +147,10 @@ def test_windows_over_given_features(spark):
             elif kind == "trend" and len(own) >= 3:
                 want = float(np.polyfit(range(len(own)), own, 1)[0])
             assert got[k] == (want if want is None else pytest.approx(want, rel=1e-6, abs=1e-4)), (kind, k)
+
+
+def test_upper_tail_of_rows(spark):
+    rows_ = spark.createDataFrame([(25, 100), (0, 7), (8, 7), (60, 200), (1500, 3000)], "h long, n long")
+    got = [r[0] for r in rows_.select(evaluate.upper_tail(F.col("h"), F.col("n"), 0.18)).collect()]
+    want = [sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(0.18) + (n - k) * math.log(0.82)) for k in range(h, n + 1)) for h, n in ((25, 100), (0, 7), (8, 7), (60, 200), (1500, 3000))]
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-300) and got[2] == 0
