@@ -1,16 +1,17 @@
 """Metropolis chains over combinations, one per row of a range, in parallel and seeded.
 
 The exact enumeration (`energy`) replaces sampling wherever it fits; this is the sampler itself, for
-models whose energy has no closed table. A chain is independent of all others and starts from its own
-seed, so a lost task repeats the same chain.
+models whose energy has no closed table. A chain is independent of all others, and its numbers are hashes
+of counters, so a lost task repeats the same chain, and another engine can.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import partial
+from hashlib import md5
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,31 +55,39 @@ def energy_function(m: Model) -> Callable[[list[int], int], float]:
     return energy
 
 
-def chain(energy: Callable[[list[int], int], float], n: int, seed: int, temperature: float = 1.0, tau: float = 3000.0, burn_in: int = 1000, thin: int = 2) -> tuple[list[tuple[tuple[int, ...], int, float]], float]:
-    """Samples (reds, blue, energy) of the first step after the burn-in and every `thin` steps from there,
-    and the share of moves taken.
+def uniform(*counters: object) -> float:
+    """A number of [0, 1) by its counters alone: 48 bits of their MD5, the same on every engine that has it."""
+    return int(md5(":".join(map(str, counters)).encode()).hexdigest()[:12], 16) / 2**48
+
+
+def moved(reds: list[int], blue: int, u: Callable[[int], float]) -> tuple[list[int], int]:
+    """What a step proposes: one or two reds for others, or another blue, by the numbers u(0) to u(4)."""
+    if u(0) >= MOVES[0] + MOVES[1]:
+        return reds, (blue + int(u(1) * (BLUES - 1))) % BLUES + 1
+    rest = [x for x in range(1, REDS + 1) if x not in reds]
+    out, new = [int(u(1) * PICKED)], [int(u(2) * len(rest))]
+    if u(0) >= MOVES[0]:
+        # The second of each is one of those left.
+        for own, many, k in ((out, PICKED, 3), (new, len(rest), 4)):
+            second = int(u(k) * (many - 1))
+            own.append(second + (second >= own[0]))
+    return sorted([x for k, x in enumerate(reds) if k not in out] + [rest[k] for k in new]), blue
+
+
+def chain(energy: Callable[[list[int], int], float], n: int, seed: object, temperature: float = 1.0, tau: float = 3000.0, burn_in: int = 1000, thin: int = 2) -> tuple[list[tuple[tuple[int, ...], int, float]], float]:
+    """(states, acceptance): n states (reds, blue, energy) after the burn-in, every thin-th step.
 
     The temperature falls as exp(-step / tau) during the burn-in only (if tau is positive), and no lower
-    than COLDEST."""
-    rng = np.random.default_rng(seed)
-    reds, blue = sorted(rng.choice(REDS, PICKED, replace=False) + 1), int(rng.integers(1, BLUES + 1))
-    reds = [int(x) for x in reds]
+    than COLDEST. Numbers come from the seed, the step and their place in it."""
+    reds = sorted(sorted(range(1, REDS + 1), key=lambda b: (uniform(seed, "start", b), b))[:PICKED])
+    blue = int(uniform(seed, "start", 0) * BLUES) + 1
     now, taken, out = energy(reds, blue), 0, []
     steps = burn_in + n * thin
     for step in range(steps):
         t = temperature * math.exp(-step / tau) if step < burn_in and tau > 0 else temperature
-        move = rng.random()
-        new, b = reds, blue
-        if move < MOVES[0] + MOVES[1]:
-            k = 1 if move < MOVES[0] else 2
-            out_at = rng.choice(PICKED, k, replace=False)
-            rest = [x for x in range(1, REDS + 1) if x not in reds]
-            fresh = rng.choice(len(rest), k, replace=False)
-            new = sorted([x for i, x in enumerate(reds) if i not in out_at] + [rest[i] for i in fresh])
-        else:
-            b = int((blue - 1 + rng.integers(1, BLUES)) % BLUES) + 1
+        new, b = moved(reds, blue, partial(uniform, seed, step))
         e = energy(new, b)
-        if e <= now or rng.random() < math.exp((now - e) / max(t, COLDEST)):
+        if e <= now or uniform(seed, step, 5) < math.exp((now - e) / max(t, COLDEST)):
             reds, blue, now = new, b, e
             taken += 1
         if step >= burn_in and (step - burn_in) % thin == 0:
@@ -93,7 +102,7 @@ def sample(spark: SparkSession, m: Model, n: int, n_chains: int = 4, seed: int =
         energy = energy_function(m)
         for part in parts:
             for c in part["id"]:
-                got, rate = chain(energy, n, seed * 1_000_003 + int(c), **options)
+                got, rate = chain(energy, n, f"{seed}:{c}", **options)
                 yield pd.DataFrame({"chain": int(c), "sample": range(len(got)), "reds": [list(r) for r, _, _ in got], "blue": [b for _, b, _ in got], "energy": [e for _, _, e in got], "acceptance": rate})
 
     return spark.range(0, n_chains, 1, n_chains).mapInPandas(work, SCHEMA)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rows
 from ..operators import energy, neural, sampler, training
 from ..sources.draws import SQL_DRAWS, draws
+from .model_queries import ENERGY, MODEL
 from .sequence_queries import rounded
 from .stats_queries import HALF_LIFE
 
@@ -30,8 +31,14 @@ def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.select("i", "j", neural.dot(F.col("v"), column).alias("value")))
 
 
+#: Samples of a chain, chains, seed, steps of burn-in and between samples, in the query and its SQL.
+SAMPLED = {"n": 300, "n_chains": 4, "seed": 7, "burn_in": 200, "thin": 2}
+
+
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sampler.sample(spark, energy.fit(draws(spark, sf_dir), HALF_LIFE), 500, 4, 7))
+    """Four chains over the model of the whole history; reds as text."""
+    got = sampler.sample(spark, energy.fit(draws(spark, sf_dir), HALF_LIFE), **SAMPLED)
+    return rounded(got.select("chain", "sample", F.array_join(F.transform("reds", lambda x: x.cast("string")), " ").alias("reds"), "blue", "energy", "acceptance"))
 
 
 def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +64,38 @@ def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"N1_matrix_product": matrix_product, "N3_vector_functions": vector_functions, "N2_vector_forms": vector_forms, "N10_multi_hot": multi_hot, "N13_attention": attention, "C4_sampler": sampled}
+def _uniform(*counters: str) -> str:
+    return "(('0x' || left(md5('" + f"{SAMPLED['seed']}:' || " + " || ':' || ".join(counters) + "), 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
+def _chain_sql() -> str:
+    """The chains as a recursive query: a row a chain and step, with what its numbers propose."""
+    u = [_uniform("chain", "step", f"'{k}'") for k in range(6)]
+    rest = "list_filter(range(1, 34), lambda x: NOT list_contains(reds, x))"
+    second = lambda k, many, first: f"(floor(u{k} * {many - 1})::BIGINT + CASE WHEN floor(u{k} * {many - 1}) >= {first} THEN 1 ELSE 0 END)"
+    out2, new2 = second(3, 6, "o1"), second(4, 27, "n1")
+    energy = f"(SELECT {ENERGY} + a_blue[blue] FROM m, mb)"
+    steps = SAMPLED["burn_in"] + SAMPLED["n"] * SAMPLED["thin"]
+    t = f"CASE WHEN step < {SAMPLED['burn_in']} THEN exp(-step / 3000.0::DOUBLE) ELSE 1.0::DOUBLE END"
+    start = f"list_sort(list_transform(list_sort(list_transform(range(1, 34), lambda b: {{'u': {_uniform('chain', chr(39) + 'start' + chr(39), 'b')}, 'b': b}}))[1:6], lambda s: s.b))"
+    return (
+        f", mb AS MATERIALIZED (SELECT list(-0.3::DOUBLE * ln(greatest(coalesce(w, 0) / greatest(t, 1), 1e-4)) ORDER BY i) AS a_blue FROM range(1, 17) r(i) LEFT JOIN (SELECT ball, w, sum(w) OVER () AS t FROM f WHERE colour = 'blue') ON ball = i),\n"
+        f"begun AS (SELECT chain, {start} AS reds, floor({_uniform('chain', chr(39) + 'start' + chr(39), '0')} * 16)::BIGINT + 1 AS blue FROM range({SAMPLED['n_chains']}) c(chain)),\n"
+        f"walk AS (SELECT chain, 0::BIGINT AS step, reds, blue, {energy} AS e, 0::BIGINT AS taken FROM begun UNION ALL\n"
+        "SELECT chain, step + 1, CASE WHEN ok THEN new ELSE reds END, CASE WHEN ok THEN b ELSE blue END, CASE WHEN ok THEN ne ELSE e END, taken + ok::BIGINT FROM (\n"
+        f"SELECT *, ne <= e OR u5 < exp(least((e - ne) / greatest({t}, 0.001::DOUBLE), 0)) AS ok FROM (SELECT *, {energy.replace('reds', 'new').replace('a_blue[blue]', 'a_blue[b]')} AS ne FROM (\n"
+        "SELECT *, CASE WHEN u0 >= 0.8::DOUBLE THEN reds ELSE list_sort(list_concat(list_filter(reds, lambda x, k: k - 1 <> o1 AND k - 1 <> o2), CASE WHEN u0 >= 0.5::DOUBLE THEN [rest[n1 + 1], rest[n2 + 1]] ELSE [rest[n1 + 1]] END)) END AS new, CASE WHEN u0 >= 0.8::DOUBLE THEN (blue + floor(u1 * 15)::BIGINT) % 16 + 1 ELSE blue END AS b FROM (\n"
+        f"SELECT *, CASE WHEN u0 >= 0.5::DOUBLE THEN {out2} ELSE -1 END AS o2, {new2} AS n2 FROM (SELECT *, floor(u1 * 6)::BIGINT AS o1, floor(u2 * 27)::BIGINT AS n1, {rest} AS rest FROM (\n"
+        f"SELECT *, {', '.join(f'{x} AS u{k}' for k, x in enumerate(u))} FROM walk WHERE step < {steps})))))))\n"
+        f"SELECT w.chain::INT AS chain, ((w.step - 1 - {SAMPLED['burn_in']}) // {SAMPLED['thin']})::INT AS sample, array_to_string(w.reds, ' ') AS reds, w.blue::INT AS blue, round(w.e, 6) + 0.0 AS energy, round(l.taken / {steps}.0::DOUBLE, 6) AS acceptance\n"
+        f"FROM walk w JOIN walk l ON l.chain = w.chain AND l.step = {steps} WHERE w.step > {SAMPLED['burn_in']} AND (w.step - 1 - {SAMPLED['burn_in']}) % {SAMPLED['thin']} = 0"
+    )
+
+
 _V = "list_transform(embedding, lambda x: x::DOUBLE)"
 _R = "round({}, 6) + 0.0 AS {}"
 SQL = {
+    "C4_sampler": SQL_DRAWS.replace("WITH ", "WITH RECURSIVE ", 1) + MODEL + _chain_sql(),
     "N1_matrix_product": "SELECT i, j, round(sum(x * ((7 * k + 11 * j) % 13 - 6) / 6.0::DOUBLE), 6) + 0.0 AS value FROM (SELECT vec_id AS i, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), (SELECT j::INT AS j FROM range(8) t(j)) GROUP BY i, j",
     "N3_vector_functions": "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT vec_id, avg(x) AS mu, var_pop(x) AS va, max(x) AS mx, sum(exp(x)) AS se FROM e GROUP BY vec_id) SELECT vec_id, " + ", ".join(_R.format(e, n) for e, n in (("sum(x * x)", "dot"), ("any_value(mu)", "mean"), ("any_value(va)", "var"), ("sum(greatest(x, 0))", "relu"), ("sum(1 / (1 + exp(-x)))", "sigmoid"), ("sum(0.5::DOUBLE * x * (1 + tanh((x + 0.044715::DOUBLE * x * x * x) * sqrt(2 / pi()))))", "gelu"), ("exp(any_value(mx)) / any_value(se)", "soft_max"), ("(any_value(mx) - any_value(mu)) / sqrt(any_value(va) + 1e-5::DOUBLE)", "norm_max"), ("-ln(greatest(max(CASE WHEN k = 1 THEN exp(x) / se END), 1e-10))", "loss"))) + " FROM e JOIN m USING (vec_id) GROUP BY vec_id",
     "N2_vector_forms": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), f AS (SELECT *, v[1:4] AS w FROM e) SELECT vec_id, " + ", ".join(_R.format(e, n) for e, n in (("2 * list_sum(w)", "twice"), ("list_sum(list_transform(w, lambda x: x / (x * x + 1e-8)))", "quotients"), ("list_sum(list_transform(w, lambda x: sqrt(greatest(x, 0))))", "roots"), ("list_sum(list_transform(w, lambda x: tanh(x)))", "tanh"), ("list_sum(w) - 4 * ln(list_sum(list_transform(w, lambda x: exp(x))))", "log_soft"), ("list_stddev_pop(v)", "std"), ("v[2] + v[6]", "column_sum"), ("(v[5] + v[6] + v[7] + v[8]) / 4", "row_mean"), ("list_sum(list_transform(w, lambda x: x * x)) + v[1] * v[5] + v[2] * v[6] + v[3] * v[7] + v[4] * v[8]", "product"), ("list_sum(w) ** 2", "outer"), ("(ln(1 + exp(v[1])) + ln(1 + exp(v[2])) + ln(1 + exp(-v[3])) + ln(1 + exp(v[4]))) / 4", "bce"))) + ", (list_position(v, list_max(v)) - 1)::INT AS first_max, array_to_string(list_transform(list_sort(list_transform(range(4), lambda k: {'x': w[k + 1], 'k': k})), lambda s: s.k), ' ') AS sorted FROM f",

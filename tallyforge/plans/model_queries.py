@@ -220,7 +220,7 @@ _AC = "len(list_distinct([" + ", ".join(f"reds[{j}] - reds[{i}]" for i in range(
 _ODD, _Z1, _Z2 = (f"len(list_filter(reds, lambda x: {c}))" for c in ("x % 2 = 1", "x <= 11", "x BETWEEN 12 AND 22"))
 _ONE = {"span": "reds[6] - reds[1]", "parity": _ODD, "zone": f"{_Z1} * 7 + {_Z2}", "ac": _AC}
 _SIZES = {"span": (33, 0.001), "parity": (7, 0.001), "zone": (49, 0.001), "ac": (11, 0.001), "gap": (33, 0.001), "position": (204, 0.0001)}
-_MODEL = (
+MODEL = (
     _F
     + ", tot AS (SELECT sum(w) FILTER (colour = 'red') AS r, sum(w) FILTER (colour = 'blue') AS b FROM f), wt AS (SELECT sum(" + _W + ") AS t FROM draws),\n"
     + "marks AS (" + " UNION ALL ".join([f"SELECT '{d}' AS d, {e} AS k FROM draws" for d, e in _ONE.items()] + [f"SELECT 'gap', reds[{k + 1}] - reds[{k}] FROM draws" for k in range(1, 6)] + [f"SELECT 'position', {k} * 34 + reds[{k + 1}] FROM draws" for k in range(6)]) + "),\n"
@@ -239,7 +239,7 @@ _TERMS = {
     "gap": "0.5::DOUBLE * (" + " + ".join(f"a_gap[reds[{k + 1}] - reds[{k}] + 1]" for k in range(1, 6)) + ")", "position": "2.0::DOUBLE * (" + " + ".join(f"a_position[{k * 34} + reds[{k + 1}] + 1]" for k in range(6)) + ")",
     "frequency": "0.3::DOUBLE * (" + " + ".join(f"a_red[reds[{k}]]" for k in range(1, 7)) + ")", "association": f"0.2::DOUBLE * CASE WHEN {_LIFT} > 1 THEN -ln({_LIFT}) ELSE 0 END", "conditional": "0.1::DOUBLE * (" + " + ".join(f"a_both[{p}]" for p in _PAIRS) + ")",
 }
-_ENERGY = " + ".join(_TERMS.values())
+ENERGY = " + ".join(_TERMS.values())
 _KEPT = ", od AS (SELECT len(list_filter(reds, lambda x: x % 2 = 1)) AS k, count(*)::DOUBLE / any_value(n) AS p FROM draws, n_draws GROUP BY 1), kept AS (SELECT k FROM (SELECT k, coalesce(sum(p) OVER (ORDER BY p DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM od) WHERE before < 0.8)\n"
 
 
@@ -301,13 +301,13 @@ SQL = {
     "G7_vote": SQL_DRAWS + _MEM + ", pk AS (SELECT d.idx, weight, e.reds, e.blue FROM draws d JOIN mw ON true JOIN draws e ON e.idx = d.idx + member + 1), v AS (SELECT idx, 'red' AS colour, unnest(reds) AS ball, weight FROM pk UNION ALL SELECT idx, 'blue', blue, weight FROM pk), s AS (SELECT idx, colour, ball, sum(weight) AS votes FROM v GROUP BY ALL), p AS (SELECT *, (row_number() OVER (PARTITION BY idx, colour ORDER BY round(votes, 9) DESC, ball))::INT AS place FROM s) SELECT idx, colour, ball, round(votes, 6) + 0.0 AS votes, place, place <= CASE colour WHEN 'red' THEN 6 ELSE 1 END AS chosen FROM p",
     "M3_combination_probability": SQL_DRAWS + _F + ", l AS (SELECT colour, ball, log10(greatest(c / sum(c) OVER (PARTITION BY colour), 1e-10)) AS l FROM f) SELECT idx, round(sum(l), 6) AS log10_p FROM (SELECT idx, 'red' AS colour, ball FROM balls UNION ALL SELECT idx, 'blue', blue FROM draws) JOIN l USING (colour, ball) GROUP BY idx",
     "K2_probability_report": SQL_DRAWS + _F + ", q AS (SELECT colour, ball, exp(w / 2) / sum(exp(w / 2)) OVER (PARTITION BY colour) AS p FROM f), h AS (SELECT colour, -sum(p * ln(greatest(p, 1e-10))) AS e, count(*) AS n FROM q GROUP BY colour), r AS (SELECT *, (row_number() OVER (PARTITION BY colour ORDER BY round(p, 12) DESC, ball))::INT AS place FROM q) SELECT colour, place, ball, round(p, 6) + 0.0 AS p, round(e, 6) AS entropy, CASE WHEN e / ln(n) > 0.8 THEN 'high' WHEN e / ln(n) > 0.5 THEN 'mid' ELSE 'low' END AS level FROM r JOIN h USING (colour) WHERE place <= CASE colour WHEN 'red' THEN 6 ELSE 5 END",
-    "E12_energy_components": SQL_DRAWS + _MODEL + "SELECT idx, " + ", ".join(f"round({e}, 6) + 0.0 AS e_{n}" for n, e in _TERMS.items()) + f", round({_ENERGY}, 6) + 0.0 AS e_total FROM draws, m",
-    "C11_marginal_exact": SQL_DRAWS + _MODEL + f", cmb AS (SELECT [a, b, c, d, e, f] AS reds FROM ({_CMB})), e AS (SELECT reds, exp(-({_ENERGY})) AS w FROM cmb, m), z AS (SELECT sum(w) AS z FROM e) SELECT ball, round(sum(w) / any_value(z), 6) + 0.0 AS p FROM (SELECT unnest(reds) AS ball, w FROM e), z GROUP BY ball",
-    "C11_recommend": SQL_DRAWS + _MODEL + _KEPT + f", cmb AS (SELECT [a, b, c, d, e, f] AS reds FROM ({_CMB})), ok AS (SELECT reds, {_ENERGY} AS e, {' + '.join(f'a_share[reds[{k}]]' for k in range(1, 7))} + 0.5::DOUBLE * ln(greatest({_LIFT}, 0.01)) AS s FROM cmb, m WHERE list_sum(reds) BETWEEN mean - 3 * sd AND mean + 3 * sd AND {_ODD} IN (SELECT k FROM kept)), bl AS (SELECT ball AS blue, ln(greatest(w / greatest(b, 1), 1e-10)) AS s, -0.3::DOUBLE * ln(greatest(w / greatest(b, 1), 1e-4)) AS e FROM f, tot WHERE colour = 'blue'), every AS (SELECT reds, blue, ok.e + bl.e AS energy, ok.s + bl.s - 0.1::DOUBLE * (ok.e + bl.e) AS score FROM ok CROSS JOIN bl) SELECT " + ", ".join(f"reds[{k}] AS r{k}" for k in range(1, 7)) + ", blue, round(energy, 6) + 0.0 AS energy, round(score, 6) + 0.0 AS score FROM every ORDER BY round(every.score, 9) DESC, reds, blue LIMIT 10",
+    "E12_energy_components": SQL_DRAWS + MODEL + "SELECT idx, " + ", ".join(f"round({e}, 6) + 0.0 AS e_{n}" for n, e in _TERMS.items()) + f", round({ENERGY}, 6) + 0.0 AS e_total FROM draws, m",
+    "C11_marginal_exact": SQL_DRAWS + MODEL + f", cmb AS (SELECT [a, b, c, d, e, f] AS reds FROM ({_CMB})), e AS (SELECT reds, exp(-({ENERGY})) AS w FROM cmb, m), z AS (SELECT sum(w) AS z FROM e) SELECT ball, round(sum(w) / any_value(z), 6) + 0.0 AS p FROM (SELECT unnest(reds) AS ball, w FROM e), z GROUP BY ball",
+    "C11_recommend": SQL_DRAWS + MODEL + _KEPT + f", cmb AS (SELECT [a, b, c, d, e, f] AS reds FROM ({_CMB})), ok AS (SELECT reds, {ENERGY} AS e, {' + '.join(f'a_share[reds[{k}]]' for k in range(1, 7))} + 0.5::DOUBLE * ln(greatest({_LIFT}, 0.01)) AS s FROM cmb, m WHERE list_sum(reds) BETWEEN mean - 3 * sd AND mean + 3 * sd AND {_ODD} IN (SELECT k FROM kept)), bl AS (SELECT ball AS blue, ln(greatest(w / greatest(b, 1), 1e-10)) AS s, -0.3::DOUBLE * ln(greatest(w / greatest(b, 1), 1e-4)) AS e FROM f, tot WHERE colour = 'blue'), every AS (SELECT reds, blue, ok.e + bl.e AS energy, ok.s + bl.s - 0.1::DOUBLE * (ok.e + bl.e) AS score FROM ok CROSS JOIN bl) SELECT " + ", ".join(f"reds[{k}] AS r{k}" for k in range(1, 7)) + ", blue, round(energy, 6) + 0.0 AS energy, round(score, 6) + 0.0 AS score FROM every ORDER BY round(every.score, 9) DESC, reds, blue LIMIT 10",
     "G1_frequency_strategy": SQL_DRAWS + _F + ", six_balls AS (SELECT list(ball ORDER BY ball) AS reds FROM (SELECT ball FROM f WHERE colour = 'red' ORDER BY round(w, 9) DESC, ball LIMIT 6))" + _PICK.format(blue=_BLUE),
-    "G2_greedy_strategy": SQL_DRAWS + _MODEL + _grown("SELECT ball FROM fr ORDER BY round(w, 9) DESC, ball LIMIT 1", "p") + _PICK.format(blue=_BLUE),
+    "G2_greedy_strategy": SQL_DRAWS + MODEL + _grown("SELECT ball FROM fr ORDER BY round(w, 9) DESC, ball LIMIT 1", "p") + _PICK.format(blue=_BLUE),
     "G3_hot_strategy": SQL_DRAWS + _filled("hot", "DESC"), "G4_cold_strategy": SQL_DRAWS + _filled("cold", "ASC"),
-    "G5_association_strategy": SQL_DRAWS + _MODEL + _grown("SELECT unnest([x, y]) AS ball FROM (SELECT x, y FROM best ORDER BY round(lift, 9) DESC, x, y LIMIT 1)", "lift") + _PICK.format(blue=_BLUE),
+    "G5_association_strategy": SQL_DRAWS + MODEL + _grown("SELECT unnest([x, y]) AS ball FROM (SELECT x, y FROM best ORDER BY round(lift, 9) DESC, x, y LIMIT 1)", "lift") + _PICK.format(blue=_BLUE),
     "V5_run_cv": SQL_DRAWS + _CV + "SELECT count(*) AS n_folds, round(avg(red), 6) AS red_rate_mean, round(stddev_pop(red), 6) + 0.0 AS red_rate_std, round(avg(blue), 6) AS blue_rate_mean, round(stddev_pop(blue), 6) + 0.0 AS blue_rate_std, round(avg(three), 6) + 0.0 AS share_3_mean, round(avg((red > 6.0::DOUBLE / 33)::INT), 6) + 0.0 AS consistency_red, round(avg((blue > 1.0::DOUBLE / 16)::INT), 6) + 0.0 AS consistency_blue, round(avg(red) / (6.0::DOUBLE / 33), 6) AS red_to_chance, round(avg(blue) * 16, 6) AS blue_to_chance FROM res HAVING count(*) > 0",
     "V8_permutation_test": SQL_DRAWS + _PERM.format(t="draws", n=500) + ", v AS (SELECT n, CASE WHEN floor(n * (1 - 0.85::DOUBLE) / 4) < 10 THEN greatest(10, floor(0.02::DOUBLE * n)::BIGINT) ELSE floor(n * (1 - 0.85::DOUBLE) / 4)::BIGINT END AS val FROM n_draws), fold AS (SELECT k::INT AS fold, val FROM v, range(4) t(k) WHERE (k + 1) * val < n), nf AS (SELECT count(*) AS nf, any_value(val) AS val FROM fold), c AS (SELECT perm, place // val AS fold, ball, count(*) AS c FROM perm JOIN balls USING (idx), nf WHERE place < val * nf GROUP BY ALL), tr AS (SELECT perm, fold, ball, t.n - sum(coalesce(c, 0)) OVER (PARTITION BY perm, ball ORDER BY fold) AS trained, coalesce(c, 0) AS c FROM (SELECT DISTINCT perm FROM perm) CROSS JOIN fold CROSS JOIN (SELECT ball, count(*) AS n FROM balls GROUP BY ball) t LEFT JOIN c USING (perm, fold, ball)), pk AS (SELECT perm, c, trained, row_number() OVER (PARTITION BY perm, fold ORDER BY trained DESC, ball) AS r FROM tr), h AS (SELECT perm, sum(c) AS h FROM pk WHERE r <= 6 AND trained > 0 GROUP BY perm), o AS (SELECT h AS o FROM h WHERE perm = 0) SELECT round(avg((h >= o)::INT), 6) + 0.0 AS p, round(any_value(o)::DOUBLE / any_value(val * nf), 6) AS observed FROM h, o, nf WHERE perm > 0",
     "V8_permutation_greedy": SQL_DRAWS + _PERM.format(t="draws", n=500) + _VALIDATED + _COUNTED + _greedy_steps() + "SELECT round(avg((h >= o)::INT), 6) + 0.0 AS p, round(any_value(o)::DOUBLE / any_value(val * nf), 6) AS observed FROM h, o, nf WHERE perm > 0",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evaluate, keyed, strategies
+from tallyforge.operators import evaluate, keyed, sampler, strategies
 from tallyforge.sources import draws
 
 
@@ -126,3 +126,17 @@ def test_members_are_one_query_and_failures_are_told(spark, sf, monkeypatch):
     assert {r["member"] for r in e.picks(d).collect()} == {"one", "two", "three", "four", "five"}
     assert set(e.failed) == {"raises", "no column", "fails in a task"} and "lost" in str(e.failed["fails in a task"])
     assert asked == [5, 7, *[1] * 7]
+
+
+def test_numbers_of_the_chain_come_from_counters():
+    assert sampler.uniform(7, 0, 1) == sampler.uniform("7", "0", "1") != sampler.uniform(7, 1, 0)
+    drawn = [sampler.uniform(1, k) for k in range(4000)]
+    assert 0 <= min(drawn) and max(drawn) < 1 and abs(sum(drawn) / 4000 - 0.5) < 0.02
+    kinds = {0: 0, 1: 0, 2: 0}
+    for k in range(3000):
+        reds, blue = sorted({1 + (k * j) % 33 for j in (1, 5, 8, 11, 17, 23)} | set(range(20, 33)))[:6], k % 16 + 1
+        new, b = sampler.moved(reds, blue, lambda j, k=k: sampler.uniform("m", k, j))
+        apart = len(set(reds) - set(new))
+        kinds[apart] += 1
+        assert len(set(new)) == 6 and new == sorted(new) and 1 <= b <= 16 and (apart == 0) == (b != blue) and set(new) <= set(range(1, 34))
+    assert all(abs(kinds[a] / 3000 - share) < 0.04 for a, share in ((1, 0.5), (2, 0.3), (0, 0.2)))
