@@ -57,10 +57,21 @@ def _before(sizes: DataFrame, size: str) -> DataFrame:
     return sizes.select("block", F.coalesce(F.sum(size).over(own), F.lit(0)).alias("start"))
 
 
+#: Bounds up to which a draw is held against each of them, in its row.
+FEW = 64
+
+
 def cut(d: DataFrame, bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """d with `segment`, how many of the bounds are its idx or less, and (bound, segment) of the bounds
-    themselves. Both are put in order within blocks of idx, so no draw meets a bound of another block."""
-    own = bounds.select(F.col("bound").cast("long").alias("idx")).distinct().withColumn("is_draw", F.lit(False))
+    themselves. More than FEW bounds are put in order with the draws within blocks of idx, so no draw meets
+    a bound of another block."""
+    own = bounds.select(F.col("bound").cast("long").alias("idx")).distinct()
+    few = sorted(r["idx"] for r in own.limit(FEW + 1).collect())
+    if len(few) <= FEW:
+        number = F.array(*map(F.lit, few)).cast("array<bigint>")
+        at = d.sparkSession.createDataFrame([(b, k + 1) for k, b in enumerate(few)], "bound long, segment long")
+        return d.withColumn("segment", F.size(F.filter(number, lambda b: b <= F.col("idx"))).cast("long")), at
+    own = own.withColumn("is_draw", F.lit(False))
     rows = d.withColumn("is_draw", F.lit(True)).unionByName(own, allowMissingColumns=True).withColumn("block", F.floor(F.col("idx") / BLOCK))
     starts = _before(rows.groupBy("block").agg(F.count_if(~F.col("is_draw")).alias("n")), "n")
     # A bound comes ahead of the draw that it is at.

@@ -27,8 +27,9 @@ def test_ranges_are_the_lists(spark, least, val, step, train):
     assert [tuple(r) for r in evaluate.fold_range(spark, n, least, val, step, train).orderBy("fold").collect()] == want
 
 
-@pytest.mark.parametrize("half_life", [0, 700])
-def test_picks_and_rates_are_those_of_loops(spark, history, half_life):
+@pytest.mark.parametrize(("half_life", "few"), [(0, 64), (700, 0)])
+def test_picks_and_rates_are_those_of_loops(spark, history, half_life, few, monkeypatch):
+    monkeypatch.setattr(evaluate, "FEW", few)
     rows, d = history
     folds = [(0, 0, 300, 300, 9000), (1, 4090, 4100, 4096, 4097), (2, 4095, 4097, 0, 8999), (3, 100, 5000, 5000, 8192), (4, 8990, 9000, 20, 20), (5, 8191, 8193, 8192, 8200), (6, 7, 8, 3, 11000)]
     table = evaluate.fold_table(spark, folds)
@@ -71,7 +72,9 @@ def test_ten_thousand_folds_meet_few_draws(spark):
         assert got[r["fold"]] == sorted(c["b"] for c in sorted(counts, key=lambda c: (-c["count"], c["b"]))[:6])
 
 
-def test_bounds_cut_draws_in_blocks(spark):
+@pytest.mark.parametrize("few", [0, 64])
+def test_bounds_cut_draws_in_blocks(spark, few, monkeypatch):
+    monkeypatch.setattr(evaluate, "FEW", few)
     d = spark.range(0, 10_000, 3).select(F.col("id").alias("idx"))
     bounds = [0, 1, 4095, 4096, 4097, 9999, 20_000]
     rows, at = evaluate.cut(d, spark.createDataFrame([(b,) for b in bounds * 2], "bound long"))
