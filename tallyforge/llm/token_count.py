@@ -68,7 +68,7 @@ class Transducer:
     CHUNK = 256
     #: Bytes of the transition table, and states, beyond which it is compiled anew, in the middle of a text
     #: if need be. Results don't depend on them.
-    TABLE, STATES = 128_000_000, 100_000
+    TABLE, STATES = 128_000_000, 220_000
     #: Characters that are run through the table at once, and the fewest that this comes down to where
     #: ever new ones fill it; twice as many are tried after each time that they fitted.
     GROUP, LEAST = 4_000_000, 2_048
