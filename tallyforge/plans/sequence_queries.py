@@ -121,13 +121,13 @@ QUERIES = {
 }
 _MONEY = ", ".join(f"CASE WHEN count(*) OVER w >= 2 THEN CASE WHEN count(nullif({x}, 0)) OVER w >= 2 THEN {f}(CASE WHEN {x} > 0 THEN {x} END) OVER w ELSE {e} END END AS {x}_{n}" for x in ("sales", "jackpot") for f, n, e in (("avg", "mean", "0.0::DOUBLE"), ("stddev_pop", "std", "1.0::DOUBLE")))
 _MONEY = f", money2 AS (SELECT idx, sales, jackpot, {_MONEY} FROM draws WINDOW w AS (ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 50 FOLLOWING))\n"
-_MONEY = SQL_DRAWS + ", given_money AS (SELECT idx, " + ", ".join(f"{n} / 1000000.0::DOUBLE AS {n}" for n in MONEY) + " FROM draws)\n"
+_GIVEN = SQL_DRAWS + ", given_money AS (SELECT idx, " + ", ".join(f"{n} / 1000000.0::DOUBLE AS {n}" for n in MONEY) + " FROM draws)\n"
 _FRAMES = " FROM given_money WINDOW " + ", ".join(f"w{w} AS (ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING)" for w in WINDOWS)
 SQL = {
-    "T3_ema_given": _MONEY + "SELECT idx, " + ", ".join(f"round(CASE WHEN len(l{w}_{n}) > 0 THEN list_reduce(l{w}_{n}, lambda a, v: (2.0::DOUBLE / {w + 1}) * v + (1 - 2.0::DOUBLE / {w + 1}) * a) END, 6) + 0.0 AS ema_{w}_{n}" for w in WINDOWS for n in MONEY) + " FROM (SELECT idx, " + ", ".join(f"coalesce(list({n}) OVER (ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING), []) AS l{w}_{n}" for w in WINDOWS for n in MONEY) + " FROM given_money)",
-    "T4_trend_given": _MONEY + "SELECT idx, " + ", ".join(f"round(CASE WHEN count(*) OVER w{w} >= 3 THEN regr_slope({n}, idx) OVER w{w} END, 6) + 0.0 AS trend_{w}_{n}" for w in WINDOWS for n in MONEY) + _FRAMES,
-    "T5_volatility_given": _MONEY + "SELECT idx, " + ", ".join(f"round(CASE WHEN count(*) OVER w{w} >= 2 THEN stddev_pop({n}) OVER w{w} END, 6) + 0.0 AS vol_{w}_{n}" for w in WINDOWS for n in MONEY) + _FRAMES,
-    "T6_changes_given": _MONEY + "SELECT idx, " + ", ".join(f"round({n} - lead({n}, {k}) OVER (ORDER BY idx), 6) + 0.0 AS delta_{k}_{n}" for k in (1, 5) for n in MONEY) + " FROM given_money",
+    "T3_ema_given": _GIVEN + "SELECT idx, " + ", ".join(f"round(CASE WHEN len(l{w}_{n}) > 0 THEN list_reduce(l{w}_{n}, lambda a, v: (2.0::DOUBLE / {w + 1}) * v + (1 - 2.0::DOUBLE / {w + 1}) * a) END, 6) + 0.0 AS ema_{w}_{n}" for w in WINDOWS for n in MONEY) + " FROM (SELECT idx, " + ", ".join(f"coalesce(list({n}) OVER (ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING), []) AS l{w}_{n}" for w in WINDOWS for n in MONEY) + " FROM given_money)",
+    "T4_trend_given": _GIVEN + "SELECT idx, " + ", ".join(f"round(CASE WHEN count(*) OVER w{w} >= 3 THEN regr_slope({n}, idx) OVER w{w} END, 6) + 0.0 AS trend_{w}_{n}" for w in WINDOWS for n in MONEY) + _FRAMES,
+    "T5_volatility_given": _GIVEN + "SELECT idx, " + ", ".join(f"round(CASE WHEN count(*) OVER w{w} >= 2 THEN stddev_pop({n}) OVER w{w} END, 6) + 0.0 AS vol_{w}_{n}" for w in WINDOWS for n in MONEY) + _FRAMES,
+    "T6_changes_given": _GIVEN + "SELECT idx, " + ", ".join(f"round({n} - lead({n}, {k}) OVER (ORDER BY idx), 6) + 0.0 AS delta_{k}_{n}" for k in (1, 5) for n in MONEY) + " FROM given_money",
     "T3_ema": _SIMPLE + "SELECT idx, " + _each(lambda n, w: f"round(CASE WHEN len(l{w}_{n}) > 0 THEN list_reduce(l{w}_{n}, lambda a, v: (2.0::DOUBLE / {w + 1}) * v + (1 - 2.0::DOUBLE / {w + 1}) * a) END, 6) + 0.0 AS ema_{w}_{n}") + " FROM (SELECT idx, " + _each(lambda n, w: f"coalesce(list({n}::DOUBLE) OVER (ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING), []) AS l{w}_{n}") + " FROM simple)",
     "T4_trend": _SIMPLE + "SELECT idx, " + _each(lambda n, w: f"round(CASE WHEN count(*) OVER w{w} >= 3 THEN regr_slope({n}, idx) OVER w{w} END, 6) + 0.0 AS trend_{w}_{n}") + " FROM simple WINDOW " + ", ".join(f"w{w} AS (ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING)" for w in WINDOWS),
     "T5_volatility": _SIMPLE + "SELECT idx, " + _each(lambda n, w: f"round(CASE WHEN count(*) OVER w{w} >= 2 THEN stddev_pop({n}) OVER w{w} END, 6) + 0.0 AS vol_{w}_{n}") + " FROM simple WINDOW " + ", ".join(f"w{w} AS (ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING)" for w in WINDOWS),
