@@ -11,6 +11,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import public_tokenizers
@@ -830,7 +831,7 @@ def test_queries_have_the_rows_of_their_sql(spark, sf, name):
         c.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     ours, theirs = queries.QUERIES[name](spark, sf).toPandas(), c.sql(queries.SQL[name]).df()
     key = sorted(theirs.columns)
-    text = lambda df: sorted(tuple("null" if v is None or v != v else str(v) for v in r) for r in df[key].astype(object).values.tolist())
+    text = lambda df: sorted(tuple("null" if v is None or v is pd.NA or v != v else str(v) for v in r) for r in df[key].astype(object).values.tolist())
     assert sorted(ours.columns) == key and text(ours) == text(theirs)
 
 
