@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rows
-from ..sources.draws import BLUES, REDS, SQL_DRAWS, draws
+from ..sources.draws import BLUES, REDS, SQL_DRAWS, date_text, draws
 
 _BASIC_DOUBLES = {"red_mean", "red_median", "red_std", "red_odd_ratio", "red_mean_gap"}
 
@@ -78,11 +78,10 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = draws(spark, sf_dir).select(F.date_add("draw_date", (F.col("idx") % 7).cast("int")).alias("d"), F.col("idx").alias("id"))
     since = F.get(F.array(*map(F.lit, (1, 0, 1, 0, 1, 2, 0))), F.weekday("d"))
     nxt = F.least(*[F.next_day("d", x) for x in ("TU", "TH", "SU")])
-    clock = F.format_string(" %02d:%02d:00", (F.col("id") % 24).cast("int"), (F.col("id") % 60).cast("int"))
-    now = F.to_timestamp_ntz(F.concat(F.date_format("d", "yyyy-MM-dd"), clock))
-    at_draw = F.to_timestamp_ntz(F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit(" 21:15:00")))
-    text = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return days.select(F.col("id").alias("idx"), text("d").alias("d"), F.weekday("d").isin(1, 3, 6).alias("is_draw_day"), text(F.date_sub("d", since)).alias("last_draw"), text(nxt).alias("next_draw"), F.timestamp_diff("SECOND", now, at_draw).alias("seconds_until"))
+    # A time of the day added to the date: text with a year of five digits is no time stamp.
+    at = lambda hours, minutes: F.col("d").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours, minutes)
+    now, at_draw = at((F.col("id") % 24).cast("int"), (F.col("id") % 60).cast("int")), at(F.lit(21), F.lit(15))
+    return days.select(F.col("id").alias("idx"), date_text(F.col("d")).alias("d"), F.weekday("d").isin(1, 3, 6).alias("is_draw_day"), date_text(F.date_sub("d", since)).alias("last_draw"), date_text(nxt).alias("next_draw"), F.timestamp_diff("SECOND", now, at_draw).alias("seconds_until"))
 
 
 def draw_status(spark: SparkSession, sf_dir: str) -> DataFrame:
