@@ -129,9 +129,10 @@ def extend(records: DataFrame, folder: str) -> int:
 
 
 def status(draws: DataFrame, today: str) -> DataFrame:
-    """Rows, days covered, days since the last draw and the estimate of draws missed (days // 2)."""
+    """Rows, days covered, days since the last draw and the estimate of draws missed: half of these, the
+    fraction cut off (towards 0, so also for a day ahead of the last draw)."""
     since = F.datediff(F.lit(today).cast("date"), F.max("draw_date"))
-    return draws.agg(F.count("*").alias("total"), F.max("draw_no").alias("latest"), F.datediff(F.max("draw_date"), F.min("draw_date")).alias("days_covered"), since.alias("days_since"), F.floor(since / 2).alias("missed"))
+    return draws.agg(F.count("*").alias("total"), F.max("draw_no").alias("latest"), F.datediff(F.max("draw_date"), F.min("draw_date")).alias("days_covered"), since.alias("days_since"), (since / 2).cast("bigint").alias("missed"))
 
 
 def completed(spark: SparkSession, store: DataFrame, transport, lookback: int = 10) -> tuple[DataFrame, DataFrame]:
