@@ -96,7 +96,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.history import parse, raw
 
     p = parse(raw(draws(spark, sf_dir)))
-    return p.select("draw_no", F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), *[F.get("reds", F.lit(k)).alias(f"r{k + 1}") for k in range(6)], F.get("draw_order", F.lit(0)).alias("first_ball"), "blue", "sales", "jackpot", "first_prize_count", "first_prize_money")
+    return p.select("draw_no", date_text(F.col("draw_date")).alias("draw_date"), *[F.get("reds", F.lit(k)).alias(f"r{k + 1}") for k in range(6)], F.get("draw_order", F.lit(0)).alias("first_ball"), "blue", "sales", "jackpot", "first_prize_count", "first_prize_money")
 
 
 def parsed_issues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import store
+from .draws import date_text
 
 # The fields of a raw record and their columns here.
 FIELDS = {"期号": "issue", "开奖日期": "open_date", "星期": "weekday", "红球": "reds", "蓝球": "blue", "红球顺序": "draw_order", "销售额": "sales", "奖池金额": "jackpot", "一等奖注数": "first_prize_count", "一等奖奖金": "first_prize_money"}
@@ -53,7 +54,7 @@ def parse(records: DataFrame) -> DataFrame:
     money = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.lit(0)).alias(c)
     return records.select(
         F.col("issue").try_cast("bigint").alias("draw_no"),
-        F.to_date(F.when(F.col("open_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("open_date"))).alias("draw_date"),
+        F.when(F.col("open_date").rlike(r"^\d{4,7}-\d{2}-\d{2}$"), F.col("open_date")).try_cast("date").alias("draw_date"),
         F.coalesce("weekday", F.lit("")).alias("weekday"),
         F.array_sort(_numbers(F.col("reds"))).alias("reds"),
         _numbers(F.coalesce("draw_order", "reds")).alias("draw_order"),
@@ -68,7 +69,7 @@ def parse(records: DataFrame) -> DataFrame:
 def raw(draws: DataFrame) -> DataFrame:
     """Draws as raw records: text in every column, balls of two digits."""
     text = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(x.cast("string"), 2, "0")), " ")
-    return draws.select(F.col("draw_no").cast("string").alias("issue"), F.date_format("draw_date", "yyyy-MM-dd").alias("open_date"), "weekday", text("reds").alias("reds"), F.lpad(F.col("blue").cast("string"), 2, "0").alias("blue"), text("draw_order").alias("draw_order"), F.col("sales").cast("string").alias("sales"), F.col("jackpot").cast("string").alias("jackpot"), F.col("first_prize_count").cast("string").alias("first_prize_count"), F.lit(None).cast("string").alias("first_prize_money"))
+    return draws.select(F.col("draw_no").cast("string").alias("issue"), date_text(F.col("draw_date")).alias("open_date"), "weekday", text("reds").alias("reds"), F.lpad(F.col("blue").cast("string"), 2, "0").alias("blue"), text("draw_order").alias("draw_order"), F.col("sales").cast("string").alias("sales"), F.col("jackpot").cast("string").alias("jackpot"), F.col("first_prize_count").cast("string").alias("first_prize_count"), F.lit(None).cast("string").alias("first_prize_money"))
 
 
 def prize(details: Column, level: str, field: str) -> Column:
