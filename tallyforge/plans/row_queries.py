@@ -59,7 +59,7 @@ def draw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return draws(spark, sf_dir).agg(F.count("*").alias("total"), F.max_by("draw_no", F.col("draw_no")).alias("newest"), F.min_by("draw_no", F.col("draw_no")).alias("oldest"), F.date_format(F.min("draw_date"), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max("draw_date"), "yyyy-MM-dd").alias("last_date"))
+    return draws(spark, sf_dir).agg(F.count("*").alias("total"), F.max_by("draw_no", F.col("draw_no")).alias("newest"), F.min_by("draw_no", F.col("draw_no")).alias("oldest"), date_text(F.min("draw_date")).alias("first_date"), date_text(F.max("draw_date")).alias("last_date"))
 
 
 def split_by_date(spark: SparkSession, sf_dir: str, cutoff: str = "2010-01-01") -> DataFrame:
