@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import folders, history, store
-from ..sources.draws import SQL_DRAWS, draws
+from ..sources.draws import SQL_DRAWS, date_text, draws
 
 
 def versions_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def versions_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     history.save(history.raw(d), folder)
     history.save(history.raw(d.withColumn("sales", F.col("sales") * 2)), folder)
     store.restore(folder, 1)
-    every = [history.parse(history.load_history(spark, folder, v)).select(F.lit(v or 0).alias("version"), "draw_no", F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), "weekday", F.array_join(F.transform("reds", lambda x: x.cast("string")), " ").alias("reds"), F.array_join(F.transform("draw_order", lambda x: x.cast("string")), " ").alias("draw_order"), "blue", "sales", "jackpot", "first_prize_count") for v in (1, 2, 3, None)]
+    every = [history.parse(history.load_history(spark, folder, v)).select(F.lit(v or 0).alias("version"), "draw_no", date_text(F.col("draw_date")).alias("draw_date"), "weekday", F.array_join(F.transform("reds", lambda x: x.cast("string")), " ").alias("reds"), F.array_join(F.transform("draw_order", lambda x: x.cast("string")), " ").alias("draw_order"), "blue", "sales", "jackpot", "first_prize_count") for v in (1, 2, 3, None)]
     one, two, three, newest = every
     return one.unionByName(two).unionByName(three).unionByName(newest)
 
