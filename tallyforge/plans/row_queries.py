@@ -55,7 +55,7 @@ def seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def draw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = draws(spark, sf_dir)
-    return d.select("idx", "draw_no", F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), "weekday", F.array_join(F.transform("reds", lambda x: x.cast("string")), " ").alias("reds"), F.array_join(F.transform("draw_order", lambda x: x.cast("string")), " ").alias("draw_order"), "blue", "sales", "jackpot", "first_prize_count")
+    return d.select("idx", "draw_no", date_text(F.col("draw_date")).alias("draw_date"), "weekday", F.array_join(F.transform("reds", lambda x: x.cast("string")), " ").alias("reds"), F.array_join(F.transform("draw_order", lambda x: x.cast("string")), " ").alias("draw_order"), "blue", "sales", "jackpot", "first_prize_count")
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
