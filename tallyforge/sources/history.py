@@ -90,7 +90,7 @@ def api_objects(draws: DataFrame) -> DataFrame:
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     details = F.when(F.col("draw_no") % 5 != 0, F.array(*[F.struct(F.lit(k).alias("awardEtc"), F.struct((F.col("first_prize_count") * m).cast("string").alias("awardNum"), (F.col("first_prize_count") * m * 1000).cast("string").alias("awardMoney")).alias("baseBetWinner")) for k, m in (("2", 9), ("1", 1))]))
     empty = F.col("draw_no") % 7 == 0
-    made = draws.select(F.to_json(F.struct(F.col("draw_no").cast("string").alias("issue"), F.date_format("draw_date", "yyyy-MM-dd").alias("openTime"), F.col("weekday").alias("week"), F.when(empty, "").otherwise(text("reds")).alias("frontWinningNum"), F.col("blue").cast("string").alias("backWinningNum"), text("draw_order").alias("seqFrontWinningNum"), F.col("sales").cast("string").alias("saleMoney"), F.col("jackpot").cast("string").alias("prizePoolMoney"), details.alias("winnerDetails"))).alias("body"))
+    made = draws.select(F.to_json(F.struct(F.col("draw_no").cast("string").alias("issue"), date_text(F.col("draw_date")).alias("openTime"), F.col("weekday").alias("week"), F.when(empty, "").otherwise(text("reds")).alias("frontWinningNum"), F.col("blue").cast("string").alias("backWinningNum"), text("draw_order").alias("seqFrontWinningNum"), F.col("sales").cast("string").alias("saleMoney"), F.col("jackpot").cast("string").alias("prizePoolMoney"), details.alias("winnerDetails"))).alias("body"))
     return made.select(F.from_json("body", API).alias("x")).select("x.*")
 
 

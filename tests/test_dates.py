@@ -20,7 +20,7 @@ def far(tmp_path_factory, sf) -> str:
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["D1_calendar", "S17_status", "S3_parse_record", "S5_summary", "S7_versions", "S0_draw_table"])
+@pytest.mark.parametrize("name", ["D1_calendar", "S17_status", "S3_parse_record", "S5_summary", "S7_versions", "S0_draw_table", "S11_parse_issue"])
 def test_far_dates(spark, far, name):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{Path(far) / 'lineitem.parquet'}'")
