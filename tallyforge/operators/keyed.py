@@ -3,7 +3,7 @@
 A fold of a shuffle trains on all places behind the newest few. What strategies count (balls, and pairs of
 balls) is therefore the history's count less that of the newest places, and what they look at in order (the
 window of the hot and cold balls) is a few places behind them. So a shuffle needs its newest places only,
-whatever the length of the history; one row of counts stands for each shuffle and fold, and a strategy is
+whatever the length of the history (`shuffles`); one row of counts stands for each shuffle and fold, and a strategy is
 an expression over such a row.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.draws import BLUES, PICKED, REDS
-from . import evaluate, strategies
+from . import evaluate, shuffles, strategies
 from .stats import FLOOR
 
 BALLS = REDS + BLUES
@@ -122,53 +122,37 @@ def refitted(draws: DataFrame, strategy: Keyed, val: int, n_folds: int, n_perm:
     """(perm, fold, reds, blue, hits, blue_hits): what the strategy picks from the draws behind fold
     number `fold` of each shuffle (perm 0: the history itself), and how often the `val` draws of the fold
     hit it. Fold k validates places k val to (k + 1) val."""
-    spark, n = draws.sparkSession, draws.count()
-    reach = 3 * HALF_LIFE
+    n, reach, rate = draws.count(), 3 * HALF_LIFE, math.log(2) / HALF_LIFE
     slots = BALLS + (REDS * REDS if strategy.pairs else 0)
-    last = val * n_folds
-    newest = strategies.shuffled(draws, n_perm, last + (reach + 1 if strategy.window else 0), seed).join(draws.select("idx", "reds", "blue"), "idx")
-    placed = newest.select("perm", "place", F.explode(_slots(strategy.pairs)).alias("slot"))
-    counts = placed.where(F.col("place") < last).groupBy("perm", F.floor(F.col("place") / val).cast("int").alias("fold"), "slot").agg(F.count("*").alias("c"))
-    history = draws.select(F.explode(_slots(strategy.pairs)).alias("slot")).groupBy("slot").agg(F.count("*").alias("h"))
-    key = F.col("id")
-    cells = spark.range((n_perm + 1) * n_folds * slots).select((key % slots).cast("int").alias("slot"), F.expr(f"id div {slots} % {n_folds}").cast("int").alias("fold"), F.expr(f"id div {slots * n_folds}").cast("int").alias("perm"))
-    cells = cells.join(F.broadcast(history), "slot", "left").join(counts, ["perm", "fold", "slot"], "left")  # a row a slot
-    trained = F.coalesce("h", F.lit(0)) - F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("perm", "slot").orderBy("fold"))
-    listed = F.array_sort(F.collect_list(F.struct("slot", F.col("trained").cast("double").alias("t"), F.coalesce("c", F.lit(0)).alias("c"))))
-    rows = cells.withColumn("trained", trained).groupBy("perm", "fold").agg(listed.alias("s"))
-    part = lambda lo, size: F.transform(F.slice("s", lo + 1, size), lambda x: x["t"])
-    columns = {"n": F.lit(n) - (F.col("fold") + 1) * val, "red": part(0, REDS), "blue": part(REDS, BLUES)}
+    counts = shuffles.fold_counts(draws, n, val, n_folds, n_perm, seed, strategy.pairs, reach if strategy.window else 0, rate)
+    seen = draws.select(F.explode(_slots(strategy.pairs)).alias("slot")).groupBy("slot").agg(F.count("*").alias("h"))
+    every = draws.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(seen, "slot", "left")  # a row a slot
+    history = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("h", F.lit(0)).alias("h")))), lambda x: x["h"]).alias("h"))
+    rows = counts.crossJoin(F.broadcast(history)).withColumn("t", F.zip_with("h", "before", lambda h, x: (h - x).cast("double")))  # one row
+    columns = {"n": F.lit(n) - (F.col("fold") + 1) * val, "red": F.slice("t", 1, REDS), "blue": F.slice("t", REDS + 1, BLUES)}
     if strategy.pairs:
-        columns["pair"] = F.transform(F.sequence(F.lit(0), F.lit(REDS - 1)), lambda a: F.transform(F.slice("s", a * REDS + (BALLS + 1), F.lit(REDS)), lambda x: x["t"]))
-    rows = rows.withColumns(columns)
+        columns["pair"] = F.transform(F.sequence(F.lit(0), F.lit(REDS - 1)), lambda a: F.slice("t", a * REDS + (BALLS + 1), F.lit(REDS)))
     if strategy.window:
-        rows = rows.join(_hotness(placed, n, val, n_folds), ["perm", "fold"], "left")
-    hit = lambda slot: F.get("s", slot.cast("int"))["c"]
-    picked = strategy.picked(rows)
+        columns["z"] = _hotness(n, val, n_folds)
+    hit = lambda slot: F.get("c", slot.cast("int"))
+    picked = strategy.picked(rows.withColumns(columns).drop("t", "h", "before", "w"))
     return picked.select("perm", "fold", F.array_sort("reds").alias("reds"), F.col("pick").cast("int").alias("blue"), F.aggregate("reds", F.lit(0).cast("long"), lambda a, b: a + hit(b - 1)).alias("hits"), hit(F.col("pick") + REDS - 1).alias("blue_hits"))
 
 
-def _hotness(placed: DataFrame, n: int, val: int, n_folds: int) -> DataFrame:
-    """(perm, fold, z) of all balls at the newest training draw of each fold, from the window behind it."""
+def _hotness(n: int, val: int, n_folds: int) -> Column:
+    """z of all balls at the newest training draw of a fold, from the decayed sums w of the window behind it."""
     reach, rate = 3 * HALF_LIFE, math.log(2) / HALF_LIFE
-    sums = None
-    for fold in range(n_folds):  # a few folds, one plan
-        start = (fold + 1) * val
-        w = F.exp((F.col("place") - (start + 1)) * -rate)
-        own = placed.where((F.col("place") > start) & (F.col("place") <= start + reach)).groupBy("perm", "slot").agg(F.sum(w).alias("w"))
-        own = own.groupBy("perm").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("w"))
-        size = min(reach, n - start - 1)
+    z = F.lit(None).cast("array<double>")
+    for fold in range(n_folds):  # a few folds
+        size = min(reach, n - (fold + 1) * val - 1)
         effective = sum(math.exp(-k * rate) for k in range(max(0, size)))
-        if size < LEAST or effective < LEAST:
-            continue
-        own = own.select("perm", F.lit(fold).alias("fold"), F.transform(F.sequence(F.lit(1), F.lit(BALLS)), _z(effective)).alias("z"))
-        sums = own if sums is None else sums.unionByName(own)
-    empty = placed.sparkSession.createDataFrame([], "perm int, fold int, z array<double>")
-    return empty if sums is None else sums
+        if size >= LEAST and effective >= LEAST:
+            z = F.when(F.col("fold") == fold, F.transform(F.sequence(F.lit(1), F.lit(BALLS)), _z(effective))).otherwise(z)
+    return z
 
 
 def _z(effective: float) -> Callable[[Column], Column]:
-    return lambda k: (F.coalesce(F.element_at("w", k - 1), F.lit(0.0)) / effective - _even(k)) / F.sqrt(_even(k) * (1 - _even(k)) / effective)
+    return lambda k: (F.get("w", k - 1) / effective - _even(k)) / F.sqrt(_even(k) * (1 - _even(k)) / effective)
 
 
 def _even(k: Column) -> Column:

@@ -13,7 +13,7 @@ from ..operators import stats
 from ..operators import strategies as st
 from ..operators.predictor import Predictor
 from ..operators.predictor import report as predictor_report
-from ..sources.draws import SQL_DRAWS, draws
+from ..sources.draws import SQL_DRAWS, draws, written_draws
 from .sequence_queries import CLASSES, rounded
 from .stats_queries import HALF_LIFE
 
@@ -191,7 +191,7 @@ def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def permutation_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8 of the greedy strategy: refitted, pairs and all, for four folds of 500 shuffles."""
-    return rounded(st.permutation_test(draws(spark, sf_dir), strategy="greedy"))
+    return rounded(st.permutation_test(written_draws(spark, sf_dir), strategy="greedy"))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Folds in linear work, against plain loops; strategies refitted for every shuffle and fold."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evaluate, keyed, sampler, strategies
+from tallyforge.operators import evaluate, keyed, sampler, shuffles, strategies
 from tallyforge.sources import draws
 
 
@@ -143,3 +145,24 @@ def test_numbers_of_the_chain_come_from_counters():
         kinds[apart] += 1
         assert len(set(new)) == 6 and new == sorted(new) and 1 <= b <= 16 and (apart == 0) == (b != blue) and set(new) <= set(range(1, 34))
     assert all(abs(kinds[a] / 3000 - share) < 0.04 for a, share in ((1, 0.5), (2, 0.3), (0, 0.2)))
+
+
+def test_keys_in_vectors_are_md5():
+    for prefix, idx in ((b"1:7:", [0, 5, 9]), (b"1:500:", [1234567, 7654321]), (b"9223372036854775807:1000000:", [10**18, 10**18 + 7])):
+        digits = np.array([[ord(x) for x in str(i)] for i in idx], np.uint32).T
+        got = ["".join(f"{w:08x}" for w in row) for row in zip(*shuffles.md5(prefix, digits))]
+        assert got == [hashlib.md5(prefix + str(i).encode()).hexdigest() for i in idx]
+
+
+def test_certain_folds_and_bands_are_the_order(spark):
+    """A history long enough that most folds are certain from the key, against the sorted shuffles."""
+    n, val, folds = 60_000, 2000, 3
+    d = spark.range(n).select(F.col("id").alias("idx"), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: (k * 5 + 1 + F.col("id") % 5).cast("int")).alias("reds"), (F.col("id") % 16 + 1).cast("int").alias("blue"))
+    cut = shuffles.bands(n, [2000, 4000, 6000], 0)
+    assert len(cut) == 3 and sum(hi - lo for lo, hi, _ in cut) < 2**64 * 0.06
+    got = {(r["perm"], r["fold"]): r["c"] for r in shuffles.fold_counts(d, n, val, folds, 2, 1, False, 0, 0.0).collect()}
+    placed = strategies.shuffled(d, 2, val * folds).join(d, "idx").select("perm", F.floor(F.col("place") / val).alias("fold"), F.explode(F.concat(F.transform("reds", lambda b: b - 1), F.array(F.col("blue") + 32))).alias("slot"))
+    want = {k: [0] * 49 for k in got}
+    for r in placed.groupBy("perm", "fold", "slot").count().collect():
+        want[r["perm"], r["fold"]][r["slot"]] = r["count"]
+    assert len(got) == 9 and got == want
