@@ -186,7 +186,7 @@ def hotness_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.permutation_test(draws(spark, sf_dir)))
+    return rounded(st.permutation_test(written_draws(spark, sf_dir)))
 
 
 def permutation_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
