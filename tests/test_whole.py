@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tallyforge.operators import evaluate
+from tallyforge.operators import evaluate, sequence
 from tallyforge.plans import registry, sequence_queries
 from tallyforge.sources.draws import SQL_DRAWS, draws
 
@@ -105,3 +105,10 @@ def test_members_fold_over_blocks(spark):
         for s in own:
             w = 0.9 * w + 0.1 * s
         assert got[m]["weight"] == pytest.approx(w) and got[m]["recent"] == pytest.approx(sum(own[-10:]) / 10)
+
+
+def test_hotness_orders_a_block_once(spark, sf):
+    """No window over rows of single balls: a block's draws are sorted, not 49 times as many rows."""
+    plan = sequence.hotness_of_all(draws(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    own = [line for line in plan.splitlines() if "Window [" in line]
+    assert own and not any("colour" in line or "ball#" in line for line in own)
