@@ -88,7 +88,7 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _strategy(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pick = st.STRATEGIES[name](HALF_LIFE)(draws(spark, sf_dir))
+        pick = st.STRATEGIES[name](HALF_LIFE)(written_draws(spark, sf_dir))
         return pick.select(*[F.get("reds", F.lit(k)).alias(f"r{k + 1}") for k in range(6)], "blue")
 
     query.__doc__ = f"The pick of the strategy `{name}` over the whole history."

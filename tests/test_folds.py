@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import evaluate, keyed, sampler, shuffles, strategies
+from tallyforge.plans import registry
 from tallyforge.sources import draws
 
 
@@ -166,3 +167,10 @@ def test_certain_folds_and_bands_are_the_order(spark):
     for r in placed.groupBy("perm", "fold", "slot").count().collect():
         want[r["perm"], r["fold"]][r["slot"]] = r["count"]
     assert len(got) == 9 and got == want
+
+
+@pytest.mark.parametrize("name", ["G5_association_strategy"])
+def test_draws_are_made_once(spark, sf, name):
+    """Queries that read the draws several times read them from the shared folder, lineitem not again."""
+    read = registry.QUERIES[name](spark, sf).inputFiles()
+    assert read and not any("lineitem" in f for f in read)
