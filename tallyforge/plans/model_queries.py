@@ -73,7 +73,7 @@ def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = draws(spark, sf_dir)
+    d = written_draws(spark, sf_dir)
     folds = ev.fold_table(spark, ev.walk_forward(d.count()))
     return ev.evaluated(d, folds, ev.frequency_picks(d, folds))
 
@@ -97,7 +97,7 @@ def _strategy(name: str):
 
 def cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: the frequency strategy over rolling folds, summed up."""
-    _, summary = ev.run_cv(draws(spark, sf_dir), ev.frequency_picks, "rolling", train=500, val=200, step=300)
+    _, summary = ev.run_cv(written_draws(spark, sf_dir), ev.frequency_picks, "rolling", train=500, val=200, step=300)
     return rounded(summary)
 
 

@@ -169,7 +169,7 @@ def test_certain_folds_and_bands_are_the_order(spark):
     assert len(got) == 9 and got == want
 
 
-@pytest.mark.parametrize("name", ["G5_association_strategy"])
+@pytest.mark.parametrize("name", ["G5_association_strategy", "V5_run_cv", "V6_walk_forward"])
 def test_draws_are_made_once(spark, sf, name):
     """Queries that read the draws several times read them from the shared folder, lineitem not again."""
     read = registry.QUERIES[name](spark, sf).inputFiles()
