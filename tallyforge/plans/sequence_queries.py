@@ -17,6 +17,13 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def rounded_product(df: DataFrame, places: int = 6) -> DataFrame:
+    """As `rounded`, by the product with the power of ten, which is how the SQL's engine rounds. F.round
+    goes by the decimal digits of a double: 5.8224999999999996e-3, whose product is 5822.5, goes down."""
+    scale = 10.0**places
+    return df.select(*[(F.round(F.col(c) * scale) / scale + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sq.followed(draws(spark, sf_dir), "ema", WINDOWS))
 
@@ -40,7 +47,7 @@ MONEY = ("sales", "jackpot")
 
 def _given(kind: str, windows: tuple[int, ...] = WINDOWS):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(sq.followed(draws(spark, sf_dir), kind, windows, {n: F.col(n) / 1e6 for n in MONEY}))
+        return rounded_product(sq.followed(draws(spark, sf_dir), kind, windows, {n: F.col(n) / 1e6 for n in MONEY}))
 
     query.__doc__ = f"T3-T6 over given features: {kind} of sales and jackpot, in millions."
     return query

@@ -3,12 +3,14 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import rows
 from tallyforge.operators import energy, evaluate, sequence, stats
+from tallyforge.plans import sequence_queries
 from tallyforge.sources import draws, history
 
 DRAW = "idx long, draw_no long, draw_date date, weekday string, reds array<int>, draw_order array<int>, blue int, sales long, jackpot long, first_prize_count int"
@@ -149,6 +151,23 @@ def test_windows_over_given_features(spark):
             assert got[k] == (want if want is None else pytest.approx(want, rel=1e-6, abs=1e-4)), (kind, k)
 
 
+def test_given_slopes_that_end_in_half_a_place(spark, monkeypatch):
+    """Slopes of sf0.1: regr_slope brings the first to the other side of the half, F.round the second."""
+    series = {
+        5470: [1076779, 1275172, 587650, 1066396, 558713, 616057, 524857, 693438, 835229, 785271, 615387, 1254159, 826902],
+        7736: [1005168, 708310, 976807, 734182, 856438, 628836, 1068336, 1242584, 1104074, 1019122, 919464, 735947, 869675],
+    }
+    d = [(k + i, v, 0) for k, values in series.items() for i, v in enumerate([0, *values])]
+    monkeypatch.setattr(sequence_queries, "draws", lambda spark, sf_dir: spark.createDataFrame(d, "idx long, sales long, jackpot long"))
+    got = {r["idx"]: r["trend_13_sales"] for r in sequence_queries.QUERIES["T4_trend_given"](spark, "").collect()}
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE given_money (idx BIGINT, sales DOUBLE, jackpot DOUBLE)")
+    duck.executemany("INSERT INTO given_money VALUES (?, ?, ?)", [(i, v / 1e6, j / 1e6) for i, v, j in d])
+    sql = sequence_queries.SQL["T4_trend_given"].removeprefix(sequence_queries._GIVEN)
+    want = dict(duck.sql(f"SELECT idx, trend_13_sales FROM ({sql})").fetchall())
+    assert {k: got[k] for k in series} == {k: want[k] for k in series} == {5470: -0.009375, 7736: 0.005823}
+
+
 def test_upper_tail_of_rows(spark):
     rows_ = spark.createDataFrame([(25, 100), (0, 7), (8, 7), (60, 200), (1500, 3000)], "h long, n long")
     got = [r[0] for r in rows_.select(evaluate.upper_tail(F.col("h"), F.col("n"), 0.18)).collect()]
