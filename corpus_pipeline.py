@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import jaccard, langid, mixing, pii, piece_codec
 from tallyforge.llm.shared import removed, written
+from tallyforge.llm.texts import BATCH_BYTES, BATCH_SETTING
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its text has no language or its calibrated score is below this; of few languages
@@ -22,10 +23,18 @@ LEAST_SCORE = 0.35
 EPOCHS, SHARE = 4, (1, 1)
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Stages whose jobs run only when their result is read leave the session with small Arrow batches,
+    unless it has a bound of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is identified; `lang` becomes the prediction. A null text, an empty
     one and one without a letter have no language and go. A null `lang` teaches nothing; where all are
     null nothing can be identified and nothing stays."""
+    _bounded(spark)
     found = langid.identify(docs, keep=("text", "lang", "source", "n_chars"))
     kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -40,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the spans that are found; every document stays. A null text stays null, with null n_chars."""
+    _bounded(spark)
     found = pii.find(docs, keep=("lang", "source"))
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.char_length("redacted").cast("long").alias("n_chars"))
 
@@ -56,6 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the ids of each text that is taken; a null text has no ids."""
+    _bounded(spark)
     found = piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("lang", "source"))
     return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

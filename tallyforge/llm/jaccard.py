@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .components import components
 from .shared import removed, scratch, written
 from .shingles import forget, least_difference, parity_sketch, set_hash, shingle_sets, signatures, similar, similar_texts
-from .texts import released, slices
+from .texts import released, slices, small_batches
 
 #: Bits of the parity that the join of a bucket's nodes tests, in 64-bit words.
 SKETCH = 1024
@@ -47,8 +47,9 @@ DEALT = 2_000
 WORK = 600_000
 #: Sets that a task remembers in order not to repeat their sketches and signatures.
 REMEMBERED = 300_000
-#: Signatures that a task brings together before it sends them.
-CHUNK = 1_000_000
+#: Signatures that a task brings together before it sends them; some hundred bytes of memory go
+#: with each.
+CHUNK = 250_000
 
 
 def _sets(batch_texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -250,7 +251,7 @@ def join(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id"
     one value of its row. The tables on the way are deleted; the result is a written table.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    with scratch(df.sparkSession, "jaccard"):
+    with scratch(df.sparkSession, "jaccard"), small_batches(df.sparkSession):
         found = _joined(docs, size, percent)
         return written(found.select(F.col("id").alias(id_col), "n_shingles", "component_id"), "components", keep=True)
 

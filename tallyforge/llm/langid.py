@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .texts import map_texts, slices
+from .texts import map_texts, slices, small_batches
 
 DIM = 1 << 15
 ORDERS = 3
@@ -250,6 +250,7 @@ def held_out(id_col: str) -> Column:
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """Trains on df's documents that are not held out and predicts them all: (id, *keep, held_out,
     lang_pred, score). A null id is not held out."""
-    model = train(df.where(~F.coalesce(held_out(id_col), F.lit(False))), id_col, text_col, lang_col)
+    with small_batches(df.sparkSession):
+        model = train(df.where(~F.coalesce(held_out(id_col), F.lit(False))), id_col, text_col, lang_col)
     out = predict(df, model, id_col, text_col, keep)
     return out.select(id_col, *keep, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "lang_pred", "score")

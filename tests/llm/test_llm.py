@@ -358,6 +358,52 @@ def test_components_of_a_large_awkward_table(spark, monkeypatch):
     assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
 
 
+def test_workers_get_small_batches_in_the_join(spark, monkeypatch):
+    """Twelve texts of a megabyte are no longer one batch of a worker, and the session's bound stays what it was."""
+    seen, real, setting = [], jaccard._described, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def weighed(rows):
+        for batch in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    def described(rows, size):
+        seen.extend(rows.select("text").coalesce(1).mapInArrow(weighed, "n long, size long").collect())
+        return real(rows, size)
+
+    monkeypatch.setattr(jaccard, "_described", described)
+    df = spark.createDataFrame([(k, f"{k} " * (500_000 if k < 10 else 333_333)) for k in range(12)], "doc_id long, text string")
+    before = spark.conf.get(setting, None)
+    assert jaccard.join(df).count() == 12
+    assert sum(r["n"] for r in seen) == 12 and max(r["size"] for r in seen) < 6_000_000
+    assert spark.conf.get(setting, None) == before
+
+
+def test_memory_of_signatures_on_their_way(spark, monkeypatch):
+    """1.2 million signatures of a task, brought together a chunk at a time."""
+    import tracemalloc
+
+    class Rows:
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, work, _):
+            return work
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(jaccard, "signatures", lambda s, percent: rng.integers(0, 1 << 47, 2000).astype(np.uint64) * np.uint64(2))
+    texts = pa.array([f"text {k} of five words" + " x" * 300_000 * (k % 60 == 0) for k in range(600)])
+    work = jaccard._dealt(Rows(), 5, 80)
+    tracemalloc.start()
+    try:
+        sent = sum(b.num_rows for b in work(pa.RecordBatch.from_arrays([texts.slice(k, 60)], names=["text"]) for k in range(0, 600, 60)))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent >= 1_190_000 and most < 80_000_000, (sent, most)
+
+
 def test_tables_on_the_way_are_deleted(spark, docs):
     from tallyforge.llm.shared import shared_dir
 
